@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe
+from lectern.llm import bpe, digest, radix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("_row")
+
+
+def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_byte_bpe,)}
+    return {f.__name__: f for f in (op4_radix_dedup, op7_byte_bpe, op8_quartile_digest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, digest, radix_dedup
+from lectern.llm import bpe, digest, html_templates, radix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("_row")
 
@@ -29,7 +33,7 @@ def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_radix_dedup, op7_byte_bpe, op8_quartile_digest)}
+    return {f.__name__: f for f in (op1_site_templates, op4_radix_dedup, op7_byte_bpe, op8_quartile_digest)}
 
 
 def oracle_sql() -> dict[str, str]:

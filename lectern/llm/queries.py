@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, digest, html_templates, radix_dedup
+from lectern.llm import bpe, digest, html_templates, pii, radix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_char_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -33,7 +37,7 @@ def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_site_templates, op4_radix_dedup, op7_byte_bpe, op8_quartile_digest)}
+    return {f.__name__: f for f in (op1_site_templates, op4_radix_dedup, op5_char_tagger, op7_byte_bpe, op8_quartile_digest)}
 
 
 def oracle_sql() -> dict[str, str]:

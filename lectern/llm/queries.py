@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, digest, html_templates, pii, radix_dedup
+from lectern.llm import bpe, digest, html_templates, pii, radix_dedup, sketch_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_templates.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("_row")
 
@@ -37,7 +41,7 @@ def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_site_templates, op4_radix_dedup, op5_char_tagger, op7_byte_bpe, op8_quartile_digest)}
+    return {f.__name__: f for f in (op1_site_templates, op2_fast_sketch_dedup, op4_radix_dedup, op5_char_tagger, op7_byte_bpe, op8_quartile_digest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, digest, html_templates, pii, radix_dedup, sketch_dedup
+from lectern.llm import bpe, class_lm, digest, html_templates, pii, radix_dedup, sketch_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op5_char_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -41,7 +45,7 @@ def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_site_templates, op2_fast_sketch_dedup, op4_radix_dedup, op5_char_tagger, op7_byte_bpe, op8_quartile_digest)}
+    return {f.__name__: f for f in (op1_site_templates, op2_fast_sketch_dedup, op4_radix_dedup, op5_char_tagger, op6_class_lm, op7_byte_bpe, op8_quartile_digest)}
 
 
 def oracle_sql() -> dict[str, str]:

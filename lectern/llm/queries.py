@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, class_lm, digest, html_templates, pii, radix_dedup, sketch_dedup
+from lectern.llm import bpe, class_lm, digest, html_templates, pii, radix_dedup, sketch_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op2_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("_row")
 
@@ -45,7 +49,7 @@ def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_site_templates, op2_fast_sketch_dedup, op4_radix_dedup, op5_char_tagger, op6_class_lm, op7_byte_bpe, op8_quartile_digest)}
+    return {f.__name__: f for f in (op1_site_templates, op2_fast_sketch_dedup, op3_weak_supervision, op4_radix_dedup, op5_char_tagger, op6_class_lm, op7_byte_bpe, op8_quartile_digest)}
 
 
 def oracle_sql() -> dict[str, str]:

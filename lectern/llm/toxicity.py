@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Labels of rows that are not held out train the voters; the texts of UNLABELLED more rows take part in the label model."""
     known = documents_of(labels, key, label).filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull() & ~held_out(key)).withColumnRenamed(label, "_toxic")
     sample = sampled(docs, known, key, [text], labelled)
-    names = telling(sample, text, F.col("_toxic") == 1, TELLING)
+    names = telling(sample, text, F.col("_toxic") == 1, TELLING, support=3)
     features = Features(names)
     facts, rows = presence(sample, features, text, [key, "_toxic"])
     toxic = (facts["_toxic"] == 1).to_numpy()

@@ -1,7 +1,7 @@
 """Sparse presence features of texts, how telling ones are found from labelled rows, and a linear classifier on them.
 
-A token (a run without ASCII white space) gives: its letters in lower case, the first four, five and six of them, and
-its shape (runs of upper-case, lower-case, digits, and the marks themselves). A text has a feature or hasn't; how long
+A token (a run without ASCII white space) gives: its letters in lower case, the first four, five and six of them, whether
+they are on a list of insults, and its shape (runs of upper-case, lower-case, digits, and the marks themselves). A text has a feature or hasn't; how long
 it is plays no part. Models are fitted on bounded samples of rows (the bounds are parameters of the callers, the rows
 are those of least hash) and applied to whole texts.
 """
@@ -25,6 +25,9 @@ FLUSH = 300_000
 #: Longer tokens are read for their shape and first letters alone.
 LONG_TOKEN = 64
 
+# Common English insults; a token among them has the feature "l:insult".
+INSULTS = frozenset("idiot idiots moron morons stupid dumb dumbass fool loser losers scum trash garbage pathetic worthless disgusting clown clowns jerk imbecile cretin vermin filth filthy parasite retard bastard coward ugly freak creep lowlife".split())
+
 _OTHER = re.compile(r"[\W\d_]+")
 _RUNS = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[a-zß-öø-ÿ]+"), "x"), (re.compile(r"[0-9]+"), "9"))
 
@@ -33,6 +36,8 @@ def token_features(token: str) -> tuple[str, ...]:
     letters = _OTHER.sub("", token[:LONG_TOKEN]).lower()
     out = [f"w:{letters}"] if letters else []
     out += (f"{n}:{letters[:n]}" for n in (4, 5, 6) if len(letters) > n)
+    if letters in INSULTS:
+        out.append("l:insult")
     form = token[:LONG_TOKEN]
     for pattern, mark in _RUNS:
         form = pattern.sub(mark, form)

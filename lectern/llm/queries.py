@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, class_lm, digest, html_templates, pii, quality, radix_dedup, sketch_dedup, toxicity
+from lectern.llm import bpe, class_lm, digest, html_templates, mixing, pii, quality, radix_dedup, sketch_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,13 +48,17 @@ def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")))
+
+
 def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_site_templates, op2_fast_sketch_dedup, op3_weak_supervision, op4_radix_dedup, op5_char_tagger, op6_class_lm, op7_byte_bpe, op8_quartile_digest, op10_co_training)}
+    return {f.__name__: f for f in (op1_site_templates, op2_fast_sketch_dedup, op3_weak_supervision, op4_radix_dedup, op5_char_tagger, op6_class_lm, op7_byte_bpe, op8_quartile_digest, op9_soft_mixing, op10_co_training)}
 
 
 def oracle_sql() -> dict[str, str]:

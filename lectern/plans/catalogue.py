@@ -1,11 +1,314 @@
-"""All registered queries of the reading-context engine and their SQL."""
+"""All registered queries of the reading-context engine over the stored tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.functions import urls
+from lectern.functions.markdown import normalized_markdown
+from lectern.functions.model_json import checkpoint, query_plan
+from lectern.operators import assemble, chunking, extract, memory, search
+from lectern.plans.sql import SQL
+from lectern.sources import tables as S
+
+Q = {}
+
+
+def query(f):
+    Q[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return S.table(spark, d, "documents")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return S.questions(S.table(spark, d, "benchmark"))
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return S.messages(S.table(spark, d, "conversations"))
+
+
+def _as_queries(asked: DataFrame) -> DataFrame:
+    return asked.select("query_id", F.lit(0).alias("pos"), F.col("question").alias("text"))
+
+
+@query
+def url_normalize(spark, d):
+    return S.table(spark, d, "pages").select("page_id", urls.normalize_page_url(F.col("url")).alias("normalized_url"), urls.page_key(F.col("page_id"), F.col("url")).alias("page_key"), urls.is_supported(F.col("url")).alias("supported"))
+
+
+@query
+def url_hosts(spark, d):
+    return S.table(spark, d, "pages").groupBy(urls.hostname(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
+
+
+@query
+def token_sets(spark, d):
+    tokens = T.token_set(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort(tokens), " ").cast("binary")).alias("tokens_md5"))
+
+
+@query
+def term_stats(spark, d):
+    """Of every term, in how many documents of a language it occurs, and how often."""
+    terms = _docs(spark, d).select("lang", "doc_id", F.explode(T.retrieval_terms(F.col("text"))).alias("term")).groupBy("lang", "term", "doc_id").agg(F.count("*").alias("tf"))
+    return terms.groupBy("lang", "term").agg(F.count("*").alias("docs"), F.sum("tf").cast("long").alias("occurrences"))
+
+
+@query
+def overlap_topk(spark, d):
+    """The five documents that share most tokens with each question, by an inverted index on the questions' tokens."""
+    asked = _asked(spark, d).select("query_id", T.token_set(F.col("question")).alias("_t")).select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("token"))
+    tokens = _docs(spark, d).select("doc_id", F.explode(T.token_set(F.col("text"))).alias("token"))
+    shared = tokens.join(asked, "token").groupBy("query_id", "doc_id", "_n").agg(F.count("*").alias("shared"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    scored = shared.select("query_id", "doc_id", F.round(F.col("shared") / F.col("_n"), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
+
+
+@query
+def bm25_topk(spark, d):
+    ranked = search.bm25(S.document_chunks(_docs(spark, d)), _as_queries(_asked(spark, d)), most=5)
+    return ranked.select("article_id", "query_id", F.col("chunk_idx").alias("doc_id"), F.col("matched").cast("long"), F.round("score", 5).alias("score"), "rank")
+
+
+@query
+def rrf_fusion(spark, d):
+    """Two queries a question, its first and its last words, fused by reciprocal ranks."""
+    words = F.split("question", " ")
+    halves = _asked(spark, d).select("query_id", F.posexplode(F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 4), " "))).alias("pos", "text"))
+    fused = search.fuse(search.bm25(S.document_chunks(_docs(spark, d)), search.distinct_queries(halves)))
+    return fused.filter("place <= 5").select("article_id", "query_id", F.col("chunk_idx").alias("doc_id"), F.round("fused", 9).alias("fused"), "best_rank", "place")
+
+
+@query
+def neighbor_window(spark, d):
+    lines = S.document_blocks(_docs(spark, d)).select("article_id", F.col("ord").alias("chunk_idx"), "section")
+    return search.neighbours(lines)
+
+
+@query
+def exact_match_rank(spark, d):
+    """Documents that hold the questions' words in a row, and single literals; the best three by longest match."""
+    asked = _asked(spark, d).select("query_id", F.concat(F.lit('"'), "question", F.lit('"')).alias("question"))
+    return search.literal_matches(S.document_chunks(_docs(spark, d)), asked).filter("place <= 3").select("article_id", "query_id", F.col("chunk_idx").alias("doc_id"), F.col("longest").cast("long"), "matches", "place")
+
+
+@query
+def focus_anchor(spark, d):
+    """The line of each document nearest to its language's first benchmark words, and neighbours."""
+    lines = S.document_blocks(_docs(spark, d)).select("article_id", F.col("ord").alias("chunk_idx"), "section", "text")
+    first = _asked(spark, d).filter("query_id = 0").select(F.col("question").alias("focus_text"))
+    foci = _docs(spark, d).select(F.col("doc_id").alias("article_id"), F.lit(0).alias("query_id"), F.concat_ws(" > ", "lang", "source").alias("focus_section")).join(F.broadcast(first.limit(1)))
+    return search.focus_anchors(lines, foci).select("article_id", "chunk_idx", "place")
+
+
+@query
+def section_scope(spark, d):
+    lines = S.document_blocks(_docs(spark, d)).select("article_id", F.col("ord").alias("chunk_idx"), "section", "text")
+    foci = _docs(spark, d).select(F.col("doc_id").alias("article_id"), F.lit(0).alias("query_id"), F.col("lang").alias("focus_section"), F.lit(2).alias("heading_level"))
+    return search.section_scope(lines, foci, budget=2000).select("article_id", "chunk_idx")
+
+
+@query
+def coverage_groups(spark, d):
+    chunks = _docs(spark, d).select(F.col("lang").alias("article_id"), F.col("doc_id").alias("chunk_idx"), F.concat_ws(" > ", "lang", "source").alias("section"))
+    return search.coverage_groups(chunks)
+
+
+@query
+def even_spacing(spark, d):
+    """Which lines of a document five evenly spaced ones are."""
+    sizes = S.document_blocks(_docs(spark, d)).groupBy("article_id").agg(F.count("*").cast("int").alias("n"))
+    return sizes.select("article_id", F.explode(T.even_indexes(F.col("n"), F.least(F.col("n"), F.lit(5)))).alias("idx"))
+
+
+@query
+def whole_question(spark, d):
+    made = _messages(spark, d).filter("role = 'user'").withColumn("question", F.when(F.col("msg_idx") % 3 == 0, F.concat(F.lit("Summarize the whole page: "), F.substring("content", 1, 40))).when(F.col("msg_idx") % 3 == 1, F.concat(F.lit("What is the article about? "), F.substring("content", 1, 40))).otherwise(F.col("content")))
+    return made.select("conv_id", "msg_idx", T.is_whole_article_question(F.col("question")).alias("whole"))
+
+
+@query
+def completed_turns(spark, d):
+    return memory.completed_turns(_messages(spark, d)).select("conv_id", F.col("turn_idx").cast("long"), "question", "answer", F.col("turn_length").cast("long"))
+
+
+@query
+def recent_turns_budget(spark, d):
+    return memory.recent_turns(memory.completed_turns(_messages(spark, d)), 1500, 2).select("conv_id", F.col("turn_idx").cast("long"), F.col("newest").cast("long"), F.col("used").cast("long"))
+
+
+def _last_questions(spark, d):
+    return _messages(spark, d).filter("role = 'user'").groupBy("conv_id").agg(F.max_by("content", "msg_idx").alias("question"))
+
+
+@query
+def recalled_turns(spark, d):
+    found = memory.recalled_turns(memory.completed_turns(_messages(spark, d)), _last_questions(spark, d), 1, 2)
+    return found.select("conv_id", F.col("turn_idx").cast("long"), F.round("score", 6).alias("score"), F.col("place").cast("long"))
+
+
+@query
+def memory_selection(spark, d):
+    return memory.select_memory(memory.completed_turns(_messages(spark, d)), _last_questions(spark, d), 1800, 900, 1, 2).select("conv_id", F.col("turn_idx").cast("long"), "how", "compacted")
+
+
+@query
+def trace_retention(spark, d):
+    return memory.kept_traces(_messages(spark, d), 2)
+
+
+@query
+def question_rail(spark, d):
+    return memory.question_rail(_messages(spark, d))
+
+
+def _archive(spark, d):
+    """Conversations as archived pages: one URL and title each."""
+    return _messages(spark, d).withColumn("url", F.concat(F.lit("https://example.com/c/"), F.col("conv_id").cast("string"))).withColumn("title", F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")))
+
+
+@query
+def archive_summary(spark, d):
+    return memory.summaries(_archive(spark, d)).select("url", "title", "created_at", "updated_at", F.col("question_count").cast("long"), "last_question")
+
+
+@query
+def archive_search(spark, d):
+    return memory.search_archive(_archive(spark, d), " The ").select("url", F.col("question_count").cast("long"))
+
+
+@query
+def archive_usage(spark, d):
+    return memory.usage(_archive(spark, d))
+
+
+@query
+def archive_merge(spark, d):
+    """Two conversations a page; the even ones are archived, the odd ones come in and overwrite the first question."""
+    turns = memory.completed_turns(_messages(spark, d))
+    page = F.concat(F.lit("https://example.com/p/"), F.floor(F.col("conv_id") / 2).cast("string")).alias("url")
+    rows = turns.select("conv_id", page, F.when(F.col("turn_idx") == 0, "first").otherwise(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn_idx").cast("string"))).alias("question_id"), F.col("turn_idx").cast("long").alias("pos"), F.col("turn_idx").cast("long").alias("created_at"), "question", "answer")
+    # A conversation may have its first completed turn later than its first message; only place 0 is named "first".
+    merged = memory.merge_turns(rows.filter("conv_id % 2 = 0").drop("conv_id"), rows.filter("conv_id % 2 = 1").drop("conv_id"))
+    return merged.select("url", "question_id", F.col("ord").cast("long"), "created_at", "question")
+
+
+@query
+def outline(spark, d):
+    """Sections of a language's documents in order of appearance, as lines, up to 100 characters."""
+    first = _docs(spark, d).groupBy("lang", F.col("source").alias("section")).agg(F.min("doc_id").alias("_first"))
+    line = F.concat(F.lit("- "), "section")
+    order = Window.partitionBy("lang").orderBy("_first")
+    used = first.select("lang", "_first", line.alias("line")).withColumn("_used", F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("_used <= 100")
+    return used.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_first", "line"))), lambda s: s["line"]), "\n").alias("outline"))
+
+
+@query
+def full_context_fit(spark, d):
+    """Which sources' documents fit a budget together, and what is left for history."""
+    sizes = S.document_chunks(_docs(spark, d)).groupBy("article_id").agg(F.sum(T.chunk_cost(F.col("section"), F.col("text"))).cast("long").alias("article_characters"))
+    fits = F.col("article_characters") <= 110_000
+    return sizes.select("article_id", "article_characters", fits.alias("fits"), F.when(fits, 110_000 - F.col("article_characters")).otherwise(F.least(F.lit(8000), F.lit(110_000))).cast("long").alias("history_budget"))
+
+
+@query
+def query_plan_parse(spark, d):
+    """Plans in JSON, made of benchmark words, read back."""
+    asked = _asked(spark, d)
+    made = asked.select("query_id", F.concat(F.lit('```json {"rewrittenQuestion": "  '), "question", F.lit(' ", "queries": ["'), "question", F.lit('", "'), F.upper("question"), F.lit('", "other"], "coverage": "multi-section", "useConversation": true} ```')).alias("_json"))
+    plan = made.select("query_id", query_plan(F.col("_json")).alias("p"))
+    return plan.select("query_id", F.col("p.rewritten_question").alias("rewritten"), F.array_join("p.queries", "|").alias("queries"), F.size("p.evidence_needs").cast("long").alias("needs"), F.col("p.coverage").alias("coverage"), F.col("p.use_conversation").alias("use_conversation"))
+
+
+@query
+def checkpoint_validate(spark, d):
+    """Checkpoints with the benchmark texts as goals: those of up to 150 characters are padded past the limit of no field; long ones are repeated past it."""
+    made = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", r'[\n"]', " ").alias("_t"))
+    goal = F.when(F.col("query_id") % 2 == 0, F.substring("_t", 1, 100)).otherwise(F.repeat("_t", 9))
+    read = made.select("query_id", checkpoint(F.concat(F.lit('{"goal": "'), goal, F.lit('", "activeTopic": "t", "items": [{"text": "x", "status": "active"}], "decisions": [], "userConstraints": ["u"], "unresolvedReferences": []}'))).alias("c"))
+    return read.select("query_id", F.col("c.goal").isNotNull().alias("valid"), F.coalesce(F.length("c.goal"), F.lit(0)).cast("long").alias("goal_length"))
+
+
+@query
+def chunks(spark, d):
+    return chunking.chunks(S.document_blocks(_docs(spark, d))).select("article_id", "chunk_idx", "section", "text", F.array_join("block_ids", ",").alias("block_ids"))
+
+
+@query
+def chunk_bounds(spark, d):
+    """Characters of each document's chunks together, and whether all keep the maximum."""
+    made = chunking.chunks(S.document_blocks(_docs(spark, d)))
+    return made.groupBy("article_id").agg((F.max(F.length("text")) <= chunking.HARD_MAXIMUM).alias("bounded"), F.sum(F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("characters"))
+
+
+def _line_chunks(spark, d):
+    lines = S.document_blocks(_docs(spark, d))
+    return lines.select("article_id", F.col("ord").alias("chunk_idx"), F.concat(F.lit("chunk-"), F.col("ord") + 1).alias("chunk_id"), "section", "text", F.array("block_id").alias("block_ids"))
+
+
+@query
+def document_coverage(spark, d):
+    return assemble.covered(_line_chunks(spark, d), 2000, 4)
+
+
+@query
+def window_pack(spark, d):
+    """Windows around the lines that match the questions best, within 2,000 characters a document."""
+    lines = _line_chunks(spark, d)
+    fused = search.fuse(search.bm25(lines, _as_queries(_asked(spark, d).filter("query_id < 3"))))
+    return assemble.packed_windows(lines, fused, 2000, 4)
+
+
+@query
+def evidence_pack(spark, d):
+    """Fused evidence of three questions over every document in lines, within 3,000 characters with 500 of history."""
+    lines, asked = _line_chunks(spark, d), _asked(spark, d).filter("query_id < 3")
+    exact = search.literal_matches(lines, asked).filter("place <= 8")
+    ranked = search.fuse(search.bm25(lines, _as_queries(asked)))
+    spread = assemble.covered(lines, 1000, 3).crossJoin(F.broadcast(asked.select("query_id"))).withColumn("place", F.col("chunk_idx"))
+    offer = lambda df, source: df.select("article_id", "query_id", F.lit(source).alias("source"), F.lit(None).cast("int").alias("need"), F.col("place").cast("int"), "chunk_idx")
+    channels = offer(exact, "exact-match").unionByName(offer(ranked, "global-search")).unionByName(offer(spread, "document-coverage"))
+    questions = channels.select("article_id", "query_id").distinct().select("*", F.lit(500).alias("history_length"), F.lit(None).cast("string").alias("plan_json"), F.lit(None).cast("string").alias("checkpoint_json"))
+    return assemble.assemble(lines, questions, channels, 3000)
+
+
+@query
+def page_extract(spark, d):
+    read = extract.articles(S.table(spark, d, "pages"))
+    return read.select("article_id", "title", F.size("blocks").cast("long").alias("n_blocks"), F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("text"), "is_partial")
+
+
+@query
+def page_blocks(spark, d):
+    return extract.blocks(extract.articles(S.table(spark, d, "pages"))).select("article_id", "ord", "type", "text", "section", "level")
+
+
+@query
+def reading_scope(spark, d):
+    return extract.reading_scope(S.document_blocks(_docs(spark, d)))
+
+
+@query
+def page_diagnostics(spark, d):
+    read = extract.articles(S.table(spark, d, "pages"))
+    return read.select("article_id", F.array_join(extract.diagnostic_issues(F.col("diagnostics")), ",").alias("issues"), F.col("diagnostics.root_kind").alias("root_kind"), F.col("diagnostics.readable_length").cast("long").alias("readable_length"))
+
+
+@query
+def markdown_normalize(spark, d):
+    return _messages(spark, d).select("conv_id", "msg_idx", normalized_markdown(F.col("content")).alias("markdown"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in Q}

@@ -1,0 +1,39 @@
+"""Conversation messages as a stream: every micro-batch merges the completed turns into the archive; stale generations go."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from lectern.operators.memory import completed_turns, merge_turns
+
+MESSAGE = "conv_id long, msg_idx long, role string, content string, created_at long, error boolean, url string, generation long"
+
+
+def newest_generation(rows: DataFrame, key: str = "conv_id") -> DataFrame:
+    """The rows of each key's highest generation; what older ones still send is stale."""
+    return rows.withColumn("_g", F.max("generation").over(Window.partitionBy(key))).filter("generation = _g").drop("_g")
+
+
+def turns_by_page(rows: DataFrame) -> DataFrame:
+    """url, question_id, pos, created_at, question, answer of completed turns."""
+    done = completed_turns(rows)
+    facts = rows.select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("msg_idx")) - 1).alias("turn_idx"), "url", "created_at")
+    return done.join(facts, ["conv_id", "turn_idx"]).select("url", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn_idx").cast("string")).alias("question_id"), F.col("turn_idx").cast("long").alias("pos"), "created_at", "question", "answer")
+
+
+def archive_stream(spark: SparkSession, source: str, archive: str, checkpoint: str) -> StreamingQuery:
+    """Read message files, merge each batch into the archive table of folders v<batch>, the last of which counts.
+
+    A batch that runs again after a failure writes the same folder again from the same previous one.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        incoming = turns_by_page(newest_generation(batch))
+        before = f"{archive}/v{number - 1}"
+        held = spark.read.parquet(before).withColumn("pos", F.col("ord").cast("long")).drop("ord") if number else incoming.limit(0)
+        merge_turns(held.select("url", "question_id", "pos", "created_at", "question", "answer"), incoming).write.mode("overwrite").parquet(f"{archive}/v{number}")
+
+    stream = spark.readStream.schema(MESSAGE).parquet(source)
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -47,12 +47,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, most: int = CANDIDATES, k: float
     terms = queries.select("query_id", "pos", F.array_distinct(retrieval_terms(F.col("text"))).alias("_terms")).select("query_id", "pos", F.size("_terms").alias("_wanted"), F.explode("_terms").alias("term"))
     # Only postings of asked terms go on; the set of terms is small where questions are few, and AQE broadcasts it then.
     asked = postings(chunks).join(terms.select("term").distinct(), "term")
-    n = asked.groupBy("article_id", "field", "term").agg(F.count("*").alias("n"))
+    asked = asked.withColumn("n", F.count("*").over(Window.partitionBy("article_id", "field", "term")))  # not by a join: postings are made once
     stats = field_stats(chunks)
     idf = F.log(1 + (F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     boost = F.when(F.col("field") == "section", SECTION_BOOST).otherwise(TEXT_BOOST)
     part = boost * idf * (delta + F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / F.col("avglen"))))
-    weighed = asked.join(n, ["article_id", "field", "term"]).join(stats, ["article_id", "field"]).groupBy("article_id", "chunk_idx", "term").agg(F.sum(part).alias("w"))
+    weighed = asked.join(stats, ["article_id", "field"]).groupBy("article_id", "chunk_idx", "term").agg(F.sum(part).alias("w"))
     scored = weighed.join(terms, "term").groupBy("article_id", "query_id", "pos", "chunk_idx", "_wanted").agg(F.count("*").alias("matched"), F.round(F.sum("w"), 9).alias("score"))
     fit = scored.filter(F.col("matched") >= F.when(F.col("_wanted") >= 3, 2).otherwise(1))
     order = Window.partitionBy("article_id", "query_id", "pos").orderBy(F.desc("score"), "chunk_idx")

@@ -222,7 +222,7 @@ def full_context_fit(spark, d):
 def query_plan_parse(spark, d):
     """Plans in JSON, made of benchmark words, read back."""
     asked = _asked(spark, d)
-    made = asked.select("query_id", F.concat(F.lit('```json {"rewrittenQuestion": "  '), "question", F.lit(' ", "queries": ["'), "question", F.lit('", "'), F.upper("question"), F.lit('", "other"], "coverage": "multi-section", "useConversation": true} ```')).alias("_json"))
+    made = asked.select("query_id", F.concat(F.lit('```json {"rewrittenQuestion": "  '), "question", F.lit(' ", "queries": ["'), "question", F.lit('", "'), F.lower("question"), F.lit('", "other"], "coverage": "multi-section", "useConversation": true} ```')).alias("_json"))
     plan = made.select("query_id", query_plan(F.col("_json")).alias("p"))
     return plan.select("query_id", F.col("p.rewritten_question").alias("rewritten"), F.array_join("p.queries", "|").alias("queries"), F.size("p.evidence_needs").cast("long").alias("needs"), F.col("p.coverage").alias("coverage"), F.col("p.use_conversation").alias("use_conversation"))
 

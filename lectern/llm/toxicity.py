@@ -61,10 +61,11 @@ def pick_voters(rows: list[np.ndarray], toxic: np.ndarray, columns: int, voters:
 
 
 class LabelModel:
-    """P(class) and, for each voter, P(vote | class, vote of its parent in the tree). A voter that is silent abstains."""
+    """P(class) and, for each voter, P(vote | class, vote of its parent in the tree). A voter that is silent abstains; the prior is the share of the rows given."""
 
     def __init__(self, votes: np.ndarray, start: np.ndarray, given: np.ndarray, rounds: int = 25) -> None:
         """votes: (rows, voters) of 0 and 1; start: first guess of P(toxic); given: rows whose guess stays."""
+        self.prior = float(np.clip((start[given] if given.any() else start).mean(), 1e-4, 1 - 1e-4))
         self.parent = self._tree(votes, start)
         guess = start.copy()
         for _ in range(rounds):
@@ -101,7 +102,6 @@ class LabelModel:
         return parent
 
     def _maximise(self, votes: np.ndarray, guess: np.ndarray) -> None:
-        self.prior = (guess.sum() + 1) / (len(guess) + 2)
         size = votes.shape[1]
         self.rate = np.empty((2, 2, size))  # class, parent's vote, voter
         above = np.where(self.parent[None, :] >= 0, votes[:, np.maximum(self.parent, 0)], 0)

@@ -7,12 +7,14 @@ every element to bin j, so that every coordinate is filled after at most twice a
 the probability of the sets' similarity, concentrated as for independent ones.
 
 Documents of equal sets form one class, stood for by its least id. Bands of ROWS coordinates are hashed; classes that
-share a band are candidates. With 32 bands of 4, a pair of similarity 0.8 shares none with probability 5e-8.
+share a band are candidates. With 32 bands of 4, a pair of similarity 0.8 shares none with probability 5e-8. Candidates
+that agree in fewer than LEAST_AGREED of SIGNATURE coordinates, five standard deviations below what a similarity of 0.8
+gives by four bits each (probability 3e-7), are passed over inside the join; they come from passages that many texts share.
 
 A bucket of a band is never gathered and its pairs are not listed. First every bucket compares its members with one
 pivot, the member that shares most buckets. What is linked is joined to components; then only buckets that still hold
 more than one component are compared further, between members of different components and not yet compared: all such
-pairs in buckets of up to SMALL, in larger ones those with a growing random share of the members, eight times as many
+pairs in buckets of up to SMALL, in larger ones those with a growing random share of the members, GROWTH times as many
 each round, up to all. Every candidate pair is thus either compared on the full sets or already in one component; no
 cap leaves any out.
 
@@ -28,7 +30,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import batches, discard, documents_of, stored
@@ -36,6 +38,8 @@ from lectern.llm.components import components
 
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
+#: Coordinates of which four bits go with every bucket row, sixteen to a long, and how many must agree.
+SIGNATURE, LEAST_AGREED = 128, 82
 #: Linked if PERCENT_OF * intersection >= PERCENT * union.
 PERCENT, PERCENT_OF = 80, 100
 #: Buckets up to this size are compared whole in the second round; pivots of larger ones grow by this factor.
@@ -110,12 +114,28 @@ def bands(coordinates: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def signature(coordinates: np.ndarray) -> np.ndarray:
+    low = (coordinates[:SIGNATURE] & np.uint64(0xF)).astype(np.uint8)
+    return (low[::2] | low[1::2] << 4).view(np.int64)
+
+
+def _agreed(a: Column, b: Column) -> Column:
+    """How many groups of four bits are equal in two signatures: the bits of each one's difference are folded into its lowest."""
+    differ = F.lit(0)
+    for k in range(SIGNATURE // 16):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        for width in (2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, width))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return SIGNATURE - differ
+
+
 def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """_id, n, s1, s2 (128-bit hash of the set), bands of every row."""
+    """_id, n, s1, s2 (128-bit hash of the set), bands and sig (signature) of every row."""
     source = documents_of(docs, key, text)
 
     def run(parts):
-        schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
 
         def rows():
             for part in parts:
@@ -123,13 +143,14 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     x = shingles(t, size)
                     if len(x):
                         s = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64)
-                        yield k, len(x), int(s[0]), int(s[1]), bands(sketch(x))
+                        c = sketch(x)
+                        yield k, len(x), int(s[0]), int(s[1]), bands(c), signature(c)
                     else:
-                        yield k, 0, 0, 0, None
+                        yield k, 0, 0, 0, None, None
 
         yield from batches(rows(), schema, weight=lambda r: 8 * BANDS)
 
-    return source.select(F.col(f"`{key}`").cast("long"), f"`{text}`").mapInArrow(run, "_id long, n long, s1 long, s2 long, bands array<long>")
+    return source.select(F.col(f"`{key}`").cast("long"), f"`{text}`").mapInArrow(run, "_id long, n long, s1 long, s2 long, bands array<long>, sig array<long>")
 
 
 def _sets(docs: DataFrame, key: str, text: str, size: int, ids: DataFrame) -> DataFrame:
@@ -169,9 +190,10 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _paired(pivots: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct pairs (lesser, greater) of pivots and members of one bucket that differ in component and may be similar by size."""
-    p = pivots.select("key", F.col("id").alias("_p"), F.col("n").alias("_pn"), F.col("component").alias("_pc"))
-    fits = (PERCENT_OF * F.least("n", "_pn") >= PERCENT * F.greatest("n", "_pn")) & (F.col("component") != F.col("_pc"))
-    return members.join(p, "key").filter(fits).select(F.least("id", "_p").alias("a"), F.greatest("id", "_p").alias("b")).distinct()
+    p = pivots.select("key", F.col("id").alias("_p"), F.col("n").alias("_pn"), F.col("sig").alias("_ps"), F.col("component").alias("_pc"))
+    m = members.withColumnRenamed("key", "_key")
+    fits = (F.col("_key") == F.col("key")) & (PERCENT_OF * F.least("n", "_pn") >= PERCENT * F.greatest("n", "_pn")) & (F.col("component") != F.col("_pc")) & (_agreed(F.col("sig"), F.col("_ps")) >= LEAST_AGREED)
+    return m.join(p, fits).select(F.least("id", "_p").alias("a"), F.greatest("id", "_p").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -180,47 +202,46 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     full = drawn.filter("n > 0")
     reps = full.groupBy("s1", "s2").agg(F.min("_id").alias("rep"))
     rows = stored(drawn.select("_id", "n", "s1", "s2").join(reps, ["s1", "s2"], "left").select("_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("_id")).alias("rep")), "classes")
-    own = full.join(reps.select("rep").filter("rep is not null"), full["_id"] == F.col("rep")).groupBy("rep").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    spread = stored(own.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key")), "bands")
+    own = stored(full.join(reps.select("rep").filter("rep is not null"), full["_id"] == F.col("rep")).groupBy("rep").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "representatives")
+    discard(drawn)
+    spread = own.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = stored(spread.join(shared, "key"), "buckets")
-    discard(spread)
+    facts = own.select(F.col("rep").alias("id"), "n", "sig")
+    members = stored(spread.join(shared, "key").join(facts, "id"), "buckets")
+    discard(own)
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     alone = F.col("id").alias("component")
-    pivots = members.join(degree, "id").groupBy("key").agg(F.max_by("id", "degree").alias("id"), F.max_by("n", "degree").alias("n")).withColumn("component", F.col("id"))
-    pairs = stored(_paired(pivots, members.select("key", "id", "n", alone)), "pairs")
+    pivots = members.join(degree, "id").groupBy("key").agg(F.max_by("id", "degree").alias("id"), F.max_by("n", "degree").alias("n"), F.max_by("sig", "degree").alias("sig")).withColumn("component", F.col("id"))
+    pairs = stored(_paired(pivots, members.select("key", "id", "n", "sig", alone)), "pairs")
     ids = members.select("id").distinct()
     sets = stored(_sets(docs, key, text, size, ids), "sets")
-    discard(drawn)
     links = stored(_linked(pairs, sets), "links")
-    tested, found, share = [pairs], [links], None
+    tested, share = [pairs], None
+    nodes, left, most = components(links), None, None
     while True:
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        nodes = components(every)
-        if share == "all":
-            break
-        labelled = members.join(nodes.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "size", F.coalesce("component", "id").alias("component"))
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.first("size").alias("_size")).filter("_low <> _high and _size > 2")
-        left = stored(labelled.join(open_keys.select("key"), "key", "left_semi"), "open")
-        most = left.agg(F.max("size")).first()[0]
+        if left is None:
+            labelled = members.join(nodes.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "sig", "size", F.coalesce("component", "id").alias("component"))
+            ends = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.first("size").alias("_size"))
+            left = stored(labelled.join(ends.filter("_low <> _high and _size > 2").select("key"), "key", "left_semi"), "open")
+            most = left.agg(F.max("size")).first()[0]
         if most is None:
             break
         share = SMALL if share is None else share * GROWTH
-        if share >= most:
-            share = "all"
-            chosen = left
-        else:
-            draw = F.pmod(F.xxhash64("key", "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            chosen = left.filter((F.col("size") <= SMALL) | (draw * F.col("size") < share))
+        draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))  # the same members in all their buckets
+        chosen = left if share >= most else left.filter((F.col("size") <= SMALL) | (draw * F.col("size") < share))
         new = _paired(chosen, left)
         for old in tested:
             new = new.join(old, ["a", "b"], "left_anti")
-        new = stored(new, "pairs")
-        discard(left)
-        tested.append(new)
-        found.append(stored(_linked(new, sets), "links"))
+        tested.append(stored(new, "pairs"))
+        links = stored(_linked(tested[-1], sets), "links")
+        last, some = share >= most, not links.isEmpty()
+        if some:  # a component's star and the new links give the same components as all links
+            nodes = components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        if last:
+            break
+        if some:
+            discard(left)
+            left = None
     for t in (*tested, sets, members):
         discard(t)
     return rows, nodes

@@ -61,5 +61,9 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_site_templates, op2_fast_sketch_dedup, op3_weak_supervision, op4_radix_dedup, op5_char_tagger, op6_class_lm, op7_byte_bpe, op8_quartile_digest, op9_soft_mixing, op10_co_training)}
 
 
+OP4_SQL = """WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(body) AS text_sha256 FROM t WINDOW g AS (PARTITION BY body)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_radix_dedup": OP4_SQL}

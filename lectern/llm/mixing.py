@@ -2,10 +2,11 @@
 
 A linear classifier on telling features, fitted on a bounded sample of a labelled table (LABELLED rows of least hash),
 predicts every document's posterior over the domains, stated in thousandths. Rates r >= 0 for the documents are fitted
-by least squares: sum over domains of (expected tokens of the domain - target)^2, with a weak pull of every rate to 1.
+by least squares: sum over domains of (expected tokens of the domain - target)^2 / (tokens of the domain), with a weak
+pull of every rate to 1.
 Since the gradient of a document's rate, scaled by its tokens, depends on its posterior alone, documents of one
 posterior have one rate; the steps of the accelerated projected gradient run over a table (posterior, tokens), made by
-one aggregation that is combined before the shuffle, and a step sends one number a domain to the driver. Rates are at
+one aggregation that is combined before the shuffle, and a step sends one number a domain from each task to the driver. Rates are at
 most MOST; with MOST = 1 no document repeats, and a domain gives what it has if its target is larger.
 
 A document is put out floor(rate) times, and once more if a checksum of its id falls below the rest of its rate.
@@ -27,7 +28,7 @@ from lectern.llm.common import batches, discard, documents_of, stored
 from lectern.llm.lexical import Features, presence, sampled, softmax, telling, train_softmax
 
 LABELLED, TELLING = 15_000, 1500
-STEPS, PULL, MOST = 80, 1e-3, 1.0
+STEPS, PULL, MOST = 25, 1e-4, 1.0
 #: The weights of the domains that the queries here mix to; the anchor gives all it has, the others follow.
 TARGETS, ANCHOR = {"clean": 0.97, "junk": 0.01, "toxic": 0.02}, "clean"
 
@@ -98,21 +99,20 @@ class Rates:
         return r if at == "rate" else look
 
 
-def _sums(profiles: DataFrame, rates: Rates, at: str) -> np.ndarray:
-    size = rates.size
+def _sums(profiles: DataFrame, rates: Rates | None, at: str = "rate") -> np.ndarray:
+    """Expected tokens of each domain under the rates; without rates, those of each pair of domains. A task sends its sums alone."""
+    size = rates.size if rates else len(profiles.first()["p"])
 
     def run(parts):
-        total = np.zeros(size)
+        total = np.zeros(size if rates else size * size)
         for part in parts:
             p = np.array(part.column(0).to_pylist(), float).reshape(part.num_rows, size) / 1000
-            total += (p * (part.column(1).to_numpy() * rates(p, at))[:, None]).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k in range(size)], pa.int32()), pa.array(total)], names=["k", "x"])
+            weight = part.column(1).to_numpy() * (rates(p, at) if rates else 1.0)
+            total += (p * weight[:, None]).sum(axis=0) if rates else ((p * weight[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["x"])
 
-    rows = profiles.select("p", "tokens").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(size)
-    for r in rows:
-        out[r["k"]] = r["x"]
-    return out
+    rows = [r["x"] for r in profiles.select("p", "tokens").mapInArrow(run, "x array<double>").collect()]
+    return np.sum(rows, axis=0) if rows else np.zeros(size if rates else size * size)
 
 
 def fit_rates(given: DataFrame, domains: list[str], targets: dict[str, float], anchor: str | None, most: float = MOST, pull: float = PULL, steps: int = STEPS) -> Rates:
@@ -125,12 +125,17 @@ def fit_rates(given: DataFrame, domains: list[str], targets: dict[str, float], a
     if anchor is not None:
         want = want * there[domains.index(anchor)] / max(want[domains.index(anchor)], 1e-12)
     want = np.minimum(want, most * there)
-    rates = Rates(size, 1.0 / (1.0 + pull), most, pull)  # the scaled problem's curvature is at most 1 + pull
+    if there.sum() <= 0:
+        discard(profiles)
+        return Rates(size, 0.0, most, pull)
+    pairs = _sums(profiles, None).reshape(size, size) / everything
+    own = np.maximum(pairs.sum(axis=1), 1e-6)  # a domain's share of all tokens: its error counts by that
+    rates = Rates(size, 1.0 / ((pairs / own[:, None]).sum(axis=1).max() + pull), most, pull)  # the scaled problem's curvature is at most this
     t = 1.0
-    for _ in range(steps if there.sum() > 0 else 0):
+    for _ in range(steps):
         residual = (_sums(profiles, rates, "look") - want) / everything
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        rates.history.append((residual, (t - 1) / t_next))
+        rates.history.append((residual / own, (t - 1) / t_next))
         t = t_next
         if np.abs(residual).max() < 1e-5:
             break

@@ -19,18 +19,20 @@ def packed_windows(chunks: DataFrame, ranked: DataFrame, budget: int, limit: int
     """article_id, query_id, rank, chunk_id, cost: windows around ranked chunks (article_id, query_id, chunk_idx, place)."""
     held = chunks.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_id", "section", "text", "block_ids"))).alias("chunks"))
     asked = ranked.groupBy("article_id", "query_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_idx"))).alias("ranked"))
+    asked = asked.groupBy("article_id").agg(F.collect_list(F.struct("query_id", "ranked")).alias("asked"))  # an article goes to Python once
 
     def run(parts):
         for part in parts:
             rows = []
-            for article, query, own, order in zip(part["article_id"], part["query_id"], part["chunks"], part["ranked"], strict=True):
+            for article, own, questions in zip(part["article_id"], part["chunks"], part["asked"], strict=True):
                 parts_ = [dict(c) | {"block_ids": list(c["block_ids"])} for c in own]
                 at = {c["chunk_idx"]: k for k, c in enumerate(parts_)}
-                found = E.pack_windows(parts_, [at[r["chunk_idx"]] for r in order], budget, limit)
-                rows += [(article, query, k + 1, w["chunk_id"], E.cost(w)) for k, w in enumerate(found)]
+                for q in questions:
+                    found = E.pack_windows(parts_, [at[r["chunk_idx"]] for r in q["ranked"]], budget, limit)
+                    rows += [(article, q["query_id"], k + 1, w["chunk_id"], E.cost(w)) for k, w in enumerate(found)]
             yield pd.DataFrame(rows, columns=["article_id", "query_id", "rank", "chunk_id", "cost"])
 
-    return asked.join(held, "article_id").select("article_id", "query_id", "chunks", "ranked").mapInPandas(run, f"article_id {chunks.schema['article_id'].dataType.simpleString()}, query_id long, rank int, chunk_id string, cost int")
+    return asked.join(held, "article_id").select("article_id", "chunks", "asked").mapInPandas(run, f"article_id {chunks.schema['article_id'].dataType.simpleString()}, query_id long, rank int, chunk_id string, cost int")
 
 
 def covered(chunks: DataFrame, budget: int = E.WHOLE_BUDGET, limit: int = E.WINDOWS) -> DataFrame:
@@ -58,7 +60,8 @@ def assemble(chunks: DataFrame, questions: DataFrame, channels: DataFrame, budge
     """
     held = chunks.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_id", "section", "text", "block_ids"))).alias("chunks"))
     offers = channels.groupBy("article_id", "query_id").agg(F.collect_list(F.struct("source", "need", "place", "chunk_idx")).alias("offers"))
-    joined = questions.join(held, "article_id").join(offers, ["article_id", "query_id"], "left").select("article_id", "query_id", "history_length", "plan_json", "checkpoint_json", "chunks", "offers")
+    asked = questions.join(offers, ["article_id", "query_id"], "left").groupBy("article_id").agg(F.collect_list(F.struct("query_id", "history_length", "plan_json", "checkpoint_json", "offers")).alias("asked"))
+    joined = asked.join(held, "article_id").select("article_id", "chunks", "asked")  # an article goes to Python once
     kind = chunks.schema["article_id"].dataType.simpleString()
 
     def run(parts):
@@ -72,13 +75,18 @@ def assemble(chunks: DataFrame, questions: DataFrame, channels: DataFrame, budge
 ORDER = {name: k for k, name in enumerate(E.WEIGHTS)}
 
 
-def _assembled(record: dict, budget: int) -> list[tuple]:
-    chunks = [dict(c) | {"block_ids": list(c["block_ids"])} for c in record["chunks"]]
+def _assembled(article: dict, budget: int) -> list[tuple]:
+    chunks = [dict(c) | {"block_ids": list(c["block_ids"])} for c in article["chunks"]]
     at = {c["chunk_idx"]: k for k, c in enumerate(chunks)}
+    whole = sum(map(E.cost, chunks))
+    return [r for q in article["asked"] for r in _answered({**q, "article_id": article["article_id"]}, chunks, at, whole, budget)]
+
+
+def _answered(record: dict, chunks: list[dict], at: dict[int, int], whole: int, budget: int) -> list[tuple]:
     checkpoint = record["checkpoint_json"]
     available = max(1, budget - (len(json.dumps(json.loads(checkpoint), ensure_ascii=False, separators=(",", ":"))) if checkpoint else 0))
     key = (record["article_id"], record["query_id"])
-    if sum(map(E.cost, chunks)) <= available:
+    if whole <= available:
         return [(*key, k + 1, c["chunk_id"], "full-article", False, 1.0, E.cost(c), "full-context") for k, c in enumerate(chunks)]
     plan = parse_plan(record["plan_json"])
     history = min(int(record["history_length"] or 0), history_budget(available, bool(plan and plan["use_conversation"])))

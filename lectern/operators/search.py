@@ -99,14 +99,16 @@ def focus_anchors(chunks: DataFrame, foci: DataFrame, most: int = ANCHORS) -> Da
 
     Neighbours follow in the order +1, -1, +2, -2, if of the same section or, where the path has three parts, the same parent.
     """
-    pairs = chunks.join(foci, "article_id")
-    section, given = F.lower("section"), F.lower(F.trim(F.coalesce("focus_section", F.lit(""))))
+    # What a chunk or a focus has alone is made before they meet; made after, it would be made anew for every pair.
     both = F.concat("section", F.lit("\n"), "text")
-    focus = normalize_literal(F.col("focus_text"))
+    own = chunks.select("article_id", "chunk_idx", "section", token_set(both).alias("_tokens"), token_set(F.col("section")).alias("_section_tokens"), F.regexp_replace(F.lower(both), r"\s+", " ").alias("_content"))
+    asked = foci.select("article_id", "query_id", "focus_section", token_set(F.col("focus_text")).alias("_focus_tokens"), token_set(F.col("focus_section")).alias("_given_tokens"), normalize_literal(F.col("focus_text")).alias("_focus"))
+    pairs = own.join(asked, "article_id")
+    section, given = F.lower("section"), F.lower(F.trim(F.coalesce("focus_section", F.lit(""))))
     score = (
-        overlap_score(token_set(F.col("focus_text")), token_set(both))
-        + overlap_score(token_set(F.col("focus_section")), token_set(F.col("section"))) * 0.5
-        + F.when((focus != "") & F.contains(F.regexp_replace(F.lower(both), r"\s+", " "), focus), 0.5).otherwise(0.0)
+        overlap_score(F.col("_focus_tokens"), F.col("_tokens"))
+        + overlap_score(F.col("_given_tokens"), F.col("_section_tokens")) * 0.5
+        + F.when((F.col("_focus") != "") & F.contains("_content", "_focus"), 0.5).otherwise(0.0)
         + F.when((given != "") & (section == given), 0.5).otherwise(0.0)
     )
     exact = (given != "") & (section == given)

@@ -101,11 +101,11 @@ def exact_match_rank(spark, d):
 
 @query
 def focus_anchor(spark, d):
-    """The line of each document nearest to its language's first benchmark words, and neighbours."""
+    """The line of each document nearest to each question's words, and neighbours."""
     lines = S.document_blocks(_docs(spark, d)).select("article_id", F.col("ord").alias("chunk_idx"), "section", "text")
-    first = _asked(spark, d).filter("query_id = 0").select(F.col("question").alias("focus_text"))
-    foci = _docs(spark, d).select(F.col("doc_id").alias("article_id"), F.lit(0).alias("query_id"), F.concat_ws(" > ", "lang", "source").alias("focus_section")).join(F.broadcast(first.limit(1)))
-    return search.focus_anchors(lines, foci).select("article_id", "chunk_idx", "place")
+    asked = _asked(spark, d).select("query_id", F.col("question").alias("focus_text"))
+    foci = _docs(spark, d).select(F.col("doc_id").alias("article_id"), F.concat_ws(" > ", "lang", "source").alias("focus_section")).crossJoin(F.broadcast(asked))
+    return search.focus_anchors(lines, foci).select("article_id", "query_id", "chunk_idx", "place")
 
 
 @query
@@ -262,14 +262,14 @@ def document_coverage(spark, d):
 def window_pack(spark, d):
     """Windows around the lines that match the questions best, within 2,000 characters a document."""
     lines = _line_chunks(spark, d)
-    fused = search.fuse(search.bm25(lines, _as_queries(_asked(spark, d).filter("query_id < 3"))))
+    fused = search.fuse(search.bm25(lines, _as_queries(_asked(spark, d))))
     return assemble.packed_windows(lines, fused, 2000, 4)
 
 
 @query
 def evidence_pack(spark, d):
-    """Fused evidence of three questions over every document in lines, within 3,000 characters with 500 of history."""
-    lines, asked = _line_chunks(spark, d), _asked(spark, d).filter("query_id < 3")
+    """Fused evidence of all questions over every document in lines, within 3,000 characters with 500 of history."""
+    lines, asked = _line_chunks(spark, d), _asked(spark, d)
     exact = search.literal_matches(lines, asked).filter("place <= 8")
     ranked = search.fuse(search.bm25(lines, _as_queries(asked)))
     spread = assemble.covered(lines, 1000, 3).crossJoin(F.broadcast(asked.select("query_id"))).withColumn("place", F.col("chunk_idx"))

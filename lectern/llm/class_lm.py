@@ -1,18 +1,21 @@
 """Language-model scoring by Brown class-based bigrams with exchange clustering.
 
-Tokens are the lower-cased (A-Z) words of a text and one end. Counts of all words of the training rows stay a
-distributed table. For clustering, words belong to units: each of the most frequent UNIT_WORDS words is its own, all
-others share one with the words of like shape (the last two characters before closing punctuation, and that
-punctuation). Counts of neighbouring units are a matrix of fixed size, summed over all training tokens; exchange
-clustering on it moves one unit at a time to the class that raises the likelihood of the class bigrams most, until no
-sweep gains. So every word, however rare, has a class.
-
-P(text) is the product over tokens of P(class | class before) * P(word | class). Class transitions are smoothed
-towards the classes' own shares; word emissions are discounted by an absolute amount estimated from words seen once and
-twice, and what is taken off is the class's share for words never seen in training.
-
-Scoring looks the HEAD most frequent words up in a broadcast list (bounded: HEAD words of HEAD_BYTES bytes at most);
-the counts of all others come by a join of (row, word, times) with the word table, so no count is left out.
+Tokens are the lower-cased (A-Z) words of a text and one end. Counts and classes of all words of the training rows stay
+a distributed table. Classes are found in two steps. First, exchange clustering on a matrix of fixed size, summed over
+all training tokens, whose units are the UNIT_WORDS most frequent words and, for all others, shapes (the last two
+characters before closing punctuation, and that punctuation): it moves one unit at a time to the class that raises the
+likelihood of the class bigrams most, until no sweep gains. Then every other word seen OWN_COUNT times or more is put on
+its own: the classes of its neighbours are summed over all training tokens, and it goes to the class under which these
+are likeliest, what it gave to the class it is in taken off. Shapes decide for rarer words and words not in training.
+
+P(text) is the product over tokens of P(class | class before) * P(word | class). Class transitions are counted anew
+under the words' final classes and smoothed towards the classes' own shares; word emissions are discounted by an
+absolute amount estimated from words seen once and twice, and what is taken off is the class's share for words never
+seen in training.
+
+Counting and scoring look the HEAD most frequent words up in a broadcast list (bounded: HEAD words of HEAD_BYTES bytes
+at most); the counts and classes of all others, and so the transitions from and to them, come by joins with the word
+table, so nothing is left out.
 
 Defined results: a null text counts as empty and has the end alone; a null key is held in training (its checksum counts
 as nought); repeated rows each count and each get their row; with no training rows N is 0 and all words are unknown.
@@ -34,10 +37,14 @@ from lectern.llm.common import batches, discard, documents_of, stored
 HEAD, HEAD_BYTES = 200_000, 64
 UNIT_WORDS, UNIT_SHAPES = 512, 508
 CLASSES, SWEEPS = 48, 12
+#: Words seen so often or more have a class by their own neighbours.
+OWN_COUNT = 3
 #: Strength of the classes' own shares in a class's transitions.
 TRANSITION_WEIGHT = 20.0
 #: Distinct words that a task counts before it passes them on.
 FLUSH_WORDS = 300_000
+#: Tokens that are looked up at a time, and distinct neighbour counts that a task holds before it passes them on.
+STEP_TOKENS, FLUSH_CODES = 1 << 18, 1 << 22
 END = b""  # no word is empty
 
 _CLOSING = b".,;:!?)]}\"'%$*#&|"
@@ -96,26 +103,6 @@ class Units:
         return k
 
 
-def unit_totals(vocabulary: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each unit."""
-    size = units.size
-
-    def run(parts):
-        tokens, types = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for part in parts:
-            for w, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                k = units.of(w)
-                tokens[k] += c
-                types[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(tokens), pa.array(types)], names=["unit", "tokens", "types"])
-
-    rows = vocabulary.select("word", "c").mapInArrow(run, "unit long, tokens long, types long").groupBy("unit").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect()
-    tokens, types = np.zeros(size), np.zeros(size)
-    for r in rows:
-        tokens[r["unit"]], types[r["unit"]] = r["tokens"], r["types"]
-    return tokens, types
-
-
 def unit_bigrams(texts: DataFrame, units: Units) -> np.ndarray:
     """How often one unit follows another, over all rows; the end goes before a text's first word."""
     size = units.size
@@ -144,9 +131,9 @@ def unit_bigrams(texts: DataFrame, units: Units) -> np.ndarray:
             part = codes[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["code", "n"])
 
-    rows = texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
-    out[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    out[rows["code"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
 
 
@@ -199,34 +186,178 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return own
 
 
+class _Numbers(dict):
+    """Numbers of words in the order they are first seen, their classes, and whether they aren't units of their own."""
+
+    def __init__(self, units: Units, own: np.ndarray) -> None:
+        self.units, self.own, self.classes, self.free = units, own, array("q"), array("b")
+        self[END]
+
+    def __missing__(self, word: bytes) -> int:
+        self.classes.append(int(self.own[self.units.of(word)]))
+        self.free.append(word not in self.units.words)
+        self[word] = k = len(self)
+        return k
+
+
+def neighbours(texts: DataFrame, units: Units, own: np.ndarray) -> DataFrame:
+    """word, codes, n of words that aren't units of their own: how often a word follows a class (code: the class) and goes before one (code: the class and the number of classes)."""
+    size = int(own.max()) + 1
+
+    def run(parts):
+        numbers, held, waiting, tokens, codes = _Numbers(units, own), [], [], 0, 0
+
+        def step() -> None:
+            nonlocal tokens, codes
+            at = np.concatenate(waiting)
+            cls = np.array(numbers.classes, np.int64)[at]
+            free = np.array(numbers.free, bool)[at]  # no end is, after which another text comes
+            follows = at[free] * (2 * size) + np.concatenate([[0], cls[:-1]])[free]
+            goes = (at[:-1] * (2 * size) + size + cls[1:])[free[:-1]]
+            held.append(np.unique(np.concatenate([follows, goes]), return_counts=True))
+            codes += len(held[-1][0])
+            waiting.clear()
+            tokens = 0
+
+        def flush():
+            nonlocal numbers, codes
+            if waiting:
+                step()
+            if not held:
+                return
+            code, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+            words = list(numbers)
+            bounds = np.searchsorted(code, np.arange(len(words) + 1) * (2 * size))
+            for k in range(0, len(words), 1 << 14):
+                some = words[k : k + (1 << 14)]
+                low, high = bounds[k], bounds[k + len(some)]
+                offsets = pa.array(bounds[k : k + len(some) + 1] - low, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(code[low:high] % (2 * size), pa.int16()), pa.array(n[low:high]))]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *lists], names=["word", "codes", "n"])
+            held.clear()
+            numbers, codes = _Numbers(units, own), 0
+
+        for part in parts:
+            for t in part.column(0).to_pylist():
+                waiting.append(np.frombuffer(array("q", map(numbers.__getitem__, words_of(t))), np.int64))
+                tokens += len(waiting[-1])
+                if tokens > STEP_TOKENS:
+                    step()
+                if codes > FLUSH_CODES or len(numbers) > FLUSH_WORDS:
+                    yield from flush()
+        yield from flush()
+
+    rows = texts.mapInArrow(run, "word binary, codes array<smallint>, n array<long>").filter(F.size("codes") > 0)
+    return rows.groupBy("word").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("n")).alias("n"))
+
+
+def likeliest(counts: np.ndarray, now: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The class of each word by its neighbours (rows of counts as in neighbours()); now: the classes that hold their counts in grid."""
+    size = len(grid)
+    before, after = counts[:, :size], counts[:, size:]
+    share = [(grid.sum(axis=k) + 1) / (grid.sum() + size) * TRANSITION_WEIGHT for k in (0, 1)]
+    to, since = (np.log((g + w) / (g.sum(axis=1, keepdims=True) + TRANSITION_WEIGHT)) for g, w in zip((grid, grid.T), share, strict=True))
+    fit = after @ to.T + before @ since.T
+    left = np.zeros(len(counts))
+    for own, g, w in ((after, grid, share[0]), (before, grid.T, share[1])):
+        rest = np.maximum(g[now] - own, 0)
+        left += (own * np.log((rest + w) / (rest.sum(axis=1, keepdims=True) + TRANSITION_WEIGHT))).sum(axis=1)
+    fit[np.arange(len(counts)), now] = left
+    fit[:, 0] = -np.inf
+    return fit.argmax(axis=1)
+
+
+def word_classes(texts: DataFrame, units: Units, own: np.ndarray, bigrams: np.ndarray) -> DataFrame:
+    """word, c, class of every training word that isn't a unit of its own."""
+    size = int(own.max()) + 1
+    member = np.eye(size)[own]
+    grid = member.T @ bigrams @ member
+
+    def run(parts):
+        for whole in parts:
+            for k in range(0, whole.num_rows, 4096):
+                part = whole.slice(k, 4096)
+                words, codes, n = part.column(0).to_pylist(), part.column(1), part.column(2)
+                row = np.repeat(np.arange(len(words)), np.asarray(codes.value_lengths()))
+                counts = np.bincount(row * (2 * size) + codes.flatten().to_numpy().astype(np.int64), weights=n.flatten().to_numpy(), minlength=len(words) * 2 * size).reshape(len(words), 2 * size)
+                times = counts[:, :size].sum(axis=1)
+                now = np.array([own[units.of(w)] for w in words], np.int64)
+                free = times >= OWN_COUNT
+                now[free] = likeliest(counts[free], now[free], grid)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(times.astype(np.int64)), pa.array(now, pa.int32())], names=["word", "c", "class"])
+
+    return neighbours(texts, units, own).mapInArrow(run, "word binary, c long, class int")
+
+
 class Model:
-    """Counts, classes and log10 probabilities; words apart from the head are told by their unit's class."""
+    """Counts, classes and log10 probabilities of the head; units and own tell the classes of words that aren't in training."""
 
-    def __init__(self, head: list[tuple[bytes, int]], units: Units, own: np.ndarray, bigrams: np.ndarray, tokens: np.ndarray, types: np.ndarray, total: int, distinct: int, discount: float) -> None:
+    def __init__(self, head: list[tuple[bytes, int, int]], units: Units, own: np.ndarray, tokens: np.ndarray, types: np.ndarray, total: int, distinct: int, discount: float) -> None:
         self.mark = uuid.uuid4().hex
         self.units, self.own, self.total, self.distinct, self.discount = units, own, total, distinct, discount
-        size = int(own.max()) + 1
-        member = np.eye(size)[own]
-        grid = member.T @ bigrams @ member
-        share = (grid.sum(axis=0) + 1) / (grid.sum() + size)
-        self.moves = np.log10((grid + TRANSITION_WEIGHT * share) / (grid.sum(axis=1, keepdims=True) + TRANSITION_WEIGHT))
-        self.class_tokens, class_types = member.T @ tokens, member.T @ types
+        self.size = len(tokens)
+        self.class_tokens = tokens
         with np.errstate(divide="ignore", invalid="ignore"):
-            self.unknown = np.where(self.class_tokens > 0, np.log10(discount * class_types / self.class_tokens), 0.0)
-        self.per_class = np.log10(np.maximum(self.class_tokens, 1))
-        self.head = [w for w, _ in head]
-        counts = np.array([c for _, c in head], np.float64)
-        self.head_class = np.array([own[units.of(w)] for w in self.head], np.int64)
+            self.unknown = np.where(tokens > 0, np.log10(discount * types / tokens), 0.0)
+        self.per_class = np.log10(np.maximum(tokens, 1))
+        self.head = [w for w, _, _ in head]
+        counts = np.array([c for _, c, _ in head], np.float64)
+        self.head_class = np.array([k for _, _, k in head], np.int64)
         self.head_base = np.log10((counts + 1) / (total + distinct + 1))
         self.head_score = np.log10(np.maximum(counts - discount, 1e-9)) - self.per_class[self.head_class] if len(head) else counts
+        self.moves = np.zeros((self.size, self.size))
+
+    def set_moves(self, grid: np.ndarray) -> None:
+        share = (grid.sum(axis=0) + 1) / (grid.sum() + self.size)
+        self.moves = np.log10((grid + TRANSITION_WEIGHT * share) / (grid.sum(axis=1, keepdims=True) + TRANSITION_WEIGHT))
 
 
-def fit(texts: DataFrame, vocabulary: DataFrame) -> Model:
-    """texts: the training rows' one text column; vocabulary: word_counts(texts), stored."""
-    facts = vocabulary.agg(F.sum("c").alias("total"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+def class_bigrams(texts: DataFrame, model: Model, vocabulary: DataFrame) -> np.ndarray:
+    """How often one class follows another, over all rows: between head words at once, from and to all others by joins."""
+    size = model.size
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts):
+        own, total, count = shared.value, np.zeros(size * size, np.int64), Counter()
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("code", pa.int32()), ("n", pa.int64())])
+        rows = lambda: batches(((*k, n) for k, n in count.items()), schema, most=1 << 16)
+        for part in parts:
+            for t in part.column(0).to_pylist():
+                words, at, classes = looked_up(own, t)
+                before = np.concatenate([[0], classes[:-1]])
+                both = (before >= 0) & (classes >= 0)
+                total += np.bincount(before[both] * size + classes[both], minlength=size * size)
+                for w, code in outside(words, classes, size):
+                    count[w, None, code] += 1
+                for a, b in pairs_outside(words, classes):
+                    count[a, b, -1] += 1
+                if len(count) > FLUSH_WORDS:
+                    yield from rows()
+                    count = Counter()
+        yield from rows()
+        codes = np.flatnonzero(total)
+        yield from batches(((None, None, int(k), int(total[k])) for k in codes), schema)
+
+    found = stored(texts.mapInArrow(run, "a binary, b binary, code int, n long"), "transitions")
+    known = vocabulary.select("word", "class")
+    at_a, at_b = (known.select(F.col("word").alias(x), F.col("class").alias(f"class_{x}")) for x in ("a", "b"))
+    one = found.filter("b is null and a is not null").join(at_a, "a")
+    place = F.when(F.col("code") < size, F.col("code") * size + F.col("class_a")).otherwise(F.col("class_a") * size + F.col("code") - size)
+    two = found.filter("b is not null").join(at_a, "a").join(at_b, "b")
+    parts = found.filter("a is null").select("code", "n").unionByName(one.select(place.alias("code"), "n")).unionByName(two.select((F.col("class_a") * size + F.col("class_b")).alias("code"), "n"))
+    grid = np.zeros(size * size)
+    for r in parts.groupBy("code").agg(F.sum("n").alias("n")).collect():
+        grid[r["code"]] = r["n"]
+    discard(found)
+    return grid.reshape(size, size)
+
+
+def fit(texts: DataFrame, counted: DataFrame) -> tuple[Model, DataFrame]:
+    """texts: the training rows' one text column; counted: word_counts(texts), stored. The model, and word, c, class of all words, stored."""
+    facts = counted.agg(F.sum("c").alias("total"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     once, twice = facts["once"], facts["twice"]
     discount = float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once else 0.5
-    head = [(bytes(r["word"]), r["c"]) for r in vocabulary.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c").collect()]
 
     def shapes(parts):
         count: Counter = Counter()
@@ -235,11 +366,24 @@ def fit(texts: DataFrame, vocabulary: DataFrame) -> Model:
                 count[shape(w)] += c
         yield from batches(iter(count.items()), pa.schema([("shape", pa.binary()), ("n", pa.int64())]))
 
-    common = vocabulary.select("word", "c").mapInArrow(shapes, "shape binary, n long").groupBy("shape").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shape").limit(UNIT_SHAPES).collect()
-    units = Units([w for w, _ in head[:UNIT_WORDS]], [bytes(r["shape"]) for r in common])
-    tokens, types = unit_totals(vocabulary, units)
+    common = counted.select("word", "c").mapInArrow(shapes, "shape binary, n long").groupBy("shape").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shape").limit(UNIT_SHAPES).collect()
+    frequent = counted.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(UNIT_WORDS).select("word", "c").collect()
+    ends = counted.filter(F.octet_length("word") == 0).select("word", "c").collect()
+    units = Units([bytes(r["word"]) for r in frequent], [bytes(r["shape"]) for r in common])
     bigrams = unit_bigrams(texts, units)
-    return Model(head, units, exchange(bigrams), bigrams, tokens, types, facts["total"] or 0, facts["types"], discount)
+    own = exchange(bigrams)
+    times = {bytes(r["word"]): r["c"] for r in frequent + ends}
+    alone = texts.sparkSession.createDataFrame([(bytearray(w), c, int(own[units.of(w)])) for w, c in times.items()], "word binary, c long, class int")
+    vocabulary = stored(word_classes(texts, units, own, bigrams).unionByName(alone), "classes")
+    size = int(own.max()) + 1
+    tokens, types = np.zeros(size), np.zeros(size)
+    for r in vocabulary.groupBy("class").agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect():
+        tokens[r["class"]], types[r["class"]] = r["tokens"], r["types"]
+    head = vocabulary.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c", "class").toArrow()
+    head = list(zip(*(x.to_pylist() for x in head.columns), strict=True))
+    model = Model(head, units, own, tokens, types, facts["total"] or 0, facts["types"], discount)
+    model.set_moves(class_bigrams(texts, model, vocabulary))
+    return model, vocabulary
 
 
 class _Index(dict):
@@ -257,22 +401,43 @@ def _index(model: Model) -> _Index:
     return _indexes[model.mark]
 
 
-def score_text(model: Model, text: str | None) -> tuple[int, int, float, float, dict[bytes, int]]:
-    """Tokens; and of those in the head the number, base score and emissions, to which all transitions are added; times of the other words."""
+def looked_up(model: Model, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A text's words, their places in the head and their classes, both -1 outside of it."""
     words = words_of(text)
-    index = _index(model)
-    at = np.frombuffer(array("q", map(index.__getitem__, words)), np.int64)
+    at = np.frombuffer(array("q", map(_index(model).__getitem__, words)), np.int64)
+    classes = np.where(at >= 0, model.head_class[at], -1) if len(model.head) else at
+    return words, at, classes
+
+
+def outside(words: list[bytes], classes: np.ndarray, size: int):
+    """Of each word outside the head that has a head word (or the text's start) on a side: word and code as in neighbours()."""
+    for k in np.flatnonzero(classes < 0).tolist():
+        if (c := int(classes[k - 1]) if k else 0) >= 0:
+            yield words[k], c
+        if k + 1 < len(words) and (c := int(classes[k + 1])) >= 0:
+            yield words[k], size + c
+
+
+def pairs_outside(words: list[bytes], classes: np.ndarray):
+    """Neighbours that are both outside the head."""
+    for k in np.flatnonzero((classes[:-1] < 0) & (classes[1:] < 0)).tolist():
+        yield words[k], words[k + 1]
+
+
+def score_text(model: Model, text: str | None) -> tuple[int, int, float, float, dict[bytes, int], dict[bytes, list[int]], Counter]:
+    """Tokens; and of those in the head the number, base score, and emissions and transitions; times and codes of the other words, and pairs of them."""
+    words, at, classes = looked_up(model, text)
     known = at >= 0
-    classes = np.empty(len(at), np.int64)
-    classes[known] = model.head_class[at[known]]
     times: dict[bytes, int] = {}
     for k in np.flatnonzero(~known).tolist():
-        w = words[k]
-        classes[k] = model.own[model.units.of(w)]
-        times[w] = times.get(w, 0) + 1
-    before = np.concatenate([classes[:0], [0], classes[:-1]])
-    score = model.moves[before, classes].sum() + model.head_score[at[known]].sum()
-    return len(words), int(known.sum()), float(model.head_base[at[known]].sum()), float(score), times
+        times[words[k]] = times.get(words[k], 0) + 1
+    codes: dict[bytes, list[int]] = {w: [] for w in times}
+    for w, code in outside(words, classes, model.size):
+        codes[w].append(code)
+    before = np.concatenate([[0], classes[:-1]])
+    both = (before >= 0) & (classes >= 0)
+    score = model.moves[before[both], classes[both]].sum() + model.head_score[at[known]].sum()
+    return len(words), int(known.sum()), float(model.head_base[at[known]].sum()), float(score), times, codes, Counter(pairs_outside(words, classes))
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -283,31 +448,41 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_
 
     def run(parts):
         own = shared.value
+        unseen = lambda w: int(own.own[own.units.of(w)])
         for part in parts:
-            tail = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("class", pa.int32())]))
-            schema = pa.schema([("_row", pa.int64()), (key, part.column(1).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", tail)])
+            tail = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("shaped", pa.int32()), ("codes", pa.list_(pa.int32()))]))
+            pairs = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary()), ("shaped_a", pa.int32()), ("shaped_b", pa.int32()), ("times", pa.int64())]))
+            schema = pa.schema([("_row", pa.int64()), (key, part.column(1).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", tail), ("pairs", pairs)])
 
             def rows():
                 for row, k, out, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    n, known, base, total, times = score_text(own, t)
-                    yield row, k, out, n, known, base, total, [(w, n, int(own.own[own.units.of(w)])) for w, n in times.items()] or None
+                    n, known, base, total, times, codes, next_ = score_text(own, t)
+                    yield row, k, out, n, known, base, total, [(w, n, unseen(w), codes[w]) for w, n in times.items()] or None, [(a, b, unseen(a), unseen(b), n) for (a, b), n in next_.items()] or None
 
-            yield from batches(rows(), schema, weight=lambda r: 100 + 40 * len(r[7] or ()))
+            yield from batches(rows(), schema, weight=lambda r: 100 + 60 * len(r[7] or ()) + 60 * len(r[8] or ()))
 
-    part = stored(source.mapInArrow(run, f"_row long, `{key}` {kind}, held_out boolean, n_tokens long, n_head long, base double, score double, tail array<struct<word: binary, times: long, class: int>>"), "scores")
+    part = stored(source.mapInArrow(run, f"_row long, `{key}` {kind}, held_out boolean, n_tokens long, n_head long, base double, score double, tail array<struct<word: binary, times: long, shaped: int, codes: array<int>>>, pairs array<struct<a: binary, b: binary, shaped_a: int, shaped_b: int, times: long>>"), "scores")
     total, distinct = F.lit(float(model.total)), F.lit(float(model.distinct))
-    least = F.lit(model.discount)
-    unknown, per_class = (F.array(*[F.lit(float(x)) for x in xs]) for xs in (model.unknown, model.per_class))
-    rest = part.select("_row", F.explode("tail").alias("t")).select("_row", "t.*")
+    least, size = F.lit(model.discount), model.size
+    numbers = lambda xs: F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in xs) + ")")
+    unknown, per_class, moves = numbers(model.unknown), numbers(model.per_class), numbers(model.moves.ravel())
+    rest = part.select("_row", F.explode("tail").alias("t")).select("_row", "t.*").join(vocabulary, "word", "left").withColumn("class", F.coalesce("class", "shaped"))
     cls = F.col("class") + 1
     emitted = F.when(F.col("c").isNotNull(), F.log10(F.greatest(F.col("c") - least, F.lit(1e-9))) - F.element_at(per_class, cls)).otherwise(F.element_at(unknown, cls))
-    sums = rest.join(vocabulary, "word", "left").groupBy("_row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("_known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / (total + distinct + 1))).alias("_base"),
-        F.sum(F.col("times") * emitted).alias("_score"),
+    place = lambda x: F.when(x < size, x * size + F.col("class")).otherwise(F.col("class") * size + x - size)
+    moved = F.aggregate("codes", F.lit(0.0), lambda sum_, x: sum_ + F.element_at(moves, place(x) + 1))
+    single = rest.select(
+        "_row",
+        F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("_known"),
+        (F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / (total + distinct + 1))).alias("_base"),
+        (F.col("times") * emitted + moved).alias("_score"),
     )
+    at_a, at_b = (vocabulary.select(F.col("word").alias(x), F.col("class").alias(f"class_{x}")) for x in ("a", "b"))
+    two = part.select("_row", F.explode("pairs").alias("t")).select("_row", "t.*").join(at_a, "a", "left").join(at_b, "b", "left")
+    double = two.select("_row", F.lit(0).cast("long").alias("_known"), F.lit(0.0).alias("_base"), (F.col("times") * F.element_at(moves, F.coalesce("class_a", "shaped_a") * size + F.coalesce("class_b", "shaped_b") + 1)).alias("_score"))
+    sums = single.unionByName(double).groupBy("_row").agg(*(F.sum(c).alias(c) for c in ("_known", "_base", "_score")))
     added = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return part.drop("tail").join(sums, "_row", "left").select(
+    return part.drop("tail", "pairs").join(sums, "_row", "left").select(
         key, "held_out", "n_tokens", added("n_head", "_known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), added("base", "_base").alias("base_score"), added("score", "_score").alias("score")
     )
 
@@ -315,5 +490,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_
 def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the rows that aren't held out, score all."""
     texts = documents_of(docs, key, text).filter(~held_out(key)).select(f"`{text}`")
-    vocabulary = stored(word_counts(texts), "words")
-    return score(docs, fit(texts, vocabulary), vocabulary, key, text)
+    counted = stored(word_counts(texts), "words")
+    model, vocabulary = fit(texts, counted)
+    discard(counted)
+    return score(docs, model, vocabulary, key, text)

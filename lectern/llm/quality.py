@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, documents_of
+from lectern.llm.common import ASCII_UPPER, discard, documents_of
 from lectern.llm.lexical import Features, presence, sampled, telling, train_softmax
 
 LABELLED, POOL, TELLING = 15_000, 10_000, 2000
@@ -32,6 +32,14 @@ REJECT_BELOW = 0.5
 HASHED = 64
 
 
+_CAPITALS = ASCII_UPPER.encode()
+
+
+def capitals(text: str) -> int:
+    """Upper-case characters of the whole text."""
+    return len(text) - len(text.encode().translate(None, _CAPITALS)) if text.isascii() else sum(map(str.isupper, text))
+
+
 def metadata(source: str | None, lang: str | None, text: str) -> list[float]:
     """The numbers of the metadata view, each about between -3 and 3."""
     n = len(text)
@@ -39,7 +47,7 @@ def metadata(source: str | None, lang: str | None, text: str) -> list[float]:
     sizes = [len(x) for x in lines]
     mean = sum(sizes) / len(sizes)
     spread = math.sqrt(sum((s - mean) ** 2 for s in sizes) / len(sizes))
-    upper = sum(map(str.isupper, text[:: max(1, n // 4096)])) / max(1, len(text[:: max(1, n // 4096)]))
+    upper = capitals(text) / max(1, n)
     marks = sum(text.count(c) for c in "!|%$*#&<>{}[]=_~^@/\\") / max(1, n)
     stops = sum(text.count(c) for c in ".,;:?") / max(1, n)
     digits = sum(text.count(c) for c in "0123456789") / max(1, n)

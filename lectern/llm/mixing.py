@@ -7,7 +7,9 @@ pull of every rate to 1.
 Since the gradient of a document's rate, scaled by its tokens, depends on its posterior alone, documents of one
 posterior have one rate; the steps of the accelerated projected gradient run over a table (posterior, tokens), made by
 one aggregation that is combined before the shuffle, and a step sends one number a domain from each task to the driver. Rates are at
-most MOST; with MOST = 1 no document repeats, and a domain gives what it has if its target is larger.
+most MOST (with MOST = 1 no document repeats), but have no upper bound for documents mostly of domains that have less than their
+target: these repeat until it is met. A domain that is scarce and has no such document can't be met, as other domains' documents
+aren't repeated for traces of it; it keeps what it has. What the targets miss after the last step is logged and kept as Rates.missing.
 
 A document is put out floor(rate) times, and once more if a checksum of its id falls below the rest of its rate.
 
@@ -17,6 +19,7 @@ without labels all documents have even posteriors; an empty table gives an empty
 
 from __future__ import annotations
 
+import logging
 import zlib
 
 import numpy as np
@@ -84,16 +87,20 @@ def posteriors(docs: DataFrame, model: Posterior, key: str = "doc_id", text: str
 class Rates:
     """What the gradient steps have added up to: a rate for every posterior."""
 
-    def __init__(self, size: int, rate: float, most: float, pull: float) -> None:
+    def __init__(self, size: int, rate: float, most: float, pull: float, repeating: np.ndarray | None = None) -> None:
+        """repeating: of which domains documents may pass the rate `most`."""
         self.size, self.rate, self.most, self.pull = size, rate, most, pull
+        self.repeating = np.zeros(size, bool) if repeating is None else repeating
         self.history: list[tuple[np.ndarray, float]] = []
+        self.missing: dict[str, float] = {}
 
     def __call__(self, p: np.ndarray, at: str = "rate") -> np.ndarray:
         """Of posteriors (rows, domains) as shares of 1: the rates, or the points where the next gradient is taken."""
         r = np.ones(len(p))
         look = r
+        most = np.where(p[:, self.repeating].sum(axis=1) > 0.5, np.inf, self.most)
         for residual, speed in self.history:
-            new = np.clip(look - self.rate * (p @ residual + self.pull * (look - 1)), 0, self.most)
+            new = np.clip(look - self.rate * (p @ residual + self.pull * (look - 1)), 0, most)
             look = new + speed * (new - r)
             r = new
         return r if at == "rate" else look
@@ -124,13 +131,17 @@ def fit_rates(given: DataFrame, domains: list[str], targets: dict[str, float], a
     want = np.array([float(targets.get(d, 0.0)) for d in domains])
     if anchor is not None:
         want = want * there[domains.index(anchor)] / max(want[domains.index(anchor)], 1e-12)
-    want = np.minimum(want, most * there)
+    stated = want
     if there.sum() <= 0:
         discard(profiles)
         return Rates(size, 0.0, most, pull)
     pairs = _sums(profiles, None).reshape(size, size) / everything
+    purest = profiles.filter("tokens > 0").agg(*(F.max(F.get("p", F.lit(k))).alias(f"p{k}") for k in range(size))).first()
+    scarce = want > most * there
+    repeating = scarce & (np.array(list(purest)) > 500)
+    want = np.where(scarce & ~repeating, most * there, want)
     own = np.maximum(pairs.sum(axis=1), 1e-6)  # a domain's share of all tokens: its error counts by that
-    rates = Rates(size, 1.0 / ((pairs / own[:, None]).sum(axis=1).max() + pull), most, pull)  # the scaled problem's curvature is at most this
+    rates = Rates(size, 1.0 / ((pairs / own[:, None]).sum(axis=1).max() + pull), most, pull, repeating)  # the scaled problem's curvature is at most this
     t = 1.0
     for _ in range(steps):
         residual = (_sums(profiles, rates, "look") - want) / everything
@@ -139,6 +150,9 @@ def fit_rates(given: DataFrame, domains: list[str], targets: dict[str, float], a
         t = t_next
         if np.abs(residual).max() < 1e-5:
             break
+    rates.missing = dict(zip(domains, (stated - _sums(profiles, rates, "rate")).tolist(), strict=True))
+    if missed := {d: round(m, 1) for (d, m), w in zip(rates.missing.items(), stated, strict=True) if abs(m) > 0.01 * w}:
+        logging.getLogger(__name__).warning("expected tokens short of the targets %s (negative: over): %s", dict(zip(domains, stated.round(1).tolist(), strict=True)), missed)
     discard(profiles)
     return rates
 

@@ -22,7 +22,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sketch_dedup.drop_near_copies(docs, size=5)  # runs of two words are op2's own contract
+    return sketch_dedup.drop_near_copies(docs, size=5, table=True)  # runs of two words are op2's own contract
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where a session (as in tests) names none."""
+    """The folder named by spark.checkpoint.dir. Only a session of one machine, as in tests, gets a temporary one if it names none."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="lectern-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
@@ -88,6 +92,40 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, weight=None, limit: int =
         yield _batch(held, schema)
 
 
+def sliced(parts: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few of their texts are Python objects at a time."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
+def whole_groups(parts: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut anew so that no group of rows of equal first columns (as many as keys; numbers) is divided."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        if not part.num_rows:
+            continue
+        held.append(part)
+        one = pa.concat_batches(held)
+        last = np.ones(one.num_rows, bool)
+        for k in range(keys):
+            column = one.column(k).to_numpy(zero_copy_only=False)
+            last &= column == column[-1]
+        begin = one.num_rows - int(last.sum())  # groups are runs, so those of the last one's keys are at the end
+        if begin:
+            yield one.slice(0, begin)
+        held = [one.slice(begin)]
+    yield from held
+
+
+def tidy(made: Iterator) -> Iterator:
+    """What a task puts out; at its end Arrow gives back the memory it keeps for later, since workers live on."""
+    try:
+        yield from made
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

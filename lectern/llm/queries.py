@@ -33,7 +33,7 @@ def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch_dedup.near_dedup(table(spark, sf_dir, "documents"))
+    return sketch_dedup.near_dedup(table(spark, sf_dir, "documents"), table=True)
 
 
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

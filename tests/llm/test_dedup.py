@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from lectern.llm import radix_dedup, sketch_dedup
 
 DOC = "doc_id long, text string, source string"
@@ -66,6 +68,44 @@ def test_near_dedup_is_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_buckets_of_several_blocks_are_brute_force(spark, monkeypatch):
+    """Many texts share most words, some are linked; block is set against block."""
+    monkeypatch.setattr(sketch_dedup, "BLOCK", 5)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(w if rng.random() > (0.15 if k % 3 else 0.02) else f"x{rng.randint(0, 9999)}" for w in base)) for k in range(80)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in sketch_dedup.near_dedup(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_pairs_at_the_limit_are_candidates():
+    """Of pairs of similarity 0.80 to 0.82 at least 99 of 100 share a bucket and agree in enough coordinates."""
+    rng = random.Random(11)
+    met = every = 0
+    for k in range(600):
+        size = (5, 9, 20, 60, 200)[k % 5]
+        texts = [rng.getrandbits(64) for _ in range(size)], [rng.getrandbits(64) for _ in range(size)]
+        shared = next(s for s in range(size + 1) if 100 * s >= 80 * (2 * size - s))
+        x, y = (np.unique(np.array(t, np.uint64)) for t in (texts[0], texts[0][:shared] + texts[1][shared:]))
+        a, b = (sketch_dedup.signature(sketch_dedup.sketch(s)) for s in (x, y))
+        assert sketch_dedup.similar(x, y)
+        met += (a == b).sum() >= sketch_dedup.LEAST_AGREED and (sketch_dedup.buckets(a) == sketch_dedup.buckets(b)).any()
+        every += 1
+    assert met >= 0.99 * every
+
+
+def test_near_dedup_tells_rows_apart(spark):
+    rows = [(None, "a b c"), (1, "a b c"), (None, "x y z"), (None, None), (7, "one two three"), (7, "four five six"), (None, "x y z")]
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in sketch_dedup.drop_near_copies(frame(spark, rows), size=2).collect())
+    assert kept == [("1", "a b c"), ("7", "four five six"), ("7", "one two three"), ("None", "None"), ("None", "x y z")]
+    near = " ".join(f"w{k}" for k in range(40))
+    both = [(None, near), (None, near), (None, near + " end")]
+    assert sketch_dedup.drop_near_copies(frame(spark, both), size=2).count() == 1
+    assert {r["component_id"] for r in sketch_dedup.near_dedup(frame(spark, both)).collect()} == {None}
+    long = [(1, "word " * 60_000), (2, "Word " * 60_000), (3, " ".join(map(str, range(60_000))))]
+    assert {r["doc_id"]: r["component_id"] for r in sketch_dedup.near_dedup(frame(spark, long)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_dedup_of_odd_rows(spark):
     assert sketch_dedup.near_dedup(frame(spark, [])).count() == 0
     clash = frame(spark, [(1, "a b c"), (2, "a b c"), (3, None)]).selectExpr("*", "0 AS component_id", "0 AS kept", "0 AS n", "0 AS id")

@@ -1,47 +1,89 @@
 """Sparse presence features of texts, how telling ones are found from labelled rows, and a linear classifier on them.
 
 A token (a run without ASCII white space) gives: its letters in lower case, the first four, five and six of them, whether
-they are on a list of insults, and its shape (runs of upper-case, lower-case, digits, and the marks themselves). A text has a feature or hasn't; how long
-it is plays no part. Models are fitted on bounded samples of rows (the bounds are parameters of the callers, the rows
-are those of least hash) and applied to whole texts.
+they are on a list of insults, and its shape (runs of upper-case, lower-case, digits, and the marks themselves; of long
+shapes the kinds of characters). Where other characters stand between its letters, every stretch of letters gives the
+same; a stretch of more than LONG_STRETCH letters gives all its runs of six, so that scripts without spaces are read to
+their end. A text has a feature or hasn't; how long it is plays no part. Models are fitted on bounded samples of labelled
+rows (the bounds are parameters of the callers, the rows are those of least hash) and applied to whole texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches, documents_of, stored
+from lectern.llm.common import batches, discard, documents_of, sliced, stored, tidy
 
 #: Tokens whose features a worker remembers.
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 150_000
 #: Distinct features that a task counts before it passes them on.
 FLUSH = 300_000
-#: Longer tokens are read for their shape and first letters alone.
-LONG_TOKEN = 64
+LONG_STRETCH, LONG_SHAPE = 24, 16
+CALM = 10
 
 # Common English insults; a token among them has the feature "l:insult".
 INSULTS = frozenset("idiot idiots moron morons stupid dumb dumbass fool loser losers scum trash garbage pathetic worthless disgusting clown clowns jerk imbecile cretin vermin filth filthy parasite retard bastard coward ugly freak creep lowlife".split())
 
 _OTHER = re.compile(r"[\W\d_]+")
 _RUNS = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[a-zß-öø-ÿ]+"), "x"), (re.compile(r"[0-9]+"), "9"))
+_CLOSING = ".,;:!?%$*#&|)]}\"'"
 
 
-def token_features(token: str) -> tuple[str, ...]:
-    letters = _OTHER.sub("", token[:LONG_TOKEN]).lower()
-    out = [f"w:{letters}"] if letters else []
-    out += (f"{n}:{letters[:n]}" for n in (4, 5, 6) if len(letters) > n)
+def _shape(token: str) -> str:
+    for pattern, mark in _RUNS:
+        token = pattern.sub(mark, token)
+    return token if len(token) <= LONG_SHAPE else "..." + "".join(sorted(set(token)))
+
+
+def _of_stretch(letters: str) -> list[str]:
+    out = ["w:" + letters] if len(letters) <= LONG_STRETCH else ["6:" + letters[k : k + 6] for k in range(len(letters) - 5)]
+    size = len(letters)
+    if size > 4:
+        out.append("4:" + letters[:4])
+        if size > 5:
+            out.append("5:" + letters[:5])
+            if size > 6:
+                out.append("6:" + letters[:6])
     if letters in INSULTS:
         out.append("l:insult")
-    form = token[:LONG_TOKEN]
-    for pattern, mark in _RUNS:
-        form = pattern.sub(mark, form)
-    return (*out, f"s:{form[:16]}")
+    return out
+
+
+def token_features(token: str) -> list[str]:
+    core = token.rstrip(_CLOSING)
+    if core.isalpha():  # most are: a word, perhaps with closing marks
+        plain = "x" if core.islower() else "X" if core.isupper() else "Xx" if core[0].isupper() and core[1:].islower() else None
+        if plain is not None and len(token) - len(core) < LONG_SHAPE - 1:
+            return [*_of_stretch(core.lower()), "s:" + plain + token[len(core) :]]
+    low = token.lower()
+    stretches = [x for x in _OTHER.split(low) if x]
+    out = [f for x in (["".join(stretches)] if len(stretches) > 1 and len(token) <= 4 * LONG_STRETCH else []) + stretches for f in _of_stretch(x)]
+    return [*dict.fromkeys(out), "s:" + _shape(token)]
+
+
+class _Known(dict):
+    """What tokens give, remembered up to a bound."""
+
+    def __init__(self, at: dict[str, int] | None = None) -> None:
+        self.at = at
+
+    def __missing__(self, token: str) -> tuple:
+        found = token_features(token)
+        if (at := self.at) is not None:
+            found = [at[f] for f in found if f in at]
+        if len(self) >= CACHE_TOKENS:
+            self.clear()
+        if len(token) <= 4 * LONG_STRETCH:
+            self[token] = found
+        return found
 
 
 class Features:
@@ -50,24 +92,31 @@ class Features:
     def __init__(self, names: list[str]) -> None:
         self.names = names
         self.at = {f: k for k, f in enumerate(names)}
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def __getstate__(self) -> dict:
-        return {"names": self.names, "at": self.at, "seen": {}}
-
-    def of_token(self, token: str) -> tuple[int, ...]:
-        if (found := self.seen.get(token)) is None:
-            found = tuple(self.at[f] for f in token_features(token) if f in self.at)
-            if len(self.seen) > CACHE_TOKENS:
-                self.seen.clear()
-            self.seen[token] = found
-        return found
-
-    def of(self, text: str | None) -> list[int]:
-        out: set[int] = set()
-        for token in set((text or "").split()):
-            out.update(self.of_token(token))
-        return sorted(out)
+        self.seen = _Known(self.at)
+
+    def __getstate__(self) -> list[str]:
+        return self.names
+
+    def __setstate__(self, names: list[str]) -> None:
+        self.__init__(names)
+
+    def of(self, texts: pa.Array) -> np.ndarray:
+        """(texts, features): which features each text has. A word of several texts is looked up once."""
+        tokens = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+        coded = tokens.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        found = [self.seen[w] if w else () for w in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        begin, every = np.cumsum(size) - size, np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+        out = np.zeros((len(texts), len(self.names)), bool)
+        step = 0
+        while len(at):
+            more = size[at] > step
+            row, at = row[more], at[more]
+            out[row, every[begin[at] + step]] = True
+            step += 1
+        return out
 
 
 def order_of(key: str) -> Column:
@@ -78,41 +127,58 @@ def order_of(key: str) -> Column:
 def sampled(docs: DataFrame, chosen: DataFrame, key: str, columns: list[str], most: int) -> DataFrame:
     """The rows of docs that at most `most` rows of chosen name by key, with the columns of both, stored.
 
-    chosen is cut to the rows of least hash and broadcast: its size is bounded by `most`.
+    chosen is cut to the rows of least hash and broadcast: its size is bounded by `most`. Of several rows of one key the
+    least values of its other columns count.
     """
-    few = chosen.dropDuplicates([key]).orderBy(order_of(key), key).limit(most)
+    one = chosen.groupBy(key).agg(*(F.min(c).alias(c) for c in chosen.columns if c != key)) if len(chosen.columns) > 1 else chosen.distinct()
+    few = one.orderBy(order_of(key), key).limit(most)
     return stored(documents_of(docs, key, *columns).join(F.broadcast(few), key), "sample")
 
 
-def telling(sample: DataFrame, text: str, label: Column, top: int, support: int = 5) -> list[str]:
-    """The features that tell rows with the label from those without, by the likelihood ratio; copies of a text count once.
+def telling(sample: DataFrame, text: str, label: Column, labels: list, top: int, support: int = 5) -> list[list[str]]:
+    """For each label the features that tell its rows from the others, by the likelihood ratio; copies of a text count once.
 
-    A feature is taken from at least `support` different texts.
+    A feature is taken from at least `support` different texts. All labels are counted in one pass.
     """
-    rows = sample.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), label.cast("int").alias("_y")).filter("_y is not null").dropDuplicates(["_text", "_y"])
+    rows = sample.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), F.array_position(F.array(*map(F.lit, labels)), label).cast("int").alias("_y")).filter("_y > 0").dropDuplicates(["_text", "_y"])
+    size = len(labels)
 
     def run(parts):
-        schema = pa.schema([("feature", pa.string()), ("yes", pa.int64()), ("no", pa.int64())])
-        yes, no = Counter(), Counter()
-        flush = lambda: batches(((f, yes[f], no[f]) for f in yes.keys() | no.keys()), schema, most=1 << 15)
-        for part in parts:
-            for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                (yes if y else no).update({f for token in set(t.split()) for f in token_features(token)})
-                if len(yes) + len(no) > FLUSH:
+        schema = pa.schema([("feature", pa.string()), *((f"n{k}", pa.int64()) for k in range(size))])
+        known, counts = _Known(), [Counter() for _ in labels]
+        flush = lambda: batches(((f, *(c[f] for c in counts)) for f in set().union(*counts)), schema, most=1 << 15)
+
+        def made():
+            for part in sliced(parts):
+                for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    counts[y - 1].update(set().union(*map(known.__getitem__, set(t.split()))))
+                if sum(map(len, counts)) > FLUSH:
                     yield from flush()
-                    yes, no = Counter(), Counter()
-        yield from flush()
-
-    counts = rows.mapInArrow(run, "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("a"), F.sum("no").alias("b")).filter(F.col("a") + F.col("b") >= support)
-    sizes = rows.agg(F.sum("_y").alias("p"), F.count("*").alias("n")).first()
-    p, n = float(sizes["p"] or 0), float(sizes["n"])
-    if not 0 < p < n:
-        return []
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+                    for c in counts:
+                        c.clear()
+            yield from flush()
+
+        yield from tidy(made())
+
+    kinds = "feature string, " + ", ".join(f"n{k} long" for k in range(size))
+    every = sum((F.col(f"n{k}") for k in range(size)), F.lit(0))
+    counts = stored(rows.mapInArrow(run, kinds).groupBy("feature").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(size))).filter(every >= support), "features")
+    sizes = {r["_y"] - 1: float(r["n"]) for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes.values())
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    c, d = F.lit(p) - a, F.lit(n - p) - b
-    ratio = part(a, (a + b) * (p / n)) + part(b, (a + b) * (1 - p / n)) + part(c, (c + d) * (p / n)) + part(d, (c + d) * (1 - p / n))
-    return [r["feature"] for r in counts.withColumn("g", ratio).filter("g > 3").orderBy(F.desc("g"), "feature").limit(top).select("feature").collect()]
+    out = []
+    for k in range(size):
+        p = sizes.get(k, 0.0)
+        if not 0 < p < n:
+            out.append([])
+            continue
+        a, both = F.col(f"n{k}").cast("double"), every.cast("double")
+        b, c = both - a, F.lit(p) - a
+        d = F.lit(n - p) - b
+        ratio = part(a, both * (p / n)) + part(b, both * (1 - p / n)) + part(c, (c + d) * (p / n)) + part(d, (c + d) * (1 - p / n))
+        out.append([r["feature"] for r in counts.withColumn("g", ratio).filter("g > 3").orderBy(F.desc("g"), "feature").limit(top).select("feature").collect()])
+    discard(counts)
+    return out
 
 
 def presence(sample: DataFrame, features: Features, text: str, others: list[str]):
@@ -121,9 +187,9 @@ def presence(sample: DataFrame, features: Features, text: str, others: list[str]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(parts):
-        for part in parts:
+        for part in sliced(parts):
             schema = pa.schema([pa.field(n, part.column(k).type) for k, n in enumerate(others)] + [pa.field("at", pa.list_(pa.int32()))])
-            yield from batches(((*row[:-1], features.of(row[-1])) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)), schema, weight=lambda r: 64 + 4 * len(r[-1]))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([np.flatnonzero(x) for x in features.of(part.columns[-1])], pa.list_(pa.int32()))], schema=schema)
 
     rows = source.mapInArrow(run, f"{kinds}, at array<int>").toPandas()
     rows = rows.sort_values(others[0], kind="stable").reset_index(drop=True)
@@ -150,30 +216,39 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train_softmax(rows: list[np.ndarray], columns: int, target: np.ndarray, weight: np.ndarray | None = None, l1: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (columns, classes) and offsets of a linear classifier with soft targets, by accelerated proximal gradient."""
+def train_softmax(rows: list[np.ndarray], columns: int, target: np.ndarray, weight: np.ndarray | None = None, l1: float = 2e-4, steps: int = 300, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (columns, classes) and offsets of a linear classifier with soft targets, by accelerated proximal gradient.
+
+    Of two classes, the first one's weights are those of the other with the opposite sign, and only these are worked on.
+    It ends when CALM steps in a row gain next to nothing.
+    """
     x = Sparse(rows, columns)
     size = target.shape[1]
+    used = slice(1, 2) if size == 2 else slice(None)
+    both = (lambda z: np.concatenate([-z, z], axis=-1)) if size == 2 else (lambda z: z)
     share = np.ones(x.n) if weight is None else weight
     share = (share / max(share.sum(), 1e-9))[:, None]
     per_row = max((len(r) for r in rows), default=0) + 1
     rate = 4.0 / np.sqrt(per_row) / 2
-    w, b = np.zeros((columns, size)), np.zeros(size)
+    w, b = (np.zeros((columns, size))[:, used], np.zeros(size)[used]) if start is None else (start[0][:, used], start[1][used])
     v, u, t = w.copy(), b.copy(), 1.0
-    last = np.inf
+    last, calm = np.inf, 0
     for _ in range(steps):
-        p = softmax(x.times(v) + u)
-        loss = -(share * target * np.log(p + 1e-12)).sum() + l1 * np.abs(v).sum()
+        p = softmax(both(x.times(v) + u))
+        loss = -(share * target * np.log(p + 1e-12)).sum() + l1 * np.abs(v).sum() * (size / v.shape[1])
         if loss > last:
             rate, t, v, u = rate * 0.7, 1.0, w.copy(), b.copy()
             last = np.inf
             continue
+        calm = calm + 1 if last - loss < 1e-5 * loss else 0
+        if calm >= CALM:
+            break
         last = loss
-        error = share * (p - target)
+        error = (share * (p - target))[:, used]
         step = v - rate * x.transposed_times(error)
         new = np.sign(step) * np.maximum(np.abs(step) - rate * l1, 0)
         new_b = u - rate * error.sum(axis=0)
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, u = new + (t - 1) / t_next * (new - w), new_b + (t - 1) / t_next * (new_b - b)
         w, b, t = new, new_b, t_next
-    return w, b
+    return both(w), both(b)

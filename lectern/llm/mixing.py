@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches, discard, documents_of, stored
+from lectern.llm.common import discard, documents_of, sliced, stored, tidy
 from lectern.llm.lexical import Features, presence, sampled, softmax, telling, train_softmax
 
 LABELLED, TELLING = 15_000, 1500
@@ -40,9 +40,9 @@ class Posterior:
     def __init__(self, domains: list[str], features: Features, weights: np.ndarray, offsets: np.ndarray) -> None:
         self.domains, self.features, self.weights, self.offsets = domains, features, weights, offsets
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def __call__(self, texts: pa.Array) -> np.ndarray:
         """(texts, domains) in whole thousandths that sum to 1000."""
-        logits = np.array([self.offsets + self.weights[self.features.of(t)].sum(axis=0) for t in texts]).reshape(len(texts), len(self.domains))
+        logits = self.offsets + self.features.of(texts) @ self.weights
         exact = softmax(logits) * 1000
         out = np.floor(exact).astype(np.int64)
         rest = np.argsort(-(exact - out), axis=1, kind="stable")
@@ -56,7 +56,7 @@ def fit_posterior(docs: DataFrame, labelled: DataFrame, domains: list[str], key:
     """labelled: key and domain; rows of other domains or none aren't used."""
     known = documents_of(labelled, key, domain).filter(F.col(f"`{domain}`").isin(domains) & F.col(f"`{key}`").isNotNull()).withColumnRenamed(domain, "_domain")
     sample = sampled(docs, known, key, [text], most)
-    names = list(dict.fromkeys(f for d in domains for f in telling(sample, text, F.col("_domain") == d, TELLING)))
+    names = list(dict.fromkeys(f for found in telling(sample, text, F.col("_domain"), domains, TELLING) for f in found))
     features = Features(names)
     facts, rows = presence(sample, features, text, [key, "_domain"])
     discard(sample)
@@ -75,15 +75,18 @@ def posteriors(docs: DataFrame, model: Posterior, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TELLING features a domain at most
 
     def run(parts):
-        for part in parts:
-            texts = part.column(1).to_pylist()
-            schema = pa.schema([pa.field(key, part.column(0).type), pa.field("n_tokens", pa.int64()), pa.field("p", pa.list_(pa.int32()))])
-            found = shared.value(texts).tolist()
-            yield from batches(((k, len((t or "").split()), p) for k, t, p in zip(part.column(0).to_pylist(), texts, found, strict=True)), schema)
+        yield from tidy(pa.RecordBatch.from_arrays([part.column(0), *judged(shared.value, part.column(1))], names=[key, "n_tokens", "p"]) for part in sliced(parts, 2048))
 
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, n_tokens long, p array<int>")
 
 
+def judged(model: Posterior, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Numbers of tokens, and posteriors."""
+    words = pa.array([len((t or "").split()) for t in texts.to_pylist()], pa.int64())
+    found = model(texts)
+    return words, pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel(), pa.int32()))
+
+
 class Rates:
     """What the gradient steps have added up to: a rate for every posterior."""
 
@@ -106,6 +109,11 @@ class Rates:
         return r if at == "rate" else look
 
 
+def _shares(p: pa.Array, size: int) -> np.ndarray:
+    """Posteriors in thousandths as shares of 1."""
+    return p.flatten().to_numpy().reshape(len(p), size) / 1000
+
+
 def _sums(profiles: DataFrame, rates: Rates | None, at: str = "rate") -> np.ndarray:
     """Expected tokens of each domain under the rates; without rates, those of each pair of domains. A task sends its sums alone."""
     size = rates.size if rates else len(profiles.first()["p"])
@@ -113,7 +121,7 @@ def _sums(profiles: DataFrame, rates: Rates | None, at: str = "rate") -> np.ndar
     def run(parts):
         total = np.zeros(size if rates else size * size)
         for part in parts:
-            p = np.array(part.column(0).to_pylist(), float).reshape(part.num_rows, size) / 1000
+            p = _shares(part.column(0), size)
             weight = part.column(1).to_numpy() * (rates(p, at) if rates else 1.0)
             total += (p * weight[:, None]).sum(axis=0) if rates else ((p * weight[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["x"])
@@ -171,7 +179,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
 
     def run(parts):
         for part in parts:
-            p = np.array(part.column(2).to_pylist(), float).reshape(part.num_rows, len(domains)) / 1000
+            p = _shares(part.column(2), len(domains))
             r = rates(p)
             times = [copies_of(k, x) for k, x in zip(part.column(0).to_pylist(), r, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(p[:, k]) for k in range(len(domains))), pa.array(r), pa.array(times, pa.int64())], names=[key, "n_tokens", *(f"p_{d}" for d in domains), "rate", "copies"])
@@ -180,22 +188,26 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR, key: str = "doc_id", text: str = "text", domain: str = "domain", most: float = MOST) -> DataFrame:
-    """The rows of docs, each as often as mix() says, with all their columns; no join."""
+    """The rows of docs, each as often as mix() says, with all their columns; every text is classified once, and no join brings the rates back."""
     domains = sorted(targets)
-    model = fit_posterior(docs, labelled, domains, key, text, domain)
-    given = stored(posteriors(docs, model, key, text), "posteriors")
-    rates = fit_rates(given, domains, targets, anchor, most)
-    discard(given)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at_key, at_text = docs.columns.index(key), docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_posterior(docs, labelled, domains, key, text, domain))
+    names, at_key, at_text = docs.columns, docs.columns.index(key), docs.columns.index(text)
 
-    def run(parts):
+    def judge(parts):
+        names_ = [f"c{k}" for k in range(len(names))] + ["n_tokens", "p"]
+        yield from tidy(pa.RecordBatch.from_arrays([*part.columns, *judged(shared.value, part.column(at_text))], names=names_) for part in sliced(parts, 2048))
+
+    own = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
+    given = stored(docs.mapInArrow(judge, f"{own}, n_tokens long, p array<int>"), "judged")
+    rates = fit_rates(given.select("n_tokens", "p"), domains, targets, anchor, most)
+
+    def repeat(parts):
         for part in parts:
-            r = rates(shared.value(part.column(at_text).to_pylist()) / 1000)
+            r = rates(_shares(part.column(len(names) + 1), len(domains)))
             times = [copies_of(k, x) for k, x in zip(part.column(at_key).to_pylist(), r, strict=True)]
-            yield part.take(pa.array(np.repeat(np.arange(part.num_rows), times)))
+            yield pa.RecordBatch.from_arrays(part.take(pa.array(np.repeat(np.arange(part.num_rows), times))).columns[: len(names)], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return given.mapInArrow(repeat, docs.schema)
 
 
 def label_domains(labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ASCII_UPPER, discard, documents_of
+from lectern.llm.common import ASCII_UPPER, discard, documents_of, sliced, tidy
 from lectern.llm.lexical import Features, presence, sampled, telling, train_softmax
 
 LABELLED, POOL, TELLING = 15_000, 10_000, 2000
@@ -114,12 +114,12 @@ class Scorer:
         logits = [np.log(p / (1 - p)) for p in (np.clip(s, 1e-6, 1 - 1e-6) for s in sure)]
         return 1 / (1 + np.exp(-(self.blend[0] + self.blend[1] * logits[0] + self.blend[2] * logits[1]))), sure[0], sure[1]
 
-    def __call__(self, sources: list, langs: list, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, sources: list, langs: list, given: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.constant is not None:
-            same = np.full(len(texts), self.constant)
+            same = np.full(len(given), self.constant)
             return same, same, same
-        texts = [t or "" for t in texts]
-        content = np.array([self.offset + self.weights[self.features.of(t)].sum() for t in texts])
+        texts = [t or "" for t in given.to_pylist()]
+        content = self.offset + self.features.of(given) @ self.weights
         dense = np.array([metadata(s, g, t) for s, g, t in zip(sources, langs, texts, strict=True)]).reshape(len(texts), DENSE)
         hashed = np.array([_hashed(s, g) for s, g in zip(sources, langs, strict=True)]).reshape(len(texts), 2)
         return self.combined(content, self.meta.logit(MetaView.design(dense, hashed)))
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = documents_of(labels, key, label).filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).withColumnRenamed(label, "_good")
     rows = _with_columns(docs, key, text)
     sample = sampled(rows, known, key, [text, "_source", "_lang"], labelled)
-    names = telling(sample, text, F.col("_good") == 1, TELLING)
+    names = telling(sample, text, F.col("_good"), [0, 1], TELLING)[1]
     facts = sample.agg(F.avg((F.col("_good") == 1).cast("double")).alias("share")).first()
     if not names or facts["share"] in (None, 0.0, 1.0):
         discard(sample)
@@ -178,11 +178,12 @@ def co_train(features: Features, at: list[np.ndarray], meta: np.ndarray, good: n
     own = np.flatnonzero(~apart)
     said: list[dict[int, float]] = [{}, {}]  # pseudo-labels for the content and the metadata view
     columns = len(features.names)
-    view = MetaView()
+    view, last = MetaView(), None
     for turn in range(rounds + 1):
         y = np.concatenate([good[own], list(said[0].values())])
         weight = _balanced(y, len(own))
-        w, b = train_softmax([at[k] for k in own] + [pool_at[k] for k in said[0]], columns, np.stack([1 - y, y], axis=1), weight, l1=1e-4)
+        w, b = train_softmax([at[k] for k in own] + [pool_at[k] for k in said[0]], columns, np.stack([1 - y, y], axis=1), weight, l1=1e-4, start=last)
+        last = w, b
         content = lambda rows, w=w, b=b: np.array([b[1] - b[0] + (w[r, 1] - w[r, 0]).sum() for r in rows])
         y = np.concatenate([good[own], list(said[1].values())])
         view.fit(np.concatenate([meta[own], pool_meta[list(said[1])]]) if said[1] else meta[own], y, _balanced(y, len(own)) * len(y))
@@ -221,10 +222,13 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
 
     def run(parts):
         own = shared.value
-        for part in parts:
-            texts, sources, langs = (part.column(k).to_pylist() for k in (1, 2, 3))
-            columns = [pa.array(c, pa.float64()) for c in own(sources, langs, texts)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[key, "quality", "content_quality", "metadata_quality"])
+
+        def made():
+            for part in sliced(parts, 2048):
+                columns = [pa.array(c, pa.float64()) for c in own(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[key, "quality", "content_quality", "metadata_quality"])
+
+        yield from tidy(made())
 
     kind = source.schema[key].dataType.simpleString()
     out = source.mapInArrow(run, f"`{key}` {kind}, quality double, content_quality double, metadata_quality double")
@@ -235,13 +239,16 @@ def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """The rows of docs that the classifier doesn't reject, with all their columns; filtered where they are read, without a join."""
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text))
     names = docs.columns
-    places = [names.index(n) if n in names else None for n in ("source", "lang", text)]
+    places, at_text = [names.index(n) if n in names else None for n in ("source", "lang")], names.index(text)
 
     def run(parts):
         own = scorer.value
-        for part in parts:
-            sources, langs, texts = ([None] * part.num_rows if k is None else part.column(k).to_pylist() for k in places)
-            quality = own([None if s is None else str(s) for s in sources], [None if g is None else str(g) for g in langs], texts)[0]
-            yield part.filter(pa.array(quality >= REJECT_BELOW))
+
+        def made():
+            for part in sliced(parts, 2048):
+                sources, langs = ([None] * part.num_rows if k is None else [None if x is None else str(x) for x in part.column(k).to_pylist()] for k in places)
+                yield part.filter(pa.array(own(sources, langs, part.column(at_text))[0] >= REJECT_BELOW))
+
+        yield from tidy(made())
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches, discard, documents_of
+from lectern.llm.common import discard, documents_of, sliced, tidy
 from lectern.llm.lexical import Features, presence, sampled, softmax, telling, train_softmax
 
 LABELLED, UNLABELLED = 20_000, 10_000
@@ -125,16 +125,15 @@ class Scorer:
     def __init__(self, features: Features, weights: np.ndarray, offset: float) -> None:
         self.features, self.weights, self.offset = features, weights, offset
 
-    def __call__(self, text: str | None) -> float:
-        at = self.features.of(text)
-        return float(1 / (1 + np.exp(-np.clip(self.offset + self.weights[at].sum(), -60, 60))))
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.offset + self.features.of(texts) @ self.weights, -60, 60)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Scorer:
     """Labels of rows that are not held out train the voters; the texts of UNLABELLED more rows take part in the label model."""
     known = documents_of(labels, key, label).filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull() & ~held_out(key)).withColumnRenamed(label, "_toxic")
     sample = sampled(docs, known, key, [text], labelled)
-    names = telling(sample, text, F.col("_toxic") == 1, TELLING, support=3)
+    names = telling(sample, text, F.col("_toxic"), [0, 1], TELLING, support=3)[1]
     features = Features(names)
     facts, rows = presence(sample, features, text, [key, "_toxic"])
     toxic = (facts["_toxic"] == 1).to_numpy()
@@ -175,9 +174,7 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
 
     def run(parts):
         own = shared.value
-        for part in parts:
-            schema = pa.schema([pa.field(key, part.column(0).type), pa.field("score", pa.float64())])
-            yield from batches(((k, own(t)) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), schema)
+        yield from tidy(pa.RecordBatch.from_arrays([part.column(0), pa.array(own(part.column(1)), pa.float64())], names=[key, "score"]) for part in sliced(parts, 2048))
 
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, score double")
 

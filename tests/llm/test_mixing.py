@@ -1,3 +1,5 @@
+import numpy as np
+
 from lectern.llm import mixing
 
 GIVEN = "doc_id long, n_tokens long, p array<int>"
@@ -11,7 +13,7 @@ def test_scarce_domains_meet_their_targets(spark):
     rates = mixing.fit_rates(spark.createDataFrame(rows, GIVEN), domains, targets, "clean")
     expected = dict.fromkeys(domains, 0.0)
     for _, n, p in rows:
-        rate = rates(mixing.np.array([p]) / 1000)[0]
+        rate = rates(np.array([p]) / 1000)[0]
         for d, x in zip(domains, p, strict=True):
             expected[d] += rate * n * x / 1000
     total = sum(expected.values())

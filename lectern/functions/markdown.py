@@ -3,64 +3,50 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The forms of fences and list items.
-FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
-FENCE_END = re.compile(r"^\s*(`{3,}|~{3,})\s*$")
-MARKER = re.compile(r"^(\s*)([-+*]|\d+[.)])\s*$")
-ITEM = re.compile(r"^(\s*)(?:[-+*]|\d+[.)])\s+\S")
+# The forms of list markers alone on a line, of list items, and of fenced code (to its end or the text's).
+MARKER = re.compile(r"(\s*)([-+*]|\d+[.)])\s*")
+ITEM = re.compile(r"(\s*)(?:[-+*]|\d+[.)])\s+\S")
+FENCED = r"^[^\S\n]*(?P<run>(?P<mark>[`~])(?P=mark){2,})[^\n]*(?:\n(?![^\S\n]*(?P=run)(?P=mark)*[^\S\n]*$)[^\n]*)*(?:\n[^\S\n]*(?P=run)(?P=mark)*[^\S\n]*$)?"
+UNIT = re.compile(rf"(?P<fence>{FENCED})|^[^\n]*\S[^\n]*$", re.M)
 
 
-def _siblings(a: str, b: str) -> bool:
-    x, y = ITEM.match(a), ITEM.match(b)
-    return bool(x and y and len(x[1]) == len(y[1]))
+def _units(text: str) -> Iterator[tuple[bool, str, str]]:
+    """Fenced stretches and lines that aren't blank: whether blank lines go before, the first line as given, and what is shown.
+
+    A list marker alone takes the next line's text if that is no code, no marker, and indented by spaces, three more at most.
+    """
+    at = 0
+    while unit := UNIT.search(text, at):
+        given, end = unit[0], unit.end()
+        shown, gap = given, text.count("\n", at, unit.start()) > 1
+        bare = None if unit["fence"] else MARKER.fullmatch(given)
+        after = UNIT.search(text, end) if bare else None
+        if after and not after["fence"] and not MARKER.fullmatch(after[0]):
+            margin = after[0][: len(after[0]) - len(after[0].lstrip(" \t"))]
+            if "\t" not in margin and len(margin) <= len(bare[1]) + 3:
+                shown, end = f"{bare[1]}{bare[2]} {after[0].lstrip()}", after.end()
+        yield gap, given.partition("\n")[0], shown
+        at = end
 
 
 def normalize_markdown(text: str | None) -> str | None:
     """Blank runs become one blank line, none between sibling items or at the edges; fenced code stays as it is."""
     if text is None:
         return None
-    lines = re.sub(r"\r\n?", "\n", text).split("\n")
-    blank = [not line.strip() for line in lines]
-    following = [len(lines)] * (len(lines) + 1)  # the next line that isn't blank
-    for k in range(len(lines) - 1, -1, -1):
-        following[k] = following[k + 1] if blank[k] else k
     out: list[str] = []
-    fence, k = "", 0
-    while k < len(lines):
-        line = lines[k]
-        k += 1
-        if fence:
-            out.append(line)
-            end = FENCE_END.match(line)
-            if end and end[1][0] == fence[0] and len(end[1]) >= len(fence):
-                fence = ""
-        elif opening := FENCE.match(line):
-            fence = opening[1]
-            out.append(line)
-        elif blank[k - 1]:
-            after = lines[following[k]] if following[k] < len(lines) else ""
-            if out and out[-1] and not _siblings(out[-1], after):
+    for gap, first, shown in _units(text.replace("\r\n", "\n").replace("\r", "\n")):
+        if gap and out:
+            one, two = ITEM.match(out[-1]), ITEM.match(first)
+            if not (one and two and len(one[1]) == len(two[1])):
                 out.append("")
-        else:
-            bare = MARKER.match(line)
-            at = following[k]
-            if bare and at < len(lines) and not FENCE.match(lines[at]) and not MARKER.match(lines[at]):
-                indent = re.match(r"[ \t]*", lines[at])[0]
-                if "\t" not in indent and len(indent) - len(bare[1]) <= 3:
-                    out.append(f"{bare[1]}{bare[2]} {lines[at].lstrip()}")
-                    k = at + 1
-                    continue
-            out.append(line)
-    while out and not out[0]:
-        out.pop(0)
-    while out and not out[-1]:
-        out.pop()
-    return "\n".join(out)
+        out += shown.split("\n")
+    return "\n".join(out).rstrip("\n")
 
 
 def normalized_markdown(text: Column) -> Column:

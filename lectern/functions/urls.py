@@ -9,22 +9,42 @@ from pyspark.sql import functions as F
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref_src")
 
 
+def _encoded(text: Column, kept: str) -> Column:
+    """Characters outside of `kept` (a character class) as %XX of their UTF-8 bytes; what is encoded stays as it is."""
+    one = lambda c: F.when(c.rlike(f"^[%{kept}]$"), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")))
+    return F.when(text.rlike(f"^[%{kept}]*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+
+
+def _resolved(path: Column) -> Column:
+    """The path without dot segments."""
+    steps = F.split(F.substr(path, F.lit(2)), "/", -1)
+    dots = lambda s: F.length(F.regexp_replace(s, "(?i)%2e", "."))
+    onto = lambda done, s: F.when(~s.rlike(r"(?i)^(\.|%2e){1,2}$"), F.concat(done, F.array(s))).when(dots(s) == 1, done).otherwise(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), onto)
+    ended = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(ended, "/"))).otherwise(path)
+
+
 def normalize_page_url(url: Column) -> Column:
-    """Scheme and host in lower case; no tracking parameters, the rest sorted by name and value; no fragment but a route
-    (#/ or #!/); no slash at the end of a path. Null for what isn't an http(s) URL."""
-    part = lambda pattern, k: F.regexp_extract(url, pattern, k)
-    whole = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(#.*)?$"
-    scheme, host, path, query, fragment = (part(whole, k) for k in range(1, 6))
-    host = F.regexp_replace(F.lower(host), F.when(F.lower(scheme) == "http", ":80$").otherwise(":443$"), F.lit(""))
-    path = F.when(path == "", "/").otherwise(path)
-    path = F.when((F.length(path) > 1) & path.endswith("/"), F.substr(path, F.lit(1), F.length(path) - 1)).otherwise(path)
-    name = lambda p: F.lower(F.regexp_extract(p, "^([^=]*)", 1))
-    parameters = F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(*TRACKING))
-    pairs = F.array_sort(F.transform(parameters, lambda p: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("n"), F.regexp_extract(p, "^[^=]*=?(.*)$", 1).alias("v"))))
-    search = F.array_join(F.transform(pairs, lambda s: F.concat(s["n"], F.lit("="), s["v"])), "&")
-    kept = F.when(fragment.rlike("^#!?/"), fragment).otherwise("")
-    made = F.concat(F.lower(scheme), F.lit("://"), host, path, F.when(search == "", "").otherwise(F.concat(F.lit("?"), search)), kept)
-    return F.when(url.rlike(r"(?i)^https?://[^/?#]+"), made)
+    """Scheme and host in lower case, without a default port; no dot segments; no tracking parameters, the rest decoded, sorted by name
+    and value and encoded as a form's; no fragment but a route (#/ or #!/); no slash at the end of a path; other characters
+    than an address may hold as %XX. Null for what isn't an http(s) URL. Hosts stay in the script they are written in."""
+    given = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    whole = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):[/\\]+([^/?#\\]*)([^?#]*)(?:\?([^#]*))?(#.*)?$"
+    scheme, site, path, query, fragment = (F.regexp_extract(given, whole, k) for k in range(1, 6))
+    user, host = F.regexp_extract(site, "^(.*@)?", 1), F.lower(F.regexp_replace(site, "^.*@", ""))
+    host = F.regexp_replace(host, r":0*(\d+)$|:$", F.lit(":$1"))
+    host = F.regexp_replace(host, F.when(F.lower(scheme) == "http", ":(80)?$").otherwise(":(443)?$"), F.lit(""))
+    path = F.translate(path, "\\", "/")
+    path = _resolved(F.when(path == "", "/").otherwise(path))
+    path = _encoded(F.when((F.length(path) > 1) & path.endswith("/"), F.substr(path, F.lit(1), F.length(path) - 1)).otherwise(path), r"!$&'()*+,\-./0-9:;=@A-Z\[\]_a-z|~")
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(plain(F.regexp_extract(p, "^([^=]*)", 1)).alias("n"), plain(F.regexp_extract(p, "(?s)^[^=]*=?(.*)$", 1)).alias("v")))
+    told = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["n"]).startswith("utm_") & ~F.lower(p["n"]).isin(*TRACKING)))
+    search = F.array_join(F.transform(told, lambda p: F.concat(F.url_encode(p["n"]), F.lit("="), F.url_encode(p["v"]))), "&")
+    kept = F.when(fragment.rlike("^#!?/"), _encoded(fragment, r"!#$&'()*+,\-./0-9:;=?@A-Z\[\\\]^_a-z{|}~")).otherwise("")
+    made = F.concat(F.lower(scheme), F.lit("://"), user, host, path, F.when(search == "", "").otherwise(F.concat(F.lit("?"), search)), kept)
+    return F.when(given.rlike(r"(?i)^https?:[/\\]+[^/?#\\]+") & (host != ""), made)
 
 
 def page_key(tab: Column, url: Column) -> Column:

@@ -95,13 +95,13 @@ def _answered(record: dict, chunks: list[dict], at: dict[int, int], whole: int,
     for o in record["offers"] if record["offers"] is not None else []:
         need = None if pd.isna(o["need"]) else int(o["need"])
         lists.setdefault((ORDER[o["source"]], o["source"], need), []).append((o["place"], at[o["chunk_idx"]]))
-    found: dict[tuple, E.Evidence] = {}
+    found = E.Fusion()
     for _, source, need in sorted(lists, key=lambda x: (x[0], -1 if x[2] is None else x[2])):
         ranked = [k for _, k in sorted(lists[ORDER[source], source, need])]
         if source in ("focus-anchor", "document-coverage"):
             windows = [chunks[k] for k in ranked]
         else:
             windows = E.pack_windows(chunks, ranked, left, 3 if source == "planned-need" else E.WINDOWS)
-        E.add_channel(found, windows, source, source == "focus-anchor", need)
-    chosen = E.pack(list(found.values()), len(plan["evidence_needs"]) if plan else 0, left)
+        found.channel(windows, source, source == "focus-anchor", need)
+    chosen = E.pack(found.ranked(), len(plan["evidence_needs"]) if plan else 0, left)
     return [(*key, k + 1, e.chunk["chunk_id"], ",".join(sorted(e.sources)), e.pinned, round(e.score, 9), E.cost(e.chunk), "fused-retrieval") for k, e in enumerate(chosen)]

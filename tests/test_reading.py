@@ -1,5 +1,7 @@
+import random
+
 from lectern.operators import evidence as E
-from lectern.operators.chunking import create_chunks
+from lectern.operators.chunking import PROSE, create_chunks, split_text
 from lectern.operators.extract import extract_article
 from lectern.operators.memory import completed_turns, merge_turns, select_memory
 from lectern.operators.search import bm25, coverage_groups, neighbours
@@ -30,23 +32,59 @@ def chunk(k, text, section="S"):
     return {"chunk_idx": k, "chunk_id": f"chunk-{k + 1}", "section": section, "text": text, "block_ids": [f"b{k}"]}
 
 
+def test_chunks_are_the_plain_fold():
+    """Break points in running sums against adding one piece after another."""
+    rng = random.Random(2)
+    for _ in range(400):
+        pieces = [block(k, "".join(rng.choice("ab .\n") for _ in range(rng.randint(0, 30))), rng.choice(["A", "A", "B", ""])) for k in range(rng.randint(0, 9))]
+        most, target = rng.choice([30, 45, 90]), rng.choice([5, 25, 90])
+        want, section, text, ids = [], pieces[0]["section"] if pieces else "", "", []
+        for p in [*pieces, None]:
+            if ids and (p is None or p["section"] != section or len(text) + 1 + len(p["text"]) > most or len(text) >= min(most, target)):
+                want.append({"section": section, "text": text, "block_ids": ids})
+                text, ids = "", []
+            if p is not None:
+                section, text, ids = p["section"] or section, text + "\n" * bool(ids) + p["text"], [*ids, p["block_id"]]
+        assert create_chunks(pieces, target, most) == want
+
+
+def test_texts_are_cut_without_loss():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["word ", "字", "。", ". ", "\n\n", ", ", "\n", "x" * 9]) for _ in range(rng.randint(0, 60)))
+        most = rng.choice([4, 11, 40])
+        parts = split_text(text, PROSE, most)
+        assert "".join(parts) == text and all(len(p) <= most for p in parts)
+        assert all(len(a) + len(b) > most for a, b in zip(parts, parts[1:]))
+
+
 def test_windows_and_coverage():
     chunks = [chunk(0, "a"), chunk(1, "b"), chunk(2, "c"), chunk(3, "d", "T")]
     assert [w["text"] for w in E.pack_windows(chunks, [1], 1000)] == ["a\nb\nc"]
-    assert E.pack_windows(chunks, [1], 2) == []
+    assert [w["chunk_id"] for w in E.pack_windows(chunks, [1, 3], 1000)] == ["window-chunk-1-chunk-3", "window-chunk-4-chunk-4"]
+    assert E.pack_windows(chunks, [1], 2) == [] and E.pack_windows(chunks, [1], 1000, 0) == []
     flat = [chunk(k, "t" * 50) for k in range(5)]
     assert E.cover(flat, 64000, 3) == [0, 2, 4]
     assert E.cover([chunk(0, "x", "A"), chunk(1, "x", "A"), chunk(2, "x", "B"), chunk(3, "x", "C")], 1000, 3) == [0, 2, 3]
 
 
 def test_packing_keeps_pins_and_needs():
-    held = {}
-    E.add_channel(held, [chunk(0, "p" * 100)], "focus-anchor", pinned=True)
-    E.add_channel(held, [chunk(1, "n" * 100)], "planned-need", need=0)
-    E.add_channel(held, [chunk(k, "c" * 100) for k in range(2, 9)] + [chunk(0, "p" * 100)], "global-search")
-    packed = E.pack(list(held.values()), 1, 250)
+    held = E.Fusion()
+    held.channel([chunk(0, "p" * 100)], "focus-anchor", pinned=True)
+    held.channel([chunk(1, "n" * 100)], "planned-need", need=0)
+    held.channel([chunk(k, "c" * 100) for k in range(2, 9)] + [chunk(0, "p" * 100)], "global-search")
+    packed = E.pack(held.ranked(), 1, 250)
     assert [e.chunk["chunk_idx"] for e in packed] == [0, 1]
-    assert packed[0].sources == ["focus-anchor", "global-search"]
+    assert list(packed[0].sources) == ["focus-anchor", "global-search"]
+
+
+def test_joined_evidence_keeps_the_fullest_chunk():
+    wide = {"chunk_idx": 1, "chunk_id": "wide", "section": "S", "text": "x" * 50, "block_ids": ["b1", "b2"]}
+    held = E.Fusion()
+    held.channel([chunk(1, "one"), chunk(2, "two")], "exact-match")
+    held.channel([wide], "global-search", need=3)
+    (one,) = held.ranked()
+    assert one.chunk is wide and one.key == ("b1",) and one.needs == {3} and abs(one.score - (1.5 / 61 + 1.5 / 62 + 1 / 61)) < 1e-12
 
 
 def test_extraction():

@@ -46,7 +46,7 @@ LEAST_AGREED = 80
 #: Linked if PERCENT_OF * intersection >= PERCENT * union.
 PERCENT, PERCENT_OF = 80, 100
 #: Members of a bucket that are compared with each other at a time, and those with as many others.
-BLOCK = 1000
+BLOCK = 500
 #: Into how many parts the rows of one set are dealt where their class is looked up.
 SALT = 16
 #: Words whose hashes a task remembers.
@@ -148,7 +148,7 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
 
 def _sets(rows: DataFrame, size: int, ids: DataFrame) -> DataFrame:
     """id, elements (packed sorted hashes) of the rows of numbered() that are asked for."""
-    source = rows.select(F.col("_row").alias("id"), "_text").join(ids, "id").select("id", "_text")
+    source = rows.select(F.col("_row").alias("id"), "_text").join(ids.hint("merge"), "id").select("id", "_text")  # ids grow with the input: not broadcast where they are few
     schema = pa.schema([("id", pa.int64()), ("elements", pa.binary())])
 
     def run(parts):

@@ -1,22 +1,25 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-Every page is parsed into a small tree by a tolerant tokenizer. Each element subtree outside the article is hashed
-(tag and white-space-collapsed text, bottom up) and counted per host over all pages, pages of equal content counting
-once. A subtree that recurs on many pages of its host is template and is deleted, with the elements that are never
+Every page is parsed into a small tree by a tolerant tokenizer. Each element subtree is hashed (tag and
+white-space-collapsed text, bottom up, without what goes in any case) and counted per host over all pages, pages of equal
+content counting once. What recurs on many pages of its host is template and is deleted, with the elements that are never
 main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, by their tag,
 role, class or id). What is left of the article element, of main, or else of the body, gives the blocks.
 
-Inside an article that the page itself declares, plain text blocks (headings, paragraphs, quotes, code) are never taken
-for template, however often they recur: a passage that many articles quote is still their text. Other recurring
-elements in it go only if most of their text is links.
+There are two ways to recur. Elements outside of a declared article that hold no text block are template from MIN_PAGES
+pages and MIN_SHARE of the host's pages on, wherever they stand. Everything else, that is what stands in an article and what holds
+paragraphs or quotes, is counted together with its place (its parent's tag, and its number among the parent's
+elements from the start, or from the end) and is template only from PLACED_PAGES pages and PLACED_SHARE of the host's pages on:
+a notice in every article goes, a passage that some articles quote stays. Headings in articles stay. Where placed template would
+take more than PLACED_MOST of a page's main text, the pages are copies of one another rather than alike by template, and it stays.
 
-The counts are one aggregation (host, hash) -> pages, combined before the shuffle; only hashes seen often enough are
-kept, and they come back to the pages by a join on (page, hash) pairs' hosts in the form of one row a page, so neither
-the pages of a hot host nor its templates are gathered: a host's template hashes are bounded by what recurs on
-MIN_SHARE of its pages.
+The counts are one aggregation (host, hash) -> pages, combined before the shuffle. Templates come back to pages by a join on
+(host, hash), so that a page gets those it holds and no row carries those of its host; then by the page's row number.
 
 Defined results: null or empty html gives an empty text; a null url gives a host of its own ("") for counting; repeated
-rows each give their row; an empty table gives an empty result.
+rows each give their row; an empty table gives an empty result. Hosts of fewer than MIN_PAGES pages have no template.
+Rows are told apart by their place in the input, which must be a table read from files; other inputs are written to the
+shared folder first (table=False).
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches, discard, documents_of, stored
+from lectern.llm.common import batches, discard, documents_of, sliced, stored, tidy
 
-#: A subtree is template if it is on this many different pages of its host, and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: On how many different pages of its host, and on what share of them, a subtree is template; and if its place counts.
+MIN_PAGES, MIN_SHARE = 4, 0.01
+PLACED_PAGES, PLACED_SHARE, PLACED_MOST = 6, 0.5, 0.3
 #: Hashed subtrees have this many code points of text at least.
 MIN_TEXT = 3
 
@@ -55,7 +59,8 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead footer sidebar widget widgets rail notice notices cookie cookies consent gdpr "
     "popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond discussion related recommended recommendations share sharing social pagination pager skip toolbar".split()
 )
-TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCKS = HEADINGS | frozenset("p blockquote pre".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*+)((?>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*'|[\"'])[^>\"']*)*))>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -177,44 +182,54 @@ def _digest(parts: list[str]) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def subtrees(tree: Node, article: Node, declared: bool) -> dict[int, tuple[Node, int, int, bool]]:
-    """id(node) -> node, hash of its subtree, its text length, whether it may be template; in one pass bottom up.
+class Subtree:
+    """A node's hash and text length; the keys it is counted under, and whether these hold its place."""
 
-    Elements that go in any case are not looked into.
-    """
-    out: dict[int, tuple[Node, int, int, bool]] = {}
-    links: dict[int, int] = {}
-    order, todo = [], [(tree, False)]
+    __slots__ = ("node", "hash", "length", "keys", "placed")
+
+    def __init__(self, node: Node, hash_: int, length: int) -> None:
+        self.node, self.hash, self.length, self.keys, self.placed = node, hash_, length, (), False
+
+
+def subtrees(tree: Node, article: Node, declared: bool) -> dict[int, Subtree]:
+    """id(node) -> its subtree, in one pass bottom up."""
+    out: dict[int, Subtree] = {}
+    order, todo = [], [(tree, tree, 0, 0, False)]
     while todo:
-        node, inside = todo.pop()
+        node, parent, from_start, from_end, inside = todo.pop()
         inside = inside or node is article and declared
-        order.append((node, inside))
-        todo += [(c, inside) for c in node.children if not isinstance(c, str) and not c.dropped]
-    around = set()
-    for node, inside in reversed(order):
-        parts, length, linked = [node.tag], 0, 0
+        order.append((node, parent, from_start, from_end, inside))
+        elements = [c for c in node.children if not isinstance(c, str)]
+        todo += [(c, node, k, len(elements) - k, inside) for k, c in enumerate(elements)]
+    around, holds_text = set(), set()
+    for node, parent, from_start, from_end, inside in reversed(order):
+        parts, length = [node.tag], 0
         for c in node.children:
             if isinstance(c, str):
                 if text := " ".join(c.split()):
                     parts.append("t" + text)
                     length += len(text)
-            elif not c.dropped:
-                _, h, n, _ = out[id(c)]
-                parts.append(f"n{h}")
-                length += n
-                linked += links[id(c)]
-                if id(c) in around or c is article:
-                    around.add(id(node))
-        links[id(node)] = length if node.tag == "a" else linked
-        may = length >= MIN_TEXT and node is not article and id(node) not in around and node.tag not in ("#root", "html", "body", "head")
-        if inside:
-            may = may and node.tag not in TEXT_BLOCKS and 2 * links[id(node)] > length
-        out[id(node)] = (node, _digest(parts), length, may)
+                continue
+            if id(c) in around or c is article:
+                around.add(id(node))
+            if not c.dropped:
+                parts.append(f"n{out[id(c)].hash}")
+                length += out[id(c)].length
+                if id(c) in holds_text or c.tag in TEXT_BLOCKS:
+                    holds_text.add(id(node))
+        own = out[id(node)] = Subtree(node, _digest(parts), length)
+        if length < MIN_TEXT or node is article or id(node) in around or node.tag in ("#root", "html", "body", "head"):
+            continue
+        own.placed = inside or not declared and (node.tag in TEXT_BLOCKS or id(node) in holds_text)
+        if not own.placed:
+            own.keys = (own.hash,)
+        elif node.tag not in HEADINGS:
+            own.keys = tuple(_digest([str(own.hash), parent.tag, side, str(k)]) for side, k in (("start", from_start), ("end", from_end)))
     return out
 
 
-def candidates(page: str | None) -> tuple[int, list[int]]:
-    """A hash of the page's whole content, and those of its subtrees that may be template, each once.
+def candidates(page: str | None) -> tuple[int, list[tuple[int, bool]]]:
+    """A hash of the page's whole content, and the keys of its subtrees, each once, with whether they hold a place.
 
     Where an element and its only child have the same text, both are listed; a host's counts then agree for both.
     """
@@ -222,7 +237,23 @@ def candidates(page: str | None) -> tuple[int, list[int]]:
         return 0, []
     tree = parse(page)
     found = subtrees(tree, *_root(tree))
-    return found[id(tree)][1], sorted({h for _, h, _, may in found.values() if may})
+    return found[id(tree)].hash, sorted({(k, s.placed) for s in found.values() for k in s.keys})
+
+
+def template_nodes(tree: Node, article: Node, declared: bool, template: frozenset[int]) -> set[int]:
+    """id(node) of what is template; placed template stays if it would take too much of the main text."""
+    found = subtrees(tree, article, declared)
+    hit = {k for k, s in found.items() if not template.isdisjoint(s.keys)}
+    taken, todo = 0, [article]
+    while todo:
+        node = todo.pop()
+        if id(node) in hit:
+            taken += found[id(node)].length * found[id(node)].placed
+        else:
+            todo += (c for c in node.children if not isinstance(c, str) and not c.dropped)
+    if taken > PLACED_MOST * found[id(article)].length:
+        hit = {k for k in hit if not found[k].placed}
+    return hit
 
 
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
@@ -231,7 +262,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
         return ""
     tree = parse(page)
     article, declared = _root(tree)
-    found = subtrees(tree, article, declared) if template else {}
+    gone = template_nodes(tree, article, declared, template) if template else set()
     blocks: list[str] = []
     run: list[str] = []
 
@@ -249,7 +280,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
             close()
         elif isinstance(x, str):
             run.append(x)
-        elif x is not article and (x.dropped or id(x) in found and found[id(x)][3] and found[id(x)][1] in template):
+        elif x is not article and (x.dropped or id(x) in gone):
             if x.tag in BLOCK:
                 close()
         elif x.tag in ("br", "hr"):
@@ -268,44 +299,56 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, template (array of subtree hashes): what recurs on at least min_pages different pages and min_share of them.
-
-    Pages of equal content count once, so copies of a page don't make its text a template. A page has a bounded number
-    of elements, so a host has at most (elements of a page) / min_share hashes here.
-    """
-    source = documents_of(pages, url, page).select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{page}`").alias("_html"))
-
-    def run(parts):
-        schema = pa.schema([("host", pa.string()), ("content", pa.int64()), ("hashes", pa.list_(pa.int64()))])
-        for part in parts:
-            rows = ((h, *candidates(p)) for h, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-            yield from batches(rows, schema, weight=lambda r: 16 + 8 * len(r[2]))
+def numbered(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
+    """_row (a row's place in the table), host, _html, and the columns key and url."""
+    return documents_of(pages, key, url, page).select(F.monotonically_increasing_id().alias("_row"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{page}`").alias("_html"), F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").alias("_url"))
 
-    seen = source.mapInArrow(run, "host string, content long, hashes array<long>")
-    distinct = stored(seen.groupBy("host", "content").agg(F.first("hashes").alias("hashes")), "subtrees")
-    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return counts.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("template"))
 
+def seen_subtrees(rows: DataFrame) -> DataFrame:
+    """_row, host, content (a hash of the page), keys (of its subtrees: key, placed)."""
+    kinds = pa.list_(pa.struct([("key", pa.int64()), ("placed", pa.bool_())]))
+    schema = pa.schema([("_row", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("keys", kinds)])
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """key, url, text, n_chars of every page."""
-    known = stored(templates(pages, url, page, min_pages, min_share), "templates")
-    source = documents_of(pages, key, url, page)
-    rows = source.withColumn("_host", host_of(F.col(f"`{url}`"))).join(known.withColumnRenamed("host", "_host"), "_host", "left").select(F.col(f"`{key}`"), F.col(f"`{url}`"), F.col(f"`{page}`"), "template")
-    kinds = f"`{key}` {source.schema[key].dataType.simpleString()}, `{url}` string, text string, n_chars long"
+    def run(parts):
+        made = ((r, h, *candidates(p)) for part in sliced(parts) for r, h, p in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        yield from tidy(batches(made, schema, weight=lambda r: 32 + 16 * len(r[3])))
+
+    return rows.select("_row", "host", "_html").mapInArrow(run, "_row long, host string, content long, keys array<struct<key: long, placed: boolean>>")
+
+
+def templates(seen: DataFrame) -> DataFrame:
+    """host, key, pages of the template of every host. Pages of equal content count once, so copies of a page don't make its text a template."""
+    distinct = seen.groupBy("host", "content").agg(F.first("keys").alias("keys"))
+    sizes = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("every"))
+    counts = distinct.select("host", F.explode("keys").alias("k")).groupBy("host", "k").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min(MIN_PAGES, PLACED_PAGES))
+    placed = F.col("k.placed")
+    often = (F.col("pages") >= F.when(placed, PLACED_PAGES).otherwise(MIN_PAGES)) & (F.col("pages") >= F.when(placed, PLACED_SHARE).otherwise(MIN_SHARE) * F.col("every"))
+    return counts.join(sizes, "host").filter(often).select("host", "k.key", "pages")
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", table: bool = False) -> DataFrame:
+    """key, url, text, n_chars of every page. table: pages is read from files as it is."""
+    pages = documents_of(pages, key, url, page)
+    rows = numbered(pages if table else stored(pages, "pages-input"), key, url, page)
+    seen = stored(seen_subtrees(rows), "subtrees")
+    known = stored(templates(seen).select("host", "key"), "templates")
+    own = seen.select("_row", "host", F.explode("keys").alias("k")).select("_row", "host", "k.key").join(known, ["host", "key"]).groupBy("_row").agg(F.collect_list("key").alias("template"))
+    held = rows.join(stored(own, "page-templates"), "_row", "left").select("_key", "_url", "_html", "template")
+    discard(seen)
+    discard(known)
+    kinds = f"`{key}` {pages.schema[key].dataType.simpleString()}, `{url}` string, text string, n_chars long"
 
     def texts(part: pa.RecordBatch) -> Iterator[tuple]:
-        sets: dict[tuple, frozenset] = {}
         for k, u, p, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            own = sets.setdefault(tuple(t or ()), frozenset(t or ()))
-            text = main_text(p, own)
+            text = main_text(p, frozenset(t or ()))
             yield k, u, text, len(text)
 
     def run(parts):
-        for part in parts:
-            schema = pa.schema([pa.field(key, part.column(0).type), pa.field(url, pa.string()), pa.field("text", pa.string()), pa.field("n_chars", pa.int64())])
-            yield from batches(texts(part), schema, weight=lambda r: 4 * r[3])
+        def made():
+            for part in sliced(parts):
+                schema = pa.schema([pa.field(key, part.column(0).type), pa.field(url, pa.string()), pa.field("text", pa.string()), pa.field("n_chars", pa.int64())])
+                yield from batches(texts(part), schema, weight=lambda r: 4 * r[3])
+
+        yield from tidy(made())
 
-    return rows.mapInArrow(run, kinds)
+    return held.mapInArrow(run, kinds)

@@ -29,7 +29,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_templates.extract(table(spark, sf_dir, "pages"))
+    return html_templates.extract(table(spark, sf_dir, "pages"), table=True)
 
 
 def op2_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,55 @@ def test_main_text(spark):
     assert all(got[k]["text"] == f"text {k} of this page" for k in range(8)) and got[10]["text"] == "text 3 of this page"
     assert got[8]["text"] == "" and got[8]["n_chars"] == 0 and got[9]["text"] == "alone"
     assert html_templates.extract(pages.limit(0)).count() == 0
+
+
+def site(k, host="h.example", notice="<div><span>Join our club today and win</span></div>", quote=""):
+    body = f"<h1>Title {k}</h1><p>First words of page {k}, and more of them so that the article is long enough.</p>{quote}<p>Last words of page number {k} are these, and some more.</p>{notice}"
+    return (k, f"https://{host}/p{k}", f"<body><div><a href=/>Start</a></div><div><span>Mind the gap</span></div><article>{body}</article><div>Below all pages</div></body>")
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_counting_decides_what_is_template(spark, monkeypatch):
+    """A notice with a neutral name goes from every article, a quoted passage and headings stay; without counts, the notice stays."""
+    quote = "<p>This passage is quoted word for word.</p>"
+    rows = [site(k, quote=quote if k % 3 == 0 else "") for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_templates.extract(pages_of(spark, rows)).collect()}
+    for k in range(12):
+        assert "Join our club" not in got[k] and ("quoted word for word" in got[k]) == (k % 3 == 0) and got[k].startswith(f"Title {k}\nFirst")
+    monkeypatch.setattr(html_templates, "PLACED_PAGES", 100)
+    assert all("Join our club" in r["text"] for r in html_templates.extract(pages_of(spark, rows)).collect())
+    copies = [(k, f"https://h.example/{k}", f"<article><p>All of these pages say nearly the same thing, word for word.</p><p>Copy {k}</p></article>") for k in range(12)]
+    monkeypatch.setattr(html_templates, "PLACED_PAGES", 6)
+    assert all("word for word" in r["text"] for r in html_templates.extract(pages_of(spark, copies)).collect())
+
+
+def test_template_counts_are_brute_force(spark):
+    rng = random.Random(8)
+    rows = [site(k, host=rng.choice(["a.example", "b.example"]), notice=rng.choice(["", "<div>Buy now</div>", "<div>Buy later</div>"])) for k in range(40)]
+    rows += [(100 + k, u, h) for k, (_, u, h) in enumerate(rows[:7])] + [(200, None, None), (201, "https://a.example/x", "")]
+    pages = pages_of(spark, rows)
+    got = {(r["host"], r["key"]): r["pages"] for r in html_templates.templates(html_templates.seen_subtrees(html_templates.numbered(pages, "page_id", "url", "html"))).collect()}
+    held = {}
+    for _, u, h in rows:
+        content, keys = html_templates.candidates(h)
+        held.setdefault((u or "//").split("/")[2], {})[content] = keys
+    want = {}
+    for host, distinct in held.items():
+        count = Counter(k for keys in distinct.values() for k in keys)
+        for (key, placed), n in count.items():
+            least, share = (html_templates.PLACED_PAGES, html_templates.PLACED_SHARE) if placed else (html_templates.MIN_PAGES, html_templates.MIN_SHARE)
+            if n >= least and n >= share * len(distinct):
+                want[host, key] = n
+    assert got == want and want
+    clash = pages.selectExpr("*", "'x' AS text", "1 AS host", "2 AS _row", "3 AS template")
+    again = html_templates.extract(clash.unionAll(clash.filter("page_id < 3"))).collect()
+    assert len(again) == len(rows) + 3
+
+
+def test_long_pages(spark):
+    long = "<article>" + "<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000 + "<p>" + "word " * 200_000 + "</p></article>"
+    (row,) = html_templates.extract(pages_of(spark, [(1, "https://h.example/", long)])).collect()
+    assert row["text"].startswith("deep\nword") and row["n_chars"] == len(row["text"]) == 4 + 1 + 5 * 200_000 - 1

@@ -24,36 +24,67 @@ as nought); repeated rows each count and each get their row; with no training ro
 from __future__ import annotations
 
 import uuid
-from array import array
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches, discard, documents_of, stored
+from lectern.llm.common import batches, discard, documents_of, sliced, stored, tidy
 
 HEAD, HEAD_BYTES = 200_000, 64
-UNIT_WORDS, UNIT_SHAPES = 512, 508
+UNIT_WORDS, UNIT_SHAPES = 1024, 508
 CLASSES, SWEEPS = 48, 12
 #: Words seen so often or more have a class by their own neighbours.
 OWN_COUNT = 3
 #: Strength of the classes' own shares in a class's transitions.
 TRANSITION_WEIGHT = 20.0
-#: Distinct words that a task counts before it passes them on.
-FLUSH_WORDS = 300_000
-#: Tokens that are looked up at a time, and distinct neighbour counts that a task holds before it passes them on.
-STEP_TOKENS, FLUSH_CODES = 1 << 18, 1 << 22
+#: Distinct words, and distinct neighbour counts, that a task holds before it passes them on.
+FLUSH_WORDS, FLUSH_CODES = 300_000, 1 << 22
 END = b""  # no word is empty
 
 _CLOSING = b".,;:!?)]}\"'%$*#&|"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+class Coded:
+    """The words of a batch of texts, each text's end behind them: at (numbers), words (bytes by number), first (where texts begin), sizes."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        lists = pc.ascii_split_whitespace(low)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = lists.flatten().dictionary_encode()
+        at, self.words = held.indices.to_numpy().astype(np.int64), held.dictionary.cast(pa.large_binary()).to_pylist()
+        self.end = len(self.words)
+        if END in self.words:  # white space at a text's edges gives empty words
+            self.end = self.words.index(END)
+            full = at != self.end
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
+            at = at[full]
+        else:
+            self.words.append(END)
+        self.at = np.insert(at, np.cumsum(sizes), self.end)
+        self.sizes = sizes + 1
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.row = np.repeat(np.arange(len(sizes)), self.sizes)
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        """The value (by word) of the token before each token; 0, which the end has, at the beginning of a text."""
+        out = np.concatenate([[0], values[self.at[:-1]]]) if len(self.at) else values[:0]
+        out[self.first] = 0
+        return out
+
+    def texts_sum(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=values, minlength=len(self.sizes))
+
+
+def coded(parts, column: int = 0):
+    """The batches in slices, each with the words of its texts."""
+    for part in sliced(parts, 2048):
+        yield part, Coded(part.column(column))
 
 
 def shape(word: bytes) -> bytes:
@@ -68,19 +99,24 @@ def held_out(key: str) -> Column:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (binary), c over all rows of the one text column; counted in part before the shuffle."""
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
     def run(parts):
-        schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
-        count: Counter = Counter()
-        for part in parts:
-            for t in part.column(0).to_pylist():
-                count.update(words_of(t))
+        count: dict[bytes, int] = {}
+
+        def made():
+            nonlocal count
+            for _, texts_ in coded(parts):
+                for w, n in zip(texts_.words, np.bincount(texts_.at, minlength=len(texts_.words)).tolist(), strict=True):
+                    count[w] = count.get(w, 0) + n
                 if len(count) > FLUSH_WORDS:
-                    yield from batches(iter(count.items()), schema, most=1 << 16)
-                    count = Counter()
-        yield from batches(iter(count.items()), schema, most=1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], schema=schema)
+                    count = {}
+            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], schema=schema)
+
+        yield from tidy(made())
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "word binary, c long").filter("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Units:
@@ -109,23 +145,9 @@ def unit_bigrams(texts: DataFrame, units: Units) -> np.ndarray:
 
     def run(parts):
         total = np.zeros(size * size, np.int64)
-        held, count = [], 0
-
-        def close() -> None:
-            nonlocal total
-            total += np.bincount(np.concatenate(held), minlength=size * size)
-            held.clear()
-
-        for part in parts:
-            for t in part.column(0).to_pylist():
-                now = np.frombuffer(array("q", map(units.of, words_of(t))), np.int64)
-                held.append(np.concatenate([now[:1], size * now[:-1] + now[1:]]))  # unit 0 is the end
-                count += len(now)
-                if count > 2 << 20:
-                    close()
-                    count = 0
-        if held:
-            close()
+        for _, t in coded(parts):
+            of = np.fromiter(map(units.of, t.words), np.int64, len(t.words))
+            total += np.bincount(t.before(of) * size + of[t.at], minlength=size * size)
         codes = np.flatnonzero(total)
         for at in range(0, len(codes), 1 << 16):
             part = codes[at : at + (1 << 16)]
@@ -186,67 +208,55 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return own
 
 
-class _Numbers(dict):
-    """Numbers of words in the order they are first seen, their classes, and whether they aren't units of their own."""
-
-    def __init__(self, units: Units, own: np.ndarray) -> None:
-        self.units, self.own, self.classes, self.free = units, own, array("q"), array("b")
-        self[END]
-
-    def __missing__(self, word: bytes) -> int:
-        self.classes.append(int(self.own[self.units.of(word)]))
-        self.free.append(word not in self.units.words)
-        self[word] = k = len(self)
-        return k
+def listed(words: pa.Array, word: np.ndarray, columns: list[np.ndarray], kinds: list[pa.DataType], more: list[pa.Array]) -> list[pa.Array]:
+    """Arrays by word from sorted rows (word number, values): the words that occur, lists of the values, and what else is said of each row's word."""
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
+    offsets = pa.array(np.append(first, len(word)), pa.int32())
+    return [words.take(pa.array(word[first])), *(m.take(pa.array(first)) for m in more), *(pa.ListArray.from_arrays(offsets, pa.array(c, k)) for c, k in zip(columns, kinds, strict=True))]
 
 
 def neighbours(texts: DataFrame, units: Units, own: np.ndarray) -> DataFrame:
     """word, codes, n of words that aren't units of their own: how often a word follows a class (code: the class) and goes before one (code: the class and the number of classes)."""
     size = int(own.max()) + 1
+    schema = pa.schema([("word", pa.binary()), ("codes", pa.list_(pa.int16())), ("n", pa.list_(pa.int64()))])
 
     def run(parts):
-        numbers, held, waiting, tokens, codes = _Numbers(units, own), [], [], 0, 0
-
-        def step() -> None:
-            nonlocal tokens, codes
-            at = np.concatenate(waiting)
-            cls = np.array(numbers.classes, np.int64)[at]
-            free = np.array(numbers.free, bool)[at]  # no end is, after which another text comes
-            follows = at[free] * (2 * size) + np.concatenate([[0], cls[:-1]])[free]
-            goes = (at[:-1] * (2 * size) + size + cls[1:])[free[:-1]]
-            held.append(np.unique(np.concatenate([follows, goes]), return_counts=True))
-            codes += len(held[-1][0])
-            waiting.clear()
-            tokens = 0
+        numbers: dict[bytes, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        codes = 0
 
         def flush():
-            nonlocal numbers, codes
-            if waiting:
-                step()
-            if not held:
-                return
+            nonlocal numbers, held, codes
             code, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
             n = np.bincount(back, weights=np.concatenate([c for _, c in held])).astype(np.int64)
-            words = list(numbers)
-            bounds = np.searchsorted(code, np.arange(len(words) + 1) * (2 * size))
-            for k in range(0, len(words), 1 << 14):
-                some = words[k : k + (1 << 14)]
-                low, high = bounds[k], bounds[k + len(some)]
-                offsets = pa.array(bounds[k : k + len(some) + 1] - low, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(code[low:high] % (2 * size), pa.int16()), pa.array(n[low:high]))]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *lists], names=["word", "codes", "n"])
-            held.clear()
-            numbers, codes = _Numbers(units, own), 0
-
-        for part in parts:
-            for t in part.column(0).to_pylist():
-                waiting.append(np.frombuffer(array("q", map(numbers.__getitem__, words_of(t))), np.int64))
-                tokens += len(waiting[-1])
-                if tokens > STEP_TOKENS:
-                    step()
+            words = pa.array(numbers.keys(), pa.binary())
+            for low in range(0, len(words), 1 << 14):
+                a, b = np.searchsorted(code, [low * 2 * size, (low + (1 << 14)) * 2 * size])
+                yield pa.RecordBatch.from_arrays(listed(words, code[a:b] // (2 * size), [code[a:b] % (2 * size), n[a:b]], [pa.int16(), pa.int64()], []), schema=schema)
+            numbers, held, codes = {}, [], 0
+
+        def made():
+            nonlocal codes
+            for _, t in coded(parts):
+                of = np.fromiter(map(units.of, t.words), np.int64, len(t.words))
+                free = np.array([w not in units.words for w in t.words])
+                cls = own[of]
+                here = free[t.at]  # no end is, after which another text comes
+                follows = (t.at * (2 * size) + t.before(cls))[here]
+                goes = (t.at[:-1] * (2 * size) + size + cls[t.at[1:]])[here[:-1]]
+                code, n = np.unique(np.concatenate([follows, goes]), return_counts=True)
+                word = code // (2 * size)
+                met = np.unique(word)
+                place = np.zeros(len(t.words), np.int64)
+                place[met] = [numbers.setdefault(t.words[k], len(numbers)) for k in met.tolist()]
+                held.append((place[word] * (2 * size) + code % (2 * size), n))
+                codes += len(code)
                 if codes > FLUSH_CODES or len(numbers) > FLUSH_WORDS:
                     yield from flush()
-        yield from flush()
+            if held:
+                yield from flush()
+
+        yield from tidy(made())
 
     rows = texts.mapInArrow(run, "word binary, codes array<smallint>, n array<long>").filter(F.size("codes") > 0)
     return rows.groupBy("word").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("n")).alias("n"))
@@ -299,7 +309,7 @@ class Model:
         self.size = len(tokens)
         self.class_tokens = tokens
         with np.errstate(divide="ignore", invalid="ignore"):
-            self.unknown = np.where(tokens > 0, np.log10(discount * types / tokens), 0.0)
+            self.unknown = np.where(tokens > 0, np.log10(discount * types / tokens), np.log10(discount / max(total + distinct, 1)))  # a class without training tokens gives what one token of all has
         self.per_class = np.log10(np.maximum(tokens, 1))
         self.head = [w for w, _, _ in head]
         counts = np.array([c for _, c, _ in head], np.float64)
@@ -319,25 +329,26 @@ def class_bigrams(texts: DataFrame, model: Model, vocabulary: DataFrame) -> np.n
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(parts):
-        own, total, count = shared.value, np.zeros(size * size, np.int64), Counter()
+        own, total = shared.value, np.zeros(size * size, np.int64)
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("code", pa.int32()), ("n", pa.int64())])
-        rows = lambda: batches(((*k, n) for k, n in count.items()), schema, most=1 << 16)
-        for part in parts:
-            for t in part.column(0).to_pylist():
-                words, at, classes = looked_up(own, t)
-                before = np.concatenate([[0], classes[:-1]])
-                both = (before >= 0) & (classes >= 0)
-                total += np.bincount(before[both] * size + classes[both], minlength=size * size)
-                for w, code in outside(words, classes, size):
-                    count[w, None, code] += 1
-                for a, b in pairs_outside(words, classes):
-                    count[a, b, -1] += 1
-                if len(count) > FLUSH_WORDS:
-                    yield from rows()
-                    count = Counter()
-        yield from rows()
-        codes = np.flatnonzero(total)
-        yield from batches(((None, None, int(k), int(total[k])) for k in codes), schema)
+
+        def made():
+            for _, t in coded(parts):
+                _, cls = placed(own, t.words)
+                before, now = t.before(cls), cls[t.at]
+                both = (before >= 0) & (now >= 0)
+                np.add.at(total, before[both] * size + now[both], 1)
+                words = pa.array(t.words, pa.binary())
+                word, code, _ = beside(t, cls, size)
+                key, n = np.unique(word * (2 * size) + code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(key // (2 * size))), pa.nulls(len(key), pa.binary()), pa.array(key % (2 * size), pa.int32()), pa.array(n)], schema=schema)
+                a, b, _ = pairs_outside(t, cls)
+                key, n = np.unique(a * len(words) + b, return_counts=True)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(key // len(words))), words.take(pa.array(key % len(words))), pa.array(np.full(len(key), -1), pa.int32()), pa.array(n)], schema=schema)
+            codes = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.nulls(len(codes), pa.binary()), pa.array(codes, pa.int32()), pa.array(total[codes])], schema=schema)
+
+        yield from tidy(made())
 
     found = stored(texts.mapInArrow(run, "a binary, b binary, code int, n long"), "transitions")
     known = vocabulary.select("word", "class")
@@ -379,94 +390,105 @@ def fit(texts: DataFrame, counted: DataFrame) -> tuple[Model, DataFrame]:
     tokens, types = np.zeros(size), np.zeros(size)
     for r in vocabulary.groupBy("class").agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect():
         tokens[r["class"]], types[r["class"]] = r["tokens"], r["types"]
-    head = vocabulary.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c", "class").toArrow()
-    head = list(zip(*(x.to_pylist() for x in head.columns), strict=True))
+    short = vocabulary.filter(F.octet_length("word") <= HEAD_BYTES)
+    level = F.floor(F.log2("c") * 8)
+    levels = sorted(((r["level"], r["n"]) for r in short.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    fits = [k for (k, _), sum_ in zip(levels, accumulate(n for _, n in levels), strict=True) if sum_ <= HEAD]
+    head = short.filter(level >= fits[-1]).select("word", "c", "class").toArrow() if fits else None  # found by its least count: no task sends more than what stays
+    head = sorted(zip(*(x.to_pylist() for x in head.columns), strict=True)) if head else []
     model = Model(head, units, own, tokens, types, facts["total"] or 0, facts["types"], discount)
     model.set_moves(class_bigrams(texts, model, vocabulary))
     return model, vocabulary
 
 
-class _Index(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
-_indexes: dict[str, _Index] = {}
+_indexes: dict[str, dict[bytes, int]] = {}
 
 
-def _index(model: Model) -> _Index:
+def _index(model: Model) -> dict[bytes, int]:
+    """One index of the head for each worker process; an older model's goes."""
     if model.mark not in _indexes:
         _indexes.clear()
-        _indexes[model.mark] = _Index({w: k for k, w in enumerate(model.head)})
+        _indexes[model.mark] = {w: k for k, w in enumerate(model.head)}
     return _indexes[model.mark]
 
 
-def looked_up(model: Model, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """A text's words, their places in the head and their classes, both -1 outside of it."""
-    words = words_of(text)
-    at = np.frombuffer(array("q", map(_index(model).__getitem__, words)), np.int64)
-    classes = np.where(at >= 0, model.head_class[at], -1) if len(model.head) else at
-    return words, at, classes
+def placed(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words' places in the head and their classes, both -1 outside of it."""
+    get = _index(model).get
+    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+    return at, np.where(at >= 0, model.head_class[at], -1) if len(model.head) else at
 
 
-def outside(words: list[bytes], classes: np.ndarray, size: int):
-    """Of each word outside the head that has a head word (or the text's start) on a side: word and code as in neighbours()."""
-    for k in np.flatnonzero(classes < 0).tolist():
-        if (c := int(classes[k - 1]) if k else 0) >= 0:
-            yield words[k], c
-        if k + 1 < len(words) and (c := int(classes[k + 1])) >= 0:
-            yield words[k], size + c
+def beside(t: Coded, cls: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words outside the head that have a head word (or the text's start) on a side: word, code as in neighbours(), the token's place."""
+    now, before = cls[t.at], t.before(cls)
+    left = np.flatnonzero((now < 0) & (before >= 0))
+    right = np.flatnonzero((now[:-1] < 0) & (now[1:] >= 0) & (t.row[:-1] == t.row[1:]))
+    return np.concatenate([t.at[left], t.at[right]]), np.concatenate([before[left], size + now[right + 1]]), np.concatenate([left, right])
 
 
-def pairs_outside(words: list[bytes], classes: np.ndarray):
-    """Neighbours that are both outside the head."""
-    for k in np.flatnonzero((classes[:-1] < 0) & (classes[1:] < 0)).tolist():
-        yield words[k], words[k + 1]
+def pairs_outside(t: Coded, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours that are both outside the head: two words, and the first one's place."""
+    out = cls[t.at] < 0
+    k = np.flatnonzero(out[:-1] & out[1:] & (t.row[:-1] == t.row[1:]))
+    return t.at[k], t.at[k + 1], k
 
 
-def score_text(model: Model, text: str | None) -> tuple[int, int, float, float, dict[bytes, int], dict[bytes, list[int]], Counter]:
-    """Tokens; and of those in the head the number, base score, and emissions and transitions; times and codes of the other words, and pairs of them."""
-    words, at, classes = looked_up(model, text)
-    known = at >= 0
-    times: dict[bytes, int] = {}
-    for k in np.flatnonzero(~known).tolist():
-        times[words[k]] = times.get(words[k], 0) + 1
-    codes: dict[bytes, list[int]] = {w: [] for w in times}
-    for w, code in outside(words, classes, model.size):
-        codes[w].append(code)
-    before = np.concatenate([[0], classes[:-1]])
-    both = (before >= 0) & (classes >= 0)
-    score = model.moves[before[both], classes[both]].sum() + model.head_score[at[known]].sum()
-    return len(words), int(known.sum()), float(model.head_base[at[known]].sum()), float(score), times, codes, Counter(pairs_outside(words, classes))
+SCORE = "_row long, n_tokens long, n_head long, base double, score double, word binary, other binary, times long, shaped int, shaped_other int, codes array<int>"
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    A task gives a row for each text with the sums over its words in the head, and for each of its other words, and pairs of
+    them, a row to be joined with the vocabulary. Only texts that are held out can have words that aren't in it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = documents_of(docs, key, text).select(F.monotonically_increasing_id().alias("_row"), f"`{key}`", held_out(key).alias("held_out"), f"`{text}`")
-    kind = source.schema[key].dataType.simpleString()
+    source = stored(documents_of(docs, key, text).select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"), held_out(key).alias("_out")), "keys")
+    texts = documents_of(docs, key, text).select(F.monotonically_increasing_id().alias("_row"), held_out(key).alias("_out"), F.col(f"`{text}`").alias("_text"))
 
     def run(parts):
         own = shared.value
-        unseen = lambda w: int(own.own[own.units.of(w)])
-        for part in parts:
-            tail = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("shaped", pa.int32()), ("codes", pa.list_(pa.int32()))]))
-            pairs = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary()), ("shaped_a", pa.int32()), ("shaped_b", pa.int32()), ("times", pa.int64())]))
-            schema = pa.schema([("_row", pa.int64()), (key, part.column(1).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", tail), ("pairs", pairs)])
-
-            def rows():
-                for row, k, out, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    n, known, base, total, times, codes, next_ = score_text(own, t)
-                    yield row, k, out, n, known, base, total, [(w, n, unseen(w), codes[w]) for w, n in times.items()] or None, [(a, b, unseen(a), unseen(b), n) for (a, b), n in next_.items()] or None
-
-            yield from batches(rows(), schema, weight=lambda r: 100 + 60 * len(r[7] or ()) + 60 * len(r[8] or ()))
-
-    part = stored(source.mapInArrow(run, f"_row long, `{key}` {kind}, held_out boolean, n_tokens long, n_head long, base double, score double, tail array<struct<word: binary, times: long, shaped: int, codes: array<int>>>, pairs array<struct<a: binary, b: binary, shaped_a: int, shaped_b: int, times: long>>"), "scores")
+        size = own.size
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+        schema = pa.schema([pa.field(c.split()[0], k) for c, k in zip(SCORE.split(", "), kinds, strict=True)])
+        batch = lambda n, **given: pa.RecordBatch.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        def made():
+            for part, t in coded(parts, 2):
+                at, cls = placed(own, t.words)
+                place, now, before = at[t.at], cls[t.at], t.before(cls)
+                known, both = place >= 0, (before >= 0) & (now >= 0)
+                base, total = np.zeros(len(place)), np.zeros(len(place))
+                base[known], total[known] = own.head_base[place[known]], own.head_score[place[known]]
+                total[both] += own.moves[before[both], now[both]]
+                rows, words = part.column(0), pa.array(t.words, pa.binary())
+                yield batch(len(rows), _row=rows, n_tokens=pa.array(t.sizes), n_head=pa.array(t.texts_sum(known)), base=pa.array(t.texts_sum(base)), score=pa.array(t.texts_sum(total)))
+                out = part.column(1).to_numpy(zero_copy_only=False)
+                met = np.unique(t.at[~known & out[t.row]])
+                shaped = np.full(len(t.words), -1)
+                shaped[met] = [own.own[own.units.of(t.words[k])] for k in met.tolist()]
+                width = len(t.words)
+                code, n = np.unique(t.row[~known] * width + t.at[~known], return_counts=True)  # a text's other words
+                word, by, where = beside(t, cls, size)
+                order = np.argsort(t.row[where] * width + word, kind="stable")
+                of = (t.row[where] * width + word)[order]
+                begin = np.searchsorted(of, code)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(of)), pa.int32()), pa.array(by[order], pa.int32()))
+                yield batch(len(code), _row=rows.take(pa.array(code // width)), word=words.take(pa.array(code % width)), times=pa.array(n), shaped=pa.array(shaped[code % width]), codes=lists)
+                a, b, where = pairs_outside(t, cls)
+                code, n = np.unique((t.row[where] * width + a) * width + b, return_counts=True)
+                a, b = code // width % width, code % width
+                yield batch(len(code), _row=rows.take(pa.array(code // width // width)), word=words.take(pa.array(a)), other=words.take(pa.array(b)), times=pa.array(n), shaped=pa.array(shaped[a]), shaped_other=pa.array(shaped[b]))
+
+        yield from tidy(made())
+
+    part = stored(texts.mapInArrow(run, SCORE), "scores")
     total, distinct = F.lit(float(model.total)), F.lit(float(model.distinct))
     least, size = F.lit(model.discount), model.size
     numbers = lambda xs: F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in xs) + ")")
     unknown, per_class, moves = numbers(model.unknown), numbers(model.per_class), numbers(model.moves.ravel())
-    rest = part.select("_row", F.explode("tail").alias("t")).select("_row", "t.*").join(vocabulary, "word", "left").withColumn("class", F.coalesce("class", "shaped"))
+    rest = part.filter("word is not null and other is null").select("_row", "word", "times", "shaped", "codes").join(vocabulary, "word", "left").withColumn("class", F.coalesce("class", "shaped"))
     cls = F.col("class") + 1
     emitted = F.when(F.col("c").isNotNull(), F.log10(F.greatest(F.col("c") - least, F.lit(1e-9))) - F.element_at(per_class, cls)).otherwise(F.element_at(unknown, cls))
     place = lambda x: F.when(x < size, x * size + F.col("class")).otherwise(F.col("class") * size + x - size)
@@ -477,14 +499,13 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_
         (F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / (total + distinct + 1))).alias("_base"),
         (F.col("times") * emitted + moved).alias("_score"),
     )
-    at_a, at_b = (vocabulary.select(F.col("word").alias(x), F.col("class").alias(f"class_{x}")) for x in ("a", "b"))
-    two = part.select("_row", F.explode("pairs").alias("t")).select("_row", "t.*").join(at_a, "a", "left").join(at_b, "b", "left")
-    double = two.select("_row", F.lit(0).cast("long").alias("_known"), F.lit(0.0).alias("_base"), (F.col("times") * F.element_at(moves, F.coalesce("class_a", "shaped_a") * size + F.coalesce("class_b", "shaped_b") + 1)).alias("_score"))
-    sums = single.unionByName(double).groupBy("_row").agg(*(F.sum(c).alias(c) for c in ("_known", "_base", "_score")))
-    added = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return part.drop("tail", "pairs").join(sums, "_row", "left").select(
-        key, "held_out", "n_tokens", added("n_head", "_known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), added("base", "_base").alias("base_score"), added("score", "_score").alias("score")
-    )
+    at_a, at_b = (vocabulary.select(F.col("word").alias(x), F.col("class").alias(f"class_{x}")) for x in ("word", "other"))
+    two = part.filter("other is not null").select("_row", "word", "other", "times", "shaped", "shaped_other").join(at_a, "word", "left").join(at_b, "other", "left")
+    double = two.select("_row", F.lit(0).cast("long").alias("_known"), F.lit(0.0).alias("_base"), (F.col("times") * F.element_at(moves, F.coalesce("class_word", "shaped") * size + F.coalesce("class_other", "shaped_other") + 1)).alias("_score"))
+    head = part.filter("word is null").select("_row", F.col("n_head").alias("_known"), F.col("base").alias("_base"), F.col("score").alias("_score"), "n_tokens")
+    none = F.lit(None).cast("long").alias("n_tokens")
+    sums = single.select("*", none).unionByName(double.select("*", none)).unionByName(head).groupBy("_row").agg(*(F.sum(c).alias(c) for c in ("_known", "_base", "_score")), F.max("n_tokens").alias("n_tokens"))
+    return source.join(sums, "_row").select(F.col("_key").alias(key), F.col("_out").alias("held_out"), "n_tokens", F.col("_known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
 
 
 def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

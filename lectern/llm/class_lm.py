@@ -53,8 +53,9 @@ class Coded:
     """The words of a batch of texts, each text's end behind them: at (numbers), words (bytes by number), first (where texts begin), sizes."""
 
     def __init__(self, texts: pa.Array) -> None:
-        low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-        lists = pc.ascii_split_whitespace(low)
+        # pyarrow 23 lower-cases slices of large strings wrongly, so this comes before the cast
+        low = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+        lists = pc.ascii_split_whitespace(low.cast(pa.large_string()))
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         held = lists.flatten().dictionary_encode()
         at, self.words = held.indices.to_numpy().astype(np.int64), held.dictionary.cast(pa.large_binary()).to_pylist()

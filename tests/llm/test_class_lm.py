@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from lectern.llm import class_lm
 
@@ -17,6 +18,14 @@ def corpus(spark, n=600):
     return spark.createDataFrame(list(enumerate(texts)), DOC), one, two
 
 
+def test_words_of_batches_and_their_slices():
+    texts = [None, "", " A\tb\x0bÄ\x1cÖ  b", "\n", "x\u00a0Y z", "last"] * 3
+    for given in (pa.array(texts), pa.array(texts, pa.large_string()).slice(2, 11), pa.array(texts).slice(5)):
+        t = class_lm.Coded(given)
+        want = [(x or "").encode().lower().split() + [b""] for x in given.to_pylist()]
+        assert [t.words[k] for k in t.at] == [w for ws in want for w in ws] and t.sizes.tolist() == list(map(len, want))
+
+
 def test_every_word_has_its_own_class(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "UNIT_WORDS", 20)  # some words of either kind; the others share a shape
     docs, one, two = corpus(spark)

@@ -47,6 +47,8 @@ LEAST_AGREED = 80
 PERCENT, PERCENT_OF = 80, 100
 #: Members of a bucket that are compared with each other at a time, and those with as many others.
 BLOCK = 500
+#: Bits of the filter through which texts go before they are shuffled: at most 133,153 words of 63 bits, about two megabytes.
+FILTER_BITS = 1 << 23
 #: Into how many parts the rows of one set are dealt where their class is looked up.
 SALT = 16
 #: Words whose hashes a task remembers.
@@ -147,8 +149,16 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, size: int, ids: DataFrame) -> DataFrame:
-    """id, elements (packed sorted hashes) of the rows of numbered() that are asked for."""
-    source = rows.select(F.col("_row").alias("id"), "_text").join(ids.hint("merge"), "id").select("id", "_text")  # ids grow with the input: not broadcast where they are few
+    """id, elements (packed sorted hashes) of the rows of numbered() that are asked for.
+
+    A bitmap of the ids' hashes, of FILTER_BITS bits at any size, is broadcast first, so that few other texts are shuffled
+    where the ids are few; the join with the ids themselves decides.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bitmap = ids.groupBy(F.floor(bit / 63).alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}L) % 63 as int)))").alias("_bits"))
+    texts = rows.select(F.col("_row").alias("id"), "_text").withColumn("_bit", bit)
+    likely = texts.join(F.broadcast(bitmap), F.floor(F.col("_bit") / 63) == F.col("_word")).filter(F.expr("(shiftright(_bits, cast(_bit % 63 as int)) & 1) = 1"))
+    source = likely.select("id", "_text").join(ids.hint("merge"), "id").select("id", "_text")
     schema = pa.schema([("id", pa.int64()), ("elements", pa.binary())])
 
     def run(parts):
@@ -283,12 +293,12 @@ def classes(rows: DataFrame, size: int = 2) -> tuple[DataFrame, DataFrame]:
     copies = drawn.filter("n > 0").groupBy("s1", "s2").agg(first, F.count("*").alias("_n")).filter("_n > 1").select("s1", "s2", "f.rep", "f.least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
     dealt = drawn.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALT)).cast("int"))
     alone = F.col("rep").isNull()
-    told = stored(dealt.join(copies, ["s1", "s2", "_salt"], "left").select("_row", "_id", "n", F.coalesce("rep", "_row").alias("rep"), F.when(alone, F.col("_id")).otherwise(F.col("least")).alias("least"), "sig", "keys"), "classes")
+    told = stored(dealt.join(copies.hint("merge"), ["s1", "s2", "_salt"], "left").select("_row", "_id", "n", F.coalesce("rep", "_row").alias("rep"), F.when(alone, F.col("_id")).otherwise(F.col("least")).alias("least"), "sig", "keys"), "classes")
     discard(drawn)
     own = told.filter("n > 0 and _row = rep")
     spread = own.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     shared = stored(spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
-    members = stored(spread.join(shared, "key").select("key", "id", "size"), "buckets")
+    members = stored(spread.join(shared.hint("merge"), "key").select("key", "id", "size"), "buckets")
     discard(shared)
     facts = own.select(F.col("rep").alias("id"), "n", "sig")
     place = F.when(F.col("size") > BLOCK, _block("id", "size")).otherwise(0)

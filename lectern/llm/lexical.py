@@ -34,6 +34,7 @@ INSULTS = frozenset("idiot idiots moron morons stupid dumb dumbass fool loser lo
 
 _OTHER = re.compile(r"[\W\d_]+")
 _RUNS = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[a-zß-öø-ÿ]+"), "x"), (re.compile(r"[0-9]+"), "9"))
+_INSULTS = pa.array(sorted(INSULTS), pa.large_string())
 _CLOSING = ".,;:!?%$*#&|)]}\"'"
 
 
@@ -87,12 +88,20 @@ class _Known(dict):
 
 
 class Features:
-    """The numbers of chosen features that a text has."""
+    """The numbers of chosen features that texts have.
+
+    What tokens of letters (perhaps with closing marks) give is looked up for a batch's distinct tokens at once; other
+    tokens go through token_features() one by one.
+    """
 
     def __init__(self, names: list[str]) -> None:
         self.names = names
         self.at = {f: k for k, f in enumerate(names)}
         self.seen = _Known(self.at)
+        self.sets = {}
+        for kind in ("w", "4", "5", "6", "s", "l"):
+            own = [k for k, f in enumerate(names) if f.startswith(kind + ":")]
+            self.sets[kind] = (pa.array([names[k][2:] for k in own], pa.large_string()), np.array([*own, -1], np.int64))
 
     def __getstate__(self) -> list[str]:
         return self.names
@@ -100,16 +109,45 @@ class Features:
     def __setstate__(self, names: list[str]) -> None:
         self.__init__(names)
 
+    def _among(self, kind: str, values: pa.Array) -> np.ndarray:
+        """The feature of this kind that each value is; -1 without one."""
+        known, number = self.sets[kind]
+        return number[pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy(zero_copy_only=False)]
+
+    def _plain(self, tokens: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which tokens are plain, and for each kind of feature its number, as token_features() has it."""
+        core = pc.utf8_rtrim(tokens, characters=_CLOSING)
+        size = pc.utf8_length(core).to_numpy(zero_copy_only=False)
+        lower, upper, title = (f(core).to_numpy(zero_copy_only=False) for f in (pc.utf8_is_lower, pc.utf8_is_upper, pc.utf8_is_title))
+        closing = pc.utf8_length(tokens).to_numpy(zero_copy_only=False) - size
+        plain = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False) & (lower | upper | title) & (size <= LONG_STRETCH) & (closing < LONG_SHAPE - 1)
+        low = pc.utf8_lower(core)
+        marks = pc.if_else(pa.array(closing > 0), pc.struct_field(pc.extract_regex(tokens, "(?P<m>[" + re.escape(_CLOSING) + "]*)$"), "m"), pa.scalar("", pa.large_string()))
+        case = pa.array(np.where(lower, "x", np.where(upper, "X", "Xx")), pa.large_string())
+        columns = [self._among("w", low), self._among("s", pc.binary_join_element_wise(case, marks, pa.scalar("", pa.large_string()))), np.where(pc.is_in(low, value_set=_INSULTS).to_numpy(zero_copy_only=False), self.at.get("l:insult", -1), -1)]
+        for n in (4, 5, 6):
+            columns.append(np.where(size > n, self._among(str(n), pc.utf8_slice_codeunits(low, 0, n)), -1))
+        return plain, [np.where(plain, c, -1) for c in columns]
+
     def of(self, texts: pa.Array) -> np.ndarray:
         """(texts, features): which features each text has. A word of several texts is looked up once."""
         tokens = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         row = np.repeat(np.arange(len(texts)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
         coded = tokens.flatten().dictionary_encode()
-        at = coded.indices.to_numpy()
-        found = [self.seen[w] if w else () for w in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        begin, every = np.cumsum(size) - size, np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+        at, words = coded.indices.to_numpy(), coded.dictionary
         out = np.zeros((len(texts), len(self.names)), bool)
+        plain, columns = self._plain(words)
+        for c in columns:
+            found = c[at]
+            has = found >= 0
+            out[row[has], found[has]] = True
+        odd = ~plain[at]
+        row, at = row[odd], at[odd]
+        which = np.flatnonzero(~plain)
+        found = [self.seen[w] if w else () for w in words.take(pa.array(which)).to_pylist()]
+        size = np.zeros(len(words), np.int64)
+        size[which] = np.fromiter(map(len, found), np.int64, len(found))
+        begin, every = np.cumsum(size) - size, np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
         step = 0
         while len(at):
             more = size[at] > step

@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from lectern.llm import mixing, quality, queries, toxicity
+from lectern.llm import lexical, mixing, quality, queries, toxicity
 from lectern.llm.lexical import train_softmax
 
 DOC, LABELS = "doc_id long, text string, lang string, source string", "doc_id long, quality int, toxic int"
@@ -74,6 +75,16 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix(docs, mixing.label_domains(labels.limit(0))).count() == docs.count()
 
 
+def test_features_of_a_batch_are_those_of_its_tokens():
+    texts = ["Idiot, idiot!! IDIOT", "x" * 40 + " a.b-c_d12 Don't...", "é É ß ẞ 中文 中文字!! ª", "", None, "i.d.i.o.t " + "z" * 300, "the-whole-of-a-very-long-token-" * 20 + "vexxing", "q" + "." * 40]
+    names = sorted({f for t in texts for w in (t or "").split() for f in lexical.token_features(w)})
+    given = pa.array(["before", *texts, "behind"]).slice(1, len(texts))
+    found = lexical.Features(names).of(given)
+    for k, t in enumerate(texts):
+        assert {names[j] for j in np.flatnonzero(found[k])} == {f for w in (t or "").split() for f in lexical.token_features(w)}
+    assert "w:vexxing" in names and "w:idiot" in lexical.token_features("i.d.i.o.t")
+
+
 def test_softmax_separates():
     rows = [np.array([k % 2, 2 + k % 5]) for k in range(200)]
     target = np.eye(2)[[k % 2 for k in range(200)]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref_src")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value as a variable, so that a plan holds and evaluates its expression once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _encoded(text: Column, kept: str) -> Column:
     """Characters outside of `kept` (a character class) as %XX of their UTF-8 bytes; what is encoded stays as it is."""
     one = lambda c: F.when(c.rlike(f"^[%{kept}]$"), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")))
@@ -31,20 +38,27 @@ def normalize_page_url(url: Column) -> Column:
     than an address may hold as %XX. Null for what isn't an http(s) URL. Hosts stay in the script they are written in."""
     given = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
     whole = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):[/\\]+([^/?#\\]*)([^?#]*)(?:\?([^#]*))?(#.*)?$"
-    scheme, site, path, query, fragment = (F.regexp_extract(given, whole, k) for k in range(1, 6))
-    user, host = F.regexp_extract(site, "^(.*@)?", 1), F.lower(F.regexp_replace(site, "^.*@", ""))
-    host = F.regexp_replace(host, r":0*(\d+)$|:$", F.lit(":$1"))
-    host = F.regexp_replace(host, F.when(F.lower(scheme) == "http", ":(80)?$").otherwise(":(443)?$"), F.lit(""))
-    path = F.translate(path, "\\", "/")
-    path = _resolved(F.when(path == "", "/").otherwise(path))
-    path = _encoded(F.when((F.length(path) > 1) & path.endswith("/"), F.substr(path, F.lit(1), F.length(path) - 1)).otherwise(path), r"!$&'()*+,\-./0-9:;=@A-Z\[\]_a-z|~")
+    parts = lambda x: F.struct(*(F.regexp_extract(x, whole, k).alias(n) for k, n in enumerate(("scheme", "site", "path", "query", "fragment"), 1)))
+    made = let(given, lambda x: F.when(x.rlike(r"(?i)^https?:[/\\]+[^/?#\\]+"), let(parts(x), _joined)))
+    return F.when(url.isNotNull(), made)
+
+
+def _joined(part: Column) -> Column:
+    """A page's address from its parts; null without a host."""
+    scheme = F.lower(part["scheme"])
+    host = F.regexp_replace(F.lower(F.regexp_replace(part["site"], "^.*@", "")), r":0*(\d+)$|:$", F.lit(":$1"))
+    host = F.regexp_replace(host, F.when(scheme == "http", ":(80)?$").otherwise(":(443)?$"), F.lit(""))
+    ended = lambda p: F.when((F.length(p) > 1) & p.endswith("/"), F.substr(p, F.lit(1), F.length(p) - 1)).otherwise(p)
+    path = let(F.translate(part["path"], "\\", "/"), lambda p: F.when(p == "", "/").otherwise(p))
+    path = let(let(let(path, _resolved), ended), lambda p: _encoded(p, r"!$&'()*+,\-./0-9:;=@A-Z\[\]_a-z|~"))
     plain = lambda x: F.coalesce(F.try_url_decode(x), x)
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(plain(F.regexp_extract(p, "^([^=]*)", 1)).alias("n"), plain(F.regexp_extract(p, "(?s)^[^=]*=?(.*)$", 1)).alias("v")))
+    pairs = F.transform(F.filter(F.split(part["query"], "&"), lambda p: p != ""), lambda p: F.struct(plain(F.regexp_extract(p, "^([^=]*)", 1)).alias("n"), plain(F.regexp_extract(p, "(?s)^[^=]*=?(.*)$", 1)).alias("v")))
     told = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["n"]).startswith("utm_") & ~F.lower(p["n"]).isin(*TRACKING)))
     search = F.array_join(F.transform(told, lambda p: F.concat(F.url_encode(p["n"]), F.lit("="), F.url_encode(p["v"]))), "&")
-    kept = F.when(fragment.rlike("^#!?/"), _encoded(fragment, r"!#$&'()*+,\-./0-9:;=?@A-Z\[\\\]^_a-z{|}~")).otherwise("")
-    made = F.concat(F.lower(scheme), F.lit("://"), user, host, path, F.when(search == "", "").otherwise(F.concat(F.lit("?"), search)), kept)
-    return F.when(given.rlike(r"(?i)^https?:[/\\]+[^/?#\\]+") & (host != ""), made)
+    query = let(search, lambda x: F.when(x == "", "").otherwise(F.concat(F.lit("?"), x)))
+    route = F.when(part["fragment"].rlike("^#!?/"), _encoded(part["fragment"], r"!#$&'()*+,\-./0-9:;=?@A-Z\[\\\]^_a-z{|}~")).otherwise("")
+    user = F.regexp_extract(part["site"], "^(.*@)?", 1)
+    return let(host, lambda h: F.when(h != "", F.concat(scheme, F.lit("://"), user, h, path, query, route)))
 
 
 def page_key(tab: Column, url: Column) -> Column:

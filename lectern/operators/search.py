@@ -6,6 +6,10 @@ All is relational: postings are one aggregation of exploded terms, a search is a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+from ahocorasick import Automaton
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,20 +18,29 @@ from lectern.functions.text import clean, exact_literals, normalize_literal, ove
 CANDIDATES, RRF, SECTION_BOOST, TEXT_BOOST = 20, 60, 3.0, 1.0
 K, B, DELTA = 1.2, 0.7, 0.5
 WINDOWS, RELEVANT_BUDGET, ANCHORS = 8, 24_000, 3
+#: Literals that are looked for at a time.
+LITERALS = 50_000
+
+
+Tokenizer = Callable[[Column], Column]
+
 
+def postings(chunks: DataFrame, tokenizer: Tokenizer = retrieval_terms, asked: DataFrame | None = None) -> DataFrame:
+    """article_id, chunk_idx, field, term, tf, len (distinct terms of the field). asked: a table of the terms that are wanted (column term).
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """article_id, chunk_idx, field, term, tf, len (distinct terms of the field)."""
+    Terms that nobody asks for go before anything is counted or moved. tokenizer: text -> array of terms, in order.
+    """
     # The length is made before the terms are opened; made after, it would be counted anew for every term.
-    field = lambda c: F.struct(F.lit(c).alias("field"), F.size(F.array_distinct(retrieval_terms(F.col(c)))).alias("len"), retrieval_terms(F.col(c)).alias("terms"))
+    field = lambda c: F.struct(F.lit(c).alias("field"), F.size(F.array_distinct(tokenizer(F.col(c)))).alias("len"), tokenizer(F.col(c)).alias("terms"))
     fields = chunks.select("article_id", "chunk_idx", F.explode(F.array(field("section"), field("text"))).alias("f"))
     sized = fields.select("article_id", "chunk_idx", F.col("f.field").alias("field"), F.col("f.len").alias("len"), F.explode("f.terms").alias("term"))
-    return sized.groupBy("article_id", "chunk_idx", "field", "term", "len").agg(F.count("*").alias("tf"))
+    wanted = sized if asked is None else sized.join(asked.select("term").distinct(), "term", "left_semi")
+    return wanted.groupBy("article_id", "chunk_idx", "field", "term", "len").agg(F.count("*").alias("tf"))
 
 
-def field_stats(chunks: DataFrame) -> DataFrame:
+def field_stats(chunks: DataFrame, tokenizer: Tokenizer = retrieval_terms) -> DataFrame:
     """article_id, field, chunks, avglen."""
-    of = lambda c: F.size(F.array_distinct(retrieval_terms(F.col(c))))
+    of = lambda c: F.size(F.array_distinct(tokenizer(F.col(c))))
     sums = chunks.groupBy("article_id").agg(F.count("*").alias("chunks"), F.avg(of("section")).alias("section"), F.avg(of("text")).alias("text"))
     return sums.select("article_id", "chunks", F.explode(F.array(F.struct(F.lit("section").alias("field"), F.col("section").alias("avglen")), F.struct(F.lit("text").alias("field"), F.col("text").alias("avglen")))).alias("s")).select("article_id", "chunks", "s.*")
 
@@ -39,20 +52,19 @@ def distinct_queries(queries: DataFrame) -> DataFrame:
     return tidy.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, most: int = CANDIDATES, k: float = K, b: float = B, delta: float = DELTA) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, most: int = CANDIDATES, k: float = K, b: float = B, delta: float = DELTA, tokenizer: Tokenizer = retrieval_terms) -> DataFrame:
     """article_id, query_id, pos, chunk_idx, matched, score, rank (from 1) of the best chunks of each article for each query.
 
-    A query of three distinct terms or more needs two of them in a chunk, others one.
+    A query of three distinct terms or more needs two of them in a chunk, others one. How many chunks have a term is an
+    aggregation that is combined before the shuffle, so a frequent term's postings never meet in one task.
     """
-    terms = queries.select("query_id", "pos", F.array_distinct(retrieval_terms(F.col("text"))).alias("_terms")).select("query_id", "pos", F.size("_terms").alias("_wanted"), F.explode("_terms").alias("term"))
-    # Only postings of asked terms go on; the set of terms is small where questions are few, and AQE broadcasts it then.
-    asked = postings(chunks).join(terms.select("term").distinct(), "term")
-    asked = asked.withColumn("n", F.count("*").over(Window.partitionBy("article_id", "field", "term")))  # not by a join: postings are made once
-    stats = field_stats(chunks)
+    terms = queries.select("query_id", "pos", F.array_distinct(tokenizer(F.col("text"))).alias("_terms")).select("query_id", "pos", F.size("_terms").alias("_wanted"), F.explode("_terms").alias("term"))
+    asked = postings(chunks, tokenizer, terms)
+    held = asked.groupBy("article_id", "field", "term").agg(F.count("*").alias("n")).join(field_stats(chunks, tokenizer), ["article_id", "field"])
     idf = F.log(1 + (F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     boost = F.when(F.col("field") == "section", SECTION_BOOST).otherwise(TEXT_BOOST)
     part = boost * idf * (delta + F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / F.col("avglen"))))
-    weighed = asked.join(stats, ["article_id", "field"]).groupBy("article_id", "chunk_idx", "term").agg(F.sum(part).alias("w"))
+    weighed = asked.join(held, ["article_id", "field", "term"]).groupBy("article_id", "chunk_idx", "term").agg(F.sum(part).alias("w"))
     scored = weighed.join(terms, "term").groupBy("article_id", "query_id", "pos", "chunk_idx", "_wanted").agg(F.count("*").alias("matched"), F.round(F.sum("w"), 9).alias("score"))
     fit = scored.filter(F.col("matched") >= F.when(F.col("_wanted") >= 3, 2).otherwise(1))
     order = Window.partitionBy("article_id", "query_id", "pos").orderBy(F.desc("score"), "chunk_idx")
@@ -67,29 +79,48 @@ def fuse(ranked: DataFrame, constant: int = RRF) -> DataFrame:
 
 
 def literal_matches(chunks: DataFrame, questions: DataFrame, focus: Column | None = None) -> DataFrame:
-    """article_id, query_id, chunk_idx, longest, matches, place: chunks that hold a question's literals.
-
-    Every literal with a token of the index is looked up by its longest token first, so no chunk meets every question; a
-    containing check follows. Literals without any such token (marks alone) meet all chunks, which the caller bounds.
-    """
+    """article_id, query_id, chunk_idx, longest, matches, place: chunks that hold a question's literals."""
     literals = questions.select("query_id", F.explode(exact_literals(F.col("question"), focus)).alias("literal"))
     return matches_of(chunks, literals)
 
 
+def containing(chunks: DataFrame, literals: DataFrame, block: int = LITERALS) -> DataFrame:
+    """article_id, chunk_idx, literal of all chunks whose section and text (normalised) hold a literal.
+
+    The distinct literals, the small side, are taken in blocks of about `block`, as many blocks as there need to be; one pass of
+    an automaton over a chunk finds all literals of a block, so no chunk meets them one by one.
+    """
+    content = chunks.select("article_id", "chunk_idx", normalize_literal(F.concat("section", F.lit("\n"), "text")).alias("_content"))
+    kind = ", ".join(f"{c} {content.schema[c].dataType.simpleString()}" for c in ("article_id", "chunk_idx")) + ", literal array<string>"
+    asked = literals.select("literal").distinct()
+    count = -(-asked.count() // block)
+
+    def of_block(given: list[str]) -> DataFrame:
+        shared = chunks.sparkSession.sparkContext.broadcast(given)
+
+        def run(parts):
+            found = Automaton()
+            for w in shared.value:
+                found.add_word(w, w)
+            found.make_automaton()
+            for part in parts:
+                held = [sorted({w for _, w in found.iter(t)}) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(held, pa.list_(pa.string()))], names=["article_id", "chunk_idx", "literal"])
+
+        return content.mapInArrow(run, kind)
+
+    out = content.select("article_id", "chunk_idx", F.array().cast("array<string>").alias("literal")).limit(0)
+    for k in range(count):
+        own = [r["literal"] for r in asked.filter(F.pmod(F.xxhash64("literal"), F.lit(count)) == k).collect()]
+        made = of_block(own)
+        out = made if k == 0 else out.unionByName(made)
+    return out.select("article_id", "chunk_idx", F.explode("literal").alias("literal"))
+
+
 def matches_of(chunks: DataFrame, literals: DataFrame) -> DataFrame:
     """literal_matches() for literals given as query_id, literal."""
-    text = chunks.select("article_id", "chunk_idx", normalize_literal(F.concat("section", F.lit("\n"), "text")).alias("_content"))
-    parts = r"([\p{L}\p{N}]+)"
-    key = lambda c: F.regexp_extract_all(c, F.lit(parts), 1)
-    # A literal's inner tokens are whole in any text that holds it; its first and last may be part of a longer one.
-    keyed = literals.withColumn("_keys", key(F.col("literal"))).withColumn("_inner", F.when(F.size("_keys") > 2, F.slice("_keys", 2, F.size("_keys") - 2)).otherwise(F.array().cast("array<string>")))
-    longest = F.reduce("_inner", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    keyed = keyed.withColumn("_key", longest).select("query_id", "literal", "_key")
-    tokens = text.withColumn("_key", F.explode(F.array_distinct(key(F.col("_content")))))
-    found = tokens.join(keyed.filter("_key <> ''"), "_key").filter(F.contains("_content", "literal")).select("article_id", "chunk_idx", "query_id", "literal")
-    short = keyed.filter("_key = ''").select("query_id", "literal")
-    wide = text.join(short, F.contains("_content", "literal")).select("article_id", "chunk_idx", "query_id", "literal")
-    sums = found.unionByName(wide).groupBy("article_id", "query_id", "chunk_idx").agg(F.max(F.length("literal")).alias("longest"), F.count("*").alias("matches"))
+    found = containing(chunks, literals).join(literals, "literal")
+    sums = found.groupBy("article_id", "query_id", "chunk_idx").agg(F.max(F.length("literal")).alias("longest"), F.count("*").alias("matches"))
     order = Window.partitionBy("article_id", "query_id").orderBy(F.desc("longest"), F.desc("matches"), "chunk_idx")
     return sums.withColumn("place", F.row_number().over(order))
 

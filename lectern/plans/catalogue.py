@@ -56,8 +56,9 @@ def token_sets(spark, d):
 @query
 def term_stats(spark, d):
     """Of every term, in how many documents of a language it occurs, and how often."""
-    terms = _docs(spark, d).select("lang", "doc_id", F.explode(T.retrieval_terms(F.col("text"))).alias("term")).groupBy("lang", "term", "doc_id").agg(F.count("*").alias("tf"))
-    return terms.groupBy("lang", "term").agg(F.count("*").alias("docs"), F.sum("tf").cast("long").alias("occurrences"))
+    terms = _docs(spark, d).select("lang", F.array_sort(T.retrieval_terms(F.col("text"))).alias("t")).select("lang", F.posexplode("t").alias("at", "term"), "t")
+    first = (F.col("at") == 0) | (F.get("t", F.col("at") - 1) != F.col("term"))  # sorted, so a document's repeats are behind its first
+    return terms.select("lang", "term", first.cast("long").alias("first")).groupBy("lang", "term").agg(F.sum("first").alias("docs"), F.count("*").alias("occurrences"))
 
 
 @query

@@ -1,4 +1,10 @@
-"""Conversation messages as a stream: every micro-batch merges the completed turns into the archive; stale generations go."""
+"""Conversation messages as a stream: micro-batches upsert into a table of messages by page, which gives the archived turns.
+
+The table is kept in buckets of pages. A batch writes a new version of the buckets it touches and of no others, from the
+newest version before it, so a batch that runs again after a failure gives the same. All messages are kept, by conversation
+and place, so an answer finds its question in whatever batches the two come; of a conversation only the highest
+generation counts. Versions older than the one before the last are removed.
+"""
 
 from __future__ import annotations
 
@@ -6,34 +12,75 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators.memory import completed_turns, merge_turns
+from lectern.operators.memory import completed_turns
 
+COLUMNS = ["conv_id", "msg_idx", "role", "content", "created_at", "error", "url", "generation"]
 MESSAGE = "conv_id long, msg_idx long, role string, content string, created_at long, error boolean, url string, generation long"
+BUCKETS = 64
 
 
 def newest_generation(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     """The rows of each key's highest generation; what older ones still send is stale."""
-    return rows.withColumn("_g", F.max("generation").over(Window.partitionBy(key))).filter("generation = _g").drop("_g")
+    best = rows.groupBy(key).agg(F.max("generation").alias("generation"))
+    return rows.join(best, [key, "generation"], "left_semi")
 
 
 def turns_by_page(rows: DataFrame) -> DataFrame:
-    """url, question_id, pos, created_at, question, answer of completed turns."""
+    """url, question_id, pos, created_at, question, answer of completed turns; the id is of the conversation and the question's place in it."""
     done = completed_turns(rows)
-    facts = rows.select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("msg_idx")) - 1).alias("turn_idx"), "url", "created_at")
-    return done.join(facts, ["conv_id", "turn_idx"]).select("url", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn_idx").cast("string")).alias("question_id"), F.col("turn_idx").cast("long").alias("pos"), "created_at", "question", "answer")
+    facts = rows.select("conv_id", "msg_idx", (F.row_number().over(Window.partitionBy("conv_id").orderBy("msg_idx")) - 1).alias("turn_idx"), "url", "created_at")
+    return done.join(facts, ["conv_id", "turn_idx"]).select("url", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("msg_idx").cast("string")).alias("question_id"), F.col("msg_idx").alias("pos"), "created_at", "question", "answer")
+
+
+def _versions(spark: SparkSession, archive: str) -> dict[int, list[int]]:
+    """bucket -> its complete versions, in order."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(archive)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{archive}/bucket-*/version-*/_SUCCESS")) or []:
+        version = found.getPath().getParent()
+        out.setdefault(int(version.getParent().getName()[7:]), []).append(int(version.getName()[8:]))
+    return {b: sorted(v) for b, v in out.items()}
+
+
+def _read(spark: SparkSession, archive: str, versions: dict[int, int]) -> DataFrame:
+    paths = [f"{archive}/bucket-{b}/version-{v}" for b, v in sorted(versions.items())]
+    return spark.read.schema(MESSAGE).parquet(*paths) if paths else spark.createDataFrame([], MESSAGE)
+
+
+def stored_messages(spark: SparkSession, archive: str) -> DataFrame:
+    """All messages, as the last batch left them."""
+    return _read(spark, archive, {b: v[-1] for b, v in _versions(spark, archive).items()})
+
 
+def archived_turns(spark: SparkSession, archive: str) -> DataFrame:
+    """url, question_id, ord (by time, then place), created_at, question, answer."""
+    order = Window.partitionBy("url").orderBy("created_at", "question_id")
+    return turns_by_page(stored_messages(spark, archive)).withColumn("ord", (F.row_number().over(order) - 1).cast("int")).drop("pos")
 
-def archive_stream(spark: SparkSession, source: str, archive: str, checkpoint: str) -> StreamingQuery:
-    """Read message files, merge each batch into the archive table of folders v<batch>, the last of which counts.
 
-    A batch that runs again after a failure writes the same folder again from the same previous one.
-    """
+def upsert(spark: SparkSession, batch: DataFrame, archive: str, number: int, buckets: int = BUCKETS) -> None:
+    """Write version `number` of the buckets that the batch's pages fall to, and remove what no run reads any more."""
+    own = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+    rows = batch.select(*COLUMNS).withColumn("_bucket", own).persist()
+    touched = [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]
+    versions = {b: [v for v in found if v < number] for b, found in _versions(spark, archive).items()}
+    held = _read(spark, archive, {b: versions[b][-1] for b in touched if versions.get(b)})
+    every = held.withColumn("_new", F.lit(0)).withColumn("_bucket", own).unionByName(rows.withColumn("_new", F.lit(1)))
+    last = Window.partitionBy("conv_id", "msg_idx").orderBy(F.desc("generation"), F.desc("_new"), F.desc("created_at"))
+    kept = newest_generation(every).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_new").persist()
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(archive).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for b in touched:
+        kept.filter(F.col("_bucket") == b).drop("_bucket").write.mode("overwrite").parquet(f"{archive}/bucket-{b}/version-{number}")
+        for old in versions.get(b, [])[:-1]:
+            files.delete(jvm.org.apache.hadoop.fs.Path(f"{archive}/bucket-{b}/version-{old}"), True)
+    kept.unpersist()
+    rows.unpersist()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        incoming = turns_by_page(newest_generation(batch))
-        before = f"{archive}/v{number - 1}"
-        held = spark.read.parquet(before).withColumn("pos", F.col("ord").cast("long")).drop("ord") if number else incoming.limit(0)
-        merge_turns(held.select("url", "question_id", "pos", "created_at", "question", "answer"), incoming).write.mode("overwrite").parquet(f"{archive}/v{number}")
 
+def archive_stream(spark: SparkSession, source: str, archive: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Read message files and upsert each batch."""
     stream = spark.readStream.schema(MESSAGE).parquet(source)
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, number: upsert(spark, batch, archive, number, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -24,8 +24,8 @@ as nought); repeated rows each count and each get their row; with no training ro
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,12 @@ OWN_COUNT = 3
 #: Strength of the classes' own shares in a class's transitions.
 TRANSITION_WEIGHT = 20.0
 #: Distinct words, and distinct neighbour counts, that a task holds before it passes them on.
-FLUSH_WORDS, FLUSH_CODES = 300_000, 1 << 22
+FLUSH_WORDS, FLUSH_CODES = 250_000, 1 << 21
+#: Bits of the filter through which words go before their neighbours are counted: two megabytes.
+FILTER_BITS = 1 << 24
 END = b""  # no word is empty
 
-_CLOSING = b".,;:!?)]}\"'%$*#&|"
+_CLOSING = ".,;:!?)]}\"'%$*#&|"
 
 
 class Coded:
@@ -58,15 +60,16 @@ class Coded:
         lists = pc.ascii_split_whitespace(low.cast(pa.large_string()))
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         held = lists.flatten().dictionary_encode()
-        at, self.words = held.indices.to_numpy().astype(np.int64), held.dictionary.cast(pa.large_binary()).to_pylist()
-        self.end = len(self.words)
-        if END in self.words:  # white space at a text's edges gives empty words
-            self.end = self.words.index(END)
+        at, self.told = held.indices.to_numpy().astype(np.int64), held.dictionary.cast(pa.large_binary())
+        self.end = pc.index(self.told, pa.scalar(END, pa.large_binary())).as_py()
+        if self.end >= 0:  # white space at a text's edges gives empty words
             full = at != self.end
             sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
             at = at[full]
         else:
-            self.words.append(END)
+            self.end = len(self.told)
+            self.told = pa.concat_arrays([self.told, pa.array([END], pa.large_binary())])
+        self.words = self.told.to_pylist()
         self.at = np.insert(at, np.cumsum(sizes), self.end)
         self.sizes = sizes + 1
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -88,10 +91,17 @@ def coded(parts, column: int = 0):
         yield part, Coded(part.column(column))
 
 
-def shape(word: bytes) -> bytes:
-    """The last two characters before closing punctuation, and the first mark of that."""
-    core = word.rstrip(_CLOSING)
-    return core[-8:].decode("utf-8", "ignore")[-2:].encode() + b" " + word[len(core) : len(core) + 1]
+def shapes(words: pa.Array) -> pa.Array:
+    """Of words (large binary) the last two characters before closing punctuation, and the word's last mark if there is such; bytes that are no text give a shape of their own."""
+    try:
+        texts = words.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        texts = pa.array([w.decode("utf-8", "replace") for w in words.to_pylist()], pa.large_string())
+    core = pc.utf8_rtrim(texts, characters=_CLOSING)
+    marked = pc.less(pc.binary_length(core), pc.binary_length(texts))
+    nothing = pa.scalar("", pa.large_string())
+    mark = pc.if_else(marked, pc.utf8_slice_codeunits(texts, -1), nothing)
+    return pc.binary_join_element_wise(pc.utf8_slice_codeunits(core, -2), mark, pa.scalar(" ", pa.large_string()))
 
 
 def held_out(key: str) -> Column:
@@ -123,21 +133,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Units:
     """Which unit a word belongs to: 0 the end, then frequent words, then shapes, then the rest by closing mark."""
 
-    def __init__(self, words: list[bytes], shapes: list[bytes]) -> None:
-        self.words = {END: 0} | {w: k for k, w in enumerate((w for w in words if w != END), 1)}
-        self.shapes = {s: k for k, s in enumerate(shapes, len(self.words))}
+    def __init__(self, words: list[bytes], shapes_: list[str]) -> None:
+        self.words = pa.array([END, *(w for w in words if w != END)], pa.large_binary())
+        self.shapes = pa.array(shapes_, pa.large_string())
         self.rest = len(self.words) + len(self.shapes)
         self.size = self.rest + 2
-        self.seen: dict[bytes, int] = {}
 
-    def of(self, word: bytes) -> int:
-        if (k := self.words.get(word)) is None and (k := self.seen.get(word)) is None:
-            s = shape(word)
-            k = self.shapes.get(s, self.rest + (not s.endswith(b" ")))
-            if len(self.seen) > FLUSH_WORDS:
-                self.seen.clear()
-            self.seen[word] = k
-        return k
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The units of words (large binary), and which words are units of their own."""
+        own = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        shape = shapes(words)
+        by = pc.fill_null(pc.index_in(shape, value_set=self.shapes), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        marked = np.invert(pc.ends_with(shape, " ").to_numpy(zero_copy_only=False))
+        return np.where(own >= 0, own, np.where(by >= 0, len(self.words) + by, self.rest + marked)), own >= 0
 
 
 def unit_bigrams(texts: DataFrame, units: Units) -> np.ndarray:
@@ -147,7 +155,7 @@ def unit_bigrams(texts: DataFrame, units: Units) -> np.ndarray:
     def run(parts):
         total = np.zeros(size * size, np.int64)
         for _, t in coded(parts):
-            of = np.fromiter(map(units.of, t.words), np.int64, len(t.words))
+            of, _ = units.of(t.told)
             total += np.bincount(t.before(of) * size + of[t.at], minlength=size * size)
         codes = np.flatnonzero(total)
         for at in range(0, len(codes), 1 << 16):
@@ -216,8 +224,23 @@ def listed(words: pa.Array, word: np.ndarray, columns: list[np.ndarray], kinds:
     return [words.take(pa.array(word[first])), *(m.take(pa.array(first)) for m in more), *(pa.ListArray.from_arrays(offsets, pa.array(c, k)) for c, k in zip(columns, kinds, strict=True))]
 
 
-def neighbours(texts: DataFrame, units: Units, own: np.ndarray) -> DataFrame:
-    """word, codes, n of words that aren't units of their own: how often a word follows a class (code: the class) and goes before one (code: the class and the number of classes)."""
+class Often:
+    """Whether words are among those seen OWN_COUNT times or more, by a bitmap of FILTER_BITS bits at any size; some others pass, too."""
+
+    def __init__(self, counted: DataFrame) -> None:
+        bit = F.pmod(F.crc32("word"), F.lit(FILTER_BITS))
+        few = counted.filter(F.col("c") >= OWN_COUNT).select(F.floor(bit / 32).cast("int").alias("place"), (bit % 32).cast("int").alias("by"))
+        held = few.groupBy("place").agg(F.expr("bit_or(shiftleft(1L, by))").alias("bits")).toArrow()
+        self.bits = np.zeros(FILTER_BITS // 32, np.uint32)
+        self.bits[held["place"].to_numpy()] = held["bits"].to_numpy().astype(np.uint32)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        bit = np.fromiter(map(crc32, words), np.int64, len(words)) % FILTER_BITS
+        return (self.bits[bit // 32] >> (bit % 32).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def neighbours(texts: DataFrame, units: Units, own: np.ndarray, often: Often) -> DataFrame:
+    """word, codes, n of words that aren't units of their own and are seen often: how often a word follows a class (code: the class) and goes before one (code: the class and the number of classes)."""
     size = int(own.max()) + 1
     schema = pa.schema([("word", pa.binary()), ("codes", pa.list_(pa.int16())), ("n", pa.list_(pa.int64()))])
 
@@ -239,8 +262,8 @@ def neighbours(texts: DataFrame, units: Units, own: np.ndarray) -> DataFrame:
         def made():
             nonlocal codes
             for _, t in coded(parts):
-                of = np.fromiter(map(units.of, t.words), np.int64, len(t.words))
-                free = np.array([w not in units.words for w in t.words])
+                of, alone = units.of(t.told)
+                free = ~alone & often(t.words)
                 cls = own[of]
                 here = free[t.at]  # no end is, after which another text comes
                 follows = (t.at * (2 * size) + t.before(cls))[here]
@@ -279,26 +302,29 @@ def likeliest(counts: np.ndarray, now: np.ndarray, grid: np.ndarray) -> np.ndarr
     return fit.argmax(axis=1)
 
 
-def word_classes(texts: DataFrame, units: Units, own: np.ndarray, bigrams: np.ndarray) -> DataFrame:
-    """word, c, class of every training word that isn't a unit of its own."""
+def word_classes(counted: DataFrame, texts: DataFrame, units: Units, own: np.ndarray, bigrams: np.ndarray) -> DataFrame:
+    """word, c, class of every training word: the unit's for units of their own and words seen seldom, else the one its neighbours fit best."""
     size = int(own.max()) + 1
     member = np.eye(size)[own]
     grid = member.T @ bigrams @ member
 
-    def run(parts):
-        for whole in parts:
-            for k in range(0, whole.num_rows, 4096):
-                part = whole.slice(k, 4096)
-                words, codes, n = part.column(0).to_pylist(), part.column(1), part.column(2)
-                row = np.repeat(np.arange(len(words)), np.asarray(codes.value_lengths()))
-                counts = np.bincount(row * (2 * size) + codes.flatten().to_numpy().astype(np.int64), weights=n.flatten().to_numpy(), minlength=len(words) * 2 * size).reshape(len(words), 2 * size)
-                times = counts[:, :size].sum(axis=1)
-                now = np.array([own[units.of(w)] for w in words], np.int64)
-                free = times >= OWN_COUNT
-                now[free] = likeliest(counts[free], now[free], grid)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(times.astype(np.int64)), pa.array(now, pa.int32())], names=["word", "c", "class"])
+    def fitted(parts):
+        for part in sliced(parts, 4096):
+            codes, n = part.column(1), part.column(2)
+            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(codes).to_numpy(zero_copy_only=False))
+            counts = np.bincount(row * (2 * size) + codes.flatten().to_numpy().astype(np.int64), weights=n.flatten().to_numpy(), minlength=part.num_rows * 2 * size).reshape(part.num_rows, 2 * size)
+            free = counts[:, :size].sum(axis=1) >= OWN_COUNT  # others have passed the bitmap by chance
+            words = part.column(0).filter(pa.array(free))
+            now = own[units.of(words.cast(pa.large_binary()))[0]]
+            yield pa.RecordBatch.from_arrays([words, pa.array(likeliest(counts[free], now, grid), pa.int32())], names=["word", "own"])
+
+    def shaped(parts):
+        for part in sliced(parts, 1 << 14):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own[units.of(part.column(0).cast(pa.large_binary()))[0]], pa.int32())], names=["word", "c", "shaped"])
 
-    return neighbours(texts, units, own).mapInArrow(run, "word binary, c long, class int")
+    fit = neighbours(texts, units, own, Often(counted)).mapInArrow(lambda parts: tidy(fitted(parts)), "word binary, own int")
+    every = counted.select("word", "c").mapInArrow(lambda parts: tidy(shaped(parts)), "word binary, c long, shaped int")
+    return every.join(fit, "word", "left").select("word", "c", F.coalesce("own", "shaped").alias("class"))
 
 
 class Model:
@@ -371,22 +397,17 @@ def fit(texts: DataFrame, counted: DataFrame) -> tuple[Model, DataFrame]:
     once, twice = facts["once"], facts["twice"]
     discount = float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once else 0.5
 
-    def shapes(parts):
-        count: Counter = Counter()
-        for part in parts:
-            for w, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                count[shape(w)] += c
-        yield from batches(iter(count.items()), pa.schema([("shape", pa.binary()), ("n", pa.int64())]))
-
-    common = counted.select("word", "c").mapInArrow(shapes, "shape binary, n long").groupBy("shape").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shape").limit(UNIT_SHAPES).collect()
-    frequent = counted.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(UNIT_WORDS).select("word", "c").collect()
-    ends = counted.filter(F.octet_length("word") == 0).select("word", "c").collect()
-    units = Units([bytes(r["word"]) for r in frequent], [bytes(r["shape"]) for r in common])
+    def of_shapes(parts):
+        for part in sliced(parts, 1 << 16):
+            sums = pa.table([shapes(part.column(0).cast(pa.large_binary())), part.column(1)], names=["shape", "n"]).group_by("shape").aggregate([("n", "sum")])
+            yield from sums.rename_columns({"n_sum": "n"}).select(["shape", "n"]).cast(pa.schema([("shape", pa.string()), ("n", pa.int64())])).to_batches()
+
+    common = counted.select("word", "c").mapInArrow(of_shapes, "shape string, n long").groupBy("shape").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shape").limit(UNIT_SHAPES).collect()
+    frequent = counted.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(UNIT_WORDS).select("word").collect()
+    units = Units([bytes(r["word"]) for r in frequent], [r["shape"] for r in common])
     bigrams = unit_bigrams(texts, units)
     own = exchange(bigrams)
-    times = {bytes(r["word"]): r["c"] for r in frequent + ends}
-    alone = texts.sparkSession.createDataFrame([(bytearray(w), c, int(own[units.of(w)])) for w, c in times.items()], "word binary, c long, class int")
-    vocabulary = stored(word_classes(texts, units, own, bigrams).unionByName(alone), "classes")
+    vocabulary = stored(word_classes(counted, texts, units, own, bigrams), "classes")
     size = int(own.max()) + 1
     tokens, types = np.zeros(size), np.zeros(size)
     for r in vocabulary.groupBy("class").agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect():
@@ -468,7 +489,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_
                 out = part.column(1).to_numpy(zero_copy_only=False)
                 met = np.unique(t.at[~known & out[t.row]])
                 shaped = np.full(len(t.words), -1)
-                shaped[met] = [own.own[own.units.of(t.words[k])] for k in met.tolist()]
+                shaped[met] = own.own[own.units.of(t.told.take(pa.array(met)))[0]]
                 width = len(t.words)
                 code, n = np.unique(t.row[~known] * width + t.at[~known], return_counts=True)  # a text's other words
                 word, by, where = beside(t, cls, size)

@@ -45,3 +45,41 @@ def test_words_outside_the_head_score_alike(spark, monkeypatch):
         monkeypatch.setattr(class_lm, "HEAD", head)
         got.append(sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in class_lm.train_and_score(docs).collect()))
     assert got[0] == got[1] == got[2] and np.isfinite([r[3] for r in got[0]]).all()
+
+
+def test_scores_are_those_of_a_plain_class_model(spark, monkeypatch):
+    """Transitions, emissions and unseen words' share, counted again word by word from the classes that were found."""
+    monkeypatch.setattr(class_lm, "UNIT_WORDS", 12)
+    monkeypatch.setattr(class_lm, "HEAD", 15)
+    docs, _, _ = corpus(spark, 120)
+    docs = docs.unionAll(docs.filter("doc_id < 5")).unionAll(spark.createDataFrame([(None, "x y"), (9001, "P  q\tunheard\nwords")], DOC)).selectExpr("*", "1 AS score", "2 AS word", "3 AS _row")
+    texts = docs.filter(~class_lm.held_out("doc_id")).select("text")
+    counted = class_lm.stored(class_lm.word_counts(texts), "words")
+    model, vocabulary = class_lm.fit(texts, counted)
+    found = {bytes(r["word"]): (r["c"], r["class"]) for r in vocabulary.collect()}
+    size, split = model.size, lambda t: (t or "").encode().lower().split() + [b""]
+    unseen = lambda w: int(model.own[model.units.of(pa.array([w], pa.large_binary()))[0][0]])
+    cls = lambda w: found[w][1] if w in found else unseen(w)
+    grid, tokens, types = np.zeros((size, size)), np.zeros(size), np.zeros(size)
+    for c, k in found.values():
+        tokens[k] += c
+        types[k] += 1
+    for r in texts.collect():
+        before = 0
+        for w in split(r["text"]):
+            grid[before, cls(w)] += 1
+            before = cls(w)
+    once, twice = (sum(c == n for c, _ in found.values()) for n in (1, 2))
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.95)
+    share = (grid.sum(axis=0) + 1) / (grid.sum() + size)
+    want = []
+    for r in docs.collect():
+        total, before = 0.0, 0
+        for w in split(r["text"]):
+            k = cls(w)
+            total += np.log10((grid[before, k] + class_lm.TRANSITION_WEIGHT * share[k]) / (grid[before].sum() + class_lm.TRANSITION_WEIGHT))
+            total += np.log10((found[w][0] - discount if w in found else discount * types[k]) / tokens[k])
+            before = k
+        want.append((str(r["doc_id"]), round(total, 6)))
+    got = [(str(r["doc_id"]), round(r["score"], 6)) for r in class_lm.score(docs, model, vocabulary).collect()]
+    assert sorted(got) == sorted(want)

@@ -1,4 +1,8 @@
-"""From raw documents to token ids: five stages, each one of the operators of lectern.llm."""
+"""From raw documents to token ids: five stages, each one of the operators of lectern.llm.
+
+Every stage reads the stored table of the one before it, which is what tells its rows apart. The last one puts out the
+packed ids (little-endian unsigned 32-bit integers) of every text with their number and digests.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return radix_dedup.drop_copies(docs)
+    return radix_dedup.drop_copies(docs, table=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +34,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
 
 STAGES = [
@@ -41,7 +45,7 @@ STAGES = [
     ("token ids", encode_ids),
 ]
 
-#: The classifiers can't be expressed in SQL; tests/llm holds the pipeline against a plain version.
+#: The classifiers can't be expressed in SQL; tests/llm holds each stage's decisions against a plain version.
 ORACLE_SQL = None
 
 

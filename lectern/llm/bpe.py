@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches, documents_of
+from lectern.llm.common import batches, documents_of, sliced, tidy
 
 #: Pieces above this length take the round-wise form for single rows.
 LONG = 256
 #: Pieces whose ids a worker remembers, and the longest of them.
-CACHE_PIECES, CACHE_LENGTH = 400_000, 64
+CACHE_PIECES, CACHE_LENGTH = 150_000, 64
 NONE = np.int64(1) << 40
 #: The width of the bucket of each length: exact for short pieces, else the next multiple of 8.
 WIDTHS = [max(1, n) if n <= 16 else (n + 7) // 8 * 8 for n in range(LONG + 1)]
@@ -218,12 +218,15 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(parts):
         own = encoder(path, pattern)
-        for part in parts:
-            keys = part.column(0)
-            schema = pa.schema([pa.field(n, keys.type if n == key else pa.binary()) for n in names])
-            texts = part.column(1).to_pylist()
-            rows = ((k, ids, own.decode(ids)) if decoded else (k, ids) for k, ids in zip(keys.to_pylist(), own.encode_batch(texts), strict=True))
-            yield from batches(rows, schema, weight=lambda r: 2 * len(r[1]))
+
+        def made():
+            for part in sliced(parts):
+                keys = part.column(0)
+                schema = pa.schema([pa.field(n, keys.type if n == key else pa.binary()) for n in names])
+                rows = ((k, ids, own.decode(ids)) if decoded else (k, ids) for k, ids in zip(keys.to_pylist(), own.encode_batch(part.column(1).to_pylist()), strict=True))
+                yield from batches(rows, schema, weight=lambda r: 2 * len(r[1]))
+
+        yield from tidy(made())
 
     return source.mapInArrow(run, kinds)
 
@@ -243,7 +246,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text."""
-    out = encode(docs, path, pattern, decoded=True)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256 and decoded_sha256 of every text; with ids also the packed ids themselves."""
+    out = encode(docs, path, pattern, key, text, decoded=True)
+    return out.select(f"`{key}`", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *["ids"] * ids, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

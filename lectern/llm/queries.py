@@ -41,7 +41,7 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return radix_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("_row")
+    return radix_dedup.exact_dedup(table(spark, sf_dir, "documents"), table=True).drop("_row")
 
 
 def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

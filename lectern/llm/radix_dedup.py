@@ -10,8 +10,8 @@ possible copies moves.
 
 Defined results: a null text counts as empty; a null key is less than any other; of rows with the largest key of a
 group the first read stays; a repeated row is a copy of its first occurrence; an empty table gives an empty result.
-The input should be a stored table: rows are told apart by their place in it. Other inputs are stored first with
-store=True.
+Rows are told apart by their place in the input, which must be a table read from files; other inputs are written to the
+shared folder first (table=False).
 """
 
 from __future__ import annotations
@@ -67,9 +67,9 @@ def copies(rows: DataFrame, first: int = FIRST_DIGIT, widening: int = WIDENING)
     return out
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", store: bool = False, first: int = FIRST_DIGIT, widening: int = WIDENING) -> DataFrame:
-    """One row for each row of docs: key, keep_id, group_size, kept, text_sha256 (of the normalised text), _row."""
-    docs = stored(docs, "radix-input") if store else docs
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", table: bool = False, first: int = FIRST_DIGIT, widening: int = WIDENING) -> DataFrame:
+    """One row for each row of docs: key, keep_id, group_size, kept, text_sha256 (of the normalised text), _row. table: docs is read from files as it is."""
+    docs = docs if table else stored(documents_of(docs, key, text), "radix-input")
     rows = normalised(docs, key, text)
     equal = copies(rows, first, widening)
     stays = equal.filter(F.col("_key").eqNullSafe(F.col("_keep"))).groupBy("_group").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("_stays"))
@@ -85,8 +85,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", store:
     )
 
 
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", store: bool = False) -> DataFrame:
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", table: bool = False) -> DataFrame:
     """docs without the rows that exact_dedup() doesn't keep; all columns stay."""
-    docs = stored(docs, "radix-input") if store else docs
-    lost = exact_dedup(docs, key, text).filter("not kept").select(F.col("_row").alias("__row"))
+    docs = docs if table else stored(docs, "radix-input")
+    lost = exact_dedup(docs, key, text, table=True).filter("not kept").select(F.col("_row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(lost, "__row", "left_anti").drop("__row")

@@ -32,6 +32,8 @@ def test_exact_dedup_of_odd_rows(spark):
     clash = frame(spark, rows[:2]).selectExpr("*", "1 AS kept", "2 AS _row", "3 AS _body", "4 AS keep_id")
     kept = radix_dedup.drop_copies(clash)
     assert kept.count() == 1 and kept.columns == clash.columns
+    shuffled = frame(spark, [(k, f"text {k % 7}") for k in range(60)]).repartition(5, "doc_id").sample(0.9, 3)
+    assert {r["text"] for r in radix_dedup.drop_copies(shuffled).collect()} == {f"text {k}" for k in range(7)} and radix_dedup.drop_copies(shuffled).count() == 7
 
 
 def brute(rows, percent=80):

@@ -41,6 +41,24 @@ def test_bpe_is_the_librarys(spark, library):
     assert bpe.digests(frame(spark, []), path, pattern).count() == 0
 
 
+def test_long_pieces_are_the_librarys(library):
+    """Pieces of more bytes than a matrix row holds are merged another way, to the same ids."""
+    rng = random.Random(12)
+    own = bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for k in range(150):
+        letters = rng.choice(["ab", "the", "etaoinshrdlu", "aä中é", "=", "-_"])
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(257, 1400)))
+        (ids,) = own.encode_batch([text])
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+
+
+def test_ids_of_odd_rows(spark, library):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = spark.createDataFrame([("a", "x y"), ("a", "x y"), (None, None)], "name string, body string").selectExpr("*", "1 AS ids", "2 AS decoded", "3 AS n_tokens")
+    got = bpe.digests(rows, path, pattern, "name", "body", ids=True).collect()
+    assert sorted((str(r["name"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in got) == [("None", []), ("a", library.encode_ordinary("x y")), ("a", library.encode_ordinary("x y"))]
+
+
 def test_digests_look_at_the_next_document(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 300))) for _ in range(30)] + ODD

@@ -13,8 +13,10 @@ elements from the start, or from the end) and is template only from PLACED_PAGES
 a notice in every article goes, a passage that some articles quote stays. Headings in articles stay. Where placed template would
 take more than PLACED_MOST of a page's main text, the pages are copies of one another rather than alike by template, and it stays.
 
-The counts are one aggregation (host, hash) -> pages, combined before the shuffle. Templates come back to pages by a join on
-(host, hash), so that a page gets those it holds and no row carries those of its host; then by the page's row number.
+Pages are parsed once: the text they have without regard to counts is stored with their hashes. The counts are one
+aggregation (host, hash) -> pages, combined before the shuffle. A join on (host, hash) tells which pages hold template in
+their main text, and which, so no row carries its host's whole template; these pages alone are read and parsed again. A bitmap of their
+row numbers, of FILTER_BITS bits at any size, keeps all others, or nearly, out of the joins that follow.
 
 Defined results: null or empty html gives an empty text; a null url gives a host of its own ("") for counting; repeated
 rows each give their row; an empty table gives an empty result. Hosts of fewer than MIN_PAGES pages have no template.
@@ -26,7 +28,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -38,6 +39,8 @@ from lectern.llm.common import batches, discard, documents_of, sliced, stored, t
 #: On how many different pages of its host, and on what share of them, a subtree is template; and if its place counts.
 MIN_PAGES, MIN_SHARE = 4, 0.01
 PLACED_PAGES, PLACED_SHARE, PLACED_MOST = 6, 0.5, 0.3
+#: Bits of the filter that tells pages with template from others: at most 133,153 words of 63 bits, about two megabytes.
+FILTER_BITS = 1 << 23
 #: Hashed subtrees have this many code points of text at least.
 MIN_TEXT = 3
 
@@ -183,26 +186,27 @@ def _digest(parts: list[str]) -> int:
 
 
 class Subtree:
-    """A node's hash and text length; the keys it is counted under, and whether these hold its place."""
+    """A node's hash and text length; the keys it is counted under, whether these hold its place, and whether it is in the main text."""
 
-    __slots__ = ("node", "hash", "length", "keys", "placed")
+    __slots__ = ("node", "hash", "length", "keys", "placed", "inner")
 
-    def __init__(self, node: Node, hash_: int, length: int) -> None:
-        self.node, self.hash, self.length, self.keys, self.placed = node, hash_, length, (), False
+    def __init__(self, node: Node, hash_: int, length: int, inner: bool) -> None:
+        self.node, self.hash, self.length, self.inner, self.keys, self.placed = node, hash_, length, inner, (), False
 
 
 def subtrees(tree: Node, article: Node, declared: bool) -> dict[int, Subtree]:
     """id(node) -> its subtree, in one pass bottom up."""
     out: dict[int, Subtree] = {}
-    order, todo = [], [(tree, tree, 0, 0, False)]
+    order, todo = [], [(tree, tree, 0, 0, False, False)]
     while todo:
-        node, parent, from_start, from_end, inside = todo.pop()
+        node, parent, from_start, from_end, inside, inner = todo.pop()
         inside = inside or node is article and declared
-        order.append((node, parent, from_start, from_end, inside))
+        inner = node is article or inner and not node.dropped
+        order.append((node, parent, from_start, from_end, inside, inner))
         elements = [c for c in node.children if not isinstance(c, str)]
-        todo += [(c, node, k, len(elements) - k, inside) for k, c in enumerate(elements)]
+        todo += [(c, node, k, len(elements) - k, inside, inner) for k, c in enumerate(elements)]
     around, holds_text = set(), set()
-    for node, parent, from_start, from_end, inside in reversed(order):
+    for node, parent, from_start, from_end, inside, inner in reversed(order):
         parts, length = [node.tag], 0
         for c in node.children:
             if isinstance(c, str):
@@ -217,7 +221,7 @@ def subtrees(tree: Node, article: Node, declared: bool) -> dict[int, Subtree]:
                 length += out[id(c)].length
                 if id(c) in holds_text or c.tag in TEXT_BLOCKS:
                     holds_text.add(id(node))
-        own = out[id(node)] = Subtree(node, _digest(parts), length)
+        own = out[id(node)] = Subtree(node, _digest(parts), length, inner)
         if length < MIN_TEXT or node is article or id(node) in around or node.tag in ("#root", "html", "body", "head"):
             continue
         own.placed = inside or not declared and (node.tag in TEXT_BLOCKS or id(node) in holds_text)
@@ -228,16 +232,26 @@ def subtrees(tree: Node, article: Node, declared: bool) -> dict[int, Subtree]:
     return out
 
 
-def candidates(page: str | None) -> tuple[int, list[tuple[int, bool]]]:
-    """A hash of the page's whole content, and the keys of its subtrees, each once, with whether they hold a place.
+def candidates(page: str | None) -> tuple[int, list[tuple[int, bool, bool]]]:
+    """A hash of the page's whole content, and the keys of its subtrees, each once, with whether they hold a place and are in the main text.
 
     Where an element and its only child have the same text, both are listed; a host's counts then agree for both.
     """
+    return read(page)[:2]
+
+
+def read(page: str | None) -> tuple[int, list[tuple[int, bool, bool]], str]:
+    """candidates(), and the main text without regard to counts."""
     if not page:
-        return 0, []
+        return 0, [], ""
     tree = parse(page)
-    found = subtrees(tree, *_root(tree))
-    return found[id(tree)].hash, sorted({(k, s.placed) for s in found.values() for k in s.keys})
+    article, declared = _root(tree)
+    found = subtrees(tree, article, declared)
+    keys: dict[tuple[int, bool], bool] = {}
+    for s in found.values():
+        for k in s.keys:
+            keys[k, s.placed] = keys.get((k, s.placed), False) or s.inner
+    return found[id(tree)].hash, sorted((*k, inner) for k, inner in keys.items()), _blocks(article, set())
 
 
 def template_nodes(tree: Node, article: Node, declared: bool, template: frozenset[int]) -> set[int]:
@@ -262,7 +276,10 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
         return ""
     tree = parse(page)
     article, declared = _root(tree)
-    gone = template_nodes(tree, article, declared, template) if template else set()
+    return _blocks(article, template_nodes(tree, article, declared, template) if template else set())
+
+
+def _blocks(article: Node, gone: set[int]) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -305,20 +322,26 @@ def numbered(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
 
 
 def seen_subtrees(rows: DataFrame) -> DataFrame:
-    """_row, host, content (a hash of the page), keys (of its subtrees: key, placed)."""
-    kinds = pa.list_(pa.struct([("key", pa.int64()), ("placed", pa.bool_())]))
-    schema = pa.schema([("_row", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("keys", kinds)])
+    """_row, host, _key, _url, content (a hash of the page), keys (of its subtrees: key, placed, inner) and text."""
+    kinds = pa.list_(pa.struct([("key", pa.int64()), ("placed", pa.bool_()), ("inner", pa.bool_())]))
 
     def run(parts):
-        made = ((r, h, *candidates(p)) for part in sliced(parts) for r, h, p in zip(*(c.to_pylist() for c in part.columns), strict=True))
-        yield from tidy(batches(made, schema, weight=lambda r: 32 + 16 * len(r[3])))
+        def made():
+            for part in sliced(parts):
+                read_ = [read(p) for p in part.column(2).to_pylist()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*read_, strict=True), (pa.int64(), kinds, pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 1, 3, 4)), *columns], names=["_row", "host", "_key", "_url", "content", "keys", "text"])
 
-    return rows.select("_row", "host", "_html").mapInArrow(run, "_row long, host string, content long, keys array<struct<key: long, placed: boolean>>")
+        yield from tidy(made())
+
+    kind = rows.schema["_key"].dataType.simpleString()
+    return rows.select("_row", "host", "_html", "_key", "_url").mapInArrow(run, f"_row long, host string, _key {kind}, _url string, content long, keys array<struct<key: long, placed: boolean, inner: boolean>>, text string")
 
 
 def templates(seen: DataFrame) -> DataFrame:
     """host, key, pages of the template of every host. Pages of equal content count once, so copies of a page don't make its text a template."""
-    distinct = seen.groupBy("host", "content").agg(F.first("keys").alias("keys"))
+    held = seen.withColumn("keys", F.transform("keys", lambda k: F.struct(k["key"].alias("key"), k["placed"].alias("placed"))))
+    distinct = held.groupBy("host", "content").agg(F.first("keys").alias("keys"))
     sizes = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("every"))
     counts = distinct.select("host", F.explode("keys").alias("k")).groupBy("host", "k").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min(MIN_PAGES, PLACED_PAGES))
     placed = F.col("k.placed")
@@ -332,23 +355,26 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     rows = numbered(pages if table else stored(pages, "pages-input"), key, url, page)
     seen = stored(seen_subtrees(rows), "subtrees")
     known = stored(templates(seen).select("host", "key"), "templates")
-    own = seen.select("_row", "host", F.explode("keys").alias("k")).select("_row", "host", "k.key").join(known, ["host", "key"]).groupBy("_row").agg(F.collect_list("key").alias("template"))
-    held = rows.join(stored(own, "page-templates"), "_row", "left").select("_key", "_url", "_html", "template")
-    discard(seen)
+    inner = seen.select("_row", "host", F.explode(F.filter("keys", lambda k: k["inner"])).alias("k")).select("_row", "host", "k.key")
+    own = stored(inner.join(known, ["host", "key"]).groupBy("_row").agg(F.collect_set("key").alias("template")), "page-templates")
     discard(known)
-    kinds = f"`{key}` {pages.schema[key].dataType.simpleString()}, `{url}` string, text string, n_chars long"
+    bit = F.pmod(F.xxhash64("_row"), F.lit(FILTER_BITS))
+    bitmap = own.groupBy(F.floor(bit / 63).alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(_row), {FILTER_BITS}L) % 63 as int)))").alias("_bits"))
 
-    def texts(part: pa.RecordBatch) -> Iterator[tuple]:
-        for k, u, p, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            text = main_text(p, frozenset(t or ()))
-            yield k, u, text, len(text)
-
-    def run(parts):
-        def made():
-            for part in sliced(parts):
-                schema = pa.schema([pa.field(key, part.column(0).type), pa.field(url, pa.string()), pa.field("text", pa.string()), pa.field("n_chars", pa.int64())])
-                yield from batches(texts(part), schema, weight=lambda r: 4 * r[3])
+    def split(df: DataFrame, hit: bool) -> DataFrame:
+        """The rows that the bitmap lets through, or the others."""
+        marked = df.withColumn("_bit", bit).join(F.broadcast(bitmap), F.floor(F.col("_bit") / 63) == F.col("_word"), "left")
+        through = F.coalesce(F.expr("(shiftright(_bits, cast(_bit % 63 as int)) & 1) = 1"), F.lit(False))
+        return marked.filter(through if hit else ~through).select(*df.columns)
 
-        yield from tidy(made())
+    texts = pa.schema([("_row", pa.int64()), ("changed", pa.string())])
 
-    return held.mapInArrow(run, kinds)
+    def run(parts):
+        made = ((r, main_text(p, frozenset(t))) for part in sliced(parts) for r, p, t in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        yield from tidy(batches(made, texts, weight=lambda r: 2 * len(r[1])))
+
+    again = split(rows.select("_row", "_html"), True).join(own.hint("merge"), "_row").select("_row", "_html", "template").mapInArrow(run, "_row long, changed string")
+    plain = seen.select("_row", "_key", "_url", "text")
+    mended = split(plain, True).join(again.hint("merge"), "_row", "left").withColumn("text", F.coalesce("changed", "text")).drop("changed")
+    every = split(plain, False).unionByName(mended)
+    return every.select(F.col("_key").alias(key), F.col("_url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

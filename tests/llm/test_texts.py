@@ -185,7 +185,7 @@ def test_template_counts_are_brute_force(spark):
         held.setdefault((u or "//").split("/")[2], {})[content] = keys
     want = {}
     for host, distinct in held.items():
-        count = Counter(k for keys in distinct.values() for k in keys)
+        count = Counter(k[:2] for keys in distinct.values() for k in keys)
         for (key, placed), n in count.items():
             least, share = (html_templates.PLACED_PAGES, html_templates.PLACED_SHARE) if placed else (html_templates.MIN_PAGES, html_templates.MIN_SHARE)
             if n >= least and n >= share * len(distinct):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.urls import let
+
 # Limits of plans and checkpoints.
 PLAN_QUERIES = PLAN_NEEDS = 4
 QUERY_CHARACTERS, REASON_CHARACTERS = 500, 300
@@ -92,23 +93,66 @@ def parse_checkpoint(text: str | None) -> dict | None:
     return out if len(json.dumps(out, ensure_ascii=False, separators=(",", ":"))) <= CHECKPOINT_CHARACTERS else None
 
 
-def query_plan(text: Column) -> Column:
-    """PLAN_TYPE, null for what is no plan."""
+def _variant(text: Column) -> Column:
+    """The JSON object between the first { and the last }, as a variant; null if there is none."""
+    return let(F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1)), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit(kind)), F.lit(False))
+
+
+def _text(value: Column) -> Column:
+    """A variant's string with white space collapsed; null if it is none."""
+    flat = F.regexp_replace(F.regexp_replace(F.try_variant_get(value, "$", "string"), r"(?U)\s+", " "), "^ | $", "")
+    return F.when(_is(value, "STRING"), flat)
+
+
+def _field(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, f"$.{name}", "variant")
+
+
+def _items(value: Column) -> Column:
+    """A variant's elements; null if it is no array."""
+    return F.when(_is(value, "ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+
+
+def query_plan(text: Column, reason: str = "evidence for the answer") -> Column:
+    """PLAN_TYPE, null for what is no plan; parse_plan() as an expression."""
+    cut = lambda v, n: F.left(F.coalesce(_text(v), F.lit("")), F.lit(n))
+    some = lambda xs: F.filter(xs, lambda x: x != "")
+    none = F.array().cast("array<string>")
 
-    def read(given: pd.Series) -> pd.DataFrame:
-        return _frame(given.map(parse_plan), ["rewritten_question", "queries", "evidence_needs", "coverage", "use_conversation"])
+    def plan(v: Column, rewritten: Column) -> Column:
+        given = let(F.coalesce(some(F.transform(_items(_field(v, "queries")), lambda q: cut(q, QUERY_CHARACTERS))), none), lambda q: F.when(F.size(q) > 0, q).otherwise(F.array(rewritten)))
+        queries = let(given, lambda q: F.slice(F.filter(q, lambda x, k: F.array_position(F.transform(q, lambda y: F.lower(y)), F.lower(x)) == k + 1), 1, PLAN_QUERIES))
+        need = lambda n: F.struct(cut(_field(n, "query"), QUERY_CHARACTERS).alias("query"), cut(_field(n, "reason"), REASON_CHARACTERS).alias("reason"))
+        told = F.filter(F.transform(F.filter(_items(_field(v, "evidenceNeeds")), lambda n: _is(n, "OBJECT")), need), lambda n: n["query"] != "")
+        named = F.transform(F.slice(F.coalesce(told, F.array().cast("array<struct<query: string, reason: string>>")), 1, PLAN_NEEDS), lambda n: F.struct(n["query"].alias("query"), F.when(n["reason"] != "", n["reason"]).otherwise(F.lit(reason)).alias("reason")))
+        coverage = F.when(_is(_field(v, "coverage"), "STRING") & F.try_variant_get(v, "$.coverage", "string").isin(*COVERAGES), F.try_variant_get(v, "$.coverage", "string")).otherwise(COVERAGES[0])
+        use = F.coalesce(_is(_field(v, "useConversation"), "BOOLEAN") & F.try_variant_get(v, "$.useConversation", "boolean"), F.lit(False))
+        whole = lambda q, n: F.struct(rewritten.alias("rewritten_question"), q.alias("queries"), F.when(F.size(n) > 0, n).otherwise(F.transform(q, lambda x: F.struct(x.alias("query"), F.lit(reason).alias("reason")))).alias("evidence_needs"), coverage.alias("coverage"), use.alias("use_conversation"))
+        return let(queries, lambda q: let(named, lambda n: whole(q, n)))
 
-    return F.pandas_udf(read, PLAN_TYPE)(text)
+    return let(_variant(text), lambda v: let(cut(_field(v, "rewrittenQuestion"), QUERY_CHARACTERS), lambda r: F.when(r != "", plan(v, r))))
 
 
 def checkpoint(text: Column) -> Column:
-    """CHECKPOINT_TYPE, null for what isn't valid."""
+    """CHECKPOINT_TYPE, null for what isn't valid; parse_checkpoint() as an expression."""
+    checked = lambda v, n: let(_text(v), lambda t: F.when(F.length(t) <= n, t))
+    whole = lambda xs: F.when(~F.exists(xs, lambda x: x.isNull()), xs)
+    few = lambda xs, n: F.when(F.size(xs) <= n, xs)
 
-    def read(given: pd.Series) -> pd.DataFrame:
-        return _frame(given.map(parse_checkpoint), ["goal", "active_topic", "items", "decisions", "user_constraints", "unresolved_references"])
+    def item(v: Column) -> Column:
+        status = F.when(_is(_field(v, "status"), "STRING"), F.try_variant_get(v, "$.status", "string"))
+        return let(checked(_field(v, "text"), ITEM_CHARACTERS), lambda t: F.when(_is(v, "OBJECT") & (t != "") & status.isin(*STATUSES), F.struct(t.alias("text"), status.alias("status"))))
 
-    return F.pandas_udf(read, CHECKPOINT_TYPE)(text)
+    def listed(v: Column) -> Column:
+        return F.filter(let(F.transform(few(_items(v), LIST_ENTRIES), lambda x: checked(x, ITEM_CHARACTERS)), whole), lambda x: x != "")
 
+    def made(v: Column) -> Column:
+        parts = {"goal": checked(_field(v, "goal"), GOAL_CHARACTERS), "active_topic": checked(_field(v, "activeTopic"), TOPIC_CHARACTERS), "items": let(F.transform(few(_items(_field(v, "items")), ITEMS), item), whole)}
+        parts |= {n: listed(_field(v, j)) for n, j in (("decisions", "decisions"), ("user_constraints", "userConstraints"), ("unresolved_references", "unresolvedReferences"))}
+        return let(F.struct(*(c.alias(n) for n, c in parts.items())), lambda s: F.when(F.forall(F.array(*(s[n].isNotNull() for n in parts)), lambda ok: ok) & (F.length(F.to_json(s)) <= CHECKPOINT_CHARACTERS), s))
 
-def _frame(found: pd.Series, names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({n: found.map(lambda x, n=n: None if x is None else x[n]) for n in names})
+    return let(_variant(text), lambda v: F.when(v.isNotNull(), made(v)))

@@ -35,13 +35,13 @@ def packed_windows(chunks: DataFrame, ranked: DataFrame, budget: int, limit: int
     return asked.join(held, "article_id").select("article_id", "chunks", "asked").mapInPandas(run, f"article_id {chunks.schema['article_id'].dataType.simpleString()}, query_id long, rank int, chunk_id string, cost int")
 
 
-def covered(chunks: DataFrame, budget: int = E.WHOLE_BUDGET, limit: int = E.WINDOWS) -> DataFrame:
-    """article_id, chunk_idx: chunks spread over each document."""
+def covered(chunks: DataFrame, budget: int = E.WHOLE_BUDGET, limit: int | None = E.WINDOWS) -> DataFrame:
+    """article_id, chunk_idx: chunks spread over each document; with limit None as many as fit."""
     kind = chunks.schema["article_id"].dataType.simpleString()
 
     def of_article(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.sort_values("chunk_idx").to_dict("records")
-        picked = E.cover(own, budget, limit)
+        picked = E.cover(own, budget, len(own) if limit is None else limit)
         return pd.DataFrame({"article_id": [rows["article_id"].iloc[0]] * len(picked), "chunk_idx": [own[k]["chunk_idx"] for k in picked]}, columns=["article_id", "chunk_idx"])
 
     return chunks.groupBy("article_id").applyInPandas(of_article, f"article_id {kind}, chunk_idx int")

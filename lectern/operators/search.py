@@ -34,7 +34,7 @@ def postings(chunks: DataFrame, tokenizer: Tokenizer = retrieval_terms, asked: D
     field = lambda c: F.struct(F.lit(c).alias("field"), F.size(F.array_distinct(tokenizer(F.col(c)))).alias("len"), tokenizer(F.col(c)).alias("terms"))
     fields = chunks.select("article_id", "chunk_idx", F.explode(F.array(field("section"), field("text"))).alias("f"))
     sized = fields.select("article_id", "chunk_idx", F.col("f.field").alias("field"), F.col("f.len").alias("len"), F.explode("f.terms").alias("term"))
-    wanted = sized if asked is None else sized.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = sized if asked is None else sized.join(asked.select(*_article_of(asked), "term").distinct(), [*_article_of(asked), "term"], "left_semi")
     return wanted.groupBy("article_id", "chunk_idx", "field", "term", "len").agg(F.count("*").alias("tf"))
 
 
@@ -45,27 +45,33 @@ def field_stats(chunks: DataFrame, tokenizer: Tokenizer = retrieval_terms) -> Da
     return sums.select("article_id", "chunks", F.explode(F.array(F.struct(F.lit("section").alias("field"), F.col("section").alias("avglen")), F.struct(F.lit("text").alias("field"), F.col("text").alias("avglen")))).alias("s")).select("article_id", "chunks", "s.*")
 
 
+def _article_of(queries: DataFrame) -> list[str]:
+    return ["article_id"] if "article_id" in queries.columns else []
+
+
 def distinct_queries(queries: DataFrame) -> DataFrame:
-    """query_id, pos, text: white space collapsed, empty ones dropped, of equal ones (but for case) the first."""
-    tidy = queries.select("query_id", "pos", clean(F.col("text")).alias("text")).filter("text <> ''")
-    first = Window.partitionBy("query_id", F.lower("text")).orderBy("pos")
+    """query_id, pos, text (and article_id, if there is one): white space collapsed, empty ones dropped, of equal ones (but for case) the first."""
+    own = _article_of(queries)
+    tidy = queries.select(*own, "query_id", "pos", clean(F.col("text")).alias("text")).filter("text <> ''")
+    first = Window.partitionBy(*own, "query_id", F.lower("text")).orderBy("pos")
     return tidy.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, most: int = CANDIDATES, k: float = K, b: float = B, delta: float = DELTA, tokenizer: Tokenizer = retrieval_terms) -> DataFrame:
     """article_id, query_id, pos, chunk_idx, matched, score, rank (from 1) of the best chunks of each article for each query.
 
-    A query of three distinct terms or more needs two of them in a chunk, others one. How many chunks have a term is an
+    With an article_id, a query is asked of that article alone. A query of three distinct terms or more needs two of them in a chunk, others one. How many chunks have a term is an
     aggregation that is combined before the shuffle, so a frequent term's postings never meet in one task.
     """
-    terms = queries.select("query_id", "pos", F.array_distinct(tokenizer(F.col("text"))).alias("_terms")).select("query_id", "pos", F.size("_terms").alias("_wanted"), F.explode("_terms").alias("term"))
+    own = _article_of(queries)
+    terms = queries.select(*own, "query_id", "pos", F.array_distinct(tokenizer(F.col("text"))).alias("_terms")).select(*own, "query_id", "pos", F.size("_terms").alias("_wanted"), F.explode("_terms").alias("term"))
     asked = postings(chunks, tokenizer, terms)
     held = asked.groupBy("article_id", "field", "term").agg(F.count("*").alias("n")).join(field_stats(chunks, tokenizer), ["article_id", "field"])
     idf = F.log(1 + (F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     boost = F.when(F.col("field") == "section", SECTION_BOOST).otherwise(TEXT_BOOST)
     part = boost * idf * (delta + F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / F.col("avglen"))))
     weighed = asked.join(held, ["article_id", "field", "term"]).groupBy("article_id", "chunk_idx", "term").agg(F.sum(part).alias("w"))
-    scored = weighed.join(terms, "term").groupBy("article_id", "query_id", "pos", "chunk_idx", "_wanted").agg(F.count("*").alias("matched"), F.round(F.sum("w"), 9).alias("score"))
+    scored = weighed.join(terms, [*own, "term"]).groupBy("article_id", "query_id", "pos", "chunk_idx", "_wanted").agg(F.count("*").alias("matched"), F.round(F.sum("w"), 9).alias("score"))
     fit = scored.filter(F.col("matched") >= F.when(F.col("_wanted") >= 3, 2).otherwise(1))
     order = Window.partitionBy("article_id", "query_id", "pos").orderBy(F.desc("score"), "chunk_idx")
     return fit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("_wanted")

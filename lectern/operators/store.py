@@ -112,7 +112,7 @@ def conversations(archive: DataFrame) -> DataFrame:
     named = F.when(F.trim(F.coalesce("title", F.lit(""))) != "", F.col("title")).otherwise(hostname(F.col("normalized_url")))
     return held.select(
         "normalized_url", F.lit(SCHEMA_VERSION).alias("schema_version"), named.alias("title"), "messages",
-        F.coalesce("created_at", F.col("messages")[0]["created_at"]).alias("created_at"), F.coalesce("updated_at", F.element_at("messages", -1)["created_at"]).alias("updated_at"),
+        F.coalesce("created_at", F.col("messages")[0]["created_at"]).alias("created_at"), F.coalesce("updated_at", F.try_element_at("messages", F.lit(-1))["created_at"]).alias("updated_at"),
     )
 
 
@@ -162,7 +162,7 @@ def summaries(archive: DataFrame, query: str = "") -> DataFrame:
     text = F.lower(F.concat_ws("\n", F.concat(F.array("title", "normalized_url"), F.transform("messages", lambda m: m["content"]))))
     found = conversations(archive).filter(F.contains(text, F.lit(query.strip().lower())))
     order = Window.orderBy(F.desc("updated_at"), "normalized_url")
-    return found.select("normalized_url", "title", "created_at", "updated_at", F.size(asked).cast("long").alias("question_count"), F.coalesce(F.element_at(asked, -1)["content"], F.lit("")).alias("last_question")).withColumn("place", F.row_number().over(order))
+    return found.select("normalized_url", "title", "created_at", "updated_at", F.size(asked).cast("long").alias("question_count"), F.coalesce(F.try_element_at(asked, F.lit(-1))["content"], F.lit("")).alias("last_question")).withColumn("place", F.row_number().over(order))
 
 
 def delete_conversations(archive: DataFrame, pages: list[str] | None = None) -> DataFrame:

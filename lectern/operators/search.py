@@ -85,8 +85,8 @@ def fuse(ranked: DataFrame, constant: int = RRF) -> DataFrame:
 
 
 def literal_matches(chunks: DataFrame, questions: DataFrame, focus: Column | None = None) -> DataFrame:
-    """article_id, query_id, chunk_idx, longest, matches, place: chunks that hold a question's literals."""
-    literals = questions.select("query_id", F.explode(exact_literals(F.col("question"), focus)).alias("literal"))
+    """article_id, query_id, chunk_idx, longest, matches, place: chunks that hold a question's literals; with an article_id, of that article alone."""
+    literals = questions.select(*_article_of(questions), "query_id", F.explode(exact_literals(F.col("question"), focus)).alias("literal"))
     return matches_of(chunks, literals)
 
 
@@ -125,7 +125,7 @@ def containing(chunks: DataFrame, literals: DataFrame, block: int = LITERALS) ->
 
 def matches_of(chunks: DataFrame, literals: DataFrame) -> DataFrame:
     """literal_matches() for literals given as query_id, literal."""
-    found = containing(chunks, literals).join(literals, "literal")
+    found = containing(chunks, literals).join(literals, [*_article_of(literals), "literal"])
     sums = found.groupBy("article_id", "query_id", "chunk_idx").agg(F.max(F.length("literal")).alias("longest"), F.count("*").alias("matches"))
     order = Window.partitionBy("article_id", "query_id").orderBy(F.desc("longest"), F.desc("matches"), "chunk_idx")
     return sums.withColumn("place", F.row_number().over(order))

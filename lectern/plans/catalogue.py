@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import reading as R
 from lectern.functions import text as T
 from lectern.functions import urls
 from lectern.functions.markdown import normalized_markdown
 from lectern.functions.model_json import checkpoint, query_plan
-from lectern.operators import assemble, chunking, extract, memory, search
+from lectern.operators import assemble, chunking, extract, memory, prompts, retrieve, search, store, turns
 from lectern.plans.sql import SQL
 from lectern.sources import tables as S
 
@@ -80,17 +81,17 @@ def bm25_topk(spark, d):
 
 @query
 def rrf_fusion(spark, d):
-    """Two queries a question, its first and its last words, fused by reciprocal ranks."""
+    """Two queries a question, its two halves, fused by reciprocal ranks."""
     words = F.split("question", " ")
-    halves = _asked(spark, d).select("query_id", F.posexplode(F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 4), " "))).alias("pos", "text"))
+    half = F.floor((F.size(words) + 1) / 2).cast("int")
+    halves = _asked(spark, d).select("query_id", F.posexplode(F.array(F.array_join(F.slice(words, 1, half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "))).alias("pos", "text"))
     fused = search.fuse(search.bm25(S.document_chunks(_docs(spark, d)), search.distinct_queries(halves)))
     return fused.filter("place <= 5").select("article_id", "query_id", F.col("chunk_idx").alias("doc_id"), F.round("fused", 9).alias("fused"), "best_rank", "place")
 
 
 @query
 def neighbor_window(spark, d):
-    lines = S.document_blocks(_docs(spark, d)).select("article_id", F.col("ord").alias("chunk_idx"), "section")
-    return search.neighbours(lines)
+    return search.neighbours(S.sectioned_lines(_docs(spark, d)))
 
 
 @query
@@ -102,24 +103,46 @@ def exact_match_rank(spark, d):
 
 @query
 def focus_anchor(spark, d):
-    """The line of each document nearest to each question's words, and neighbours."""
-    lines = S.document_blocks(_docs(spark, d)).select("article_id", F.col("ord").alias("chunk_idx"), "section", "text")
-    asked = _asked(spark, d).select("query_id", F.col("question").alias("focus_text"))
-    foci = _docs(spark, d).select(F.col("doc_id").alias("article_id"), F.concat_ws(" > ", "lang", "source").alias("focus_section")).crossJoin(F.broadcast(asked))
-    return search.focus_anchors(lines, foci).select("article_id", "query_id", "chunk_idx", "place")
+    """The line of each document nearest to the question it is asked, in its second part or else anywhere, and neighbours."""
+    foci = S.asked_of(_docs(spark, d), S.table(spark, d, "benchmark")).join(_docs(spark, d).select(F.col("doc_id").alias("article_id"), F.concat_ws(" > ", "lang", "source", F.lit("part 1")).alias("focus_section")), "article_id")
+    return search.focus_anchors(S.sectioned_lines(_docs(spark, d)), foci.withColumnRenamed("question", "focus_text")).select("article_id", "query_id", "chunk_idx", "place")
 
 
 @query
 def section_scope(spark, d):
-    lines = S.document_blocks(_docs(spark, d)).select("article_id", F.col("ord").alias("chunk_idx"), "section", "text")
-    foci = _docs(spark, d).select(F.col("doc_id").alias("article_id"), F.lit(0).alias("query_id"), F.col("lang").alias("focus_section"), F.lit(2).alias("heading_level"))
-    return search.section_scope(lines, foci, budget=2000).select("article_id", "chunk_idx")
+    """The second part of a document in lines, all of its source in other letters, or the whole of it, by turns."""
+    section = F.concat_ws(" > ", "lang", "source")
+    turn = F.pmod("doc_id", F.lit(3))
+    foci = _docs(spark, d).select(F.col("doc_id").alias("article_id"), F.lit(0).alias("query_id"), F.when(turn == 0, F.concat(section, F.lit(" > part 1"))).when(turn == 1, F.upper(section)).otherwise("elsewhere").alias("focus_section"), F.when(turn == 2, 1).otherwise(2).alias("heading_level"))
+    return search.section_scope(S.sectioned_lines(_docs(spark, d)), foci, budget=2000).select("article_id", "chunk_idx")
+
+
+@query
+def select_context(spark, d):
+    """Every document is asked one question in one of four ways: of the whole, of a section, of words in focus, or by search."""
+    turn = F.pmod("article_id", F.lit(4))
+    section = F.concat_ws(" > ", "lang", "source", F.lit("part 1"))
+    asked = S.asked_of(_docs(spark, d), S.table(spark, d, "benchmark")).join(_docs(spark, d).select(F.col("doc_id").alias("article_id"), section.alias("_section")), "article_id")
+    questions = asked.select(
+        "article_id", "query_id", F.when(turn == 0, "Summarize the whole article").otherwise(F.col("question")).alias("question"), F.lit(None).cast("array<string>").alias("search_queries"), F.when(turn == 2, F.col("question")).alias("focus_text"),
+        F.when(turn == 1, F.col("_section")).alias("focus_section"), F.when(turn == 1, "section").alias("focus_scope"), F.when(turn == 1, 3).alias("heading_level"),
+    )
+    return retrieve.article_context(S.sectioned_lines(_docs(spark, d)), questions, 1, 10**7, 10**7).select("article_id", "query_id", "mode", "truncated", "branch", "rank", "chunk_id", F.col("cost").cast("long").alias("cost"))
+
+
+@query
+def request_budgets(spark, d):
+    """What a request about each document has for article and history, by turns with a checkpoint, a plan that uses the conversation, and planning done."""
+    id_ = F.col("article_id")
+    asked = _docs(spark, d).select(F.col("doc_id").alias("article_id"), F.lit(0).cast("long").alias("query_id")).select("*", (id_ % 1000 * 20).alias("history_length"), (id_ % 2 == 0).alias("use_conversation"), (id_ % 3 == 0).alias("planned"), F.when(id_ % 5 == 0, F.repeat(F.lit("x"), 700)).alias("checkpoint_json"))
+    return retrieve.budgets(S.sectioned_lines(_docs(spark, d)), asked, 3000)
 
 
 @query
 def coverage_groups(spark, d):
-    chunks = _docs(spark, d).select(F.col("lang").alias("article_id"), F.col("doc_id").alias("chunk_idx"), F.concat_ws(" > ", "lang", "source").alias("section"))
-    return search.coverage_groups(chunks)
+    """Groups of a source's documents: by the first part of their path, or by the first two where all share the first (sources of even length)."""
+    path = F.when(F.length("source") % 2 == 0, F.concat_ws(" > ", "source", "lang", F.lit("leaf"))).otherwise(F.concat_ws(" > ", "lang", "source"))
+    return search.coverage_groups(_docs(spark, d).select(F.col("source").alias("article_id"), F.col("doc_id").alias("chunk_idx"), path.alias("section")))
 
 
 @query
@@ -131,7 +154,9 @@ def even_spacing(spark, d):
 
 @query
 def whole_question(spark, d):
-    made = _messages(spark, d).filter("role = 'user'").withColumn("question", F.when(F.col("msg_idx") % 3 == 0, F.concat(F.lit("Summarize the whole page: "), F.substring("content", 1, 40))).when(F.col("msg_idx") % 3 == 1, F.concat(F.lit("What is the article about? "), F.substring("content", 1, 40))).otherwise(F.col("content")))
+    """The user's messages as they are, and behind questions about a whole article in two languages."""
+    before = F.when(F.col("msg_idx") % 4 == 0, "Summarize the whole page: ").when(F.col("msg_idx") % 4 == 1, "What is the article about? ").when(F.col("msg_idx") % 4 == 2, "请总结全文：").otherwise("")
+    made = _messages(spark, d).filter("role = 'user'").withColumn("question", F.concat(before, F.col("content")))
     return made.select("conv_id", "msg_idx", T.is_whole_article_question(F.col("question")).alias("whole"))
 
 
@@ -201,38 +226,104 @@ def archive_merge(spark, d):
     return merged.select("url", "question_id", F.col("ord").cast("long"), "created_at", "question")
 
 
+@query
+def conversation_archive(spark, d):
+    """Contexts of every second conversation are archived, then the others come in: titles, times and turns of every page."""
+    contexts = S.page_contexts(S.table(spark, d, "conversations"))
+    empty = spark.createDataFrame([], store.CONVERSATION)
+    first = store.save_conversations(empty, contexts.filter("tab_id % 2 = 0"), F.lit(1000))
+    both = store.save_conversations(first, contexts.filter("tab_id % 2 = 1"), F.lit(2000))
+    return both.select("normalized_url", "title", "created_at", "updated_at", F.size("messages").cast("long").alias("n_messages"), F.array_join(F.transform("messages", lambda m: m["id"]), ",").alias("message_ids"))
+
+
+@query
+def archive_list(spark, d):
+    """The summaries of archived conversations, in the order they are listed."""
+    contexts = S.page_contexts(S.table(spark, d, "conversations"), 1)
+    held = store.save_conversations(spark.createDataFrame([], store.CONVERSATION), contexts, F.lit(5))
+    return store.summaries(held, "the").select("normalized_url", "question_count", "last_question", F.col("place").cast("long").alias("place"))
+
+
+@query
+def context_clear(spark, d):
+    """All messages are cleared, in contexts that have any."""
+    contexts = S.page_contexts(S.table(spark, d, "conversations"))
+    some = contexts.withColumn("messages", F.when(F.col("tab_id") % 3 == 0, F.slice("messages", 1, 0)).otherwise(F.col("messages")))
+    return store.clear_messages(some, F.lit(9999)).select("tab_id", F.size("messages").cast("long").alias("n_messages"), "updated_at")
+
+
+@query
+def turn_recovery(spark, d):
+    """Every second context was left answering: its last question is in error."""
+    contexts = S.page_contexts(S.table(spark, d, "conversations")).withColumn("status", F.when(F.col("tab_id") % 2 == 0, "answering").otherwise("ready"))
+    wrong = F.filter("messages", lambda m: F.coalesce(m["error"], F.lit(False)))
+    return turns.recover_turn(contexts, F.lit(9999)).select("tab_id", "status", "updated_at", F.array_join(F.transform(wrong, lambda m: m["id"]), ",").alias("failed"))
+
+
+@query
+def checkpoint_prepare(spark, d):
+    """How much of a conversation's turns a checkpoint that covers some of them stands for, and what is left to take in."""
+    done = memory.completed_turns(_messages(spark, d)).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_idx"))), lambda t: t["turn_idx"].cast("string")).alias("answers"))
+    covered = (F.col("conv_id") % 4).cast("int")
+    through = F.coalesce(F.get("answers", covered - 1), F.lit("none"))
+    made = done.select("conv_id", R.to_compact(covered, F.when(F.col("conv_id") % 8 < 4, through).otherwise("other"), F.col("answers")).alias("p"))
+    return made.select("conv_id", F.col("p.keeps_previous").alias("keeps_previous"), F.array_join("p.answers", ",").alias("answers"), F.col("p.covered").cast("long").alias("covered"), F.col("p.needs_update").alias("needs_update"))
+
+
+@query
+def history_lines(spark, d):
+    """The last four messages of each conversation's completed turns, each cut to 60 characters."""
+    done = memory.completed_turns(_messages(spark, d)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "question", "answer"))).alias("turns"))
+    return done.select("conv_id", prompts.recent_history(F.col("turns"), 4, 60).alias("history"))
+
+
+@query
+def translation_retry(spark, d):
+    """Whether an answer that repeats the question's words is asked again."""
+    return _messages(spark, d).select("conv_id", "msg_idx", R.unchanged_translation(F.lower("content"), F.when(F.col("msg_idx") % 2 == 0, F.upper("content")).otherwise(F.concat("content", F.lit("x")))).alias("again"))
+
+
 @query
 def outline(spark, d):
-    """Sections of a language's documents in order of appearance, as lines, up to 100 characters."""
+    """Sources of a language's documents in order of appearance, as an outline of up to 100 characters."""
     first = _docs(spark, d).groupBy("lang", F.col("source").alias("section")).agg(F.min("doc_id").alias("_first"))
-    line = F.concat(F.lit("- "), "section")
-    order = Window.partitionBy("lang").orderBy("_first")
-    used = first.select("lang", "_first", line.alias("line")).withColumn("_used", F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("_used <= 100")
-    return used.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_first", "line"))), lambda s: s["line"]), "\n").alias("outline"))
+    held = first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("_first", "section"))).alias("s"))
+    return held.select("lang", R.outline(F.transform("s", lambda x: x["section"]), F.col("lang"), 100).alias("outline"))
 
 
 @query
 def full_context_fit(spark, d):
-    """Which sources' documents fit a budget together, and what is left for history."""
-    sizes = S.document_chunks(_docs(spark, d)).groupBy("article_id").agg(F.sum(T.chunk_cost(F.col("section"), F.col("text"))).cast("long").alias("article_characters"))
-    fits = F.col("article_characters") <= 110_000
-    return sizes.select("article_id", "article_characters", fits.alias("fits"), F.when(fits, 110_000 - F.col("article_characters")).otherwise(F.least(F.lit(8000), F.lit(110_000))).cast("long").alias("history_budget"))
+    """Which sources' documents fit a request whole, as the assembler decides: its evidence, added up."""
+    chunks = S.document_chunks(_docs(spark, d)).select("*", F.concat(F.lit("chunk-"), F.col("chunk_idx").cast("string")).alias("chunk_id"), F.array(F.col("chunk_idx").cast("string")).alias("block_ids"))
+    asked = chunks.select("article_id").distinct().select("*", F.lit(0).cast("long").alias("query_id"), F.lit(500).alias("history_length"), F.lit(None).cast("string").alias("plan_json"), F.lit(None).cast("string").alias("checkpoint_json"))
+    none = chunks.select("article_id", F.lit(0).cast("long").alias("query_id"), F.lit("exact-match").alias("source"), F.lit(None).cast("int").alias("need"), F.lit(1).alias("place"), "chunk_idx").limit(0)
+    made = assemble.assemble(chunks, asked, none, 110_000)
+    return made.groupBy("article_id", "strategy").agg(F.count("*").alias("chunks"), F.sum("cost").cast("long").alias("article_characters"))
 
 
 @query
 def query_plan_parse(spark, d):
-    """Plans in JSON, made of benchmark words, read back."""
-    asked = _asked(spark, d)
-    made = asked.select("query_id", F.concat(F.lit('```json {"rewrittenQuestion": "  '), "question", F.lit(' ", "queries": ["'), "question", F.lit('", "'), F.lower("question"), F.lit('", "other"], "coverage": "multi-section", "useConversation": true} ```')).alias("_json"))
-    plan = made.select("query_id", query_plan(F.col("_json")).alias("p"))
-    return plan.select("query_id", F.col("p.rewritten_question").alias("rewritten"), F.array_join("p.queries", "|").alias("queries"), F.size("p.evidence_needs").cast("long").alias("needs"), F.col("p.coverage").alias("coverage"), F.col("p.use_conversation").alias("use_conversation"))
+    """Plans in JSON, made of benchmark texts in five shapes, read back."""
+    q, quoted = F.col("question"), F.to_json(F.struct(F.col("question").alias("q")))
+    text = F.regexp_extract(quoted, r'(?s)^\{"q":(.*)\}$', 1)  # the question as a JSON string
+    shape = F.pmod("query_id", F.lit(5))
+    made = (
+        F.when(shape == 0, F.concat(F.lit('```json {"rewrittenQuestion": '), text, F.lit(', "queries": ['), text, F.lit(", "), F.lower(text), F.lit(', "b", "", 7, "c", "d", "e"], "coverage": "multi-section", "useConversation": true} ```')))
+        .when(shape == 1, F.concat(F.lit('{"rewrittenQuestion": '), text, F.lit(', "evidenceNeeds": [{"query": "need", "reason": " r "}, {"reason": "x"}, {"query": '), text, F.lit('}], "coverage": "odd", "useConversation": "true"}')))
+        .when(shape == 2, F.concat(F.lit('{"queries": ['), text, F.lit("]}")))
+        .when(shape == 3, q)
+        .otherwise(F.concat(F.lit('{"rewrittenQuestion": "  '), F.repeat(F.lit("ab "), 300), F.lit('"}')))
+    )
+    plan = _asked(spark, d).select("query_id", query_plan(made).alias("p"))
+    needs = F.transform("p.evidence_needs", lambda n: F.concat(n["query"], F.lit("/"), n["reason"]))
+    return plan.select("query_id", F.col("p.rewritten_question").alias("rewritten"), F.array_join("p.queries", "|").alias("queries"), F.array_join(needs, "|").alias("needs"), F.col("p.coverage").alias("coverage"), F.col("p.use_conversation").alias("use_conversation"))
 
 
 @query
 def checkpoint_validate(spark, d):
-    """Checkpoints with the benchmark texts as goals: those of up to 150 characters are padded past the limit of no field; long ones are repeated past it."""
-    made = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", r'[\n"]', " ").alias("_t"))
-    goal = F.when(F.col("query_id") % 2 == 0, F.substring("_t", 1, 100)).otherwise(F.repeat("_t", 9))
+    """Checkpoints with the benchmark texts as goals, whole or repeated past the limit."""
+    made = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", r'[\n"\\\\]', " ").alias("_t"))
+    goal = F.when(F.col("query_id") % 2 == 0, F.col("_t")).otherwise(F.repeat("_t", 9))
     read = made.select("query_id", checkpoint(F.concat(F.lit('{"goal": "'), goal, F.lit('", "activeTopic": "t", "items": [{"text": "x", "status": "active"}], "decisions": [], "userConstraints": ["u"], "unresolvedReferences": []}'))).alias("c"))
     return read.select("query_id", F.col("c.goal").isNotNull().alias("valid"), F.coalesce(F.length("c.goal"), F.lit(0)).cast("long").alias("goal_length"))
 
@@ -244,39 +335,36 @@ def chunks(spark, d):
 
 @query
 def chunk_bounds(spark, d):
-    """Characters of each document's chunks together, and whether all keep the maximum."""
+    """Characters and lines that each document's chunks hold together."""
     made = chunking.chunks(S.document_blocks(_docs(spark, d)))
-    return made.groupBy("article_id").agg((F.max(F.length("text")) <= chunking.HARD_MAXIMUM).alias("bounded"), F.sum(F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("characters"))
-
-
-def _line_chunks(spark, d):
-    lines = S.document_blocks(_docs(spark, d))
-    return lines.select("article_id", F.col("ord").alias("chunk_idx"), F.concat(F.lit("chunk-"), F.col("ord") + 1).alias("chunk_id"), "section", "text", F.array("block_id").alias("block_ids"))
+    lines = F.aggregate(F.flatten(F.collect_list("block_ids")), F.array().cast("array<string>"), lambda held, b: F.array_union(held, F.array(F.regexp_replace(b, "-part-[0-9]+$", ""))))
+    return made.groupBy("article_id").agg(F.sum(F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("characters"), F.size(lines).cast("long").alias("lines"))
 
 
 @query
 def document_coverage(spark, d):
-    return assemble.covered(_line_chunks(spark, d), 2000, 4)
+    return assemble.covered(S.sectioned_lines(_docs(spark, d)), 2000, 4)
 
 
 @query
 def window_pack(spark, d):
-    """Windows around the lines that match the questions best, within 2,000 characters a document."""
-    lines = _line_chunks(spark, d)
-    fused = search.fuse(search.bm25(lines, _as_queries(_asked(spark, d))))
-    return assemble.packed_windows(lines, fused, 2000, 4)
+    """Windows around the lines that match the question a document is asked best, within 2,000 characters."""
+    lines = S.sectioned_lines(_docs(spark, d))
+    asked = S.asked_of(_docs(spark, d), S.table(spark, d, "benchmark")).select("article_id", "query_id", F.lit(0).alias("pos"), F.col("question").alias("text"))
+    return assemble.packed_windows(lines, search.fuse(search.bm25(lines, asked)), 2000, 4)
 
 
 @query
 def evidence_pack(spark, d):
-    """Fused evidence of all questions over every document in lines, within 3,000 characters with 500 of history."""
-    lines, asked = _line_chunks(spark, d), _asked(spark, d)
+    """Fused evidence for the question each document is asked, within 3,000 characters with 500 of history."""
+    lines, asked = S.sectioned_lines(_docs(spark, d)), S.asked_of(_docs(spark, d), S.table(spark, d, "benchmark"))
+    own = asked.select("article_id", "query_id")
     exact = search.literal_matches(lines, asked).filter("place <= 8")
-    ranked = search.fuse(search.bm25(lines, _as_queries(asked)))
-    spread = assemble.covered(lines, 1000, 3).crossJoin(F.broadcast(asked.select("query_id"))).withColumn("place", F.col("chunk_idx"))
+    ranked = search.fuse(search.bm25(lines, asked.select("article_id", "query_id", F.lit(0).alias("pos"), F.col("question").alias("text"))))
+    spread = assemble.covered(lines, 1000, 3).join(own, "article_id").withColumn("place", F.col("chunk_idx"))
     offer = lambda df, source: df.select("article_id", "query_id", F.lit(source).alias("source"), F.lit(None).cast("int").alias("need"), F.col("place").cast("int"), "chunk_idx")
     channels = offer(exact, "exact-match").unionByName(offer(ranked, "global-search")).unionByName(offer(spread, "document-coverage"))
-    questions = channels.select("article_id", "query_id").distinct().select("*", F.lit(500).alias("history_length"), F.lit(None).cast("string").alias("plan_json"), F.lit(None).cast("string").alias("checkpoint_json"))
+    questions = own.select("*", F.lit(500).alias("history_length"), F.lit(None).cast("string").alias("plan_json"), F.lit(None).cast("string").alias("checkpoint_json"))
     return assemble.assemble(lines, questions, channels, 3000)
 
 

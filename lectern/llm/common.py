@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
+#: Rows of an Arrow batch that goes to Python at most.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 #: Bytes of text after which an Arrow batch that a Python function returns is closed.
 BATCH_BYTES = 8 << 20
 
@@ -132,5 +134,11 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def documents_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone, so that extra columns of the input can't clash with those an operator makes."""
+    """The named columns alone, so that extra columns of the input can't clash with those an operator makes.
+
+    Texts go to Python in batches of at most BATCH_ROWS rows: an executor holds several batches of every task, in both worlds.
+    """
+    conf = docs.sparkSession.conf
+    if int(conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
     return docs.select(*(F.col(f"`{c}`") for c in columns))

@@ -42,7 +42,7 @@ class Posterior:
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         """(texts, domains) in whole thousandths that sum to 1000."""
-        logits = self.offsets + self.features.of(texts) @ self.weights
+        logits = self.offsets + self.features.of(texts).astype(np.float32) @ self.weights.astype(np.float32)
         exact = softmax(logits) * 1000
         out = np.floor(exact).astype(np.int64)
         rest = np.argsort(-(exact - out), axis=1, kind="stable")

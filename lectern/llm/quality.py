@@ -119,7 +119,7 @@ class Scorer:
             same = np.full(len(given), self.constant)
             return same, same, same
         texts = [t or "" for t in given.to_pylist()]
-        content = self.offset + self.features.of(given) @ self.weights
+        content = self.offset + self.features.of(given).astype(np.float32) @ self.weights.astype(np.float32)
         dense = np.array([metadata(s, g, t) for s, g, t in zip(sources, langs, texts, strict=True)]).reshape(len(texts), DENSE)
         hashed = np.array([_hashed(s, g) for s, g in zip(sources, langs, strict=True)]).reshape(len(texts), 2)
         return self.combined(content, self.meta.logit(MetaView.design(dense, hashed)))

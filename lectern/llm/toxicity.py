@@ -126,7 +126,7 @@ class Scorer:
         self.features, self.weights, self.offset = features, weights, offset
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.offset + self.features.of(texts) @ self.weights, -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.offset + self.features.of(texts).astype(np.float32) @ self.weights.astype(np.float32), -60, 60)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Scorer:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches, discard, documents_of, sliced, stored, tidy
+from lectern.llm.common import discard, documents_of, sliced, stored, tidy, whole_groups
 
 HEAD, HEAD_BYTES = 200_000, 64
 UNIT_WORDS, UNIT_SHAPES = 1024, 508
@@ -240,7 +240,7 @@ class Often:
 
 
 def neighbours(texts: DataFrame, units: Units, own: np.ndarray, often: Often) -> DataFrame:
-    """word, codes, n of words that aren't units of their own and are seen often: how often a word follows a class (code: the class) and goes before one (code: the class and the number of classes)."""
+    """word, codes, n of words that aren't units of their own and are seen often, a row for each task that has met a word, those of a word together: how often a word follows a class (code: the class) and goes before one (code: the class and the number of classes)."""
     size = int(own.max()) + 1
     schema = pa.schema([("word", pa.binary()), ("codes", pa.list_(pa.int16())), ("n", pa.list_(pa.int64()))])
 
@@ -282,8 +282,7 @@ def neighbours(texts: DataFrame, units: Units, own: np.ndarray, often: Often) ->
 
         yield from tidy(made())
 
-    rows = texts.mapInArrow(run, "word binary, codes array<smallint>, n array<long>").filter(F.size("codes") > 0)
-    return rows.groupBy("word").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("n")).alias("n"))
+    return texts.mapInArrow(run, "word binary, codes array<smallint>, n array<long>").repartition("word").sortWithinPartitions("word")
 
 
 def likeliest(counts: np.ndarray, now: np.ndarray, grid: np.ndarray) -> np.ndarray:
@@ -309,12 +308,14 @@ def word_classes(counted: DataFrame, texts: DataFrame, units: Units, own: np.nda
     grid = member.T @ bigrams @ member
 
     def fitted(parts):
-        for part in sliced(parts, 4096):
-            codes, n = part.column(1), part.column(2)
-            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(codes).to_numpy(zero_copy_only=False))
-            counts = np.bincount(row * (2 * size) + codes.flatten().to_numpy().astype(np.int64), weights=n.flatten().to_numpy(), minlength=part.num_rows * 2 * size).reshape(part.num_rows, 2 * size)
+        for part in whole_groups(parts, 1):
+            word, codes, n = part.column(0), part.column(1), part.column(2)
+            begins = np.r_[True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.cumsum(begins) - 1, pc.list_value_length(codes).to_numpy(zero_copy_only=False))
+            met = int(begins.sum())
+            counts = np.bincount(row * (2 * size) + codes.flatten().to_numpy().astype(np.int64), weights=n.flatten().to_numpy(), minlength=met * 2 * size).reshape(met, 2 * size)
             free = counts[:, :size].sum(axis=1) >= OWN_COUNT  # others have passed the bitmap by chance
-            words = part.column(0).filter(pa.array(free))
+            words = word.filter(pa.array(begins)).filter(pa.array(free))
             now = own[units.of(words.cast(pa.large_binary()))[0]]
             yield pa.RecordBatch.from_arrays([words, pa.array(likeliest(counts[free], now, grid), pa.int32())], names=["word", "own"])
 

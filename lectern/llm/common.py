@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def sliced(parts: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Reco
 
 
 def whole_groups(parts: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Sorted batches cut anew so that no group of rows of equal first columns (as many as keys; numbers) is divided."""
+    """Sorted batches cut anew so that no group of rows of equal first columns (as many as keys) is divided."""
     held: list[pa.RecordBatch] = []
     for part in parts:
         if not part.num_rows:
@@ -111,8 +112,7 @@ def whole_groups(parts: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Reco
         one = pa.concat_batches(held)
         last = np.ones(one.num_rows, bool)
         for k in range(keys):
-            column = one.column(k).to_numpy(zero_copy_only=False)
-            last &= column == column[-1]
+            last &= pc.equal(one.column(k), one.column(k)[-1]).to_numpy(zero_copy_only=False)
         begin = one.num_rows - int(last.sum())  # groups are runs, so those of the last one's keys are at the end
         if begin:
             yield one.slice(0, begin)

@@ -59,11 +59,11 @@ def _remove_all() -> None:
 atexit.register(_remove_all)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no earlier stage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lectern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path

@@ -353,10 +353,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     """key, url, text, n_chars of every page. table: pages is read from files as it is."""
     pages = documents_of(pages, key, url, page)
     rows = numbered(pages if table else stored(pages, "pages-input"), key, url, page)
-    seen = stored(seen_subtrees(rows), "subtrees")
+    seen = stored(seen_subtrees(rows), "subtrees", "zstd")  # holds the pages' texts
     known = stored(templates(seen).select("host", "key"), "templates")
     inner = seen.select("_row", "host", F.explode(F.filter("keys", lambda k: k["inner"])).alias("k")).select("_row", "host", "k.key")
-    own = stored(inner.join(known, ["host", "key"]).groupBy("_row").agg(F.collect_set("key").alias("template")), "page-templates")
+    own = stored(inner.join(known.hint("merge"), ["host", "key"]).groupBy("_row").agg(F.collect_set("key").alias("template")), "page-templates")
     discard(known)
     bit = F.pmod(F.xxhash64("_row"), F.lit(FILTER_BITS))
     bitmap = own.groupBy(F.floor(bit / 63).alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(_row), {FILTER_BITS}L) % 63 as int)))").alias("_bits"))

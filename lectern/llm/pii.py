@@ -1,8 +1,9 @@
 """Personal data in texts: rules for the four base kinds, and a character-level bidirectional LSTM with CRF transitions.
 
 The network is trained in numpy on labelled spans: windows of the corpus, labelled by the rules, from a bounded sample
-(SAMPLE_WINDOWS, those of least hash), and made windows in which spans of more forms (national telephone numbers,
-IPv6 addresses) and look-alikes (dates, times, amounts, versions) stand in running text. Since every span holds a
+(SAMPLE_WINDOWS different ones, those of least hash; windows with runs that the rules can't judge are left out), and made
+windows in which spans of more forms (national telephone numbers, IPv6 addresses, keys and tokens that give access, as the
+kind "secret") and look-alikes (dates, times, amounts, versions, long numbers) stand in running text. Since every span holds a
 digit or an at sign, only windows around these are read. Windows overlap by half; where they do, their emission
 scores are averaged with weights that fall towards a window's edges, and each connected region is decoded once over
 the merged scores, so that a span cut by a window is still found whole. A decoded span is added if its mean marginal
@@ -25,16 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches, documents_of
+from lectern.llm.common import batches, documents_of, sliced, tidy
 
 # The kinds in their order, and the forms of the base kinds.
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
+#: A run that may be a secret, of which the rules know nothing.
+UNJUDGED = re.compile(r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{18,}")
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -86,8 +90,10 @@ def written(spans: list[Span]) -> str:
 # --- windows -----------------------------------------------------------------------------------------------------
 
 WINDOW, STEP = 64, 32
+#: Leading bits of a window's hash by which windows are counted.
+BINS = 12
 #: Windows of the corpus that train the network, and made ones.
-SAMPLE_WINDOWS, MADE_WINDOWS = 3000, 1500
+SAMPLE_WINDOWS, MADE_WINDOWS = 3000, 2500
 MIN_CONFIDENCE = 0.9
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 SYMBOLS = 102  # padding, other, other letter, other space, and printable ASCII and line end
@@ -267,7 +273,13 @@ def _made_piece(rng: np.random.Generator) -> tuple[str, int | None]:
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     w = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(3, 9))))
     hexes = lambda n: "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, n))
-    pick = int(rng.integers(0, 14))
+    pick = int(rng.integers(0, 21))
+    mixed = lambda n, letters: "".join(letters[k] for k in rng.integers(0, len(letters), n))
+    big, small, every = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    if pick >= 18:  # look-alikes of secrets: long numbers, long words
+        return (d(int(rng.integers(20, 40))), None) if pick == 18 else (mixed(int(rng.integers(18, 40)), every[26:52] if pick == 19 else every[:52]), None)
+    if pick >= 14:
+        return (mixed(int(rng.choice([32, 40])), small), "AKIA" + mixed(16, big), mixed(int(rng.integers(24, 41)), every), "sk-" + mixed(int(rng.integers(24, 40)), every))[pick - 14], 4
     if pick == 0:
         return f"{w()}.{w()}{d(2)}@{w()}.com", 0
     if pick == 1:
@@ -305,9 +317,12 @@ def made_windows(count: int = MADE_WINDOWS, seed: int = 11) -> tuple[np.ndarray,
     for _ in range(count):
         piece, kind = _made_piece(rng)
         before = words(12)[-int(rng.integers(1, 40)) :] + " "
-        text = (before if rng.random() > 0.1 else "") + piece
+        named = kind == 4 and rng.random() < 0.7  # said to be a secret, often in quotes
+        quote = '"' if named and rng.random() < 0.6 else ""
+        before = (before if rng.random() > 0.1 else "")[-12 if kind == 4 else 0 :] + (str(rng.choice(["token", "key", "secret", "api_key", "password"])) + str(rng.choice([" = ", "=", ": "])) + quote if named else "")
+        text = before + piece
         start = len(text) - len(piece)
-        text += (" " if rng.random() < 0.8 else ".") + words(12)
+        text += quote + (" " if rng.random() < 0.8 else ".") + words(12)
         xs.append(padded(symbols(text), 0))
         ys.append(padded(tags_of(len(text), [] if kind is None else [(kind, start, start + len(piece))]), 0))
     return np.array(xs), np.array(ys)
@@ -413,31 +428,49 @@ def added(model: dict[str, np.ndarray], texts: list[str], bases: list[list[Span]
 # --- over documents ----------------------------------------------------------------------------------------------
 
 
-def labelled_windows(docs: DataFrame, key: str, text: str, most: int = SAMPLE_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
-    """Up to `most` windows of the corpus, those of least hash, with tags from the rules."""
+def _labelled(text: str) -> Iterator[tuple[int, bytes, bytes]]:
+    """Checksum, symbols and tags of a text's windows, but for those with runs outside the base spans that may be secrets."""
+    base = base_spans(text)
+    free = _free(base)
+    open_ = [m.span() for m in UNJUDGED.finditer(text) if free(*m.span())]
+    codes, tags = symbols(text), tags_of(len(text), base)
+    for s in window_starts(text):
+        if not any(a < s + WINDOW and b > s for a, b in open_):
+            x = padded(codes, s).astype(np.uint8).tobytes()
+            yield zlib.crc32(x), x, padded(tags, s).astype(np.uint8).tobytes()
 
-    def run(parts):
-        schema = pa.schema([("h", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
 
-        def rows():
-            for part in parts:
-                for t in part.column(0).to_pylist():
-                    if not t or not TRIGGER.search(t):
-                        continue
-                    codes, tags = symbols(t), tags_of(len(t), base_spans(t))
-                    for s in window_starts(t):
-                        x = padded(codes, s).astype(np.uint8).tobytes()
-                        yield zlib.crc32(x), x, padded(tags, s).astype(np.uint8).tobytes()
+def labelled_windows(docs: DataFrame, text: str, most: int = SAMPLE_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
+    """Up to `most` different windows of the corpus, those of least hash, with tags from the rules.
+
+    First the windows are counted by the leading bits of their hashes; then those below the cut-off that this gives are
+    made different and gathered, so that no task sends more than what stays, or little more.
+    """
+    source = documents_of(docs, text)
+    texts = lambda parts: (t for part in sliced(parts) for t in part.column(0).to_pylist() if t and TRIGGER.search(t))
 
-        yield from batches(rows(), schema, weight=lambda r: 3 * WINDOW)
+    def count(parts):
+        found = np.zeros(1 << BINS, np.int64)
+        for t in texts(parts):
+            np.add.at(found, [h >> (32 - BINS) for h, _, _ in _labelled(t)], 1)
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(found[held])], names=["bin", "n"])
+
+    sums = source.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    reached = np.cumsum([r["n"] for r in sums])
+    cut = sums[min(int(np.searchsorted(reached, 2 * most)), len(sums) - 1)]["bin"] if sums else -1
+
+    def gather(parts):
+        schema = pa.schema([("h", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+        yield from tidy(batches((w for t in texts(parts) for w in _labelled(t) if w[0] >> (32 - BINS) <= cut), schema, weight=lambda r: 3 * WINDOW))
 
-    seen = documents_of(docs, text).mapInArrow(run, "h long, x binary, y binary").orderBy("h", "x", "y").limit(most).collect()
+    seen = source.mapInArrow(gather, "h long, x binary, y binary").groupBy("h", "x").agg(F.min("y").alias("y")).orderBy("h", "x").limit(most).collect()
     as_rows = lambda name: np.array([np.frombuffer(bytes(r[name]), np.uint8) for r in seen], np.int64).reshape(-1, WINDOW)
     return as_rows("x"), as_rows("y")
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_WINDOWS) -> dict[str, np.ndarray]:
-    x, y = labelled_windows(docs, key, text, most)
+def fit(docs: DataFrame, text: str = "text", most: int = SAMPLE_WINDOWS) -> dict[str, np.ndarray]:
+    x, y = labelled_windows(docs, text, most)
     made_x, made_y = made_windows()
     return train(np.concatenate([x, made_x]), np.concatenate([y, made_y]))
 
@@ -449,7 +482,7 @@ def find(docs: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id", tex
     kind = "array<struct<kind: string, start: int, end: int>>"
 
     def run(parts):
-        for part in parts:
+        for part in sliced(parts, 1024):
             keys = part.column(0)
             texts = [t or "" for t in part.column(1).to_pylist()]
             bases = [base_spans(t) for t in texts]
@@ -464,7 +497,7 @@ def find(docs: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id", tex
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of the base kinds, the digest of the base spans, and all spans in writing."""
-    found = find(docs, fit(docs, key, text), key, text)
+    found = find(docs, fit(docs, text), key, text)
     line = lambda name: F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(key, *(count(k) for k in KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select(key, *(count(k) for k in BASE_KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))

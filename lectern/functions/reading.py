@@ -128,3 +128,9 @@ def to_compact(covered: Column, through: Column, answers: Column) -> Column:
     rest = F.slice(answers, done + 1, F.size(answers))
     made = F.struct((done > 0).alias("keeps_previous"), rest.alias("answers"), F.try_element_at(answers, F.lit(-1)).alias("through"), F.size(answers).alias("covered"), (F.size(rest) > 0).alias("needs_update"))
     return F.when(F.size(answers) > 0, made)
+
+
+def checkpoint_record(parsed: Column, through: Column, covered: Column, previous_created_at: Column, now: Column) -> Column:
+    """A checked checkpoint with what it covers and its times; created_at is that of the first one. Null for what isn't valid."""
+    at = now.cast("long")
+    return F.when(parsed.isNotNull(), F.struct(parsed.alias("state"), through.alias("through"), covered.alias("covered"), F.coalesce(previous_created_at, at).alias("created_at"), at.alias("updated_at")))

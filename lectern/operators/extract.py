@@ -273,6 +273,13 @@ def reading_scope(rows: DataFrame) -> DataFrame:
     return rows.groupBy("article_id", "section").agg(F.count("*").alias("blocks"), F.min("ord").alias("first_ord"))
 
 
+def diagnostics_totals(read: DataFrame) -> DataFrame:
+    """One row: articles, partial ones, those read from the body, with fallback blocks, and the sums of all counters."""
+    counters = [f.name for f in read.schema["diagnostics"].dataType.fields if f.dataType.simpleString() == "int" and f.name != "minimum_readable_length"]
+    d = F.col("diagnostics")
+    return read.agg(F.count("*").alias("articles"), F.count_if("is_partial").alias("partial"), F.count_if(d["root_kind"] == "body").alias("body_roots"), F.count_if(d["fallback_used"]).alias("with_fallback"), *(F.coalesce(F.sum(d[c]), F.lit(0)).cast("long").alias(c) for c in counters))
+
+
 def diagnostic_issues(d: Column) -> Column:
     """The ids of what may be wrong with an extraction, from its diagnostics."""
     missed = F.greatest(F.lit(0), d["root_text_length"] - d["readable_length"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.reading import reference_text
 from lectern.functions.text import clean, overlap_score, token_set
 
 HISTORY_BUDGET, RECENT_BUDGET, RECENT_TURNS, RECALLED_TURNS, TRACES = 48_000, 24_000, 6, 6, 10
@@ -12,11 +13,12 @@ QUOTA_BYTES, QUOTA_WARNING = 10 * 1024 * 1024, 0.8
 
 
 def completed_turns(messages: DataFrame) -> DataFrame:
-    """conv_id, turn_idx (the question's place), question, answer, turn_length: questions with an answer right behind, neither in error."""
+    """conv_id, turn_idx (the question's place), question, answer, turn_length, and reference if messages have it: questions with an answer right behind, neither in error."""
+    more = ["reference"] if "reference" in messages.columns else []
     order = Window.partitionBy("conv_id").orderBy("msg_idx")
-    ahead = messages.select("conv_id", "msg_idx", "role", "content", F.coalesce("error", F.lit(False)).alias("_error"), F.lead("role").over(order).alias("_role"), F.lead("content").over(order).alias("answer"), F.coalesce(F.lead("error").over(order), F.lit(False)).alias("_wrong"), (F.row_number().over(order) - 1).alias("turn_idx"))
+    ahead = messages.select("conv_id", "msg_idx", "role", "content", *more, F.coalesce("error", F.lit(False)).alias("_error"), F.lead("role").over(order).alias("_role"), F.lead("content").over(order).alias("answer"), F.coalesce(F.lead("error").over(order), F.lit(False)).alias("_wrong"), (F.row_number().over(order) - 1).alias("turn_idx"))
     done = ahead.filter("role = 'user' and _role = 'assistant' and not _error and not _wrong")
-    return done.select("conv_id", "turn_idx", F.col("content").alias("question"), "answer", (F.length("content") + F.length("answer")).alias("turn_length"))
+    return done.select("conv_id", "turn_idx", F.col("content").alias("question"), "answer", (F.length("content") + F.length("answer")).alias("turn_length"), *more)
 
 
 def recent_turns(turns: DataFrame, budget: int = RECENT_BUDGET, most: int = RECENT_TURNS) -> DataFrame:
@@ -27,11 +29,16 @@ def recent_turns(turns: DataFrame, budget: int = RECENT_BUDGET, most: int = RECE
 
 
 def recalled_turns(turns: DataFrame, questions: DataFrame, skip: int = RECENT_TURNS, most: int = RECALLED_TURNS) -> DataFrame:
-    """Older turns by their overlap with a question (conv_id, question): conv_id, turn_idx, turn_length, score, place."""
+    """Older turns by their overlap with a question (conv_id, question, and focus_text if there is any): conv_id, turn_idx, turn_length, score, place.
+
+    What a turn's question refers to counts as its text.
+    """
     back = Window.partitionBy("conv_id").orderBy(F.desc("turn_idx"))
     older = turns.withColumn("_newest", F.row_number().over(back)).filter(F.col("_newest") > skip)
-    asked = questions.select("conv_id", token_set(F.col("question")).alias("_asked"))
-    scored = older.join(asked, "conv_id").withColumn("score", overlap_score(F.col("_asked"), token_set(F.concat_ws("\n", "question", "answer")))).filter("score > 0")
+    focus = ["focus_text"] if "focus_text" in questions.columns else []
+    asked = questions.select("conv_id", token_set(F.concat_ws("\n", "question", *focus)).alias("_asked"))
+    told = [reference_text(F.col("reference"))] if "reference" in turns.columns else []
+    scored = older.join(asked, "conv_id").withColumn("score", overlap_score(F.col("_asked"), token_set(F.concat_ws("\n", "question", "answer", *told)))).filter("score > 0")
     order = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("turn_idx"))
     return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("conv_id", "turn_idx", "turn_length", "score", "place")
 
@@ -63,6 +70,12 @@ def select_memory(turns: DataFrame, questions: DataFrame, budget: int = HISTORY_
     return every.select("conv_id", "turn_idx", how.alias("how"), before.alias("compacted"))
 
 
+def selection_counts(selected: DataFrame) -> DataFrame:
+    """conv_id, recent_turns, recalled_turns, omitted_turns, compacted_turns of select_memory()."""
+    how = lambda *names: F.count_if(F.col("how").isin(*names))
+    return selected.groupBy("conv_id").agg(how("all", "recent").alias("recent_turns"), how("recalled").alias("recalled_turns"), how("omitted").alias("omitted_turns"), F.count_if("compacted").alias("compacted_turns"))
+
+
 def question_rail(messages: DataFrame, least: int = 3) -> DataFrame:
     """conv_id, msg_idx, question: the user's questions of conversations that have `least` of them."""
     asked = messages.filter("role = 'user' and not coalesce(error, false)").select("conv_id", "msg_idx", clean(F.col("content")).alias("question")).filter("question <> ''")

@@ -13,6 +13,7 @@ from lectern.functions.model_json import checkpoint, query_plan
 from lectern.operators import assemble, chunking, extract, memory, prompts, retrieve, search, store, turns
 from lectern.plans.sql import SQL
 from lectern.sources import tables as S
+from lectern.streaming import operations
 
 Q = {}
 
@@ -390,6 +391,35 @@ def page_diagnostics(spark, d):
     return read.select("article_id", F.array_join(extract.diagnostic_issues(F.col("diagnostics")), ",").alias("issues"), F.col("diagnostics.root_kind").alias("root_kind"), F.col("diagnostics.readable_length").cast("long").alias("readable_length"))
 
 
+@query
+def diagnostics_totals(spark, d):
+    return extract.diagnostics_totals(extract.articles(S.table(spark, d, "pages")))
+
+
+@query
+def diagnostic_rules(spark, d):
+    """What counters made of document numbers say is wrong."""
+    n = F.col("doc_id").cast("int")
+    names = ("article_candidate_count", "iframe_count", "canvas_count", "shadow_root_count", "loading_indicator_count", "excluded_block_count")
+    made = F.struct(F.when(n % 3 == 0, "body").otherwise("article").alias("root_kind"), (n % 200).alias("readable_length"), F.lit(80).alias("minimum_readable_length"), (n % 700).alias("root_text_length"), (n % 7 == 0).alias("fallback_used"), *((n % (k + 2)).alias(c) for k, c in enumerate(names)))
+    return _docs(spark, d).select("doc_id", F.array_join(extract.diagnostic_issues(made), ",").alias("issues"))
+
+
+@query
+def memory_counts(spark, d):
+    """How many turns of each conversation are taken for their age, for their words, and not at all."""
+    chosen = memory.select_memory(memory.completed_turns(_messages(spark, d)), _last_questions(spark, d), 1800, 900, 1, 2)
+    return memory.selection_counts(chosen)
+
+
+@query
+def stale_operations(spark, d):
+    """Messages as operations begun under the version of their place; conversations were invalidated as often as they have questions."""
+    rows = _messages(spark, d).select(F.col("conv_id").cast("string").alias("key"), "msg_idx", (F.col("msg_idx") % 4).alias("version"), F.lit(0).cast("long").alias("all_version"))
+    asked = _messages(spark, d).filter("role = 'user'").groupBy(F.col("conv_id").cast("string").alias("key")).agg(F.count("*").alias("version"))
+    return operations.current(rows, asked).select("key", "msg_idx", "version")
+
+
 @query
 def markdown_normalize(spark, d):
     return _messages(spark, d).select("conv_id", "msg_idx", normalized_markdown(F.col("content")).alias("markdown"))

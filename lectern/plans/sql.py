@@ -129,6 +129,11 @@ SQL = {
       SELECT n.conv_id, n.turn_idx, CASE WHEN total <= 1800 THEN 'all' WHEN k.turn_idx IS NOT NULL THEN 'recent' WHEN f.taken IS NOT NULL THEN 'recalled' ELSE 'omitted' END AS how,
         NOT total <= 1800 AND (first.turn_idx IS NULL OR n.turn_idx < first.turn_idx) AS compacted
       FROM n LEFT JOIN kept k ON k.conv_id = n.conv_id AND k.turn_idx = n.turn_idx LEFT JOIN fold f ON f.conv_id = n.conv_id AND f.taken = n.turn_idx LEFT JOIN kept first ON first.conv_id = n.conv_id""",
+    "memory_counts": None,
+    "diagnostic_rules": """WITH c AS (SELECT doc_id, doc_id % 3 = 0 AS body, doc_id % 200 AS readable, doc_id % 700 AS whole, doc_id % 7 = 0 AS fallback FROM documents)
+      SELECT doc_id, concat_ws(',', CASE WHEN readable < 80 THEN 'low-readable-text' END, CASE WHEN body THEN 'body-fallback' END, CASE WHEN false THEN '' END, CASE WHEN doc_id % 3 + doc_id % 4 + doc_id % 5 > 0 THEN 'unsupported-structure' END, CASE WHEN doc_id % 6 > 0 THEN 'dynamic-loading' END,
+        CASE WHEN doc_id % 7 > 0 THEN 'excluded-blocks' END, CASE WHEN NOT fallback AND whole - readable >= 120 AND whole - readable > 1.5 * readable THEN 'unmatched-markup' END) AS issues FROM c""",
+    "stale_operations": f"""WITH {_MESSAGES}, v AS (SELECT conv_id, count(*) AS now FROM messages WHERE role = 'user' GROUP BY 1) SELECT m.conv_id::VARCHAR AS key, m.msg_idx, m.msg_idx % 4 AS version FROM messages m LEFT JOIN v USING (conv_id) WHERE coalesce(now, 0) = m.msg_idx % 4""",
     "trace_retention": f"WITH {_MESSAGES} SELECT conv_id, msg_idx FROM messages WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) <= 2",
     "question_rail": f"WITH {_MESSAGES}, q AS (SELECT conv_id, msg_idx, {_flat('content')} AS question FROM messages WHERE role = 'user') SELECT * FROM q WHERE question <> '' QUALIFY count(*) OVER (PARTITION BY conv_id) >= 3",
     "archive_summary": f"""WITH {_MESSAGES} SELECT 'https://example.com/c/' || conv_id AS url, 'Conversation ' || conv_id AS title, min(msg_idx) AS created_at, max(msg_idx) AS updated_at, count(*) FILTER (role = 'user') AS question_count, arg_max(content, msg_idx) FILTER (role = 'user') AS last_question FROM messages GROUP BY conv_id""",
@@ -189,4 +194,5 @@ SQL = {
       SELECT conv_id, msg_idx, length(given) > 1 AND regexp_matches(given, '^[a-z][a-z ''-]*$') AND given = output AS again FROM c""",
     "markdown_normalize": None,
 }
+SQL["memory_counts"] = f"SELECT conv_id, count(*) FILTER (how IN ('all', 'recent')) AS recent_turns, count(*) FILTER (how = 'recalled') AS recalled_turns, count(*) FILTER (how = 'omitted') AS omitted_turns, count(*) FILTER (compacted) AS compacted_turns FROM ({SQL['memory_selection']}) GROUP BY 1"
 SQL = {k: v for k, v in SQL.items() if v}

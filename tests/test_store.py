@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import store
-from lectern.streaming import archive
+from lectern.operators import memory, store
+from lectern.settings import Settings
+from lectern.streaming import archive, operations
 
 AT = 99
 
@@ -72,3 +73,32 @@ def test_archive_stream_keeps_all_turns(spark, tmp_path, replay):
     got = sorted((r["url"], r["ord"], r["question_id"], r["question"], r["answer"]) for r in archive.archived_turns(spark, f"{tmp_path}/out").collect())
     assert got == [("https://e.test/a", 0, "7-0", "q0", "a0"), ("https://e.test/a", 1, "7-2", "q2", "a2"), ("https://e.test/b", 0, "8-0", "p0 new", "b0")]
     assert all(len(v) <= 2 for v in archive._versions(spark, f"{tmp_path}/out").values())
+
+
+def test_operations_and_closing(spark):
+    versions = operations.invalidated(spark.createDataFrame([("a", 2)], operations.VERSIONS), spark.createDataFrame([("a",), ("b",), ("b",)], "key string"))
+    assert sorted(map(tuple, versions.collect())) == [("a", 3), ("b", 1)]
+    begun = spark.createDataFrame([("a", 3, 0, 1), ("a", 2, 0, 2), ("c", 0, 0, 3), ("b", 1, 1, 4)], "key string, version long, all_version long, n int")
+    assert sorted(r["n"] for r in operations.current(begun, versions).collect()) == [1, 3]
+    asked = spark.createDataFrame([("a", 5, "y"), ("a", 4, "x"), ("b", 9, "z")], "key string, asked_at long, request_id string")
+    assert sorted(r["request_id"] for r in operations.single_flight(asked).collect()) == ["x", "z"]
+    empty = spark.createDataFrame([], store.CONVERSATION)
+    rows = context(spark, [(1, "https://e.test/a", "https://e.test/a", "A", TURN, 5), (2, "https://e.test/b", "https://e.test/b", "B", TURN, 6)])
+    left, kept = operations.close_tab(rows, empty, 1, True, F.lit(AT))
+    assert [r["tab_id"] for r in left.collect()] == [2] and [r["normalized_url"] for r in kept.collect()] == ["https://e.test/a"]
+    assert operations.close_tab(rows, empty, 1, False, F.lit(AT))[1].count() == 0
+    assert operations.retain_all(rows, empty, F.lit(AT)).count() == 2 and operations.retain_all(rows, empty, F.lit(AT), F.col("tab_id") == 2).count() == 1
+
+
+def test_settings():
+    read = Settings.load({"windows": 3, "model": 7, "odd": 1, "retain_conversations": True})
+    assert (read.windows, read.model, read.retain_conversations, read.candidates) == (3, "", True, 20) and Settings.load(read.save()) == read and Settings.load(None) == Settings()
+
+
+def test_memory_reads_focus_and_references(spark):
+    ref = lambda t: ("text", t, "S", None, None)
+    rows = [(1, 0, "user", "first", 0, None, ref("kestrel")), (1, 1, "assistant", "x", 1, None, None), (1, 2, "user", "second", 2, None, None), (1, 3, "assistant", "y", 3, None, None)]
+    turns = memory.completed_turns(spark.createDataFrame(rows, f"conv_id long, msg_idx long, role string, content string, created_at long, error boolean, reference {store.REFERENCE}"))
+    asked = spark.createDataFrame([(1, "what about it", "kestrel")], "conv_id long, question string, focus_text string")
+    assert [r["turn_idx"] for r in memory.recalled_turns(turns, asked, 1, 2).collect()] == [0]
+    assert memory.recalled_turns(turns.drop("reference"), asked, 1, 2).count() == 0

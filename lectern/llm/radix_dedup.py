@@ -4,8 +4,8 @@ Texts are lower-cased in A-Z only. Round k splits every group that is left by it
 eight times as wide as the last one, so that a text of n bytes takes about log8(n / 64) rounds. A group is done when
 it holds one row, or when its texts have ended; the members of an ended group are equal byte for byte, and no digest
 decides. A round is one aggregation (group, digit) -> (size, least row, largest key), combined before the shuffle, and
-one join that hands the new groups to the rows; a hot group is one key of that join, which AQE may split, and is never
-gathered. Rows that are alone leave before the join of the next round, so after the first round only the text of
+one join that hands the new groups to the rows; a hot group is one key of that join, whose partition AQE may split, and is
+never gathered. Rows that are alone leave before the join of the next round, so after the first round only the text of
 possible copies moves.
 
 Defined results: a null text counts as empty; a null key is less than any other; of rows with the largest key of a
@@ -50,11 +50,13 @@ def copies(rows: DataFrame, first: int = FIRST_DIGIT, widening: int = WIDENING)
     kept = None
     while True:
         held = left.withColumn("_digit", _digit(start, width))
-        groups = held.groupBy("_group", "_digit").agg(F.count("*").alias("_size"), F.min("_row").alias("_next"), F.max("_key").alias("_keep")).filter("_size > 1")
+        # Stored, so that the join deals rows out on its own and a hot group's partition can be split
+        groups = stored(held.groupBy("_group", "_digit").agg(F.count("*").alias("_size"), F.min("_row").alias("_next"), F.max("_key").alias("_keep")).filter("_size > 1"), "radix-groups")
         step = stored(
-            held.join(groups, ["_group", "_digit"]).select("_row", "_key", F.col("_next").alias("_group"), "_keep", "_size", (F.octet_length("_digit") < width).alias("_ended"), F.when(F.octet_length("_digit") == width, F.col("_body")).alias("_body")),
+            held.join(groups.hint("merge"), ["_group", "_digit"]).select("_row", "_key", F.col("_next").alias("_group"), "_keep", "_size", (F.octet_length("_digit") < width).alias("_ended"), F.when(F.octet_length("_digit") == width, F.col("_body")).alias("_body")),
             "radix",
         )
+        discard(groups)
         discard(kept)
         done.append(step.filter("_ended").select("_row", "_key", "_group", "_keep", "_size"))
         left, kept = step.filter("not _ended").select("_row", "_key", "_body", "_group"), None

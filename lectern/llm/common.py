@@ -7,7 +7,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +76,12 @@ def discard(df: DataFrame | None) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
-def either(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, made longer until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema, weight=None, limit: int = BATCH_BYTES, most: int = 4096) -> Iterator[pa.RecordBatch]:

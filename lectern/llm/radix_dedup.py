@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, documents_of, stored
+from lectern.llm.common import discard, documents_of, fresh, stored
 
 #: Bytes of the first digit, and how much wider each next one is.
 FIRST_DIGIT, WIDENING = 64, 8
@@ -90,5 +90,6 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", table:
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", table: bool = False) -> DataFrame:
     """docs without the rows that exact_dedup() doesn't keep; all columns stay."""
     docs = docs if table else stored(docs, "radix-input")
-    lost = exact_dedup(docs, key, text, table=True).filter("not kept").select(F.col("_row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(lost, "__row", "left_anti").drop("__row")
+    row = fresh("_lost", docs)
+    lost = exact_dedup(docs, key, text, table=True).filter("not kept").select(F.col("_row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(lost, row, "left_anti").drop(row)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches, discard, documents_of, sliced, stored, tidy, whole_groups
+from lectern.llm.common import batches, discard, documents_of, fresh, sliced, stored, tidy, whole_groups
 from lectern.llm.components import components
 
 COORDINATES, ROWS = 128, 4
@@ -343,5 +343,6 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, table: bool = False) -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each component the one of least id (of equal ids the first)."""
     docs = docs if table else stored(docs, "near-input")
-    lost = _judged(numbered(docs, key, text), size).filter("not _stays").select(F.col("_row").alias("__lost"))
-    return docs.withColumn("__lost", F.monotonically_increasing_id()).join(lost, "__lost", "left_anti").drop("__lost")
+    row = fresh("_lost", docs)
+    lost = _judged(numbered(docs, key, text), size).filter("not _stays").select(F.col("_row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(lost, row, "left_anti").drop(row)

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import bpe, mixing, quality, radix_dedup, sketch_dedup
-from lectern.llm.common import stored
+from lectern.llm.common import discard, stored
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage-{k}")
+            discard(before)  # nothing reads it any more
     return docs

@@ -43,7 +43,7 @@ OWN_COUNT = 3
 #: Strength of the classes' own shares in a class's transitions.
 TRANSITION_WEIGHT = 20.0
 #: Distinct words, and distinct neighbour counts, that a task holds before it passes them on.
-FLUSH_WORDS, FLUSH_CODES = 250_000, 1 << 21
+FLUSH_WORDS, FLUSH_CODES = 400_000, 1 << 22
 #: Bits of the filter through which words go before their neighbours are counted: two megabytes.
 FILTER_BITS = 1 << 24
 END = b""  # no word is empty
@@ -86,9 +86,16 @@ class Coded:
 
 
 def coded(parts, column: int = 0):
-    """The batches in slices, each with the words of its texts."""
-    for part in sliced(parts, 2048):
-        yield part, Coded(part.column(column))
+    """The batches, two at a time, each with the words of its texts: the more texts, the fewer different words are looked up."""
+    held: list[pa.RecordBatch] = []
+    for part in sliced(parts, 1024):
+        held.append(part)
+        if sum(x.num_rows for x in held) >= 2048:
+            one, held = pa.concat_batches(held), []
+            yield one, Coded(one.column(column))
+    if held:
+        one = pa.concat_batches(held)
+        yield one, Coded(one.column(column))
 
 
 def shapes(words: pa.Array) -> pa.Array:
@@ -301,7 +308,7 @@ def likeliest(counts: np.ndarray, now: np.ndarray, grid: np.ndarray) -> np.ndarr
     return fit.argmax(axis=1)
 
 
-def word_classes(counted: DataFrame, texts: DataFrame, units: Units, own: np.ndarray, bigrams: np.ndarray) -> DataFrame:
+def word_classes(counted: DataFrame, texts: DataFrame, units: Units, own: np.ndarray, bigrams: np.ndarray, often: Often) -> DataFrame:
     """word, c, class of every training word: the unit's for units of their own and words seen seldom, else the one its neighbours fit best."""
     size = int(own.max()) + 1
     member = np.eye(size)[own]
@@ -323,7 +330,7 @@ def word_classes(counted: DataFrame, texts: DataFrame, units: Units, own: np.nda
         for part in sliced(parts, 1 << 14):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own[units.of(part.column(0).cast(pa.large_binary()))[0]], pa.int32())], names=["word", "c", "shaped"])
 
-    fit = neighbours(texts, units, own, Often(counted)).mapInArrow(lambda parts: tidy(fitted(parts)), "word binary, own int")
+    fit = neighbours(texts, units, own, often).mapInArrow(lambda parts: tidy(fitted(parts)), "word binary, own int")
     every = counted.select("word", "c").mapInArrow(lambda parts: tidy(shaped(parts)), "word binary, c long, shaped int")
     return every.join(fit, "word", "left").select("word", "c", F.coalesce("own", "shaped").alias("class"))
 
@@ -331,7 +338,8 @@ def word_classes(counted: DataFrame, texts: DataFrame, units: Units, own: np.nda
 class Model:
     """Counts, classes and log10 probabilities of the head; units and own tell the classes of words that aren't in training."""
 
-    def __init__(self, head: list[tuple[bytes, int, int]], units: Units, own: np.ndarray, tokens: np.ndarray, types: np.ndarray, total: int, distinct: int, discount: float) -> None:
+    def __init__(self, head: list[tuple[bytes, int, int]], units: Units, own: np.ndarray, tokens: np.ndarray, types: np.ndarray, total: int, distinct: int, discount: float, often: Often) -> None:
+        self.often = often
         self.mark = uuid.uuid4().hex
         self.units, self.own, self.total, self.distinct, self.discount = units, own, total, distinct, discount
         self.size = len(tokens)
@@ -352,7 +360,7 @@ class Model:
 
 
 def class_bigrams(texts: DataFrame, model: Model, vocabulary: DataFrame) -> np.ndarray:
-    """How often one class follows another, over all rows: between head words at once, from and to all others by joins."""
+    """How often one class follows another, over all rows: between words whose class is at hand at once, from and to all others by joins."""
     size = model.size
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -362,7 +370,7 @@ def class_bigrams(texts: DataFrame, model: Model, vocabulary: DataFrame) -> np.n
 
         def made():
             for _, t in coded(parts):
-                _, cls = placed(own, t.words)
+                _, cls = placed(own, t)
                 before, now = t.before(cls), cls[t.at]
                 both = (before >= 0) & (now >= 0)
                 np.add.at(total, before[both] * size + now[both], 1)
@@ -408,7 +416,8 @@ def fit(texts: DataFrame, counted: DataFrame) -> tuple[Model, DataFrame]:
     units = Units([bytes(r["word"]) for r in frequent], [r["shape"] for r in common])
     bigrams = unit_bigrams(texts, units)
     own = exchange(bigrams)
-    vocabulary = stored(word_classes(counted, texts, units, own, bigrams), "classes")
+    often = Often(counted)
+    vocabulary = stored(word_classes(counted, texts, units, own, bigrams, often), "classes")
     size = int(own.max()) + 1
     tokens, types = np.zeros(size), np.zeros(size)
     for r in vocabulary.groupBy("class").agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect():
@@ -419,7 +428,7 @@ def fit(texts: DataFrame, counted: DataFrame) -> tuple[Model, DataFrame]:
     fits = [k for (k, _), sum_ in zip(levels, accumulate(n for _, n in levels), strict=True) if sum_ <= HEAD]
     head = short.filter(level >= fits[-1]).select("word", "c", "class").toArrow() if fits else None  # found by its least count: no task sends more than what stays
     head = sorted(zip(*(x.to_pylist() for x in head.columns), strict=True)) if head else []
-    model = Model(head, units, own, tokens, types, facts["total"] or 0, facts["types"], discount)
+    model = Model(head, units, own, tokens, types, facts["total"] or 0, facts["types"], discount, often)
     model.set_moves(class_bigrams(texts, model, vocabulary))
     return model, vocabulary
 
@@ -435,15 +444,23 @@ def _index(model: Model) -> dict[bytes, int]:
     return _indexes[model.mark]
 
 
-def placed(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Words' places in the head and their classes, both -1 outside of it."""
+def placed(model: Model, t: Coded) -> tuple[np.ndarray, np.ndarray]:
+    """Words' places in the head, -1 outside of it, and their classes, -1 where the vocabulary has to tell.
+
+    Words outside the head that aren't seen often have the class of their shape, and so have words not in training.
+    """
     get = _index(model).get
-    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-    return at, np.where(at >= 0, model.head_class[at], -1) if len(model.head) else at
+    at = np.fromiter((get(w, -1) for w in t.words), np.int64, len(t.words))
+    cls = np.where(at >= 0, model.head_class[at], -1) if len(model.head) else at.copy()
+    out = np.flatnonzero(at < 0)
+    shaped = model.own[model.units.of(t.told.take(pa.array(out)))[0]]
+    seldom = ~model.often([t.words[k] for k in out.tolist()]) & (out != t.end)
+    cls[out] = np.where(seldom, shaped, -1)
+    return at, cls
 
 
 def beside(t: Coded, cls: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words outside the head that have a head word (or the text's start) on a side: word, code as in neighbours(), the token's place."""
+    """Words without a class that have one with a class (or the text's start) on a side: word, code as in neighbours(), the token's place."""
     now, before = cls[t.at], t.before(cls)
     left = np.flatnonzero((now < 0) & (before >= 0))
     right = np.flatnonzero((now[:-1] < 0) & (now[1:] >= 0) & (t.row[:-1] == t.row[1:]))
@@ -451,7 +468,7 @@ def beside(t: Coded, cls: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pairs_outside(t: Coded, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbours that are both outside the head: two words, and the first one's place."""
+    """Neighbours that both have no class: two words, and the first one's place."""
     out = cls[t.at] < 0
     k = np.flatnonzero(out[:-1] & out[1:] & (t.row[:-1] == t.row[1:]))
     return t.at[k], t.at[k + 1], k
@@ -479,7 +496,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_
 
         def made():
             for part, t in coded(parts, 2):
-                at, cls = placed(own, t.words)
+                at, cls = placed(own, t)
                 place, now, before = at[t.at], cls[t.at], t.before(cls)
                 known, both = place >= 0, (before >= 0) & (now >= 0)
                 base, total = np.zeros(len(place)), np.zeros(len(place))
@@ -489,7 +506,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_
                 yield batch(len(rows), _row=rows, n_tokens=pa.array(t.sizes), n_head=pa.array(t.texts_sum(known)), base=pa.array(t.texts_sum(base)), score=pa.array(t.texts_sum(total)))
                 out = part.column(1).to_numpy(zero_copy_only=False)
                 met = np.unique(t.at[~known & out[t.row]])
-                shaped = np.full(len(t.words), -1)
+                shaped = np.where(at < 0, cls, -1)
                 shaped[met] = own.own[own.units.of(t.told.take(pa.array(met)))[0]]
                 width = len(t.words)
                 code, n = np.unique(t.row[~known] * width + t.at[~known], return_counts=True)  # a text's other words

@@ -85,9 +85,17 @@ def fuse(ranked: DataFrame, constant: int = RRF) -> DataFrame:
 
 
 def literal_matches(chunks: DataFrame, questions: DataFrame, focus: Column | None = None) -> DataFrame:
-    """article_id, query_id, chunk_idx, longest, matches, place: chunks that hold a question's literals; with an article_id, of that article alone."""
-    literals = questions.select(*_article_of(questions), "query_id", F.explode(exact_literals(F.col("question"), focus)).alias("literal"))
-    return matches_of(chunks, literals)
+    """article_id, query_id, chunk_idx, longest, matches, place: chunks that hold a question's literals; with an article_id, of that article alone.
+
+    Questions of one article meet its chunks by an equal join, and each chunk is tried for the question's own literals.
+    """
+    literals = questions.select(*_article_of(questions), "query_id", exact_literals(F.col("question"), focus).alias("literals"))
+    if not _article_of(questions):
+        return matches_of(chunks, literals.select("query_id", F.explode("literals").alias("literal")))
+    content = normalize_literal(F.concat("section", F.lit("\n"), "text"))
+    own = chunks.select("article_id", "chunk_idx", content.alias("_content")).join(literals, "article_id")
+    held = own.select("article_id", "query_id", "chunk_idx", F.filter("literals", lambda w: F.contains("_content", w)).alias("held")).filter(F.size("held") > 0)
+    return _placed(held.select("article_id", "query_id", "chunk_idx", F.array_max(F.transform("held", lambda w: F.length(w))).alias("longest"), F.size("held").cast("long").alias("matches")))
 
 
 def containing(chunks: DataFrame, literals: DataFrame, block: int = LITERALS) -> DataFrame:
@@ -125,8 +133,11 @@ def containing(chunks: DataFrame, literals: DataFrame, block: int = LITERALS) ->
 
 def matches_of(chunks: DataFrame, literals: DataFrame) -> DataFrame:
     """literal_matches() for literals given as query_id, literal."""
-    found = containing(chunks, literals).join(literals, [*_article_of(literals), "literal"])
-    sums = found.groupBy("article_id", "query_id", "chunk_idx").agg(F.max(F.length("literal")).alias("longest"), F.count("*").alias("matches"))
+    found = containing(chunks, literals).join(literals, "literal")
+    return _placed(found.groupBy("article_id", "query_id", "chunk_idx").agg(F.max(F.length("literal")).alias("longest"), F.count("*").alias("matches")))
+
+
+def _placed(sums: DataFrame) -> DataFrame:
     order = Window.partitionBy("article_id", "query_id").orderBy(F.desc("longest"), F.desc("matches"), "chunk_idx")
     return sums.withColumn("place", F.row_number().over(order))
 

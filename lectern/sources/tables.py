@@ -43,8 +43,8 @@ def questions(benchmark: DataFrame) -> DataFrame:
 def asked_of(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """article_id, query_id, question: every document is asked one question; documents take them in turn, so that all are asked."""
     asked = questions(benchmark)
-    count = asked.agg(F.coalesce(F.max("query_id") + 1, F.lit(1)).alias("_n"))
-    turn = documents.select(F.col("doc_id").alias("article_id")).join(F.broadcast(count)).select("article_id", F.pmod("article_id", "_n").alias("query_id"))
+    count = asked.agg(F.max("query_id")).first()[0]
+    turn = documents.select(F.col("doc_id").alias("article_id")).select("article_id", F.pmod("article_id", F.lit((count or 0) + 1)).alias("query_id"))
     return turn.join(asked, "query_id").select("article_id", "query_id", "question")
 
 

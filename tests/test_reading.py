@@ -4,7 +4,7 @@ from lectern.operators import evidence as E
 from lectern.operators.chunking import PROSE, create_chunks, split_text
 from lectern.operators.extract import extract_article
 from lectern.operators.memory import completed_turns, merge_turns, select_memory
-from lectern.operators.search import bm25, coverage_groups, neighbours
+from lectern.operators.search import bm25, containing, coverage_groups, literal_matches, neighbours
 
 
 def block(k, text, section="S", type_="paragraph", block_id=None):
@@ -127,3 +127,19 @@ def test_search(spark):
     assert [r["chunk_idx"] for r in bm25(chunks, asked).collect()] == [1]
     assert {(r["chunk_idx"], r["before"], r["after"]) for r in neighbours(chunks).collect()} == {(0, None, 1), (1, 0, None), (2, None, None)}
     assert {r["group_key"] for r in coverage_groups(chunks).collect()} == {"A", "B"}
+
+
+def test_literals_of_one_article(spark):
+    """The two ways to find literals agree where every question is of every article."""
+    rng = random.Random(6)
+    words = ["alpha", "beta-7", "x/y", "gamma", "delta.io", "ab"]
+    chunks = spark.createDataFrame([(a, k, "S", " ".join(rng.choice(words) for _ in range(6))) for a in (1, 2) for k in range(12)], "article_id long, chunk_idx int, section string, text string")
+    asked = [(q, f'does "{rng.choice(words)} {rng.choice(words)}" mean {rng.choice(words)}') for q in range(6)]
+    plain = literal_matches(chunks, spark.createDataFrame(asked, "query_id long, question string"))
+    bound = literal_matches(chunks, spark.createDataFrame([(a, *q) for a in (1, 2) for q in asked], "article_id long, query_id long, question string"))
+    told = lambda df: sorted((r["article_id"], r["query_id"], r["chunk_idx"], r["longest"], r["matches"], r["place"]) for r in df.collect())
+    assert told(plain) == told(bound) and plain.count() > 20
+    text = {(r["article_id"], r["chunk_idx"]): f"s {r['text']}" for r in chunks.collect()}
+    few = spark.createDataFrame([(1, "a b"), (2, "--"), (3, "alpha")], "query_id long, literal string")
+    got = {(r["article_id"], r["chunk_idx"], r["literal"]) for r in containing(chunks, few, 1).collect()}
+    assert got == {(a, k, w) for (a, k), t in text.items() for w in ("a b", "--", "alpha") if w in t}

@@ -27,7 +27,7 @@ from lectern.llm.common import batches, documents_of, sliced, tidy
 #: Pieces above this length take the round-wise form for single rows.
 LONG = 256
 #: Pieces whose ids a worker remembers, and the longest of them.
-CACHE_PIECES, CACHE_LENGTH = 150_000, 64
+CACHE_PIECES, CACHE_LENGTH = 300_000, 64
 NONE = np.int64(1) << 40
 #: The width of the bucket of each length: exact for short pieces, else the next multiple of 8.
 WIDTHS = [max(1, n) if n <= 16 else (n + 7) // 8 * 8 for n in range(LONG + 1)]
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         own = encoder(path, pattern)
 
         def made():
-            for part in sliced(parts):
+            for part in sliced(parts, 1024):
                 keys = part.column(0)
                 schema = pa.schema([pa.field(n, keys.type if n == key else pa.binary()) for n in names])
                 rows = ((k, ids, own.decode(ids)) if decoded else (k, ids) for k, ids in zip(keys.to_pylist(), own.encode_batch(part.column(1).to_pylist()), strict=True))

@@ -23,7 +23,6 @@ as nought); repeated rows each count and each get their row; with no training ro
 
 from __future__ import annotations
 
-import uuid
 from itertools import accumulate
 from zlib import crc32
 
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import discard, documents_of, sliced, stored, tidy, whole_groups
 
-HEAD, HEAD_BYTES = 200_000, 64
+HEAD, HEAD_BYTES = 400_000, 64
 UNIT_WORDS, UNIT_SHAPES = 1024, 508
 CLASSES, SWEEPS = 48, 12
 #: Words seen so often or more have a class by their own neighbours.
@@ -340,14 +339,13 @@ class Model:
 
     def __init__(self, head: list[tuple[bytes, int, int]], units: Units, own: np.ndarray, tokens: np.ndarray, types: np.ndarray, total: int, distinct: int, discount: float, often: Often) -> None:
         self.often = often
-        self.mark = uuid.uuid4().hex
         self.units, self.own, self.total, self.distinct, self.discount = units, own, total, distinct, discount
         self.size = len(tokens)
         self.class_tokens = tokens
         with np.errstate(divide="ignore", invalid="ignore"):
             self.unknown = np.where(tokens > 0, np.log10(discount * types / tokens), np.log10(discount / max(total + distinct, 1)))  # a class without training tokens gives what one token of all has
         self.per_class = np.log10(np.maximum(tokens, 1))
-        self.head = [w for w, _, _ in head]
+        self.head = pa.array([w for w, _, _ in head], pa.large_binary())
         counts = np.array([c for _, c, _ in head], np.float64)
         self.head_class = np.array([k for _, _, k in head], np.int64)
         self.head_base = np.log10((counts + 1) / (total + distinct + 1))
@@ -433,24 +431,12 @@ def fit(texts: DataFrame, counted: DataFrame) -> tuple[Model, DataFrame]:
     return model, vocabulary
 
 
-_indexes: dict[str, dict[bytes, int]] = {}
-
-
-def _index(model: Model) -> dict[bytes, int]:
-    """One index of the head for each worker process; an older model's goes."""
-    if model.mark not in _indexes:
-        _indexes.clear()
-        _indexes[model.mark] = {w: k for k, w in enumerate(model.head)}
-    return _indexes[model.mark]
-
-
 def placed(model: Model, t: Coded) -> tuple[np.ndarray, np.ndarray]:
     """Words' places in the head, -1 outside of it, and their classes, -1 where the vocabulary has to tell.
 
     Words outside the head that aren't seen often have the class of their shape, and so have words not in training.
     """
-    get = _index(model).get
-    at = np.fromiter((get(w, -1) for w in t.words), np.int64, len(t.words))
+    at = pc.fill_null(pc.index_in(t.told, value_set=model.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     cls = np.where(at >= 0, model.head_class[at], -1) if len(model.head) else at.copy()
     out = np.flatnonzero(at < 0)
     shaped = model.own[model.units.of(t.told.take(pa.array(out)))[0]]

@@ -156,13 +156,12 @@ def hydrated(contexts: DataFrame, archive: DataFrame) -> DataFrame:
 
 
 def summaries(archive: DataFrame, query: str = "") -> DataFrame:
-    """normalized_url, title, created_at, updated_at, question_count, last_question, place (by updated_at, the newest first) of the
-    conversations whose title, address or messages hold the query, without regard to case; all for an empty query."""
+    """normalized_url, title, created_at, updated_at, question_count, last_question of the conversations whose title, address or
+    messages hold the query, without regard to case (all for an empty query), those updated last first."""
     asked = F.filter("messages", lambda m: m["role"] == "user")
     text = F.lower(F.concat_ws("\n", F.concat(F.array("title", "normalized_url"), F.transform("messages", lambda m: m["content"]))))
     found = conversations(archive).filter(F.contains(text, F.lit(query.strip().lower())))
-    order = Window.orderBy(F.desc("updated_at"), "normalized_url")
-    return found.select("normalized_url", "title", "created_at", "updated_at", F.size(asked).cast("long").alias("question_count"), F.coalesce(F.try_element_at(asked, F.lit(-1))["content"], F.lit("")).alias("last_question")).withColumn("place", F.row_number().over(order))
+    return found.select("normalized_url", "title", "created_at", "updated_at", F.size(asked).cast("long").alias("question_count"), F.coalesce(F.try_element_at(asked, F.lit(-1))["content"], F.lit("")).alias("last_question")).orderBy(F.desc("updated_at"), "normalized_url")
 
 
 def delete_conversations(archive: DataFrame, pages: list[str] | None = None) -> DataFrame:

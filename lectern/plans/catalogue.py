@@ -239,10 +239,10 @@ def conversation_archive(spark, d):
 
 @query
 def archive_list(spark, d):
-    """The summaries of archived conversations, in the order they are listed."""
+    """The summaries of archived conversations that hold a word."""
     contexts = S.page_contexts(S.table(spark, d, "conversations"), 1)
     held = store.save_conversations(spark.createDataFrame([], store.CONVERSATION), contexts, F.lit(5))
-    return store.summaries(held, "the").select("normalized_url", "question_count", "last_question", F.col("place").cast("long").alias("place"))
+    return store.summaries(held, "the").select("normalized_url", "title", "created_at", "updated_at", "question_count", "last_question")
 
 
 @query

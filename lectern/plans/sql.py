@@ -180,9 +180,9 @@ SQL = {
       SELECT 'https://example.com/p/' || page AS normalized_url, 'Page ' || max(conv_id) AS title, coalesce(min(msg_idx) FILTER (src = 0), min(msg_idx)) AS created_at, CASE WHEN max(src) = 1 THEN 2000 ELSE 1000 END AS updated_at, 2 * count(*) AS n_messages,
         string_agg(conv_id || '-' || msg_idx || ',' || conv_id || '-' || next_idx, ',' ORDER BY msg_idx, src) AS message_ids FROM t GROUP BY page""",
     "archive_list": f"""WITH {_MESSAGES}, m AS (SELECT *, lead(role) OVER w AS next_role, lead(content) OVER w AS answer FROM messages WINDOW w AS (PARTITION BY conv_id ORDER BY msg_idx)),
-      t AS (SELECT 'https://example.com/p/' || conv_id AS normalized_url, msg_idx, content, answer FROM m WHERE role = 'user' AND next_role = 'assistant'),
-      c AS (SELECT normalized_url, count(*) AS question_count, arg_max(content, msg_idx) AS last_question FROM t GROUP BY 1 HAVING bool_or(contains(lower(content), 'the') OR contains(lower(answer), 'the')))
-      SELECT *, row_number() OVER (ORDER BY normalized_url) AS place FROM c""",
+      t AS (SELECT 'https://example.com/p/' || conv_id AS normalized_url, 'Page ' || conv_id AS title, msg_idx, content, answer FROM m WHERE role = 'user' AND next_role = 'assistant'),
+      c AS (SELECT normalized_url, title, min(msg_idx) AS created_at, 5::BIGINT AS updated_at, count(*) AS question_count, arg_max(content, msg_idx) AS last_question FROM t GROUP BY 1, 2 HAVING bool_or(contains(lower(content), 'the') OR contains(lower(answer), 'the')))
+      SELECT * FROM c""",
     "context_clear": f"WITH {_MESSAGES} SELECT conv_id AS tab_id, 0::BIGINT AS n_messages, CASE WHEN conv_id % 3 = 0 THEN max(msg_idx) ELSE 9999 END AS updated_at FROM messages GROUP BY 1",
     "turn_recovery": f"""WITH {_MESSAGES} SELECT conv_id AS tab_id, 'ready' AS status, CASE WHEN conv_id % 2 = 0 THEN 9999 ELSE max(msg_idx) END AS updated_at,
       CASE WHEN conv_id % 2 = 0 THEN coalesce(conv_id || '-' || max(msg_idx) FILTER (role = 'user'), '') ELSE '' END AS failed FROM messages GROUP BY conv_id""",

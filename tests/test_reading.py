@@ -1,7 +1,7 @@
 import random
 
 from lectern.operators import evidence as E
-from lectern.operators.chunking import PROSE, create_chunks, split_text
+from lectern.operators.chunking import PROSE, content_blocks, create_chunks, split_text
 from lectern.operators.extract import extract_article
 from lectern.operators.memory import completed_turns, merge_turns, select_memory
 from lectern.operators.search import bm25, containing, coverage_groups, literal_matches, neighbours
@@ -143,3 +143,55 @@ def test_literals_of_one_article(spark):
     few = spark.createDataFrame([(1, "a b"), (2, "--"), (3, "alpha")], "query_id long, literal string")
     got = {(r["article_id"], r["chunk_idx"], r["literal"]) for r in containing(chunks, few, 1).collect()}
     assert got == {(a, k, w) for (a, k), t in text.items() for w in ("a b", "--", "alpha") if w in t}
+
+
+def test_media_become_blocks(spark):
+    """Descriptions stand before the block of the same place; pictures without one, and formulas without TeX, are left out."""
+    blocks = spark.createDataFrame([(1, f"block-{k + 1}", "paragraph", f"text {k}", "S", k) for k in range(2)], "article_id long, block_id string, type string, text string, section string, ord int")
+    images = spark.createDataFrame([(1, "image-1", "a cat", "", "a cat", "S", 1), (1, "image-2", "", "", "", "S", 0), (1, "image-3", "", "at the end", None, "S", None)], "article_id long, id string, alt string, caption string, surrounding_text string, section string, ord int")
+    tables = spark.createDataFrame([(1, "table-1", "Counts", "S", 0, [([("h", True, 1, 1), ("v", True, 1, 1)],), ([("a", False, 1, 1), ("1", False, 1, 1)],)])], "article_id long, id string, caption string, section string, ord int, rows array<struct<cells: array<struct<text: string, header: boolean, col_span: int, row_span: int>>>>")
+    formulas = spark.createDataFrame([(1, "formula-1", "x^2", "S", 1), (1, "formula-2", "", "S", 1)], "article_id long, id string, tex string, section string, ord int")
+    got = [(r["block_id"], r["text"]) for r in content_blocks(blocks, images, tables, formulas).orderBy("ord").collect()]
+    assert got == [("context-table-1", "Table: Counts\nh | v\na | 1"), ("block-1", "text 0"), ("context-image-1", "Image: a cat"), ("context-formula-1", "Formula: x^2"), ("block-2", "text 1"), ("context-image-3", "Image: at the end")]
+
+
+def plain_cover(chunks, budget, limit):
+    """Coverage by trying everything, one chunk after another."""
+    if not chunks or budget <= 0 or limit <= 0:
+        return []
+    if sum(map(E.cost, chunks)) <= budget and len(chunks) <= limit:
+        return list(range(len(chunks)))
+    groups = {}
+    for k, g in enumerate(E.groups_of(chunks).tolist()):
+        groups.setdefault(g, []).append(k)
+    groups = list(groups.values())
+    for n in range(min(limit, len(groups)), 0, -1):
+        chosen = [groups[k] for k in E.even_indexes(len(groups), n)]
+        if sum(E.cost(chunks[g[0]]) for g in chosen) <= budget:
+            break
+    else:
+        return []
+    picked = [g[0] for g in chosen]
+    while len(picked) < limit:
+        left = budget - sum(E.cost(chunks[k]) for k in picked)
+        blocks = {b for k in picked for b in chunks[k]["block_ids"]}
+        offers = []
+        for g in chosen:
+            rest = [k for k in g if k not in picked and not blocks & set(chunks[k]["block_ids"])]
+            if rest:
+                one = max(rest) if len(g) - len(rest) == 1 else min(rest, key=lambda k: (abs(2 * k - g[0] - g[-1]), k))
+                offers.append((-sum(E.cost(chunks[k]) for k in rest), one))
+        fit = [k for _, k in sorted(offers) if E.cost(chunks[k]) <= left]
+        if not fit:
+            break
+        picked.append(fit[0])
+    return sorted(picked)
+
+
+def test_coverage_is_the_plain_choice():
+    rng = random.Random(8)
+    for n in range(500):
+        size = rng.randint(0, 14)
+        chunks = [chunk(k, "t" * rng.randint(0, 40), rng.choice(["A > x", "A > y", "A"] if n % 2 else ["A > x", "B > z", "B", ""])) | {"block_ids": [f"b{rng.randint(0, size)}"]} for k in range(size)]
+        budget, limit = rng.choice([0, 40, 150, 400]), rng.randint(0, 7)
+        assert E.cover(chunks, budget, limit) == plain_cover(chunks, budget, limit)

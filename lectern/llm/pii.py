@@ -496,8 +496,8 @@ def find(docs: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id", tex
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans, and all spans in writing."""
+    """Counts of the base kinds, the digest of the base spans, all spans in writing, and how many these are, secrets by themselves."""
     found = find(docs, fit(docs, text), key, text)
     line = lambda name: F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(key, *(count(k) for k in BASE_KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select(key, *(count(k) for k in BASE_KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"))

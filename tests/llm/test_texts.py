@@ -125,7 +125,7 @@ def test_tagger_finds_more_forms_than_the_rules(spark):
     assert got[1] == [] and all(len(got[k]) == 1 and got[k][0][0] == "secret" for k in (0, 2))
     odd = spark.createDataFrame([("a", "mail a.b@c.de"), ("a", "mail a.b@c.de"), (None, None)], "name string, body string").selectExpr("*", "1 AS spans", "2 AS base", "3 AS n_ip")
     told = pii.report(odd, "name", "body").collect()
-    assert sorted((str(r["name"]), r["n_email"], r["n_phone"]) for r in told) == [("None", 0, 0), ("a", 1, 0), ("a", 1, 0)]
+    assert sorted((str(r["name"]), r["n_email"], r["n_phone"], r["n_spans"], r["n_secret"]) for r in told) == [("None", 0, 0, 0, 0), ("a", 1, 0, 1, 0), ("a", 1, 0, 1, 0)]
 
 
 def test_language_model_base_is_brute_force(spark):

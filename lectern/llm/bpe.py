@@ -26,8 +26,8 @@ from lectern.llm.common import batches, documents_of, sliced, tidy
 
 #: Pieces above this length take the round-wise form for single rows.
 LONG = 256
-#: Pieces whose ids a worker remembers, and the longest of them.
-CACHE_PIECES, CACHE_LENGTH = 300_000, 64
+#: Pieces whose ids a task remembers, and the longest of them.
+CACHE_PIECES, CACHE_LENGTH = 150_000, 64
 NONE = np.int64(1) << 40
 #: The width of the bucket of each length: exact for short pieces, else the next multiple of 8.
 WIDTHS = [max(1, n) if n <= 16 else (n + 7) // 8 * 8 for n in range(LONG + 1)]
@@ -226,7 +226,10 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 rows = ((k, ids, own.decode(ids)) if decoded else (k, ids) for k, ids in zip(keys.to_pylist(), own.encode_batch(part.column(1).to_pylist()), strict=True))
                 yield from batches(rows, schema, weight=lambda r: 2 * len(r[1]))
 
-        yield from tidy(made())
+        try:
+            yield from tidy(made())
+        finally:
+            own.seen = {}  # the worker lives on, with other operators' tasks
 
     return source.mapInArrow(run, kinds)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -124,11 +125,17 @@ def whole_groups(parts: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Reco
 
 
 def tidy(made: Iterator) -> Iterator:
-    """What a task puts out; at its end Arrow gives back the memory it keeps for later, since workers live on."""
+    """What a task puts out; at its end Arrow and the C library give back the memory they keep for later, since workers live on."""
     try:
         yield from made
     finally:
         pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
+#: glibc's malloc_trim; other C libraries have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

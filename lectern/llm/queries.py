@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, class_lm, digest, html_templates, mixing, pii, quality, radix_dedup, sketch_dedup, toxicity
+from lectern.llm import bpe, class_lm, digest, filter_audit, html_templates, mixing, pii, quality, radix_dedup, ranked_search, sketch_dedup, toxicity, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,8 +57,20 @@ def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_site_templates, op2_fast_sketch_dedup, op3_weak_supervision, op4_radix_dedup, op5_char_tagger, op6_class_lm, op7_byte_bpe, op8_quartile_digest, op9_soft_mixing, op10_co_training)}
+    return {f.__name__: f for f in (op1_site_templates, op2_fast_sketch_dedup, op3_weak_supervision, op4_radix_dedup, op5_char_tagger, op6_class_lm, op7_byte_bpe, op8_quartile_digest, op9_soft_mixing, op10_co_training, op11_ranked_search, op12_word_bpe, op13_filter_audit)}
 
 
 OP4_SQL = """WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
@@ -76,5 +88,34 @@ least_ AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept FROM t LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON a = doc_id"""
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+o AS (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+p AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM o SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, n_docs),
+m AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score FROM p JOIN f USING (term) JOIN q USING (term), s GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM m WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
+#: Every order is walked filter by filter, over the documents' masks.
+OP13_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '[^ 	-
+]+') AS ws FROM t),
+f AS (SELECT doc_id, part, (CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END) + (CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 10 * length(body) THEN 4 ELSE 0 END)
+  + (CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > first THEN 16 ELSE 0 END) AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (SELECT '' AS filter_order UNION ALL SELECT o.filter_order || x.f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) x WHERE NOT contains(o.filter_order, x.f)),
+st AS (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM o WHERE length(filter_order) = 5),
+b AS (SELECT *, list_sum(list_transform(range(1, step), lambda k: 1 << (instr('ABCDE', filter_order[k]) - 1))) AS before_, 1 << (instr('ABCDE', filter_order[step]) - 1) AS bit FROM st),
+e AS (SELECT filter_order, step, bit, coalesce(before_, 0)::INTEGER AS before_ FROM b),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (before_ | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before_ = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & before_ <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & before_ = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before_ = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost FROM c, e GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fast_sketch_dedup": OP2_SQL, "op4_radix_dedup": OP4_SQL}
+    return {"op2_fast_sketch_dedup": OP2_SQL, "op4_radix_dedup": OP4_SQL, "op11_ranked_search": OP11_SQL, "op13_filter_audit": OP13_SQL}

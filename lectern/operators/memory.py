@@ -70,6 +70,30 @@ def select_memory(turns: DataFrame, questions: DataFrame, budget: int = HISTORY_
     return every.select("conv_id", "turn_idx", how.alias("how"), before.alias("compacted"))
 
 
+def history_for(turns: DataFrame, asked: DataFrame, key: list[str], recent: int = RECENT_TURNS, recalled: int = RECALLED_TURNS) -> DataFrame:
+    """key, turn_idx, turn_length, how (all, recent, recalled): the turns that go with each question, each under a budget of its own.
+
+    asked: key, conv_id, question, focus_text, budget, recent_budget. All turns go if they fit; else the newest ones up to the first that
+    doesn't fit the recent budget, and of those before the last `recent` ones the most alike that fit what is left.
+    """
+    told = [reference_text(F.col("_reference"))] if "reference" in turns.columns else []
+    own = turns.select("conv_id", "turn_idx", F.col("turn_length").cast("long").alias("turn_length"), F.col("question").alias("_question"), F.col("answer").alias("_answer"), *[F.col("reference").alias("_reference")] * len(told))
+    back = Window.partitionBy(*key).orderBy(F.desc("turn_idx"))
+    tokens = asked.filter("budget > 0").select(*key, "conv_id", "budget", "recent_budget", token_set(F.concat_ws("\n", "question", "focus_text")).alias("_asked"))
+    every = tokens.join(own, "conv_id").withColumn("_newest", F.row_number().over(back)).withColumn("_used", F.sum("turn_length").over(back.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("turn_length").over(Window.partitionBy(*key)))
+    fits = F.col("_total") <= F.col("budget")
+    new = (F.col("_newest") <= recent) & (F.col("_used") <= F.least("budget", "recent_budget"))
+    old = ~fits & (F.col("_newest") > recent)
+    score = F.when(old, overlap_score(F.col("_asked"), token_set(F.concat_ws("\n", "_question", "_answer", *told)))).otherwise(0.0)
+    marked = every.select(*key, "turn_idx", "turn_length", "budget", F.when(fits, "all").when(new, "recent").alias("how"), score.alias("_score"))
+    spent = F.sum(F.when(F.col("how") == "recent", F.col("turn_length")).otherwise(0)).over(Window.partitionBy(*key))
+    order = Window.partitionBy(*key).orderBy(F.desc("_score"), F.desc("turn_idx"))
+    alike = marked.withColumn("_left", F.col("budget") - spent).filter("_score > 0").withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= recalled)
+    offers = alike.groupBy(*key).agg(F.min("_left").alias("_left"), F.array_sort(F.collect_list(F.struct("_place", "turn_idx", F.col("turn_length").alias("n")))).alias("_offers"))
+    chosen = offers.select(*key, F.explode(fitting(F.col("_offers"), F.col("_left"))).alias("e")).select(*key, F.col("e.turn_idx").alias("turn_idx"), F.col("e.n").alias("turn_length"), F.lit("recalled").alias("how"))
+    return marked.filter("how is not null").select(*key, "turn_idx", "turn_length", "how").unionByName(chosen)
+
+
 def selection_counts(selected: DataFrame) -> DataFrame:
     """conv_id, recent_turns, recalled_turns, omitted_turns, compacted_turns of select_memory()."""
     how = lambda *names: F.count_if(F.col("how").isin(*names))

@@ -171,10 +171,10 @@ def focus_anchors(chunks: DataFrame, foci: DataFrame, most: int = ANCHORS) -> Da
     return found.withColumn("place", place).filter(F.col("place") <= most).select("article_id", "query_id", "chunk_idx", "place")
 
 
-def section_scope(chunks: DataFrame, foci: DataFrame, most: int = WINDOWS, budget: int = RELEVANT_BUDGET) -> DataFrame:
+def section_scope(chunks: DataFrame, foci: DataFrame, most: int = WINDOWS, budget: int | Column = RELEVANT_BUDGET) -> DataFrame:
     """article_id, query_id, chunk_idx: the section in focus and those below it, in order, up to the limit and the budget.
 
-    foci: article_id, query_id, focus_section, heading_level; level 1 takes the whole article.
+    foci: article_id, query_id, focus_section, heading_level; level 1 takes the whole article. budget may be a column of foci.
     """
     given = F.lower(F.trim("focus_section"))
     inside = (F.col("heading_level") == 1) | (F.lower("section") == given) | F.startswith(F.lower("section"), F.concat(given, F.lit(" > ")))

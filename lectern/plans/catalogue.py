@@ -10,9 +10,11 @@ from lectern.functions import text as T
 from lectern.functions import urls
 from lectern.functions.markdown import normalized_markdown
 from lectern.functions.model_json import checkpoint, query_plan
-from lectern.operators import assemble, chunking, extract, memory, prompts, retrieve, search, store, turns
+from lectern.operators import assemble, chunking, context, extract, index, memory, prompts, retrieve, search, store, turns
+from lectern.plans.fold_sql import FOLDS
 from lectern.plans.sql import SQL
 from lectern.sources import tables as S
+from lectern.sources.scratch import new_path, stored
 from lectern.streaming import operations
 
 Q = {}
@@ -80,6 +82,18 @@ def bm25_topk(spark, d):
     return ranked.select("article_id", "query_id", F.col("chunk_idx").alias("doc_id"), F.col("matched").cast("long"), F.round("score", 5).alias("score"), "rank")
 
 
+@query
+def indexed_topk(spark, d):
+    """bm25_topk from a stored index: drafts of every seventh document are indexed with the others, then a delta takes them out and puts the documents in."""
+    chunks, path = S.document_chunks(_docs(spark, d)), new_path(spark, "index")
+    drafted = F.pmod("chunk_idx", F.lit(7)) == 3
+    drafts = chunks.filter(drafted).withColumn("text", F.concat(F.lit("draft "), F.reverse("text")))
+    index.add(path, "first", chunks.filter(~drafted).unionByName(drafts), block=16)
+    index.add(path, "delta", chunks.filter(drafted), drafts, block=16)
+    ranked = index.Search(spark, path, _as_queries(_asked(spark, d)), 5, block=16).best()
+    return ranked.select("article_id", "query_id", F.col("chunk_idx").alias("doc_id"), F.col("matched").cast("long"), F.round("score", 5).alias("score"), "rank")
+
+
 @query
 def rrf_fusion(spark, d):
     """Two queries a question, its two halves, fused by reciprocal ranks."""
@@ -131,6 +145,35 @@ def select_context(spark, d):
     return retrieve.article_context(S.sectioned_lines(_docs(spark, d)), questions, 1, 10**7, 10**7).select("article_id", "query_id", "mode", "truncated", "branch", "rank", "chunk_id", F.col("cost").cast("long").alias("cost"))
 
 
+@query
+def question_context(spark, d):
+    """The whole context of a question to each document, within 3,000 characters, in eight ways by turns: nothing more is known, a section or words are in focus,
+    or nothing that can be found, the question is planned (also with the conversation), the document's parts are wanted, and there is a checkpoint."""
+    turn, section = F.pmod("article_id", F.lit(8)), F.concat_ws(" > ", "lang", "source")
+    wide = F.pmod("article_id", F.lit(16)) == 14
+    docs = _docs(spark, d)
+    # Documents whose parts are wanted have sections of one line
+    path = lambda ord_: F.when(turn == 6, F.concat(F.lit("part "), ord_.cast("string"), F.lit(" > "), F.col("section"))).otherwise(F.concat(F.col("section"), F.lit(" > part "), F.floor(ord_ / 5).cast("string")))
+    chunks = stored(S.document_blocks(docs).select("article_id", F.col("ord").alias("chunk_idx"), F.concat(F.lit("chunk-"), F.col("ord") + 1).alias("chunk_id"), path(F.col("ord")).alias("section"), "text", F.array("block_id").alias("block_ids")), "context-chunks")
+    words = F.split("question", " ")
+    some = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    need = lambda a, why: F.struct(some(a, 5).alias("query"), F.lit(why).alias("reason"))
+    plan = F.to_json(F.struct(some(1, 12).alias("rewrittenQuestion"), F.array(some(13, 12)).alias("queries"), F.array(need(1, "first"), need(6, "second")).alias("evidenceNeeds"), F.when(wide, "document-wide").otherwise("focused").alias("coverage"), (turn == 5).alias("useConversation")))
+    asked = S.asked_of(docs, S.table(spark, d, "benchmark")).join(docs.select(F.col("doc_id").alias("article_id"), section.alias("_base")), "article_id")
+    questions = asked.select(
+        "article_id", "query_id", F.col("article_id").alias("conv_id"), F.when((turn == 6) & ~wide, F.concat(F.lit("Summarize the whole article: "), "question")).otherwise(F.col("question")).alias("question"), F.when(turn.isin(1, 2, 3), "text").alias("focus_type"),
+        F.when(turn == 2, F.col("question")).alias("focus_text"), F.when(turn == 1, F.concat("_base", F.lit(" > part 1"))).alias("focus_section"), F.when(turn == 1, "section").alias("focus_scope"), F.when(turn == 1, 3).alias("heading_level"),
+        F.when(turn.isin(4, 5) | wide, plan).alias("plan_json"), F.when(turn == 7, F.repeat(F.lit("x"), 700)).alias("checkpoint_json"), turn.isin(4, 5).alias("planned"),
+    )
+    made = context.question_context(chunks, questions, memory.completed_turns(_messages(spark, d)), 3000)
+    line = lambda e: F.concat_ws("|", e["chunk_id"], F.array_join(F.array_sort(e["sources"]), "+"), e["pinned"].cast("string"), F.round(e["score"] * 10**9).cast("long").cast("string"), e["cost"].cast("string"))
+    told = lambda t: F.concat_ws(":", t["turn_idx"].cast("string"), t["how"])
+    return made.select(
+        "article_id", "query_id", "strategy", "mode", "is_truncated", "needs_planning", "full_article_characters", "article_characters", "history_characters", "checkpoint_characters",
+        F.coalesce(F.array_join(F.transform("history", told), ","), F.lit("")).alias("history"), F.coalesce(F.array_join(F.transform("evidence", line), ";"), F.lit("")).alias("evidence"),
+    )
+
+
 @query
 def request_budgets(spark, d):
     """What a request about each document has for article and history, by turns with a checkpoint, a plan that uses the conversation, and planning done."""
@@ -430,4 +473,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in Q}
+    return {k: v for k, v in (SQL | FOLDS).items() if k in Q}

@@ -31,10 +31,10 @@ _TURNS = f"""{_MESSAGES},
 placed AS (SELECT *, row_number() OVER w - 1 AS turn_idx, lead(role) OVER w AS next_role, lead(content) OVER w AS answer FROM messages WINDOW w AS (PARTITION BY conv_id ORDER BY msg_idx)),
 turns AS (SELECT conv_id, turn_idx, content AS question, answer, length(content) + length(answer) AS turn_length FROM placed WHERE role = 'user' AND next_role = 'assistant')"""
 _LAST = "last_asked AS (SELECT conv_id, arg_max(content, msg_idx) AS question FROM messages WHERE role = 'user' GROUP BY conv_id)"
-_LINES = f"""held AS (SELECT doc_id AS article_id, lang || ' > ' || source AS section, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_flat('x')} <> '') AS ls FROM documents),
-lines AS (SELECT article_id, section, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS ord FROM held),
-parts AS (SELECT article_id, ord AS chunk_idx, section || ' > part ' || (ord // 5) AS section, text FROM lines)"""
-_TURN_ASKED = f"""{_ASKED}, one_asked AS (SELECT d.doc_id AS article_id, a.query_id, a.question, d.lang || ' > ' || d.source AS base FROM documents d JOIN asked a ON a.query_id = d.doc_id % (SELECT max(query_id) + 1 FROM asked))"""
+_HELD = f"""held AS (SELECT doc_id AS article_id, lang || ' > ' || source AS section, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_flat('x')} <> '') AS ls FROM documents),
+lines AS (SELECT article_id, section, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS ord FROM held)"""
+_LINES = f"{_HELD},\nparts AS (SELECT article_id, ord AS chunk_idx, section || ' > part ' || (ord // 5) AS section, text FROM lines)"
+_TURN_ASKED = f"""{_ASKED}, one_asked AS (SELECT d.doc_id AS article_id, a.query_id, a.question, d.lang || ' > ' || d.source AS base FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS n FROM asked) a ON a.n = d.doc_id % (SELECT count(*) FROM asked))"""
 
 
 def _anchors(foci: str) -> str:
@@ -194,5 +194,6 @@ SQL = {
       SELECT conv_id, msg_idx, length(given) > 1 AND regexp_matches(given, '^[a-z][a-z ''-]*$') AND given = output AS again FROM c""",
     "markdown_normalize": None,
 }
+SQL["indexed_topk"] = SQL["bm25_topk"]
 SQL["memory_counts"] = f"SELECT conv_id, count(*) FILTER (how IN ('all', 'recent')) AS recent_turns, count(*) FILTER (how = 'recalled') AS recalled_turns, count(*) FILTER (how = 'omitted') AS omitted_turns, count(*) FILTER (compacted) AS compacted_turns FROM ({SQL['memory_selection']}) GROUP BY 1"
 SQL = {k: v for k, v in SQL.items() if v}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import clean
+from lectern.sources.scratch import stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,12 +41,21 @@ def questions(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").alias("query_id"), clean(F.col("text")).alias("question"))
 
 
+def numbered(df: DataFrame, by: str, name: str, parts: int = 16) -> DataFrame:
+    """df with its rows numbered from 0 without gaps in the order of a column: places in sorted parts, added to the counts of the parts before."""
+    at = F.col("_at")
+    placed = stored(df.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright(at, 33))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # as many rows as parts
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", before.alias("_before"))
+    return placed.join(counts, "_part").select(*df.columns, (F.col("_before") + at - F.shiftleft(F.col("_part"), 33)).alias(name))
+
+
 def asked_of(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """article_id, query_id, question: every document is asked one question; documents take them in turn, so that all are asked."""
-    asked = questions(benchmark)
-    count = asked.agg(F.max("query_id")).first()[0]
-    turn = documents.select(F.col("doc_id").alias("article_id")).select("article_id", F.pmod("article_id", F.lit((count or 0) + 1)).alias("query_id"))
-    return turn.join(asked, "query_id").select("article_id", "query_id", "question")
+    asked = numbered(questions(benchmark), "query_id", "_turn")
+    count = asked.count()
+    turn = documents.select(F.col("doc_id").alias("article_id")).select("article_id", F.pmod("article_id", F.lit(max(1, count))).alias("_turn"))
+    return turn.join(asked, "_turn").select("article_id", "query_id", "question")
 
 
 def page_contexts(conversations: DataFrame, per_page: int = 2) -> DataFrame:

@@ -45,7 +45,7 @@ STAGES = [
     ("token ids", encode_ids),
 ]
 
-#: The classifiers can't be expressed in SQL; tests/llm holds each stage's decisions against a plain version.
+#: The classifiers can't be expressed in SQL. tests/llm holds the exact copies and the ids against plain versions, and checks what the other stages keep on small tables.
 ORACLE_SQL = None
 
 

@@ -463,13 +463,14 @@ def pairs_outside(t: Coded, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 SCORE = "_row long, n_tokens long, n_head long, base double, score double, word binary, other binary, times long, shaped int, shaped_other int, codes array<int>"
 
 
-def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_id", text: str = "text", table: bool = False) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. table: docs is read from files as it is, else it is stored first.
 
     A task gives a row for each text with the sums over its words in the head, and for each of its other words, and pairs of
     them, a row to be joined with the vocabulary. Only texts that are held out can have words that aren't in it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs if table else stored(documents_of(docs, key, text), "lm-input")  # rows are told apart by their place in a table
     source = stored(documents_of(docs, key, text).select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias("_key"), held_out(key).alias("_out")), "keys")
     texts = documents_of(docs, key, text).select(F.monotonically_increasing_id().alias("_row"), held_out(key).alias("_out"), F.col(f"`{text}`").alias("_text"))
 
@@ -534,10 +535,11 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_
     return source.join(sums, "_row").select(F.col("_key").alias(key), F.col("_out").alias("held_out"), "n_tokens", F.col("_known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
 
 
-def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Train on the rows that aren't held out, score all."""
+def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", table: bool = False) -> DataFrame:
+    """Train on the rows that aren't held out, score all. table: docs is read from files as it is, else it is stored first."""
+    docs = docs if table else stored(documents_of(docs, key, text), "lm-input")
     texts = documents_of(docs, key, text).filter(~held_out(key)).select(f"`{text}`")
     counted = stored(word_counts(texts), "words")
     model, vocabulary = fit(texts, counted)
     discard(counted)
-    return score(docs, model, vocabulary, key, text)
+    return score(docs, model, vocabulary, key, text, table=True)

@@ -10,7 +10,8 @@ There are two ways to recur. Elements outside of a declared article that hold no
 pages and MIN_SHARE of the host's pages on, wherever they stand. Everything else, that is what stands in an article and what holds
 paragraphs or quotes, is counted together with its place (its parent's tag, and its number among the parent's
 elements from the start, or from the end) and is template only from PLACED_PAGES pages and PLACED_SHARE of the host's pages on:
-a notice in every article goes, a passage that some articles quote stays. Headings in articles stay. Where placed template would
+a notice in every article goes, a passage that some articles quote stays. Headings in articles stay. Items, cells and all else inside
+a list or a table outside of a declared article count with the whole of it only: a menu goes, an ingredient that several recipes list stays. Where placed template would
 take more than PLACED_MOST of a page's main text, the pages are copies of one another rather than alike by template, and it stays.
 
 Pages are parsed once: the text they have without regard to counts is stored with their hashes. The counts are one
@@ -64,6 +65,8 @@ NAMES = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_BLOCKS = HEADINGS | frozenset("p blockquote pre".split())
+#: What counts as a whole: its parts aren't template on their own.
+WHOLES = frozenset("ul ol dl menu dir table".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*+)((?>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*'|[\"'])[^>\"']*)*))>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -197,16 +200,16 @@ class Subtree:
 def subtrees(tree: Node, article: Node, declared: bool) -> dict[int, Subtree]:
     """id(node) -> its subtree, in one pass bottom up."""
     out: dict[int, Subtree] = {}
-    order, todo = [], [(tree, tree, 0, 0, False, False)]
+    order, todo = [], [(tree, tree, 0, 0, False, False, False)]
     while todo:
-        node, parent, from_start, from_end, inside, inner = todo.pop()
+        node, parent, from_start, from_end, inside, inner, part = todo.pop()
         inside = inside or node is article and declared
         inner = node is article or inner and not node.dropped
-        order.append((node, parent, from_start, from_end, inside, inner))
+        order.append((node, parent, from_start, from_end, inside, inner, part))
         elements = [c for c in node.children if not isinstance(c, str)]
-        todo += [(c, node, k, len(elements) - k, inside, inner) for k, c in enumerate(elements)]
+        todo += [(c, node, k, len(elements) - k, inside, inner, part or node.tag in WHOLES) for k, c in enumerate(elements)]
     around, holds_text = set(), set()
-    for node, parent, from_start, from_end, inside, inner in reversed(order):
+    for node, parent, from_start, from_end, inside, inner, part in reversed(order):
         parts, length = [node.tag], 0
         for c in node.children:
             if isinstance(c, str):
@@ -226,7 +229,7 @@ def subtrees(tree: Node, article: Node, declared: bool) -> dict[int, Subtree]:
             continue
         own.placed = inside or not declared and (node.tag in TEXT_BLOCKS or id(node) in holds_text)
         if not own.placed:
-            own.keys = (own.hash,)
+            own.keys = () if part else (own.hash,)
         elif node.tag not in HEADINGS:
             own.keys = tuple(_digest([str(own.hash), parent.tag, side, str(k)]) for side, k in (("start", from_start), ("end", from_end)))
     return out

@@ -166,11 +166,17 @@ def sampled(docs: DataFrame, chosen: DataFrame, key: str, columns: list[str], mo
     """The rows of docs that at most `most` rows of chosen name by key, with the columns of both, stored.
 
     chosen is cut to the rows of least hash and broadcast: its size is bounded by `most`. Of several rows of one key the
-    least values of its other columns count.
+    least values of its other columns count. Where keys of docs repeat so that more than `most` rows meet them, the least row of each key is taken.
     """
     one = chosen.groupBy(key).agg(*(F.min(c).alias(c) for c in chosen.columns if c != key)) if len(chosen.columns) > 1 else chosen.distinct()
     few = one.orderBy(order_of(key), key).limit(most)
-    return stored(documents_of(docs, key, *columns).join(F.broadcast(few), key), "sample")
+    found = stored(documents_of(docs, key, *columns).join(F.broadcast(few), key), "sample")
+    if found.count() <= most:
+        return found
+    others = [c for c in found.columns if c != key]
+    least = stored(found.groupBy(key).agg(F.min(F.struct(*others)).alias("_least")).select(key, *(F.col(f"_least.{c}").alias(c) for c in others)), "sample")
+    discard(found)
+    return least
 
 
 def telling(sample: DataFrame, text: str, label: Column, labels: list, top: int, support: int = 5) -> list[list[str]]:

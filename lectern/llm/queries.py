@@ -21,7 +21,7 @@ def op5_char_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_lm.train_and_score(table(spark, sf_dir, "documents"))
+    return class_lm.train_and_score(table(spark, sf_dir, "documents"), table=True)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

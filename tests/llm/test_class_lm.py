@@ -83,3 +83,16 @@ def test_scores_are_those_of_a_plain_class_model(spark, monkeypatch):
         want.append((str(r["doc_id"]), round(total, 6)))
     got = [(str(r["doc_id"]), round(r["score"], 6)) for r in class_lm.score(docs, model, vocabulary).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_inputs_that_are_no_tables_keep_their_rows(spark):
+    """Rows are numbered once, in whatever partitions a shuffle deals them out."""
+    docs, _, _ = corpus(spark, 200)
+    held = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        got = class_lm.train_and_score(docs.repartition(9, "doc_id")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", held)
+    want = {r["doc_id"]: len((r["text"] or "").split()) + 1 for r in docs.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == want and len(got) == len(want)

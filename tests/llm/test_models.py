@@ -114,3 +114,12 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """A labelled id that many rows share gives one row where all would be too many."""
+    docs = spark.createDataFrame([(k % 3 if k < 300 else k, f"text {k:03d}") for k in range(310)], "doc_id long, text string")
+    chosen = spark.createDataFrame([(k, 1) for k in [0, 1, 2, *range(300, 310)]], "doc_id long, toxic int")
+    found = lexical.sampled(docs, chosen, "doc_id", ["text"], 20)
+    assert sorted((r["doc_id"], r["text"], r["toxic"]) for r in found.collect()) == [(0, "text 000", 1), (1, "text 001", 1), (2, "text 002", 1), *((k, f"text {k}", 1) for k in range(300, 310))]
+    assert lexical.sampled(docs, chosen.filter("doc_id >= 300"), "doc_id", ["text"], 20).count() == 10

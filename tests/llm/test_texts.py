@@ -192,6 +192,16 @@ def test_counting_decides_what_is_template(spark, monkeypatch):
     assert all("word for word" in r["text"] for r in html_templates.extract(pages_of(spark, copies)).collect())
 
 
+def test_items_of_lists_and_tables_stay(spark):
+    """Recipes of a host share ingredients and facts, in lists and cells: these stay, while a menu that all pages have goes as a whole."""
+    menu = "<ul><li><a href=/>Start</a></li><li><a href=/all>All our recipes</a></li></ul>"
+    item = lambda k: "Salt" if k % 20 == 0 else f"Herb number {k}"
+    page = lambda k: f"<body><div>{menu}</div><div><h1>Recipe {k}</h1><ul><li>{item(k)}</li><li>Water {k}</li></ul><table><tr><td>Serves</td><td>{k}</td></tr><tr><td>Time</td><td>one hour</td></tr></table><p>Stir the pot {k} times.</p></div></body>"
+    got = {r["page_id"]: r["text"] for r in html_templates.extract(pages_of(spark, [(k, f"https://r.example/{k}", page(k)) for k in range(100)])).collect()}
+    for k in range(100):
+        assert got[k] == f"Recipe {k}\n{item(k)}\nWater {k}\nServes\n{k}\nTime\none hour\nStir the pot {k} times."
+
+
 def test_template_counts_are_brute_force(spark):
     rng = random.Random(8)
     rows = [site(k, host=rng.choice(["a.example", "b.example"]), notice=rng.choice(["", "<div>Buy now</div>", "<div>Buy later</div>"])) for k in range(40)]

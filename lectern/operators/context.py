@@ -8,7 +8,7 @@ is known of it, a search for each planned need, and a spread over the document.
 
 All searches of all questions are one search: its queries carry question, channel and need as their id, so postings and statistics are
 made once. All windows are made in one step, and so are fusion and packing. Chunks are read by column for each of these; they should be a
-stored table, as every reader of one derives it anew otherwise.
+stored table, as every reader of one derives it anew otherwise. What several steps read is stored between them, without texts.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def covered_for(chunks: DataFrame, asked: DataFrame, most: int = E.WINDOWS) -> D
 
 def channels(chunks: DataFrame, asked: DataFrame, tokenizer: search.Tokenizer = search.retrieval_terms) -> DataFrame:
     """OFFER, rank, chunk, reason: what every channel has to say of each question of requests() whose article doesn't fit."""
-    none, facts = F.lit(None).cast("int"), packing.facts(chunks)
+    none, facts = F.lit(None).cast("int"), stored(packing.facts(chunks), "chunk-facts")
     rest = asked.filter(~F.col("fits"))
     focus = rest.filter(F.col("focus_type").isNotNull())
     section = search.section_scope(chunks, focus.filter("focus_type = 'text' and focus_scope = 'section'").select(*KEY, "focus_section", "heading_level", "article_budget"), search.ANCHORS, F.col("article_budget"))
@@ -93,7 +93,7 @@ def channels(chunks: DataFrame, asked: DataFrame, tokenizer: search.Tokenizer =
     found = search.fuse(search.bm25(chunks, search.distinct_queries(queries), tokenizer=tokenizer)).select("article_id", "query_id.*", "chunk_idx", "place")
     exact = search.literal_matches(chunks, rest.select(*KEY, "question", "focus_text"), F.col("focus_text")).select(*KEY, F.lit("exact-match").alias("source"), none.alias("need"), "chunk_idx", "place")
     most = F.when(F.col("source").isin("global-search", "exact-match"), E.WINDOWS).otherwise(NEED_WINDOWS)
-    ranked = found.unionByName(exact).withColumn("most", most).join(rest.select(*KEY, F.col("article_budget").alias("budget")), KEY)
+    ranked = stored(found.unionByName(exact).withColumn("most", most), "ranked").join(rest.select(*KEY, F.col("article_budget").alias("budget")), KEY)
     around = packing.windows(facts, ranked, OFFER).select(*OFFER, "rank", "chunk")
 
     wide = rest.filter((F.col("plan.coverage") == "document-wide") | is_whole_article_question(F.col("question")))
@@ -111,7 +111,7 @@ def question_context(chunks: DataFrame, questions: DataFrame, turns: DataFrame,
     history (turn_idx, how: in order) and evidence (chunk_id, sources, reasons, score, pinned, cost: best first, or the article's chunks in order)."""
     asked, history = requests(chunks, questions, turns, budget)
     asked = stored(asked, "requests")
-    offers = packing.fused(channels(chunks, asked, tokenizer), KEY)
+    offers = packing.fused(stored(channels(chunks, asked, tokenizer), "offers"), KEY)
     budgets = asked.filter(~F.col("fits")).select(*KEY, F.coalesce(F.size("plan.evidence_needs"), F.lit(0)).alias("needs"), F.col("article_budget").alias("budget"))
     some = packing.packed(offers.join(budgets, KEY), KEY)
     shown = lambda e: F.struct(e["chunk"]["chunk_id"].alias("chunk_id"), e["sources"].alias("sources"), e["reasons"].alias("reasons"), e["score"].alias("score"), e["pinned"].alias("pinned"), e["chunk"]["cost"].alias("cost"))

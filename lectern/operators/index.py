@@ -23,8 +23,8 @@ from lectern.operators.search import CANDIDATES, DELTA, SECTION_BOOST, TEXT_BOOS
 from lectern.functions.text import retrieval_terms
 from lectern.sources.scratch import stored
 
-#: Chunks of a block, folders of terms, and how many parts a folder is written by.
-BLOCK, BUCKETS, SPREAD = 64, 16, 8
+#: Chunks of a block, folders of terms, and by how many tasks a folder is written (more for a large index).
+BLOCK, BUCKETS, SPREAD = 64, 16, 1
 FIELDS = {"section": SECTION_BOOST, "text": TEXT_BOOST}
 #: What rounding to nine digits may add to a score.
 ROUNDING = 1e-8
@@ -53,17 +53,17 @@ def _blocked(entries: DataFrame, block: int) -> DataFrame:
     return entries.groupBy("article_id", "term", F.floor(F.col("chunk_idx") / block).alias("block")).agg(F.sum("sign").alias("n"), *of_field, F.collect_list(one).alias("entries")).withColumn("bucket", bucket(F.col("term")))
 
 
-def _write(rows: DataFrame, sizes: DataFrame, path: str, segment: str) -> None:
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("article_id", "block"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "article_id", "block")
+def _write(rows: DataFrame, sizes: DataFrame, path: str, segment: str, spread: int = SPREAD) -> None:
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("article_id", "block"), F.lit(spread))).sortWithinPartitions("bucket", "term", "article_id", "block")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
     sizes.write.mode("overwrite").parquet(f"{path}/stats/segment={segment}")
 
 
-def add(path: str, segment: str, added: DataFrame, removed: DataFrame | None = None, block: int = BLOCK, tokenizer: Tokenizer = retrieval_terms) -> None:
+def add(path: str, segment: str, added: DataFrame, removed: DataFrame | None = None, block: int = BLOCK, tokenizer: Tokenizer = retrieval_terms, spread: int = SPREAD) -> None:
     """Write a segment: chunks (article_id, chunk_idx, section, text) that come in, and those that go, as they were added. All segments must have the same block."""
     parts = [_terms(added, 1, tokenizer)] + ([_terms(removed, -1, tokenizer)] if removed is not None else [])
     entries, sizes = (reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))
-    _write(_blocked(entries, block), sizes, path, segment)
+    _write(_blocked(entries, block), sizes, path, segment, spread)
 
 
 def _live(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -71,11 +71,11 @@ def _live(entries: DataFrame, by: list[str]) -> DataFrame:
     return entries.groupBy(*by, "chunk_idx", *(f"{x}_{f}" for f in FIELDS for x in ("tf", "len"))).agg(F.sum("sign").alias("sign")).filter("sign > 0")
 
 
-def merge(spark: SparkSession, path: str, to: str, block: int = BLOCK) -> None:
+def merge(spark: SparkSession, path: str, to: str, block: int = BLOCK, spread: int = SPREAD) -> None:
     """Write the sum of all segments to another folder, as one."""
     opened = spark.read.parquet(f"{path}/postings").select("article_id", "term", F.explode("entries").alias("e")).select("article_id", "term", "e.*")
     sizes = _sizes(spark, path)
-    _write(_blocked(_live(opened, ["article_id", "term"]), block), sizes, to, "merged")
+    _write(_blocked(_live(opened, ["article_id", "term"]), block), sizes, to, "merged", spread)
 
 
 def _sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -1,107 +1,66 @@
-"""A question's context: the whole article if it fits, else evidence fused from channels, with history in the same budget."""
+"""A question's evidence from channels that are given: the whole article if it fits, else windows, fused and packed; the rest is history's."""
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.model_json import parse_plan
+from lectern.functions.model_json import query_plan
+from lectern.functions.text import chunk_cost
 from lectern.operators import evidence as E
+from lectern.operators import packing
 
 REQUEST_BUDGET, HISTORY_BUDGET, PLANNED_HISTORY_BUDGET = 64_000, 8_000, 16_000
-ASSEMBLY = "article_id string, query_id long, rank int, chunk_id string, sources string, pinned boolean, score double, cost int, strategy string"
+KEY = ["article_id", "query_id"]
+#: A channel's list of a question.
+OFFER = [*KEY, "source", "need"]
+#: Windows for one planned need.
+NEED_WINDOWS = 3
+#: Channels whose chunks are offered as they are, without windows.
+ALONE = ("focus-anchor", "document-coverage")
 
 
 def packed_windows(chunks: DataFrame, ranked: DataFrame, budget: int, limit: int = E.WINDOWS) -> DataFrame:
     """article_id, query_id, rank, chunk_id, cost: windows around ranked chunks (article_id, query_id, chunk_idx, place)."""
-    held = chunks.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_id", "section", "text", "block_ids"))).alias("chunks"))
-    asked = ranked.groupBy("article_id", "query_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_idx"))).alias("ranked"))
-    asked = asked.groupBy("article_id").agg(F.collect_list(F.struct("query_id", "ranked")).alias("asked"))  # an article goes to Python once
-
-    def run(parts):
-        for part in parts:
-            rows = []
-            for article, own, questions in zip(part["article_id"], part["chunks"], part["asked"], strict=True):
-                parts_ = [dict(c) | {"block_ids": list(c["block_ids"])} for c in own]
-                at = {c["chunk_idx"]: k for k, c in enumerate(parts_)}
-                for q in questions:
-                    found = E.pack_windows(parts_, [at[r["chunk_idx"]] for r in q["ranked"]], budget, limit)
-                    rows += [(article, q["query_id"], k + 1, w["chunk_id"], E.cost(w)) for k, w in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["article_id", "query_id", "rank", "chunk_id", "cost"])
-
-    return asked.join(held, "article_id").select("article_id", "chunks", "asked").mapInPandas(run, f"article_id {chunks.schema['article_id'].dataType.simpleString()}, query_id long, rank int, chunk_id string, cost int")
+    made = packing.windows(packing.facts(chunks), ranked.select(*KEY, "place", "chunk_idx", F.lit(budget).alias("budget"), F.lit(limit).alias("most")), KEY)
+    return made.select(*KEY, (F.col("rank") + 1).alias("rank"), "chunk.chunk_id", F.col("chunk.cost").cast("int").alias("cost"))
 
 
 def covered(chunks: DataFrame, budget: int = E.WHOLE_BUDGET, limit: int | None = E.WINDOWS) -> DataFrame:
-    """article_id, chunk_idx: chunks spread over each document; with limit None as many as fit."""
+    """article_id, chunk_idx: chunks spread over each document; with limit None as many as fit. Texts stay behind; only their lengths are looked at."""
     kind = chunks.schema["article_id"].dataType.simpleString()
+    lean = chunks.select("article_id", "chunk_idx", "section", "block_ids", chunk_cost(F.col("section"), F.col("text")).alias("cost"))
 
     def of_article(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.sort_values("chunk_idx").to_dict("records")
         picked = E.cover(own, budget, len(own) if limit is None else limit)
         return pd.DataFrame({"article_id": [rows["article_id"].iloc[0]] * len(picked), "chunk_idx": [own[k]["chunk_idx"] for k in picked]}, columns=["article_id", "chunk_idx"])
 
-    return chunks.groupBy("article_id").applyInPandas(of_article, f"article_id {kind}, chunk_idx int")
-
-
-def history_budget(available: int, use_conversation: bool) -> int:
-    return min(PLANNED_HISTORY_BUDGET if use_conversation else HISTORY_BUDGET, available)
+    return lean.groupBy("article_id").applyInPandas(of_article, f"article_id {kind}, chunk_idx int")
 
 
 def assemble(chunks: DataFrame, questions: DataFrame, channels: DataFrame, budget: int = REQUEST_BUDGET) -> DataFrame:
-    """Evidence of every question (article_id, query_id, history_length, plan_json, checkpoint_json).
+    """article_id, query_id, rank, chunk_id, sources, pinned, score, cost, strategy of every question (article_id, query_id, history_length, plan_json, checkpoint_json).
 
     channels: article_id, query_id, source, need (null but for planned needs), place, chunk_idx: the ranked chunks of the
     retrieval operators; windows are made here, under the budget that history and checkpoint leave. An article that fits
-    as a whole is taken whole. Candidates are bounded by the channels' limits.
+    as a whole is taken whole, a row a chunk.
     """
-    held = chunks.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_id", "section", "text", "block_ids"))).alias("chunks"))
-    offers = channels.groupBy("article_id", "query_id").agg(F.collect_list(F.struct("source", "need", "place", "chunk_idx")).alias("offers"))
-    asked = questions.join(offers, ["article_id", "query_id"], "left").groupBy("article_id").agg(F.collect_list(F.struct("query_id", "history_length", "plan_json", "checkpoint_json", "offers")).alias("asked"))
-    joined = asked.join(held, "article_id").select("article_id", "chunks", "asked")  # an article goes to Python once
-    kind = chunks.schema["article_id"].dataType.simpleString()
-
-    def run(parts):
-        for part in parts:
-            rows = [r for record in part.to_dict("records") for r in _assembled(record, budget)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ASSEMBLY.split(", ")])
-
-    return joined.mapInPandas(run, ASSEMBLY.replace("article_id string", f"article_id {kind}"))
-
-
-ORDER = {name: k for k, name in enumerate(E.WEIGHTS)}
-
-
-def _assembled(article: dict, budget: int) -> list[tuple]:
-    chunks = [dict(c) | {"block_ids": list(c["block_ids"])} for c in article["chunks"]]
-    at = {c["chunk_idx"]: k for k, c in enumerate(chunks)}
-    whole = sum(map(E.cost, chunks))
-    return [r for q in article["asked"] for r in _answered({**q, "article_id": article["article_id"]}, chunks, at, whole, budget)]
-
-
-def _answered(record: dict, chunks: list[dict], at: dict[int, int], whole: int, budget: int) -> list[tuple]:
-    checkpoint = record["checkpoint_json"]
-    available = max(1, budget - (len(json.dumps(json.loads(checkpoint), ensure_ascii=False, separators=(",", ":"))) if checkpoint else 0))
-    key = (record["article_id"], record["query_id"])
-    if whole <= available:
-        return [(*key, k + 1, c["chunk_id"], "full-article", False, 1.0, E.cost(c), "full-context") for k, c in enumerate(chunks)]
-    plan = parse_plan(record["plan_json"])
-    history = min(int(record["history_length"] or 0), history_budget(available, bool(plan and plan["use_conversation"])))
-    left = max(1, available - history)
-    lists: dict[tuple, list[tuple]] = {}
-    for o in record["offers"] if record["offers"] is not None else []:
-        need = None if pd.isna(o["need"]) else int(o["need"])
-        lists.setdefault((ORDER[o["source"]], o["source"], need), []).append((o["place"], at[o["chunk_idx"]]))
-    found = E.Fusion()
-    for _, source, need in sorted(lists, key=lambda x: (x[0], -1 if x[2] is None else x[2])):
-        ranked = [k for _, k in sorted(lists[ORDER[source], source, need])]
-        if source in ("focus-anchor", "document-coverage"):
-            windows = [chunks[k] for k in ranked]
-        else:
-            windows = E.pack_windows(chunks, ranked, left, 3 if source == "planned-need" else E.WINDOWS)
-        found.channel(windows, source, source == "focus-anchor", need)
-    chosen = E.pack(found.ranked(), len(plan["evidence_needs"]) if plan else 0, left)
-    return [(*key, k + 1, e.chunk["chunk_id"], ",".join(sorted(e.sources)), e.pinned, round(e.score, 9), E.cost(e.chunk), "fused-retrieval") for k, e in enumerate(chosen)]
+    facts = packing.facts(chunks)
+    sizes = facts.groupBy("article_id").agg(F.sum("chunk.cost").alias("_full"))
+    compact = F.coalesce(F.length(F.to_json(F.try_parse_json("checkpoint_json"))), F.length("checkpoint_json"), F.lit(0))
+    asked = questions.join(sizes, "article_id").select(*KEY, F.coalesce("history_length", F.lit(0)).alias("_history"), query_plan(F.col("plan_json")).alias("_plan"), F.greatest(F.lit(1), F.lit(budget) - compact).alias("_room"), "_full")
+    share = F.least(F.when(F.coalesce("_plan.use_conversation", F.lit(False)), PLANNED_HISTORY_BUDGET).otherwise(HISTORY_BUDGET), F.col("_room"))
+    known = asked.select(*KEY, (F.col("_full") <= F.col("_room")).alias("_fits"), F.greatest(F.lit(1), F.col("_room") - F.least("_history", share)).cast("long").alias("budget"), F.coalesce(F.size("_plan.evidence_needs"), F.lit(0)).alias("needs"))
+    rest = known.filter(~F.col("_fits"))
+    offered = channels.join(rest.select(*KEY, "budget"), KEY).withColumn("most", F.when(F.col("source") == "planned-need", NEED_WINDOWS).otherwise(E.WINDOWS))
+    around = packing.windows(facts, offered.filter(~F.col("source").isin(*ALONE)), OFFER).select(*OFFER, "rank", "chunk")
+    order = Window.partitionBy(*OFFER).orderBy("place")
+    alone = offered.filter(F.col("source").isin(*ALONE)).withColumn("rank", F.row_number().over(order) - 1).join(facts, ["article_id", "chunk_idx"]).select(*OFFER, "rank", "chunk")
+    fused = packing.fused(around.unionByName(alone).withColumn("reason", F.col("source")), KEY)
+    chosen = packing.packed(fused.join(rest, KEY), KEY).select(*KEY, F.posexplode("evidence").alias("_k", "e"))
+    some = chosen.select(*KEY, (F.col("_k") + 1).alias("rank"), "e.chunk.chunk_id", F.array_join(F.array_sort("e.sources"), ",").alias("sources"), "e.pinned", F.round("e.score", 9).alias("score"), F.col("e.chunk.cost").cast("int").alias("cost"), F.lit("fused-retrieval").alias("strategy"))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("chunk_idx"))
+    whole = known.filter("_fits").select(*KEY).join(facts, "article_id").select(*KEY, place.alias("rank"), "chunk.chunk_id", F.lit("full-article").alias("sources"), F.lit(False).alias("pinned"), F.lit(1.0).alias("score"), F.col("chunk.cost").cast("int").alias("cost"), F.lit("full-context").alias("strategy"))
+    return whole.unionByName(some)

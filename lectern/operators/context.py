@@ -21,14 +21,12 @@ from lectern.functions.model_json import query_plan
 from lectern.functions.text import chunk_cost, is_whole_article_question, token_set
 from lectern.operators import evidence as E
 from lectern.operators import memory, packing, search
-from lectern.operators.assemble import HISTORY_BUDGET, PLANNED_HISTORY_BUDGET, REQUEST_BUDGET
+from lectern.operators.assemble import HISTORY_BUDGET, KEY, NEED_WINDOWS, OFFER, PLANNED_HISTORY_BUDGET, REQUEST_BUDGET
 from lectern.operators.retrieve import global_queries
 from lectern.sources.scratch import stored
 
-KEY = ["article_id", "query_id"]
-OFFER = [*KEY, "source", "need"]
-#: Windows for one planned need, and characters of history that are taken for their age.
-NEED_WINDOWS, RECENT_HISTORY = 3, 8_000
+#: Characters of history that are taken for their age.
+RECENT_HISTORY = 8_000
 REASONS = {
     "full-article": "the whole article fits beside the history",
     "focus-anchor": "what the question points at, and what is around it",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import chunk_cost, is_whole_article_question, token_set
 from lectern.operators import assemble, search
 from lectern.operators import evidence as E
+from lectern.sources.scratch import stored
 
 QUESTION = "article_id long, query_id long, question string, search_queries array<string>, focus_text string, focus_section string, focus_scope string, heading_level int"
 KEY = ["article_id", "query_id"]
@@ -31,17 +32,17 @@ def _costed(chunks: DataFrame, rows: DataFrame, branch: str) -> DataFrame:
 
 
 def relevant_chunks(chunks: DataFrame, questions: DataFrame, limit: int = E.WINDOWS, budget: int = search.RELEVANT_BUDGET, tokenizer: search.Tokenizer = search.retrieval_terms) -> DataFrame:
-    """KEY, branch (section, anchor, search), rank, chunk_id, cost."""
+    """KEY, branch (section, anchor, search), rank, chunk_id, cost. What a way gives is stored, as the next one takes the questions it leaves."""
     from pyspark.sql import Window
 
     asked = questions.filter((F.col("focus_scope") == "section") & (F.trim(F.coalesce("focus_section", F.lit(""))) != ""))
-    section = search.section_scope(chunks, asked.select(*KEY, "focus_section", "heading_level"), limit, budget).withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("chunk_idx")))
+    section = stored(search.section_scope(chunks, asked.select(*KEY, "focus_section", "heading_level"), limit, budget).withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("chunk_idx"))), "section-scope")
     left = questions.join(section.select(*KEY).distinct(), KEY, "left_anti")
     pointed = left.filter((F.size(token_set(F.col("focus_text"))) > 0) | (F.size(token_set(F.col("focus_section"))) > 0))
-    anchor = search.focus_anchors(chunks, pointed, min(limit, search.ANCHORS)).withColumnRenamed("place", "rank")
-    left = left.join(anchor.select(*KEY).distinct(), KEY, "left_anti")
+    anchor = stored(search.focus_anchors(chunks, pointed, min(limit, search.ANCHORS)).withColumnRenamed("place", "rank"), "focus-anchors")
+    left = stored(left.join(anchor.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, "question", "search_queries"), "searched")
     queries = left.select(*KEY, F.posexplode(F.concat(F.array("question"), F.coalesce("search_queries", F.array().cast("array<string>")))).alias("pos", "text"))
-    ranked = search.fuse(search.bm25(chunks, search.distinct_queries(queries), tokenizer=tokenizer))
+    ranked = stored(search.fuse(search.bm25(chunks, search.distinct_queries(queries), tokenizer=tokenizer)), "ranked")
     found = assemble.packed_windows(chunks, ranked, budget, limit).select(*KEY, F.lit("search").alias("branch"), "rank", "chunk_id", "cost")
     return _costed(chunks, section, "section").unionByName(_costed(chunks, anchor, "anchor")).unionByName(found)
 
@@ -51,9 +52,10 @@ def article_context(chunks: DataFrame, questions: DataFrame, limit: int = E.WIND
     from pyspark.sql import Window
 
     whole = is_whole_article_question(F.col("question"))
+    questions = stored(questions, "questions")
     asked = questions.filter(whole).select(*KEY)
     own = chunks.join(asked.select("article_id").distinct(), "article_id", "left_semi")
-    taken = assemble.covered(own, whole_budget, None)
+    taken = stored(assemble.covered(own, whole_budget, None), "covered")
     cut = own.groupBy("article_id").agg(F.count("*").alias("_all")).join(taken.groupBy("article_id").agg(F.count("*").alias("_taken")), "article_id", "left").select("article_id", (F.coalesce("_taken", F.lit(0)) < F.col("_all")).alias("truncated"))
     spread = asked.join(taken, "article_id").withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("chunk_idx")))
     all_ = _costed(chunks, spread, "whole").join(cut, "article_id").withColumn("mode", F.lit("whole"))

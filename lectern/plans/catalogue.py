@@ -60,9 +60,9 @@ def token_sets(spark, d):
 @query
 def term_stats(spark, d):
     """Of every term, in how many documents of a language it occurs, and how often."""
-    terms = _docs(spark, d).select("lang", F.array_sort(T.retrieval_terms(F.col("text"))).alias("t")).select("lang", F.posexplode("t").alias("at", "term"), "t")
-    first = (F.col("at") == 0) | (F.get("t", F.col("at") - 1) != F.col("term"))  # sorted, so a document's repeats are behind its first
-    return terms.select("lang", "term", first.cast("long").alias("first")).groupBy("lang", "term").agg(F.sum("first").alias("docs"), F.count("*").alias("occurrences"))
+    terms = _docs(spark, d).select("lang", F.array_sort(T.retrieval_terms(F.col("text"))).alias("t"))  # sorted, so a document's repeats are behind its first
+    marked = F.transform("t", lambda x, k: F.struct(x.alias("term"), F.when((k == 0) | (F.get("t", k - 1) != x), 1).otherwise(0).alias("first")))
+    return terms.select("lang", F.explode(marked).alias("m")).groupBy("lang", "m.term").agg(F.sum("m.first").alias("docs"), F.count("*").alias("occurrences"))
 
 
 @query
@@ -142,7 +142,7 @@ def select_context(spark, d):
         "article_id", "query_id", F.when(turn == 0, "Summarize the whole article").otherwise(F.col("question")).alias("question"), F.lit(None).cast("array<string>").alias("search_queries"), F.when(turn == 2, F.col("question")).alias("focus_text"),
         F.when(turn == 1, F.col("_section")).alias("focus_section"), F.when(turn == 1, "section").alias("focus_scope"), F.when(turn == 1, 3).alias("heading_level"),
     )
-    return retrieve.article_context(S.sectioned_lines(_docs(spark, d)), questions, 1, 10**7, 10**7).select("article_id", "query_id", "mode", "truncated", "branch", "rank", "chunk_id", F.col("cost").cast("long").alias("cost"))
+    return retrieve.article_context(stored(S.sectioned_lines(_docs(spark, d)), "lines"), questions, 1, 10**7, 10**7).select("article_id", "query_id", "mode", "truncated", "branch", "rank", "chunk_id", F.col("cost").cast("long").alias("cost"))
 
 
 @query
@@ -381,7 +381,7 @@ def chunks(spark, d):
 def chunk_bounds(spark, d):
     """Characters and lines that each document's chunks hold together."""
     made = chunking.chunks(S.document_blocks(_docs(spark, d)))
-    lines = F.aggregate(F.flatten(F.collect_list("block_ids")), F.array().cast("array<string>"), lambda held, b: F.array_union(held, F.array(F.regexp_replace(b, "-part-[0-9]+$", ""))))
+    lines = F.array_distinct(F.transform(F.flatten(F.collect_list("block_ids")), lambda b: F.regexp_replace(b, "-part-[0-9]+$", "")))
     return made.groupBy("article_id").agg(F.sum(F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("characters"), F.size(lines).cast("long").alias("lines"))
 
 
@@ -393,7 +393,7 @@ def document_coverage(spark, d):
 @query
 def window_pack(spark, d):
     """Windows around the lines that match the question a document is asked best, within 2,000 characters."""
-    lines = S.sectioned_lines(_docs(spark, d))
+    lines = stored(S.sectioned_lines(_docs(spark, d)), "lines")
     asked = S.asked_of(_docs(spark, d), S.table(spark, d, "benchmark")).select("article_id", "query_id", F.lit(0).alias("pos"), F.col("question").alias("text"))
     return assemble.packed_windows(lines, search.fuse(search.bm25(lines, asked)), 2000, 4)
 
@@ -401,13 +401,13 @@ def window_pack(spark, d):
 @query
 def evidence_pack(spark, d):
     """Fused evidence for the question each document is asked, within 3,000 characters with 500 of history."""
-    lines, asked = S.sectioned_lines(_docs(spark, d)), S.asked_of(_docs(spark, d), S.table(spark, d, "benchmark"))
+    lines, asked = stored(S.sectioned_lines(_docs(spark, d)), "lines"), stored(S.asked_of(_docs(spark, d), S.table(spark, d, "benchmark")), "asked")
     own = asked.select("article_id", "query_id")
     exact = search.literal_matches(lines, asked).filter("place <= 8")
     ranked = search.fuse(search.bm25(lines, asked.select("article_id", "query_id", F.lit(0).alias("pos"), F.col("question").alias("text"))))
     spread = assemble.covered(lines, 1000, 3).join(own, "article_id").withColumn("place", F.col("chunk_idx"))
     offer = lambda df, source: df.select("article_id", "query_id", F.lit(source).alias("source"), F.lit(None).cast("int").alias("need"), F.col("place").cast("int"), "chunk_idx")
-    channels = offer(exact, "exact-match").unionByName(offer(ranked, "global-search")).unionByName(offer(spread, "document-coverage"))
+    channels = stored(offer(exact, "exact-match").unionByName(offer(ranked, "global-search")).unionByName(offer(spread, "document-coverage")), "channels")
     questions = own.select("*", F.lit(500).alias("history_length"), F.lit(None).cast("string").alias("plan_json"), F.lit(None).cast("string").alias("checkpoint_json"))
     return assemble.assemble(lines, questions, channels, 3000)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lectern.functions import text as fixed
 from lectern.operators import evidence as E
-from lectern.plans.sql import _HELD, _STOP, _TURN_ASKED, _TURNS, _anchors, _bm25, _flat, _tokens
+from lectern.plans.sql import _HELD, _LINES, _STOP, _TURN_ASKED, _TURNS, _anchors, _bm25, _flat, _tokens
 
 _SIZED = """sized AS (SELECT *, length(section) + length(text) + 3 AS cost, coalesce(CASE WHEN lag(section) OVER w = section THEN lag(chunk_idx) OVER w END, -1) AS b, coalesce(length(lag(text) OVER w), 0) + 1 AS bn,
   coalesce(CASE WHEN lead(section) OVER w = section THEN lead(chunk_idx) OVER w END, -1) AS a, coalesce(length(lead(text) OVER w), 0) + 1 AS an FROM parts WINDOW w AS (PARTITION BY article_id ORDER BY chunk_idx))"""
@@ -107,4 +107,33 @@ SELECT article_id, query_id, CASE WHEN fits THEN 'full-context' ELSE 'fused-retr
   (CASE WHEN fits THEN full_ ELSE coalesce(article_characters, 0) END)::BIGINT AS article_characters, history_characters, cp::BIGINT AS checkpoint_characters, history, coalesce(e.evidence, p.evidence, '') AS evidence
 FROM rq LEFT JOIN full_ev e USING (article_id, query_id) LEFT JOIN picked p USING (article_id, query_id)"""
 
-FOLDS = {"question_context": _QUESTION_CONTEXT}
+#: Coverage of articles that are one group: from gl(article_id, b, lim, costs) to gp(article_id, picks), the first chunk, the last, then those nearest to the middle.
+_ONE_GROUP = """gs AS (SELECT article_id, costs, lim, CASE WHEN list_sum(costs) <= b AND len(costs) <= lim THEN range(len(costs)) WHEN costs[1] <= b THEN [0] ELSE []::BIGINT[] END AS picks, b - costs[1] AS left_ FROM gl),
+gr AS (SELECT article_id, costs, lim, picks, left_ FROM gs
+  UNION ALL SELECT article_id, costs, lim, picks || [next], left_ - costs[next + 1] FROM (
+    SELECT *, CASE WHEN len(picks) = 1 THEN len(costs) - 1 ELSE list_sort(list_transform(list_filter(range(len(costs)), lambda k: NOT list_contains(picks, k)), lambda k: {'away': abs(2 * k - len(costs) + 1), 'k': k}))[1].k END AS next FROM gr WHERE len(picks) BETWEEN 1 AND least(lim, len(costs)) - 1)
+  WHERE costs[next + 1] <= left_),
+gp AS (SELECT article_id, arg_max(picks, len(picks)) AS picks FROM gr GROUP BY 1)"""
+_ONE_ASKED_TEXT = "asked_text AS (SELECT article_id, query_id, 0 AS pos, question AS text FROM one_asked)"
+_FUSED = "fr AS (SELECT article_id, query_id, chunk_idx, row_number() OVER (PARTITION BY article_id, query_id ORDER BY round(1.0 / (60 + rank), 12) DESC, rank, chunk_idx) AS place FROM best)"
+_LINE_COSTS = "SELECT article_id, list(cost ORDER BY chunk_idx) AS costs FROM sized GROUP BY 1"
+_ORDERED = "SELECT article_id, query_id, unnest(picks) AS k, generate_subscripts(picks, 1)::INTEGER AS rank FROM pl"
+
+FOLDS = {
+    "question_context": _QUESTION_CONTEXT,
+    "document_coverage": f"WITH RECURSIVE {_LINES}, {_SIZED}, gl AS (SELECT article_id, 2000 AS b, 4 AS lim, costs FROM ({_LINE_COSTS})), {_ONE_GROUP} SELECT article_id, unnest(picks)::INTEGER AS chunk_idx FROM gp",
+    "window_pack": f"""WITH RECURSIVE {_TURN_ASKED}, {_LINES}, {_SIZED}, {_bm25(_ONE_ASKED_TEXT, 20, "SELECT * FROM parts", True)}, {_FUSED},
+cand AS (SELECT article_id, query_id, 'global-search' AS source, -1 AS need, place, chunk_idx, 4 AS most, 2000 AS budget FROM fr), {_WINDOWS}
+SELECT article_id, query_id, (rank + 1)::INTEGER AS rank, 'window-chunk-' || (lo + 1) || '-chunk-' || (hi + 1) AS chunk_id, cost::INTEGER AS cost FROM win""",
+    "evidence_pack": f"""WITH RECURSIVE {_TURN_ASKED}, {_LINES}, {_SIZED}, rest AS (SELECT article_id, query_id, question FROM one_asked WHERE (SELECT sum(cost) FROM sized s WHERE s.article_id = one_asked.article_id) > 3000),
+{_bm25(_ONE_ASKED_TEXT.replace("FROM one_asked", "FROM rest"), 20, "SELECT * FROM parts WHERE article_id IN (SELECT article_id FROM rest)", True)}, {_FUSED},
+lits AS (SELECT article_id, query_id, unnest({_literals('question', "''")}) AS literal FROM rest),
+xm AS (SELECT article_id, query_id, chunk_idx, max(length(literal)) AS longest, count(*) AS matches FROM (SELECT article_id, chunk_idx, {_flat("lower(section || chr(10) || text)")} AS content FROM parts) JOIN lits USING (article_id) WHERE contains(content, literal) GROUP BY ALL),
+xr AS (SELECT article_id, query_id, chunk_idx, row_number() OVER (PARTITION BY article_id, query_id ORDER BY longest DESC, matches DESC, chunk_idx) AS place FROM xm QUALIFY place <= 8),
+cand AS (SELECT article_id, query_id, 'global-search' AS source, -1 AS need, place, chunk_idx, 8 AS most, 2500 AS budget FROM fr UNION ALL SELECT article_id, query_id, 'exact-match', -1, place, chunk_idx, 8, 2500 FROM xr),
+gl AS (SELECT article_id, 1000 AS b, 3 AS lim, costs FROM ({_LINE_COSTS}) SEMI JOIN rest USING (article_id)), {_ONE_GROUP},
+single AS (SELECT article_id, query_id, 'document-coverage' AS source, row_number() OVER (PARTITION BY article_id ORDER BY i) - 1 AS rank, i AS chunk_idx FROM (SELECT article_id, unnest(picks) AS i FROM gp) JOIN rest USING (article_id)),
+left_for AS (SELECT article_id, query_id, 2500 AS budget FROM rest), {_WINDOWS}, {_packed("SELECT article_id, query_id, 0 AS need FROM rest WHERE false")}
+SELECT article_id, query_id, rank, chunk_id, array_to_string(sources, ',') AS sources, pinned, round(score, 9) AS score, cost::INTEGER AS cost, 'fused-retrieval' AS strategy FROM ({_ORDERED}) JOIN pk USING (article_id, query_id, k)
+UNION ALL SELECT article_id, query_id, (chunk_idx + 1)::INTEGER, 'chunk-' || (chunk_idx + 1), 'full-article', false, 1.0, cost::INTEGER, 'full-context' FROM one_asked JOIN sized USING (article_id) WHERE article_id NOT IN (SELECT article_id FROM rest)""",
+}

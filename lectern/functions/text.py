@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as web text has it: ASCII white space and the no-break and ideographic spaces.
-SPACE = r"[ \t\n\x0B\f\r\x{A0}\x{3000}]+"
+# White space as web text has it.
+SPACE = r"[ \t\n\x0B\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 # Words that carry no meaning in a question.
 STOP_WORDS = (

@@ -22,6 +22,60 @@ def _encoded(text: Column, kept: str) -> Column:
     return F.when(text.rlike(f"^[%{kept}]*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
 
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+# Fixed values of the bootstring coding of host names.
+_BASE, _LEAST, _MOST, _SKEW, _DAMP, _BIAS, _FIRST = 36, 1, 26, 38, 700, 72, 128
+
+
+def _number(delta: Column, bias: Column) -> Column:
+    """A number as digits of varying weight, the last of which tells that it is the last."""
+    def digit(s: Column, k: Column) -> Column:
+        t = F.greatest(F.lit(_LEAST), F.least(F.lit(_MOST), k - bias)).cast("long")
+        more = s["left"] >= t
+        at = F.when(more, t + F.pmod(s["left"] - t, _BASE - t)).otherwise(s["left"])
+        told = F.concat(s["out"], F.substr(F.lit(_DIGITS), at.cast("int") + 1, F.lit(1)))
+        return F.when(s["left"] < 0, s).otherwise(F.struct(F.when(more, F.floor((s["left"] - t) / (_BASE - t))).otherwise(F.lit(-1)).cast("long").alias("left"), told.alias("out")))
+
+    return F.aggregate(F.sequence(F.lit(_BASE), F.lit(12 * _BASE), F.lit(_BASE)), F.struct(delta.cast("long").alias("left"), F.lit("").alias("out")), digit, lambda s: s["out"])
+
+
+def _adapted(delta: Column, points: Column, first: Column) -> Column:
+    """The bias for the next number, after one that stood for so many characters."""
+    start = let(F.floor(delta / F.when(first, _DAMP).otherwise(2)).cast("long"), lambda d: d + F.floor(d / points).cast("long"))
+    limit = (_BASE - _LEAST) * _MOST // 2
+    step = lambda s, _: F.when(s["d"] > limit, F.struct(F.floor(s["d"] / (_BASE - _LEAST)).cast("long").alias("d"), (s["k"] + _BASE).alias("k"))).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.struct(start.alias("d"), F.lit(0).alias("k")), step, lambda s: s["k"] + F.floor(_BASE * s["d"] / (s["d"] + _SKEW)).cast("int"))
+
+
+def _ascii_label(label: Column) -> Column:
+    """A part of a host name in ASCII: its characters beyond, in order of code point and place, as distances in the row of all (place, code point)."""
+    points = F.transform(F.sequence(F.lit(1), F.length(label)), lambda k: F.ascii(F.substr(label, k, F.lit(1))))
+
+    def coded(all_: Column) -> Column:
+        plain = F.regexp_replace(label, r"[^\x00-\x7F]", "")
+        beyond = F.array_sort(F.filter(F.transform(all_, lambda c, k: F.struct(c.alias("c"), k.alias("at"))), lambda x: x["c"] >= _FIRST))
+        below = lambda c, start, end: F.size(F.filter(all_, lambda x, k: (x < c) & (k >= start) & (k < end)))
+
+        def step(s: Column, e: Column) -> Column:
+            same = s["c"] == e["c"]
+            rest = F.when(s["at"] < 0, 0).otherwise(below(s["c"], s["at"] + 1, F.size(all_)) + 1)
+            passed = F.when(s["at"] < 0, e["c"] - _FIRST).otherwise(e["c"] - s["c"] - 1).cast("long") * (s["done"] + 1)
+            delta = F.when(same, below(e["c"], s["at"] + 1, e["at"])).otherwise(rest + passed + below(e["c"], F.lit(0), e["at"])).cast("long")
+            return let(delta, lambda d: F.struct(e["c"].alias("c"), e["at"].alias("at"), (s["done"] + 1).alias("done"), _adapted(d, s["done"] + 1, s["done"] == F.length(plain)).alias("bias"), F.concat(s["out"], _number(d, s["bias"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("c"), F.lit(-1).alias("at"), F.length(plain).alias("done"), F.lit(_BIAS).alias("bias"), F.concat(plain, F.when(plain != "", "-").otherwise("")).alias("out"))
+        return F.concat(F.lit("xn--"), F.aggregate(beyond, start, step, lambda s: s["out"]))
+
+    return let(points, coded)
+
+
+def ascii_host(host: Column) -> Column:
+    """A host name, with its port if it has one, as it is sent: parts with other characters than ASCII in their ASCII form. Cases are as they come."""
+    other = r"[^\x00-\x7F]"
+    parts = F.transform(F.split(F.regexp_extract(host, r"^([^:]*)", 1), r"[.\x{3002}\x{FF0E}\x{FF61}]", -1), lambda x: F.when(x.rlike(other), _ascii_label(x)).otherwise(x))
+    return F.when(host.rlike(other), F.concat(F.array_join(parts, "."), F.regexp_extract(host, r"^[^:]*(.*)$", 1))).otherwise(host)
+
+
 def _resolved(path: Column) -> Column:
     """The path without dot segments."""
     steps = F.split(F.substr(path, F.lit(2)), "/", -1)
@@ -35,7 +89,7 @@ def _resolved(path: Column) -> Column:
 def normalize_page_url(url: Column) -> Column:
     """Scheme and host in lower case, without a default port; no dot segments; no tracking parameters, the rest decoded, sorted by name
     and value and encoded as a form's; no fragment but a route (#/ or #!/); no slash at the end of a path; other characters
-    than an address may hold as %XX. Null for what isn't an http(s) URL. Hosts stay in the script they are written in."""
+    than an address may hold as %XX; hosts in ASCII form. Null for what isn't an http(s) URL."""
     given = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
     whole = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):[/\\]+([^/?#\\]*)([^?#]*)(?:\?([^#]*))?(#.*)?$"
     parts = lambda x: F.struct(*(F.regexp_extract(x, whole, k).alias(n) for k, n in enumerate(("scheme", "site", "path", "query", "fragment"), 1)))
@@ -58,7 +112,7 @@ def _joined(part: Column) -> Column:
     query = let(search, lambda x: F.when(x == "", "").otherwise(F.concat(F.lit("?"), x)))
     route = F.when(part["fragment"].rlike("^#!?/"), _encoded(part["fragment"], r"!#$&'()*+,\-./0-9:;=?@A-Z\[\\\]^_a-z{|}~")).otherwise("")
     user = F.regexp_extract(part["site"], "^(.*@)?", 1)
-    return let(host, lambda h: F.when(h != "", F.concat(scheme, F.lit("://"), user, h, path, query, route)))
+    return let(ascii_host(host), lambda h: F.when(h != "", F.concat(scheme, F.lit("://"), user, h, path, query, route)))
 
 
 def page_key(tab: Column, url: Column) -> Column:

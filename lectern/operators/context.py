@@ -21,12 +21,14 @@ from lectern.functions.model_json import query_plan
 from lectern.functions.text import chunk_cost, is_whole_article_question, token_set
 from lectern.operators import evidence as E
 from lectern.operators import memory, packing, search
-from lectern.operators.assemble import HISTORY_BUDGET, KEY, NEED_WINDOWS, OFFER, PLANNED_HISTORY_BUDGET, REQUEST_BUDGET
+from lectern.operators.assemble import HISTORY_BUDGET, KEY, NEED_WINDOWS, OFFER, PLANNED_HISTORY_BUDGET
 from lectern.operators.retrieve import global_queries
+from lectern.settings import Settings
 from lectern.sources.scratch import stored
 
 #: Characters of history that are taken for their age.
 RECENT_HISTORY = 8_000
+DEFAULTS = Settings()
 REASONS = {
     "full-article": "the whole article fits beside the history",
     "focus-anchor": "what the question points at, and what is around it",
@@ -36,21 +38,21 @@ REASONS = {
 }
 
 
-def requests(chunks: DataFrame, questions: DataFrame, turns: DataFrame, budget: int = REQUEST_BUDGET) -> tuple[DataFrame, DataFrame]:
+def requests(chunks: DataFrame, questions: DataFrame, turns: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """The questions with plan, fits, limit, full_article_characters, checkpoint_characters, history_characters and article_budget, and
     the turns of their history (KEY, turn_idx, how).
 
     turns: completed turns (conv_id, turn_idx, question, answer, turn_length). A question without an article, or without a conversation, has none.
     """
     sizes = chunks.groupBy("article_id").agg(F.sum(chunk_cost(F.col("section"), F.col("text"))).cast("long").alias("_full"))
-    limit = F.lit(max(1, budget)).cast("long")
+    limit = F.lit(max(1, settings.request_budget)).cast("long")
     asked = questions.select("*", query_plan(F.col("plan_json")).alias("plan"), limit.alias("limit"), F.coalesce(F.length("checkpoint_json"), F.lit(0)).cast("long").alias("checkpoint_characters"))
     held = asked.join(sizes, "article_id", "left").withColumn("full_article_characters", F.coalesce("_full", F.lit(0).cast("long"))).drop("_full")
     available = F.greatest(F.lit(1), F.col("limit") - F.col("checkpoint_characters"))
     share = F.when(F.coalesce(F.col("plan.use_conversation"), F.lit(False)), PLANNED_HISTORY_BUDGET).otherwise(HISTORY_BUDGET)
     held = held.withColumn("_available", available).withColumn("fits", F.col("full_article_characters") <= F.col("_available"))
     held = held.withColumn("_room", F.when(F.col("fits"), F.col("_available") - F.col("full_article_characters")).otherwise(F.least(share, F.col("_available"))).cast("long"))
-    history = memory.history_for(turns, held.select(*KEY, "conv_id", "question", "focus_text", F.col("_room").alias("budget"), F.least("_room", F.lit(RECENT_HISTORY)).alias("recent_budget")), KEY)
+    history = memory.history_for(turns, held.select(*KEY, "conv_id", "question", "focus_text", F.col("_room").alias("budget"), F.least("_room", F.lit(RECENT_HISTORY)).alias("recent_budget")), KEY, settings.recent_turns, settings.recalled_turns)
     taken = history.groupBy(*KEY).agg(F.sum("turn_length").cast("long").alias("_taken"))
     full = held.join(taken, KEY, "left").withColumn("history_characters", F.coalesce("_taken", F.lit(0).cast("long")))
     room = F.when(F.col("fits"), F.col("full_article_characters")).otherwise(F.greatest(F.lit(1), F.col("_available") - F.col("history_characters")))
@@ -70,7 +72,7 @@ def covered_for(chunks: DataFrame, asked: DataFrame, most: int = E.WINDOWS) -> D
     return asked.select(*KEY, "budget").join(lean, "article_id").groupBy(*KEY).applyInPandas(of_question, kinds)
 
 
-def channels(chunks: DataFrame, asked: DataFrame, tokenizer: search.Tokenizer = search.retrieval_terms) -> DataFrame:
+def channels(chunks: DataFrame, asked: DataFrame, tokenizer: search.Tokenizer = search.retrieval_terms, settings: Settings = DEFAULTS) -> DataFrame:
     """OFFER, rank, chunk, reason: what every channel has to say of each question of requests() whose article doesn't fit."""
     none, facts = F.lit(None).cast("int"), stored(packing.facts(chunks), "chunk-facts")
     rest = asked.filter(~F.col("fits"))
@@ -88,14 +90,14 @@ def channels(chunks: DataFrame, asked: DataFrame, tokenizer: search.Tokenizer =
     needs = rest.select(*KEY, F.posexplode("plan.evidence_needs").alias("need", "_n"))
     planned = needs.select(*KEY, "need", F.lit(0).alias("pos"), F.col("_n.query").alias("text"))
     queries = ask(again, "focus-anchor", none).unionByName(ask(every, "global-search", none)).unionByName(ask(planned, "planned-need", F.col("need")))
-    found = search.fuse(search.bm25(chunks, search.distinct_queries(queries), tokenizer=tokenizer)).select("article_id", "query_id.*", "chunk_idx", "place")
+    found = search.fuse(search.bm25(chunks, search.distinct_queries(queries), settings.candidates, tokenizer=tokenizer)).select("article_id", "query_id.*", "chunk_idx", "place")
     exact = search.literal_matches(chunks, rest.select(*KEY, "question", "focus_text"), F.col("focus_text")).select(*KEY, F.lit("exact-match").alias("source"), none.alias("need"), "chunk_idx", "place")
-    most = F.when(F.col("source").isin("global-search", "exact-match"), E.WINDOWS).otherwise(NEED_WINDOWS)
+    most = F.when(F.col("source").isin("global-search", "exact-match"), settings.windows).otherwise(NEED_WINDOWS)
     ranked = stored(found.unionByName(exact).withColumn("most", most), "ranked").join(rest.select(*KEY, F.col("article_budget").alias("budget")), KEY)
     around = packing.windows(facts, ranked, OFFER).select(*OFFER, "rank", "chunk")
 
     wide = rest.filter((F.col("plan.coverage") == "document-wide") | is_whole_article_question(F.col("question")))
-    spread = covered_for(chunks, wide.select(*KEY, F.least("article_budget", F.lit(E.COVERAGE_BUDGET)).alias("budget"))).withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("chunk_idx")))
+    spread = covered_for(chunks, wide.select(*KEY, F.least("article_budget", F.lit(E.COVERAGE_BUDGET)).alias("budget")), settings.windows).withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("chunk_idx")))
     alone = lambda df, source: df.join(facts.select("article_id", "chunk_idx", "chunk"), ["article_id", "chunk_idx"]).select(*KEY, F.lit(source).alias("source"), none.alias("need"), (F.col("place") - 1).cast("int").alias("rank"), "chunk")
     offers = around.unionByName(alone(section, "focus-anchor")).unionByName(alone(anchor, "focus-anchor")).unionByName(alone(spread, "document-coverage"))
     told = needs.select(*KEY, F.lit("planned-need").alias("source"), "need", F.col("_n.reason").alias("_reason"))
@@ -104,14 +106,14 @@ def channels(chunks: DataFrame, asked: DataFrame, tokenizer: search.Tokenizer =
     return offers.alias("o").join(told.alias("t"), same, "left").select(*(f"o.{c}" for c in OFFER), "rank", "chunk", F.coalesce("_reason", fixed[F.col("o.source")]).alias("reason"))
 
 
-def question_context(chunks: DataFrame, questions: DataFrame, turns: DataFrame, budget: int = REQUEST_BUDGET, tokenizer: search.Tokenizer = search.retrieval_terms) -> DataFrame:
+def question_context(chunks: DataFrame, questions: DataFrame, turns: DataFrame, settings: Settings = DEFAULTS, tokenizer: search.Tokenizer = search.retrieval_terms) -> DataFrame:
     """KEY, strategy, mode, is_truncated, needs_planning, limit, full_article_characters, article_characters, history_characters, checkpoint_characters,
-    history (turn_idx, how: in order) and evidence (chunk_id, sources, reasons, score, pinned, cost: best first, or the article's chunks in order)."""
-    asked, history = requests(chunks, questions, turns, budget)
+    history (turn_idx, how: in order) and evidence (chunk_id, sources, reasons, score, pinned, cost: best first, or the article's chunks in order). The limits are those of the settings."""
+    asked, history = requests(chunks, questions, turns, settings)
     asked = stored(asked, "requests")
-    offers = packing.fused(stored(channels(chunks, asked, tokenizer), "offers"), KEY)
+    offers = packing.fused(stored(channels(chunks, asked, tokenizer, settings), "offers"), KEY)
     budgets = asked.filter(~F.col("fits")).select(*KEY, F.coalesce(F.size("plan.evidence_needs"), F.lit(0)).alias("needs"), F.col("article_budget").alias("budget"))
-    some = packing.packed(offers.join(budgets, KEY), KEY)
+    some = packing.packed(offers.join(budgets, KEY), KEY, settings.windows)
     shown = lambda e: F.struct(e["chunk"]["chunk_id"].alias("chunk_id"), e["sources"].alias("sources"), e["reasons"].alias("reasons"), e["score"].alias("score"), e["pinned"].alias("pinned"), e["chunk"]["cost"].alias("cost"))
     whole = F.struct("chunk_idx", F.struct("chunk_id", F.array(F.lit("full-article")).alias("sources"), F.array(F.lit(REASONS["full-article"])).alias("reasons"), F.lit(1.0).alias("score"), F.lit(False).alias("pinned"), chunk_cost(F.col("section"), F.col("text")).cast("long").alias("cost")).alias("e"))
     # What fits has at most the budget's characters, so its chunks are few

@@ -11,7 +11,7 @@ import re
 from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lectern.functions.dom import Element, parse
@@ -273,11 +273,24 @@ def reading_scope(rows: DataFrame) -> DataFrame:
     return rows.groupBy("article_id", "section").agg(F.count("*").alias("blocks"), F.min("ord").alias("first_ord"))
 
 
-def diagnostics_totals(read: DataFrame) -> DataFrame:
-    """One row: articles, partial ones, those read from the body, with fallback blocks, and the sums of all counters."""
+def _totals(read: DataFrame) -> list[Column]:
     counters = [f.name for f in read.schema["diagnostics"].dataType.fields if f.dataType.simpleString() == "int" and f.name != "minimum_readable_length"]
     d = F.col("diagnostics")
-    return read.agg(F.count("*").alias("articles"), F.count_if("is_partial").alias("partial"), F.count_if(d["root_kind"] == "body").alias("body_roots"), F.count_if(d["fallback_used"]).alias("with_fallback"), *(F.coalesce(F.sum(d[c]), F.lit(0)).cast("long").alias(c) for c in counters))
+    return [F.count("*").alias("articles"), F.count_if("is_partial").alias("partial"), F.count_if(d["root_kind"] == "body").alias("body_roots"), F.count_if(d["fallback_used"]).alias("with_fallback"), *(F.coalesce(F.sum(d[c]), F.lit(0)).cast("long").alias(c) for c in counters)]
+
+
+def diagnostics_totals(read: DataFrame) -> DataFrame:
+    """One row: articles, partial ones, those read from the body, with fallback blocks, and the sums of all counters."""
+    return read.agg(*_totals(read))
+
+
+def observed(read: DataFrame) -> tuple[DataFrame, Observation]:
+    """The articles, and what diagnostics_totals() says of them, known once they have been written: pages are parsed once for both.
+
+    A task that runs again after a lost executor is counted again, so these are figures for a log; diagnostics_totals() is exact.
+    """
+    seen = Observation("diagnostics")
+    return read.observe(seen, *_totals(read)), seen
 
 
 def diagnostic_issues(d: Column) -> Column:

@@ -13,7 +13,7 @@ from ahocorasick import Automaton
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import clean, exact_literals, normalize_literal, overlap_score, retrieval_terms, token_set
+from lectern.functions.text import SPACE, clean, exact_literals, normalize_literal, overlap_score, retrieval_terms, token_set
 
 CANDIDATES, RRF, SECTION_BOOST, TEXT_BOOST = 20, 60, 3.0, 1.0
 K, B, DELTA = 1.2, 0.7, 0.5
@@ -149,7 +149,7 @@ def focus_anchors(chunks: DataFrame, foci: DataFrame, most: int = ANCHORS) -> Da
     """
     # What a chunk or a focus has alone is made before they meet; made after, it would be made anew for every pair.
     both = F.concat("section", F.lit("\n"), "text")
-    own = chunks.select("article_id", "chunk_idx", "section", token_set(both).alias("_tokens"), token_set(F.col("section")).alias("_section_tokens"), F.regexp_replace(F.lower(both), r"\s+", " ").alias("_content"))
+    own = chunks.select("article_id", "chunk_idx", "section", token_set(both).alias("_tokens"), token_set(F.col("section")).alias("_section_tokens"), F.regexp_replace(F.lower(both), SPACE, " ").alias("_content"))
     asked = foci.select("article_id", "query_id", "focus_section", token_set(F.col("focus_text")).alias("_focus_tokens"), token_set(F.col("focus_section")).alias("_given_tokens"), normalize_literal(F.col("focus_text")).alias("_focus"))
     pairs = own.join(asked, "article_id")
     section, given = F.lower("section"), F.lower(F.trim(F.coalesce("focus_section", F.lit(""))))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.urls import hostname, let, normalize_page_url
-from lectern.operators.memory import merge_turns
+from lectern.operators.memory import QUOTA_WARNING, merge_turns
 
 REFERENCE = "struct<type: string, text: string, section: string, alt: string, image_url: string>"
 MESSAGE = f"struct<id: string, role: string, content: string, created_at: bigint, error: boolean, reference: {REFERENCE}, trace: string>"
@@ -175,3 +175,10 @@ def delete_conversations(archive: DataFrame, pages: list[str] | None = None) ->
 def bytes_in_use(archive: DataFrame) -> Column:
     """The bytes of a table's rows written as JSON, to be aggregated."""
     return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*archive.columns)))), F.lit(0)).cast("long")
+
+
+def usage(archive: DataFrame, quota: int, warning: float = QUOTA_WARNING) -> DataFrame:
+    """bytes_in_use, quota_bytes, share, near_limit of an archive's records: one row. Near its limit is an archive that has the warning's share of the quota."""
+    used = archive.agg(bytes_in_use(archive).alias("bytes_in_use"))
+    share = F.col("bytes_in_use") / F.lit(max(1, quota))
+    return used.select("bytes_in_use", F.lit(quota).cast("long").alias("quota_bytes"), F.round(share, 6).alias("share"), (share >= warning).alias("near_limit"))

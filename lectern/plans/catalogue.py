@@ -13,6 +13,7 @@ from lectern.functions.model_json import checkpoint, query_plan
 from lectern.operators import assemble, chunking, context, extract, index, memory, prompts, retrieve, search, store, turns
 from lectern.plans.fold_sql import FOLDS
 from lectern.plans.sql import SQL
+from lectern.settings import Settings
 from lectern.sources import tables as S
 from lectern.sources.scratch import new_path, stored
 from lectern.streaming import operations
@@ -165,7 +166,7 @@ def question_context(spark, d):
         F.when(turn == 2, F.col("question")).alias("focus_text"), F.when(turn == 1, F.concat("_base", F.lit(" > part 1"))).alias("focus_section"), F.when(turn == 1, "section").alias("focus_scope"), F.when(turn == 1, 3).alias("heading_level"),
         F.when(turn.isin(4, 5) | wide, plan).alias("plan_json"), F.when(turn == 7, F.repeat(F.lit("x"), 700)).alias("checkpoint_json"), turn.isin(4, 5).alias("planned"),
     )
-    made = context.question_context(chunks, questions, memory.completed_turns(_messages(spark, d)), 3000)
+    made = context.question_context(chunks, questions, memory.completed_turns(_messages(spark, d)), Settings(request_budget=3000))
     line = lambda e: F.concat_ws("|", e["chunk_id"], F.array_join(F.array_sort(e["sources"]), "+"), e["pinned"].cast("string"), F.round(e["score"] * 10**9).cast("long").cast("string"), e["cost"].cast("string"))
     told = lambda t: F.concat_ws(":", t["turn_idx"].cast("string"), t["how"])
     return made.select(
@@ -259,6 +260,13 @@ def archive_usage(spark, d):
     return memory.usage(_archive(spark, d))
 
 
+@query
+def archive_bytes(spark, d):
+    """The bytes of all archived records, two conversations a page, against the quota."""
+    held = store.save_conversations(spark.createDataFrame([], store.CONVERSATION), S.page_contexts(S.table(spark, d, "conversations")), F.lit(1000))
+    return store.usage(held, Settings().archive_quota)
+
+
 @query
 def archive_merge(spark, d):
     """Two conversations a page; the even ones are archived, the odd ones come in and overwrite the first question."""

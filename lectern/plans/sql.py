@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from lectern.functions import text as fixed
+from lectern.functions import urls
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in fixed.STOP_WORDS) + "]"
 _CJK = "[㐀-鿿]"
 
 
 def _flat(x: str) -> str:
-    return f"trim(regexp_replace(coalesce({x}, ''), '[ \\t\\n\\x0B\\f\\r\\x{{A0}}\\x{{3000}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace(coalesce({x}, ''), '{fixed.SPACE}', ' ', 'g'))"
 
 
 def _pairs(x: str) -> str:
@@ -43,7 +44,7 @@ def _anchors(foci: str) -> str:
     share = lambda q, c: f"(CASE WHEN len({q}) = 0 THEN 0.0 ELSE len(list_intersect({q}, {c})) / len({q}) END)"
     return f"""{foci},
 told AS (SELECT *, {_tokens('focus_text')} AS ft, {_tokens('focus_section')} AS st, {_flat("lower(coalesce(focus_text, ''))")} AS fn, lower(trim(coalesce(focus_section, ''))) AS given FROM foci),
-own AS (SELECT p.*, {_tokens(both)} AS ct, {_tokens('p.section')} AS pt, regexp_replace(lower({both}), '\\s+', ' ', 'g') AS content FROM parts p SEMI JOIN foci f ON f.article_id = p.article_id),
+own AS (SELECT p.*, {_tokens(both)} AS ct, {_tokens('p.section')} AS pt, regexp_replace(lower({both}), '{fixed.SPACE}', ' ', 'g') AS content FROM parts p SEMI JOIN foci f ON f.article_id = p.article_id),
 scored_lines AS (SELECT t.article_id, t.query_id, o.chunk_idx, o.section, t.given <> '' AND lower(o.section) = t.given AS exact,
   {share('t.ft', 'o.ct')} + {share('t.st', 'o.pt')} * 0.5 + (CASE WHEN t.fn <> '' AND contains(o.content, t.fn) THEN 0.5 ELSE 0.0 END) + (CASE WHEN t.given <> '' AND lower(o.section) = t.given THEN 0.5 ELSE 0.0 END) AS score FROM told t JOIN own o USING (article_id)),
 first_line AS (SELECT * FROM scored_lines QUALIFY row_number() OVER (PARTITION BY article_id, query_id ORDER BY exact DESC, score DESC, chunk_idx) = 1),
@@ -85,7 +86,7 @@ _URL = """CASE WHEN regexp_matches(url, '^https?://[^/?#]+') THEN
 
 SQL = {
     "url_normalize": f"""WITH parts AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/$', '') AS rtrim_one, regexp_extract(url, '(#.*)$', 1) AS frag,
-      array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND NOT list_contains(['fbclid','gclid','mc_cid','mc_eid','ref_src'], lower(string_split(p, '=')[1])))), '&') AS params FROM pages)
+      array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND NOT list_contains({list(urls.TRACKING)}, lower(string_split(p, '=')[1])))), '&') AS params FROM pages)
       SELECT page_id, {_URL} AS normalized_url, page_id::VARCHAR || ':' || {_URL} AS page_key, regexp_matches(lower(url), '^https?://') AS supported FROM parts""",
     "url_hosts": "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1",
     "token_sets": f"WITH t AS (SELECT doc_id, list_sort({_tokens('text')}) AS tokens FROM documents) SELECT doc_id, len(tokens)::BIGINT AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM t",
@@ -139,6 +140,11 @@ SQL = {
     "archive_summary": f"""WITH {_MESSAGES} SELECT 'https://example.com/c/' || conv_id AS url, 'Conversation ' || conv_id AS title, min(msg_idx) AS created_at, max(msg_idx) AS updated_at, count(*) FILTER (role = 'user') AS question_count, arg_max(content, msg_idx) FILTER (role = 'user') AS last_question FROM messages GROUP BY conv_id""",
     "archive_search": f"""WITH {_MESSAGES} SELECT 'https://example.com/c/' || conv_id AS url, count(*) FILTER (role = 'user') AS question_count FROM messages GROUP BY conv_id HAVING bool_or(contains(lower(content), 'the'))""",
     "archive_usage": f"WITH {_MESSAGES} SELECT coalesce(sum(strlen(content)), 0)::BIGINT AS bytes_in_use, 10485760::BIGINT AS quota_bytes, coalesce(sum(strlen(content)), 0) >= 0.8 * 10485760 AS near_limit FROM messages",
+    "archive_bytes": f"""WITH {_MESSAGES}, l AS (SELECT *, lead(role) OVER w AS next_role, lead(msg_idx) OVER w AS next_idx, lead(content) OVER w AS answer, max(msg_idx) OVER (PARTITION BY conv_id) AS last_idx FROM messages WINDOW w AS (PARTITION BY conv_id ORDER BY msg_idx)),
+      t AS (SELECT conv_id, conv_id // 2 AS page, msg_idx, last_idx, '{{"id":"' || conv_id || '-' || msg_idx || '","role":"user","content":' || to_json(content) || ',"created_at":' || msg_idx || '}},{{"id":"' || conv_id || '-' || next_idx || '","role":"assistant","content":' || to_json(answer) || ',"created_at":' || next_idx || '}}' AS j
+        FROM l WHERE role = 'user' AND next_role = 'assistant'),
+      c AS (SELECT strlen('{{"normalized_url":"https://example.com/p/' || page || '","schema_version":2,"title":"Page ' || arg_max(conv_id, last_idx * 1000000 - conv_id) || '","messages":[' || string_agg(j, ',') || '],"created_at":' || min(msg_idx) || ',"updated_at":1000}}') AS n FROM t GROUP BY page)
+      SELECT coalesce(sum(n), 0)::BIGINT AS bytes_in_use, 10485760::BIGINT AS quota_bytes, round(coalesce(sum(n), 0) / 10485760, 6) AS share, coalesce(sum(n), 0) / 10485760 >= 0.8 AS near_limit FROM c""",
     "archive_merge": f"""WITH {_TURNS}, rows AS (SELECT conv_id % 2 AS src, 'https://example.com/p/' || (conv_id // 2) AS url, CASE WHEN turn_idx = 0 THEN 'first' ELSE conv_id || '-' || turn_idx END AS question_id, turn_idx AS pos, question FROM turns),
       one AS (SELECT url, question_id, min(src * 1000000 + pos) AS spot, arg_max(question, src * 1000000 + pos) AS question, arg_max(pos, src * 1000000 + pos) AS created_at FROM rows GROUP BY ALL)
       SELECT url, question_id, row_number() OVER (PARTITION BY url ORDER BY created_at, spot) - 1 AS ord, created_at, question FROM one""",

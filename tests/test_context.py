@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import context, memory, packing
 from lectern.operators import evidence as E
+from lectern.settings import Settings
 
 KEY = ["article_id", "query_id"]
 
@@ -88,7 +89,7 @@ def test_question_context(spark):
     ]
     said = [(1, m, "user" if m % 2 == 0 else "assistant", f"{'lamp' if m < 2 else 'talk'} {m} " * 3, m, False) for m in range(20)] + [(2, 0, "user", "basalt", 0, False), (2, 1, "assistant", "yes", 1, False)]
     turns = memory.completed_turns(spark.createDataFrame(said, "conv_id long, msg_idx long, role string, content string, created_at long, error boolean"))
-    got = {r["query_id"]: r for r in context.question_context(chunks, spark.createDataFrame(asked, schema), turns, 760).collect()}
+    got = {r["query_id"]: r for r in context.question_context(chunks, spark.createDataFrame(asked, schema), turns, Settings(request_budget=760)).collect()}
     assert len(got) == 5 and (got[1]["strategy"], got[1]["mode"], len(got[1]["evidence"]), got[1]["needs_planning"]) == ("full-context", "whole", 10, False)
     assert got[5]["strategy"] == "full-context" and got[5]["evidence"] is None and got[5]["article_characters"] == 0
     two = got[2]
@@ -103,6 +104,15 @@ def test_question_context(spark):
     assert {t["how"] for t in got[1]["history"]} <= {"recent", "recalled", "all"}
 
 
+def test_limits_come_from_the_settings(spark):
+    rows = [(0, k, f"chunk-{k + 1}", "S", text * 4, [f"b{k}"]) for k, text in enumerate(LINES)]
+    asked = spark.createDataFrame([(0, 1, 1, "who rebuilt the basalt wall?")], "article_id long, query_id long, conv_id long, question string").selectExpr("*", *(f"cast(null as {t}) AS {c}" for c, t in (("focus_type", "string"), ("focus_text", "string"), ("focus_section", "string"), ("focus_scope", "string"), ("heading_level", "int"), ("plan_json", "string"), ("checkpoint_json", "string"), ("planned", "boolean"))))
+    turns = memory.completed_turns(spark.createDataFrame([(1, 0, "user", "q", 0, False), (1, 1, "assistant", "a", 1, False)], "conv_id long, msg_idx long, role string, content string, created_at long, error boolean"))
+    told = lambda given: context.question_context(spark.createDataFrame(rows, CHUNK), asked, turns, Settings.load(given)).first()
+    assert told({"request_budget": 900, "windows": 1})["limit"] == 900 and len(told({"request_budget": 900, "windows": 1})["evidence"]) == 1
+    assert len(told({"request_budget": 900})["evidence"]) > 1 and told({})["strategy"] == "full-context"
+
+
 def test_history_is_the_memory_selection(spark):
     """Under one budget for all, the history of a question is what select_memory() takes."""
     rng = random.Random(5)

@@ -1,7 +1,8 @@
 import random
 
 from lectern.operators import evidence as E
-from lectern.operators.chunking import PROSE, content_blocks, create_chunks, split_text
+from lectern.operators import extract
+from lectern.operators.chunking import PROSE, SENTENCES, content_blocks, create_chunks, split_text
 from lectern.operators.extract import extract_article
 from lectern.operators.memory import completed_turns, merge_turns, select_memory
 from lectern.operators.search import bm25, containing, coverage_groups, literal_matches, neighbours
@@ -195,3 +196,26 @@ def test_coverage_is_the_plain_choice():
         chunks = [chunk(k, "t" * rng.randint(0, 40), rng.choice(["A > x", "A > y", "A"] if n % 2 else ["A > x", "B > z", "B", ""])) | {"block_ids": [f"b{rng.randint(0, size)}"]} for k in range(size)]
         budget, limit = rng.choice([0, 40, 150, 400]), rng.randint(0, 7)
         assert E.cover(chunks, budget, limit) == plain_cover(chunks, budget, limit)
+
+
+def cut(text):
+    ends = [m.end() for m in SENTENCES.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)]) if b > a]
+
+
+def test_sentences_end_where_the_rules_say():
+    """The published cases of the rules for text boundaries."""
+    cases = [
+        ["He said “Are you going?” ", "John shook his head."], ["The resp. leaders are here. ", "3.4 is c.d and U.S. ", "Then"], ["etc.)’ ‘(the"], ["etc.)’ ", "‘(The"],
+        ["the resp. leaders are"], ["字。", "它是！", "好"], ["Wait... what? ", "No!! ", "Yes"], ["a\n", "b\r\n", "c"], ["Mr. ", "Smith went"], ["She said “See spot run.”  ", "John shook his head. "], ["He said. , and so"], ["c.D"], ["3.4"], ["c.d"], ["U.S\u0300.A\u0300."],
+    ]
+    for parts in cases:
+        assert cut("".join(parts)) == parts
+
+
+def test_totals_are_known_in_passing(spark, tmp_path):
+    page = "<html><body><article><h1>T</h1><p>Some words of a text that is long enough to be read, more or less.</p></article><iframe></iframe></body></html>"
+    pages = spark.createDataFrame([(k, f"https://e.test/{k}", page if k % 2 else "<p>short") for k in range(6)], "page_id long, url string, html string")
+    read, seen = extract.observed(extract.articles(pages))
+    read.write.parquet(f"{tmp_path}/articles")
+    assert seen.get == extract.diagnostics_totals(extract.articles(pages)).first().asDict() and seen.get["articles"] == 6

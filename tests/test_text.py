@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -64,3 +66,22 @@ def test_plans_and_checkpoints():
     assert parse_checkpoint(good)["goal"] == "g"
     assert parse_checkpoint(good.replace("active\"", "odd\"")) is None
     assert parse_checkpoint(good.replace('"g"', '"' + "g" * 601 + '"')) is None
+
+
+def test_white_space_of_all_kinds(spark):
+    every = " \t\n\x0b\f\r\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    row = spark.createDataFrame([(f"{every}a{every}b{every}",)], "t string").select(T.clean(F.col("t")).alias("c"), T.normalize_literal(F.col("t")).alias("n")).first()
+    assert tuple(row) == ("a b", "a b")
+
+
+def test_hosts_in_ascii(spark):
+    """The coding of host names against Python's own, on names of many scripts."""
+    rng = random.Random(7)
+    alphabet = "abcxyz019-äöüßéñøç\u0430\u0431\u0436\u4e2d\u6587\u7f51\ud55c\uad6d\u0939\u093f\u0645\u0635\u0631\U0001d11e\U00020000"
+    labels = ["bücher", "müller", "例え", "ü", "aü", "üü", "пример", "한국", "a", "中中中", *("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 25))) for _ in range(300))]
+    rows = spark.createDataFrame([(x, f"{x}.example:8080") for x in labels], "label string, host string").select("label", urls.ascii_host(F.col("host")).alias("got")).collect()
+    for r in rows:
+        own = r["label"] if r["label"].isascii() else "xn--" + r["label"].encode("punycode").decode()
+        assert r["got"] == f"{own}.example:8080", r["label"]
+    page = spark.createDataFrame([("https://Bücher.example/a/?utm_x=1",)], "u string").select(urls.normalize_page_url(F.col("u")).alias("n")).first()["n"]
+    assert page == "https://xn--bcher-kva.example/a"

@@ -1,4 +1,5 @@
 from lectern.plans import catalogue
+from lectern.sources import tables
 
 
 def test_packing_and_anchors_answer_every_question(spark, tmp_path):
@@ -18,9 +19,18 @@ def test_packing_and_anchors_answer_every_question(spark, tmp_path):
         assert first <= a % 8 + 1 <= last
 
 
+def test_questions_with_gaps_in_their_ids(spark):
+    """Every document is asked one question, whatever the numbers of the questions."""
+    docs = spark.range(30).selectExpr("id AS doc_id")
+    benchmark = spark.createDataFrame([(k, f"question {k}") for k in (2, 3, 7, 40, 41, 1000, -5)], "item_id long, text string")
+    got = {r["article_id"]: r["query_id"] for r in tables.asked_of(docs, benchmark).collect()}
+    assert got == {a: [-5, 2, 3, 7, 40, 41, 1000][a % 7] for a in range(30)}
+    assert tables.asked_of(docs, benchmark.limit(0)).count() == 0
+
+
 def test_queries_of_empty_tables(spark, tmp_path):
     kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id long, text string", "conversations": "conv_id long, turn long, role string, text string", "pages": "page_id long, url string, html string"}
     for name, kind in kinds.items():
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
-    for name in ("bm25_topk", "exact_match_rank", "select_context", "evidence_pack", "document_coverage", "conversation_archive", "chunks", "outline"):
+    for name in ("bm25_topk", "exact_match_rank", "select_context", "question_context", "evidence_pack", "document_coverage", "conversation_archive", "chunks", "outline"):
         assert catalogue.queries()[name](spark, str(tmp_path)).count() == 0, name

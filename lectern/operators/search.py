@@ -25,6 +25,30 @@ LITERALS = 50_000
 Tokenizer = Callable[[Column], Column]
 
 
+#: Bytes of a table, as JSON, up to which it is sent to every task.
+SMALL_BYTES = 8 << 20
+
+
+def sent(table: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """The table, to be sent to every task if it is small, which is counted; else as it is, to be joined by a shuffle."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()[0] or 0
+    return F.broadcast(table) if size <= most else table
+
+
+def overlaps(documents: DataFrame, questions: DataFrame, most: int) -> DataFrame:
+    """query_id, doc_id, score, rank: the documents that have the greatest share of each question's tokens.
+
+    Documents' tokens are dealt out by document before they are opened, so as long as the questions' tokens are few, a document's counts are
+    made where it lies, and only the best of each task move.
+    """
+    asked = questions.select("query_id", token_set(F.col("question")).alias("_t")).select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("token"))
+    tokens = documents.select("doc_id", token_set(F.col("text")).alias("_t")).repartition("doc_id").select("doc_id", F.explode("_t").alias("token"))
+    shared = tokens.join(sent(asked), "token").groupBy("query_id", "doc_id", "_n").agg(F.count("*").alias("shared"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    scored = shared.select("query_id", "doc_id", F.round(F.col("shared") / F.col("_n"), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
 def postings(chunks: DataFrame, tokenizer: Tokenizer = retrieval_terms, asked: DataFrame | None = None) -> DataFrame:
     """article_id, chunk_idx, field, term, tf, len (distinct terms of the field). asked: a table of the terms that are wanted (column term).
 

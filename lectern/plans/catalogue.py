@@ -69,12 +69,7 @@ def term_stats(spark, d):
 @query
 def overlap_topk(spark, d):
     """The five documents that share most tokens with each question, by an inverted index on the questions' tokens."""
-    asked = _asked(spark, d).select("query_id", T.token_set(F.col("question")).alias("_t")).select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("token"))
-    tokens = _docs(spark, d).select("doc_id", F.explode(T.token_set(F.col("text"))).alias("token"))
-    shared = tokens.join(asked, "token").groupBy("query_id", "doc_id", "_n").agg(F.count("*").alias("shared"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    scored = shared.select("query_id", "doc_id", F.round(F.col("shared") / F.col("_n"), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
+    return search.overlaps(_docs(spark, d), _asked(spark, d), 5)
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lectern.operators import context, memory, packing
 from lectern.operators import evidence as E
 from lectern.settings import Settings
+from tests import plain_evidence
 
 KEY = ["article_id", "query_id"]
 
@@ -47,7 +48,7 @@ def test_folds_are_the_plain_choices(spark, seed):
         if (a, source, need) in want:
             continue
         own = [x for x in asks if (x[0], x[2], x[3]) == (a, source, need)]
-        want[a, source, need] = E.pack_windows(plain_chunks(rows, a), [x[5] for x in own], own[0][6], own[0][7])
+        want[a, source, need] = plain_evidence.pack_windows(plain_chunks(rows, a), [x[5] for x in own], own[0][6], own[0][7])
         folds.setdefault(a, {})[source, need] = want[a, source, need]
     got = {}
     for r in made.orderBy("article_id", "source", "need", "rank").collect():
@@ -61,7 +62,7 @@ def test_folds_are_the_plain_choices(spark, seed):
     packed = {r["article_id"]: r["evidence"] for r in packing.packed(fused.withColumn("needs", F.lit(3)).withColumn("budget", 200 + 30 * F.col("article_id")), KEY, 4).collect()}
     candidates = {r["article_id"]: r["candidates"] for r in fused.collect()}
     for a in candidates:
-        plain, own = E.Fusion(), plain_chunks(rows, a)
+        plain, own = plain_evidence.Fusion(), plain_chunks(rows, a)
         lists = dict(folds.get(a, {}))
         lists["focus-anchor" if a % 2 == 0 else "document-coverage", None] = [c for c in own if c["chunk_idx"] % 3 == 1]
         for source, need in sorted(lists, key=lambda x: (list(E.WEIGHTS).index(x[0]), -1 if x[1] is None else x[1])):
@@ -69,7 +70,7 @@ def test_folds_are_the_plain_choices(spark, seed):
         told = lambda e: (e.chunk["chunk_id"], list(e.sources), round(e.score, 12), e.pinned, sorted(e.needs))
         assert [(c["chunk"]["chunk_id"], c["sources"], round(c["score"], 12), c["pinned"], sorted(c["needs"])) for c in candidates[a]] == [told(e) for e in plain.by_key.values()]
         assert all(c["reasons"] == [f"{s}?" for s in c["sources"]] for c in candidates[a])
-        assert [e["chunk"]["chunk_id"] for e in packed[a]] == [e.chunk["chunk_id"] for e in E.pack(plain.ranked(), 3, 200 + 30 * a, 4)]
+        assert [e["chunk"]["chunk_id"] for e in packed[a]] == [e.chunk["chunk_id"] for e in plain_evidence.pack(plain.ranked(), 3, 200 + 30 * a, 4)]
 
 
 LINES = ["The harbour was built of basalt", "Ships came from the north", "A lighthouse stands on the mole", "Its lamp burned whale oil", "Storms broke the wall twice", "Engineers rebuilt the basalt wall", "The census counted sailors", "Trade fell after the war", "A museum keeps the lamp", "Visitors come in summer"]

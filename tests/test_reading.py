@@ -6,6 +6,7 @@ from lectern.operators.chunking import PROSE, SENTENCES, content_blocks, create_
 from lectern.operators.extract import extract_article
 from lectern.operators.memory import completed_turns, merge_turns, select_memory
 from lectern.operators.search import bm25, containing, coverage_groups, literal_matches, neighbours
+from tests import plain_evidence
 
 
 def block(k, text, section="S", type_="paragraph", block_id=None):
@@ -61,27 +62,27 @@ def test_texts_are_cut_without_loss():
 
 def test_windows_and_coverage():
     chunks = [chunk(0, "a"), chunk(1, "b"), chunk(2, "c"), chunk(3, "d", "T")]
-    assert [w["text"] for w in E.pack_windows(chunks, [1], 1000)] == ["a\nb\nc"]
-    assert [w["chunk_id"] for w in E.pack_windows(chunks, [1, 3], 1000)] == ["window-chunk-1-chunk-3", "window-chunk-4-chunk-4"]
-    assert E.pack_windows(chunks, [1], 2) == [] and E.pack_windows(chunks, [1], 1000, 0) == []
+    assert [w["text"] for w in plain_evidence.pack_windows(chunks, [1], 1000)] == ["a\nb\nc"]
+    assert [w["chunk_id"] for w in plain_evidence.pack_windows(chunks, [1, 3], 1000)] == ["window-chunk-1-chunk-3", "window-chunk-4-chunk-4"]
+    assert plain_evidence.pack_windows(chunks, [1], 2) == [] and plain_evidence.pack_windows(chunks, [1], 1000, 0) == []
     flat = [chunk(k, "t" * 50) for k in range(5)]
     assert E.cover(flat, 64000, 3) == [0, 2, 4]
     assert E.cover([chunk(0, "x", "A"), chunk(1, "x", "A"), chunk(2, "x", "B"), chunk(3, "x", "C")], 1000, 3) == [0, 2, 3]
 
 
 def test_packing_keeps_pins_and_needs():
-    held = E.Fusion()
+    held = plain_evidence.Fusion()
     held.channel([chunk(0, "p" * 100)], "focus-anchor", pinned=True)
     held.channel([chunk(1, "n" * 100)], "planned-need", need=0)
     held.channel([chunk(k, "c" * 100) for k in range(2, 9)] + [chunk(0, "p" * 100)], "global-search")
-    packed = E.pack(held.ranked(), 1, 250)
+    packed = plain_evidence.pack(held.ranked(), 1, 250)
     assert [e.chunk["chunk_idx"] for e in packed] == [0, 1]
     assert list(packed[0].sources) == ["focus-anchor", "global-search"]
 
 
 def test_joined_evidence_keeps_the_fullest_chunk():
     wide = {"chunk_idx": 1, "chunk_id": "wide", "section": "S", "text": "x" * 50, "block_ids": ["b1", "b2"]}
-    held = E.Fusion()
+    held = plain_evidence.Fusion()
     held.channel([chunk(1, "one"), chunk(2, "two")], "exact-match")
     held.channel([wide], "global-search", need=3)
     (one,) = held.ranked()

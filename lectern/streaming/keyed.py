@@ -10,9 +10,13 @@ itself, and a query that begins anew, with an empty checkpoint, adds to the arch
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from contextlib import contextmanager
+from datetime import timedelta, timezone
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ MESSAGE = "conv_id long, msg_idx long, role string, content string, created_at l
 CHANGE = "conv_id long, generation long, revision long, msg_idx long, op string, url string, created_at long, question string, answer string"
 #: A row of this role deletes its conversation, up to its generation.
 DELETED = "deleted"
+#: Kinds of messages by place: questions and answers that aren't in error; 0 is for all others.
+QUESTION, ANSWER = 1, 2
 EVENT = "key string, kind string, request_id string, at timestamp"
 DECISION = "key string, request_id string, at timestamp, accepted boolean, open_request string"
 #: How long an answer may take.
@@ -31,51 +37,85 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 
 
 class Turns(StatefulProcessor):
-    """MESSAGE rows of a conversation to CHANGE rows."""
+    """MESSAGE rows of a conversation to CHANGE rows.
+
+    Rows go to the state one by one, in whatever order they come; of two with the same place and generation the one of the later time counts. In memory are
+    only the places of a conversation's messages and what kind each is; texts are read for the turns next to a changed place.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "generation long, deleted long, revision long")
+        self.head = handle.getValueState("head", "generation long, deleted long, revision long, places binary")
         self.messages = handle.getMapState("messages", "msg_idx long", "role string, content string, created_at long, error boolean, url string")
-        self.told = handle.getMapState("told", "msg_idx long", "answer_idx long, question string, answer string")
+        self.told = handle.getMapState("told", "msg_idx long", "answer_idx long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        generation, deleted, revision = self.head.get() if self.head.exists() else (-1, -1, 0)
-        out: list[tuple] = []
-        revision += 1
-        given = pd.concat(list(rows)).sort_values(["generation", "created_at"], kind="stable")
-        for r in given.to_dict("records"):
-            own = int(r["generation"])
-            if own < generation or own <= deleted:
-                continue
-            if own > generation or r["role"] == DELETED:
-                out += [(key[0], own, revision, k[0], "drop", None, None, None, None) for k in self.told.keys()]
-                self.messages.clear()
-                self.told.clear()
-                generation = own
-            if r["role"] == DELETED:
-                deleted = own
-            else:
-                self.messages.updateValue((int(r["msg_idx"]),), (r["role"], r["content"], int(r["created_at"]), bool(r["error"]), r["url"]))
-        self.head.update((generation, deleted, revision))
-        held = sorted((k[0], v) for k, v in self.messages.iterator())
-        now = {a: (b, x, y) for (a, x), (b, y) in zip(held, held[1:]) if x[0] == "user" and y[0] == "assistant" and not x[3] and not y[3]}
-        before = {k[0]: tuple(v) for k, v in self.told.iterator()}
-        for at in before.keys() - now.keys():
-            self.told.removeKey((at,))
-            out.append((key[0], generation, revision, at, "drop", None, None, None, None))
-        for at, (b, x, y) in now.items():
-            if before.get(at) != (b, x[1], y[1]):
-                self.told.updateValue((at,), (b, x[1], y[1]))
-                out.append((key[0], generation, revision, at, "put", x[4], x[2], x[1], y[1]))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")])
+        generation, deleted, revision, packed = self.head.get() if self.head.exists() else (-1, -1, 0, b"")
+        kinds = {int(x) >> 2: int(x) & 3 for x in np.frombuffer(packed, np.int64)}
+        changed: set[int] = set()
+        gone: set[int] = set()
+        for part in rows:
+            for r in part.to_dict("records"):
+                own, at = int(r["generation"]), int(r["msg_idx"])
+                if own < generation or own <= deleted:
+                    continue
+                if own > generation or r["role"] == DELETED:
+                    gone |= {k[0] for k in self.told.keys()}
+                    self.messages.clear()
+                    self.told.clear()
+                    kinds, changed, generation = {}, set(), own
+                if r["role"] == DELETED:
+                    deleted = own
+                    continue
+                new = (r["role"], r["content"], int(r["created_at"]), bool(r["error"]), r["url"])
+                old = self.messages.getValue((at,)) if at in kinds else None
+                if old is None or (new[2], new[1]) >= (old[2], old[1]):
+                    self.messages.updateValue((at,), new)
+                    kinds[at] = 0 if new[3] else {"user": QUESTION, "assistant": ANSWER}.get(new[0], 0)
+                    changed.add(at)
+        order = sorted(kinds)
+        self.head.update((generation, deleted, revision + 1, np.array([at * 4 + kinds[at] for at in order], np.int64).tobytes()))
+        yield from _frames((key[0], generation, revision + 1, *x) for x in self._changes(order, kinds, changed, gone))
+
+    def _changes(self, order: list[int], kinds: dict[int, int], changed: set[int], gone: set[int]) -> Iterator[tuple]:
+        """msg_idx, op and the rest of a CHANGE of all turns that begin at a changed place or before one, and of those that went."""
+        drop = ("drop", None, None, None, None)
+        yield from ((at, *drop) for at in sorted(gone))
+        places = {bisect_left(order, at) for at in changed}
+        for k in sorted(places | {k - 1 for k in places if k}):
+            at, next_ = order[k], order[k + 1] if k + 1 < len(order) else None
+            told = self.told.getValue((at,)) if self.told.containsKey((at,)) else None
+            if next_ is not None and (kinds[at], kinds[next_]) == (QUESTION, ANSWER):
+                if told is None or told[0] != next_ or not changed.isdisjoint((at, next_)):
+                    asked, answer = self.messages.getValue((at,)), self.messages.getValue((next_,))
+                    self.told.updateValue((at,), (next_,))
+                    yield at, "put", asked[4], asked[2], asked[1], answer[1]
+            elif told is not None:
+                self.told.removeKey((at,))
+                yield at, *drop
 
     def close(self) -> None:
         pass
 
 
+def _frames(rows: Iterator[tuple], most: int = 1000) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, most)):
+        yield pd.DataFrame(part, columns=[c.split()[0] for c in CHANGE.split(", ")])
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep keyed state in STATE_STORE; the session's own setting comes back."""
+    name, kind = STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def changes(messages: DataFrame) -> DataFrame:
-    """CHANGE rows of a stream of MESSAGE rows. The session needs STATE_STORE."""
+    """CHANGE rows of a stream of MESSAGE rows, to be started inside keyed_state()."""
     return messages.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=Turns(), outputStructType=CHANGE, outputMode="Update", timeMode="None")
 
 
@@ -95,13 +135,13 @@ def _place(spark: SparkSession, folder: str, checkpoint: str) -> str:
 
 def archive_stream(spark: SparkSession, source: str, folder: str, checkpoint: str) -> StreamingQuery:
     """Read message files and write each batch's changes; only one query may write to an archive at a time."""
-    spark.conf.set(*STATE_STORE)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{_place(spark, folder, checkpoint)}/batch={number}")
 
     made = changes(spark.readStream.schema(MESSAGE).parquet(source))
-    return made.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with keyed_state(spark):
+        return made.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def archived_turns(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,8 +157,8 @@ def archived_turns(spark: SparkSession, folder: str) -> DataFrame:
 class Flights(StatefulProcessor):
     """EVENT rows of a page (kind request or answer) to a DECISION on every request.
 
-    A request is accepted if none is open; an open one ends with its answer, or TIMEOUT_SECONDS after it began. Events of a batch are taken in order of
-    time; one that comes after a later request was accepted counts at the time it has, so it is refused.
+    A request is accepted if none is open; an open one ends with its answer, or TIMEOUT_SECONDS after it began. Events of a page in a batch (ids and times)
+    are sorted by time; one that comes after a later request was accepted counts at the time it has, so it is refused.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -160,6 +200,6 @@ class Flights(StatefulProcessor):
 
 
 def decisions(events: DataFrame, late: str = "1 minute") -> DataFrame:
-    """DECISION rows of a stream of EVENT rows, which may come late by so much. The session needs STATE_STORE."""
+    """DECISION rows of a stream of EVENT rows, which may come late by so much; to be started inside keyed_state()."""
     dated = events.withWatermark("at", late)
     return dated.groupBy("key").transformWithStateInPandas(statefulProcessor=Flights(), outputStructType=DECISION, outputMode="Append", timeMode="EventTime")

@@ -60,8 +60,16 @@ def test_answers_meet_questions_and_deletions_count(spark, tmp_path):
     assert keyed.archived_turns(spark, f"{tmp_path}/out").count() == 3
 
 
+def test_a_message_between_two_others_breaks_their_turn(spark, tmp_path):
+    """Also a message that changes, and one that comes again with an older time."""
+    got = run(spark, tmp_path, [
+        [message(1, 0, "user", "q0", 1, A, 1), message(1, 4, "assistant", "a4", 2, A, 1), message(1, 6, "user", "q6", 3, A, 1), message(1, 7, "assistant", "a7", 4, A, 1)],
+        [message(1, 2, "user", "q2", 5, A, 1), message(1, 7, "assistant", "a7 anew", 6, A, 1), message(1, 6, "user", "older", 2, A, 1)],
+    ])
+    assert got == [(A, 0, "1-6", "q6", "a7 anew"), (A, 1, "1-2", "q2", "a4")]
+
+
 def test_one_answer_at_a_time(spark, tmp_path):
-    spark.conf.set(*keyed.STATE_STORE)
     at = lambda s: dt.datetime(2024, 1, 1, 12, 0, 0) + dt.timedelta(seconds=s)
     batches = [
         [("p", "request", "r1", at(0)), ("p", "request", "r2", at(5)), ("q", "request", "s1", at(1))],
@@ -73,7 +81,9 @@ def test_one_answer_at_a_time(spark, tmp_path):
     for rows in batches:
         spark.createDataFrame(rows, keyed.EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         made = keyed.decisions(spark.readStream.schema(keyed.EVENT).parquet(f"{tmp_path}/in"))
-        made.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+        with keyed.keyed_state(spark):
+            query = made.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
     got = {r["request_id"]: (r["accepted"], r["open_request"]) for r in spark.read.parquet(f"{tmp_path}/out").orderBy(F.col("accepted")).collect()}
     assert {k for k, v in got.items() if v[0]} == {"r1", "r3", "s1", "s3", "x1", "r5", "s4"}
     assert got["r2"] == (False, "r1") and got["s2"] == (False, "s1") and got["r4"] == (False, "r3")

@@ -18,8 +18,8 @@ from lectern.functions.text import SPACE, clean, exact_literals, normalize_liter
 CANDIDATES, RRF, SECTION_BOOST, TEXT_BOOST = 20, 60, 3.0, 1.0
 K, B, DELTA = 1.2, 0.7, 0.5
 WINDOWS, RELEVANT_BUDGET, ANCHORS = 8, 24_000, 3
-#: Literals that are looked for at a time.
-LITERALS = 50_000
+#: Literals that are looked for at a time, and their bytes.
+LITERALS, LITERAL_BYTES = 50_000, 4 << 20
 
 
 Tokenizer = Callable[[Column], Column]
@@ -125,13 +125,14 @@ def literal_matches(chunks: DataFrame, questions: DataFrame, focus: Column | Non
 def containing(chunks: DataFrame, literals: DataFrame, block: int = LITERALS) -> DataFrame:
     """article_id, chunk_idx, literal of all chunks whose section and text (normalised) hold a literal.
 
-    The distinct literals, the small side, are taken in blocks of about `block`, as many blocks as there need to be; one pass of
+    The distinct literals, the small side, are taken in blocks of about `block` and of LITERAL_BYTES, as many blocks as there need to be; one pass of
     an automaton over a chunk finds all literals of a block, so no chunk meets them one by one.
     """
     content = chunks.select("article_id", "chunk_idx", normalize_literal(F.concat("section", F.lit("\n"), "text")).alias("_content"))
     kind = ", ".join(f"{c} {content.schema[c].dataType.simpleString()}" for c in ("article_id", "chunk_idx")) + ", literal array<string>"
     asked = literals.select("literal").distinct()
-    count = -(-asked.count() // block)
+    number, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("literal")), F.lit(0))).first()
+    count = max(-(-number // block), -(-size // LITERAL_BYTES))
 
     def of_block(given: list[str]) -> DataFrame:
         shared = chunks.sparkSession.sparkContext.broadcast(given)

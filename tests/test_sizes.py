@@ -1,9 +1,14 @@
 """What is sent to the driver, held by a task or written is bounded, whatever the number of rows."""
 
+import gc
+
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
+from lectern.functions.dom import Element
+from lectern.operators import extract
 from lectern.plans import catalogue
+from lectern.sources import batches
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -15,3 +20,35 @@ def test_questions_of_all_documents_are_not_stored(spark, monkeypatch):
     made = catalogue.queries()["evidence_pack"](spark, SMALLEST)
     assert kept and not any("question" in columns for columns in kept)
     assert made.count() > 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_page_leaves_nothing_to_the_collector():
+    gc.collect()
+    gc.disable()
+    try:
+        extract.extract_article("<article><h1>T</h1>" + "<p>some words of a page</p>" * 50 + "</article>", "https://example.com/")
+        assert not any(isinstance(x, Element) for x in gc.get_objects())
+    finally:
+        gc.enable()
+
+
+@pytest.mark.parametrize("name", ["page_diagnostics", "page_blocks", "exact_match_rank"])
+def test_texts_go_to_python_in_small_batches(spark, name):
+    spark.conf.set(batches.SETTING, "10000")
+    catalogue.queries()[name](spark, SMALLEST)
+    assert int(spark.conf.get(batches.SETTING)) <= batches.ROWS
+
+
+@pytest.mark.parametrize("name", ["chunks", "chunk_bounds", "document_coverage"])
+def test_no_data_frame_is_made_for_each_article(spark, name):
+    plan = _plan(catalogue.queries()[name](spark, SMALLEST))
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_runs_go_on_across_batches():
+    parts = [pa.RecordBatch.from_pydict({"k": k, "x": x}) for k, x in (([1, 1], [1, 2]), ([], []), ([1, 2], [3, 4]), ([2, None], [5, 6]), ([None], [7]))]
+    assert list(batches.runs(parts, 1)) == [[(1, 1), (1, 2), (1, 3)], [(2, 4), (2, 5)], [(None, 6), (None, 7)]]

@@ -13,7 +13,7 @@ stored table, as every reader of one derives it anew otherwise. What several ste
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +24,7 @@ from lectern.operators import memory, packing, search
 from lectern.operators.assemble import HISTORY_BUDGET, KEY, NEED_WINDOWS, OFFER, PLANNED_HISTORY_BUDGET
 from lectern.operators.retrieve import global_queries
 from lectern.settings import Settings
+from lectern.sources.batches import by_key
 from lectern.sources.scratch import stored
 
 #: Characters of history that are taken for their age.
@@ -61,15 +62,16 @@ def requests(chunks: DataFrame, questions: DataFrame, turns: DataFrame, settings
 
 def covered_for(chunks: DataFrame, asked: DataFrame, most: int = E.WINDOWS) -> DataFrame:
     """KEY, chunk_idx: chunks spread over the article of each question (KEY, budget). Texts stay behind; only their lengths are looked at."""
+    names = ("chunk_idx", "section", "block_ids", "cost")
     lean = chunks.select("article_id", "chunk_idx", "section", "block_ids", chunk_cost(F.col("section"), F.col("text")).alias("cost"))
     kinds = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in KEY) + ", chunk_idx int"
 
-    def of_question(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.sort_values("chunk_idx").to_dict("records")
-        picked = E.cover(own, int(own[0]["budget"]), most)
-        return pd.DataFrame({c: [own[0][c]] * len(picked) for c in KEY} | {"chunk_idx": [own[k]["chunk_idx"] for k in picked]}, columns=[*KEY, "chunk_idx"])
+    def of_question(rows: list[tuple]) -> list[tuple]:
+        own = [dict(zip(names, r[2:6], strict=True)) for r in rows]
+        return [(*rows[0][:2], own[k]["chunk_idx"]) for k in E.cover(own, int(rows[0][6]), most)]
 
-    return asked.select(*KEY, "budget").join(lean, "article_id").groupBy(*KEY).applyInPandas(of_question, kinds)
+    made = pa.schema([(c, pa.string() if asked.schema[c].dataType.simpleString() == "string" else pa.int64()) for c in KEY] + [("chunk_idx", pa.int32())])
+    return by_key(asked.select(*KEY, "budget").join(lean, "article_id").select(*KEY, *names, "budget"), KEY, "chunk_idx", of_question, made, kinds)
 
 
 def channels(chunks: DataFrame, asked: DataFrame, tokenizer: search.Tokenizer = search.retrieval_terms, settings: Settings = DEFAULTS) -> DataFrame:

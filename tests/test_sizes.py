@@ -1,12 +1,13 @@
 """What is sent to the driver, held by a task or written is bounded, whatever the number of rows."""
 
 import gc
+import random
 
 import pyarrow as pa
 import pytest
 
 from lectern.functions.dom import Element
-from lectern.operators import extract
+from lectern.operators import extract, scores, search
 from lectern.plans import catalogue
 from lectern.sources import batches
 
@@ -52,3 +53,20 @@ def test_no_data_frame_is_made_for_each_article(spark, name):
 def test_runs_go_on_across_batches():
     parts = [pa.RecordBatch.from_pydict({"k": k, "x": x}) for k, x in (([1, 1], [1, 2]), ([], []), ([1, 2], [3, 4]), ([2, None], [5, 6]), ([None], [7]))]
     assert list(batches.runs(parts, 1)) == [[(1, 1), (1, 2), (1, 3)], [(2, 4), (2, 5)], [(None, 6), (None, 7)]]
+
+
+def test_few_queries_are_scored_by_blocks_as_by_joins(spark, monkeypatch):
+    """No row is made for each chunk and query: these grow with their product, and filled a task's memory."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(["common"] * 6 + [f"w{rng.randint(0, 40)}" for _ in range(6)])
+    chunks = [(a, c, rng.choice(["Sec one", "w1 w2", ""]), " ".join(word() for _ in range(rng.randint(0, 12)))) for a in ("x", "y", None) for c in range(90)]
+    chunks += [("x", 3, "w1", "w1 w1 common again"), ("y", None, "w2", "w1 w2 w3"), ("y", None, "w2", "common w2")]
+    held = spark.createDataFrame(chunks, "article_id string, chunk_idx long, section string, text string").repartition(3)
+    asked = spark.createDataFrame([(q, p, " ".join(word() for _ in range(rng.randint(0, 5)))) for q in range(9) for p in (0, 1)], "query_id long, pos int, text string")
+    got = lambda: sorted(map(tuple, search.bm25(held, asked, 4).select("article_id", "query_id", "pos", "chunk_idx", "matched", "score", "rank").collect()), key=str)
+    monkeypatch.setattr(scores, "CELLS", 200)
+    monkeypatch.setattr(scores, "SUMS", 30)
+    blocks = got()
+    assert "MapInArrow" in _plan(search.bm25(held, asked, 4))
+    monkeypatch.setattr(search, "SMALL_BYTES", -1)
+    assert "MapInArrow" not in _plan(search.bm25(held, asked, 4)) and blocks == got() != []

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lectern.functions.dom import Element
-from lectern.operators import extract, scores, search
+from lectern.operators import extract, index, scores, search
 from lectern.plans import catalogue
 from lectern.sources import batches
 
@@ -70,3 +70,18 @@ def test_few_queries_are_scored_by_blocks_as_by_joins(spark, monkeypatch):
     assert "MapInArrow" in _plan(search.bm25(held, asked, 4))
     monkeypatch.setattr(search, "SMALL_BYTES", -1)
     assert "MapInArrow" not in _plan(search.bm25(held, asked, 4)) and blocks == got() != []
+
+
+def test_an_index_stores_the_best_scores_of_few_queries_alone(spark, tmp_path, monkeypatch):
+    """Stored scores of all chunks for all queries grow with their product, and filled the disk."""
+    rng = random.Random(3)
+    chunks = [("x", c, "s", " ".join(rng.choice(["common", "also", "w%d" % rng.randint(0, 9)]) for _ in range(8))) for c in range(120)]
+    held = spark.createDataFrame(chunks, "article_id string, chunk_idx long, section string, text string")
+    asked = spark.createDataFrame([(q, 0, f"common also w{q}") for q in range(4)], "query_id long, pos int, text string")
+    index.add(str(tmp_path), "one", held, block=8)
+    made = index.Search(spark, str(tmp_path), asked, 3, block=8)
+    got = lambda df: sorted(map(tuple, df.select("query_id", "chunk_idx", "matched", "score", "rank").collect()))
+    few = got(made.best())
+    assert made.early.count() <= 4 * 3 * 4 and few == got(search.bm25(held, asked, 3)) != []
+    monkeypatch.setattr(index, "SMALL_BYTES", -1)
+    assert few == got(index.Search(spark, str(tmp_path), asked, 3, block=8).best())

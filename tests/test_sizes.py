@@ -5,7 +5,9 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from lectern.functions import text
 from lectern.functions.dom import Element
 from lectern.operators import extract, index, scores, search
 from lectern.plans import catalogue
@@ -85,3 +87,31 @@ def test_an_index_stores_the_best_scores_of_few_queries_alone(spark, tmp_path, m
     assert made.early.count() <= 4 * 3 * 4 and few == got(search.bm25(held, asked, 3)) != []
     monkeypatch.setattr(index, "SMALL_BYTES", -1)
     assert few == got(index.Search(spark, str(tmp_path), asked, 3, block=8).best())
+
+
+def test_chunks_are_read_once_for_the_queries_of_their_article(spark, monkeypatch):
+    """Terms of all chunks, made three times and dealt out one by one, took most of the time; repeated chunks and queries count as they do by joins."""
+    rng = random.Random(7)
+    word = lambda: rng.choice(["common"] * 3 + [f"w{rng.randint(0, 12)}" for _ in range(6)])
+    rows = [(a, c, rng.choice(["Sec one", "w1 w2", ""]), " ".join(word() for _ in range(rng.randint(0, 12)))) for a in range(5) for c in range(30)]
+    rows += [(0, 3, "w1", "w1 w1 common again"), (0, 4, *rows[4][2:]), (None, 1, "w1", "w1 w2"), (9, 0, "w1", "w1 w2")]
+    chunks = spark.createDataFrame(rows, "article_id long, chunk_idx int, section string, text string").repartition(3)
+    asked = [(a, q, p, " ".join(word() for _ in range(rng.randint(0, 5)))) for a in range(6) for q in range(2) for p in (0, 1)]
+    asked += [asked[0], (1, 7, 0, "w3 w4 common"), (1, 7, 0, "w3 w4 common"), (None, 0, 0, "w1"), (2, 8, 0, None)]
+    queries = spark.createDataFrame(asked, "article_id long, query_id long, pos int, text string")
+    seen = spark.sparkContext.accumulator(0)
+    words = F.udf(lambda t: seen.add(1) or (t or "").split(), "array<string>")
+    columns = ("article_id", "query_id", "pos", "chunk_idx", "matched", "score", "rank")
+    got = sorted(map(tuple, search.bm25(chunks, queries, 4, tokenizer=words).select(*columns).collect()))
+    assert seen.value <= 2 * len(rows) + len(asked)
+    monkeypatch.setattr(search, "SMALL_BYTES", -1)
+    plain = lambda a: search.bm25(chunks.filter(F.col("article_id") == a), queries.filter(F.col("article_id") == a).drop("article_id"), 4, tokenizer=lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), " "), lambda w: w != ""))
+    assert got == sorted(tuple(r) for a in range(6) for r in plain(a).select(*columns).collect()) != []
+
+
+def test_white_space_is_collapsed_but_for_lone_blanks(spark):
+    given = ["", " ", "a b", " a  b ", "a\tb", "a \t b ", "　\n", "﻿a   b c  ", None, "a\u0085b", "​"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, t string").orderBy("k")
+    old = F.trim(F.regexp_replace(F.coalesce("t", F.lit("")), text.SPACE, " "))
+    for want, got, solid in rows.select(old, text.clean(F.col("t")), F.coalesce(F.col("t"), F.lit("")).rlike(text.SOLID)).collect():
+        assert got == want and solid == (want != "")

@@ -47,13 +47,14 @@ def requests(chunks: DataFrame, questions: DataFrame, turns: DataFrame, settings
     """
     sizes = chunks.groupBy("article_id").agg(F.sum(chunk_cost(F.col("section"), F.col("text"))).cast("long").alias("_full"))
     limit = F.lit(max(1, settings.request_budget)).cast("long")
-    asked = questions.select("*", query_plan(F.col("plan_json")).alias("plan"), limit.alias("limit"), F.coalesce(F.length("checkpoint_json"), F.lit(0)).cast("long").alias("checkpoint_characters"))
+    # Stored, so that plans are read once and not for every column that depends on them; the file is many times smaller than its rows, so it must not be sent to every task.
+    asked = stored(questions.select("*", query_plan(F.col("plan_json")).alias("plan"), limit.alias("limit"), F.coalesce(F.length("checkpoint_json"), F.lit(0)).cast("long").alias("checkpoint_characters")), "asked").hint("merge")
     held = asked.join(sizes, "article_id", "left").withColumn("full_article_characters", F.coalesce("_full", F.lit(0).cast("long"))).drop("_full")
     available = F.greatest(F.lit(1), F.col("limit") - F.col("checkpoint_characters"))
     share = F.when(F.coalesce(F.col("plan.use_conversation"), F.lit(False)), PLANNED_HISTORY_BUDGET).otherwise(HISTORY_BUDGET)
     held = held.withColumn("_available", available).withColumn("fits", F.col("full_article_characters") <= F.col("_available"))
     held = held.withColumn("_room", F.when(F.col("fits"), F.col("_available") - F.col("full_article_characters")).otherwise(F.least(share, F.col("_available"))).cast("long"))
-    history = memory.history_for(turns, held.select(*KEY, "conv_id", "question", "focus_text", F.col("_room").alias("budget"), F.least("_room", F.lit(RECENT_HISTORY)).alias("recent_budget")), KEY, settings.recent_turns, settings.recalled_turns)
+    history = stored(memory.history_for(turns, held.select(*KEY, "conv_id", "question", "focus_text", F.col("_room").alias("budget"), F.least("_room", F.lit(RECENT_HISTORY)).alias("recent_budget")), KEY, settings.recent_turns, settings.recalled_turns), "history")
     taken = history.groupBy(*KEY).agg(F.sum("turn_length").cast("long").alias("_taken"))
     full = held.join(taken, KEY, "left").withColumn("history_characters", F.coalesce("_taken", F.lit(0).cast("long")))
     room = F.when(F.col("fits"), F.col("full_article_characters")).otherwise(F.greatest(F.lit(1), F.col("_available") - F.col("history_characters")))
@@ -83,7 +84,7 @@ def channels(chunks: DataFrame, asked: DataFrame, tokenizer: search.Tokenizer =
     section = stored(section.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("chunk_idx"))), "focus-section")
     left = focus.join(section.select(*KEY).distinct(), KEY, "left_anti")
     pointed = left.filter((F.size(token_set(F.col("focus_text"))) > 0) | (F.size(token_set(F.col("focus_section"))) > 0))
-    anchor = stored(search.focus_anchors(chunks, pointed.select(*KEY, "focus_text", "focus_section")), "focus-anchors")
+    anchor = stored(search.focus_anchors(chunks, pointed.select(*KEY, "focus_text", "focus_section").hint("merge")), "focus-anchors")
     unplaced = left.join(anchor.select(*KEY).distinct(), KEY, "left_anti")
 
     ask = lambda df, source, need: df.select("article_id", F.struct("query_id", F.lit(source).alias("source"), need.alias("need")).alias("query_id"), "pos", "text")
@@ -112,7 +113,7 @@ def question_context(chunks: DataFrame, questions: DataFrame, turns: DataFrame,
     """KEY, strategy, mode, is_truncated, needs_planning, limit, full_article_characters, article_characters, history_characters, checkpoint_characters,
     history (turn_idx, how: in order) and evidence (chunk_id, sources, reasons, score, pinned, cost: best first, or the article's chunks in order). The limits are those of the settings."""
     asked, history = requests(chunks, questions, turns, settings)
-    asked = stored(asked, "requests")
+    asked = stored(asked, "requests").hint("merge")  # many times its file's size, by which Spark would send it to every task
     offers = packing.fused(stored(channels(chunks, asked, tokenizer, settings), "offers"), KEY)
     budgets = asked.filter(~F.col("fits")).select(*KEY, F.coalesce(F.size("plan.evidence_needs"), F.lit(0)).alias("needs"), F.col("article_budget").alias("budget"))
     some = packing.packed(offers.join(budgets, KEY), KEY, settings.windows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.functions.dom import Element
-from lectern.operators import extract, index, scores, search
+from lectern.operators import context, extract, index, scores, search
 from lectern.plans import catalogue
 from lectern.sources import batches
 
@@ -115,3 +115,23 @@ def test_white_space_is_collapsed_but_for_lone_blanks(spark):
     old = F.trim(F.regexp_replace(F.coalesce("t", F.lit("")), text.SPACE, " "))
     for want, got, solid in rows.select(old, text.clean(F.col("t")), F.coalesce(F.col("t"), F.lit("")).rlike(text.SOLID)).collect():
         assert got == want and solid == (want != "")
+
+
+def test_literals_and_plans_are_read_once(spark, monkeypatch):
+    """Named in several places of an expression, they were made anew for each place, and for each literal of a question."""
+    found = _plan(spark.createDataFrame([("say `a` and b-c",)], "q string").select(text.exact_literals(F.col("q")).alias("x")))
+    assert found.count("regexp_extract_all") <= 2 * (len(text.QUOTED) + 1)
+    kept, real = {}, context.stored
+    monkeypatch.setattr(context, "stored", lambda df, name: kept.setdefault(name, _plan(df)) and real(df, name))
+    made = catalogue.queries()["question_context"](spark, SMALLEST)
+    assert [name for name, plan in {**kept, "": _plan(made)}.items() if "$.evidenceNeeds" in plan] == ["asked"]
+
+
+def test_anchors_are_looked_for_in_their_articles_alone(spark, monkeypatch):
+    """Tokens of all chunks were made, though few articles have a focus."""
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(search, "token_set", F.udf(lambda t: seen.add(1) or (t or "").split(), "array<string>"))
+    chunks = spark.createDataFrame([(a, c, "s", f"word{c} some") for a in range(50) for c in range(4)], "article_id long, chunk_idx int, section string, text string")
+    foci = spark.createDataFrame([(3, 0, "word2", None)], "article_id long, query_id long, focus_text string, focus_section string")
+    got = search.focus_anchors(chunks, foci).orderBy("place").collect()
+    assert [(r["article_id"], r["chunk_idx"]) for r in got] == [(3, 2), (3, 3), (3, 1)] and seen.value < 50

@@ -63,3 +63,19 @@ def test_empty(spark, tmp_path):
     none = chunks(spark, 1, range(3)).limit(0)
     index.add(f"{tmp_path}/index", "a", chunks(spark, 1, range(3)), none)
     assert index.Search(spark, f"{tmp_path}/index", asked(spark).limit(0)).best().count() == 0
+
+
+@pytest.mark.parametrize("worth", [0, 10**9])
+def test_few_queries_store_no_row_for_each_block_and_query(spark, tmp_path, monkeypatch, worth):
+    """Bounds of all blocks for all queries, and a row for each term and block, were stored and dealt out, and filled the disk; with bounds and without, removals and repeated chunks count as in a search of the chunks."""
+    monkeypatch.setattr(index, "WORTH", worth, raising=False)
+    keep, sizes = index.stored, {}
+    monkeypatch.setattr(index, "stored", lambda df, name: (out := keep(df, name), sizes.update({name: out.count()}))[0])
+    first, other = chunks(spark, 5, range(80), 1), chunks(spark, 6, range(70, 100), 1)
+    again = first.filter("chunk_idx = 3")
+    queries = spark.createDataFrame([(q, 0, f"common often alpha w{q}") for q in range(12)], "query_id long, pos int, text string")
+    index.add(f"{tmp_path}/index", "a", first.unionByName(again), block=2)
+    index.add(f"{tmp_path}/index", "b", other, first.filter("chunk_idx >= 70"), block=2)
+    want = search.bm25(first.filter("chunk_idx < 70").unionByName(again).unionByName(other), queries, 3)
+    assert plain(index.Search(spark, f"{tmp_path}/index", queries, 3, block=2).best()) == plain(want) != []
+    assert max(n for name, n in sizes.items() if name not in ("index-terms", "index-weights")) <= 100

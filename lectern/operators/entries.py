@@ -127,12 +127,14 @@ def merged(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Weights:
     """Facts of the terms of articles (article_id, tid, idf and average length by field), a small table that goes to every task."""
 
-    def __init__(self, rows: list[tuple]) -> None:
-        self.articles = {a: k for k, a in enumerate(dict.fromkeys(r[0] for r in rows))}
-        self.terms = 1 + max((r[1] for r in rows), default=0)
-        key = np.array([self.articles[r[0]] * self.terms + r[1] for r in rows], np.int64)
+    def __init__(self, rows: pa.Table) -> None:
+        article = rows.column(0).combine_chunks().dictionary_encode()
+        tid, *facts = (c.to_numpy().astype(np.int64 if k == 0 else float) for k, c in enumerate(rows.columns[1:]))
+        self.articles = {a: k for k, a in enumerate(article.dictionary.to_pylist())}
+        self.terms = 1 + int(tid.max(initial=0))
+        key = article.indices.to_numpy(zero_copy_only=False).astype(np.int64) * self.terms + tid
         order = np.argsort(key)
-        self.key, self.facts = key[order], np.array([r[2:] for r in rows], float).reshape(-1, 4)[order]
+        self.key, self.facts = key[order], np.column_stack(facts)[order]
 
     def of(self, articles: pa.Array, row: np.ndarray, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places in facts of terms of rows, and which of them are there."""
